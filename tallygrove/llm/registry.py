@@ -1,7 +1,7 @@
 """Queries and oracle SQL of this subpackage, by name."""
 
-from . import mixing, quality, simhash
+from . import mixing, pieces, quality, simhash
 
-MODULES = (mixing, quality, simhash)
+MODULES = (mixing, pieces, quality, simhash)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
