@@ -65,6 +65,13 @@ class Vocabulary:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("only vocabularies without pieces across the start of a word are supported")
 
+    @classmethod
+    def of(cls, fields: dict) -> Vocabulary:
+        """From the fields of another: tasks get plain values, not objects of this module."""
+        out = cls.__new__(cls)
+        vars(out).update(fields)
+        return out
+
     def id_list(self, piece: str) -> list[int]:
         found = self.ids.get(piece)
         if found is not None:
@@ -269,7 +276,7 @@ _MATRIX = "array<struct<a:string,i:int,b:string,j:int,w:double>>"
 
 def _giants(rows: DataFrame, shared) -> DataFrame:
     """(row, ids) of the rows (key, row, text) whose texts are split into chunks."""
-    c, reach = CHUNK, shared.value.longest
+    c, reach = CHUNK, shared.value["longest"]
     text = F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))
     whole = rows.select("key", text.alias("t")).withColumn("n", F.length("t"))
     cut = whole.select("key", "t", F.posexplode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {c} as int)"))).alias("no", "_"))
@@ -281,7 +288,7 @@ def _giants(rows: DataFrame, shared) -> DataFrame:
     def matrices(batches):
         import pandas as pd
 
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Vocabulary.of(shared.value))
         for b in batches:
             yield pd.DataFrame({"key": b.key, "block": b.block, "no": b.no, "m": [[dict(zip("aibjw", x)) for x in Chunk(encoder, *t).matrix()] for t in zip(b.left, b.body, b.right)]})
 
@@ -316,7 +323,7 @@ def _giants(rows: DataFrame, shared) -> DataFrame:
     def backtraced(batches):
         import pandas as pd
 
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Vocabulary.of(shared.value))
         v = encoder.v
         for b in batches:
             ids = [[i for p in Chunk(encoder, r.left, r.body, r.right).pieces((r.fa, r.fi), (r.ta, r.ti)) for i in v.id_list(p)] for r in b.itertuples()]
@@ -335,7 +342,7 @@ def _giants(rows: DataFrame, shared) -> DataFrame:
 def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, columns: list[str] | None = None) -> DataFrame:
     """(row, ids): each row's ``columns`` (all by default) as a struct, and the ids of column ``text``."""
     vocabulary = vocabulary or Vocabulary()
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))
     row = F.struct(*[docs[c] for c in columns or docs.columns]).alias("row")
     rows = docs.select(row, docs["text"].cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
@@ -344,7 +351,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, columns: list[
     def run(batches):
         import pyarrow as pa
 
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Vocabulary.of(shared.value))
         get, ids_of = encoder.words.get, encoder.unit_ids
         for b in batches:
             offsets, flat, valid = [0], [], []
@@ -377,13 +384,13 @@ def _offsets(lists: list):
 
 def decode(rows: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     """(row, ids, decoded): the text of column ``ids``."""
-    shared = rows.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary())
+    shared = rows.sparkSession.sparkContext.broadcast(vars(vocabulary or Vocabulary()))
     kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        v = shared.value
+        v = Vocabulary.of(shared.value)
         parts = [b"" if i in v.silent else p.replace(SPACE, " ").encode() for i, p in enumerate(v.names)]
         for byte, i in v.bytes.items():
             parts[i] = bytes([byte])
