@@ -74,20 +74,23 @@ def features(text: bytes | None) -> tuple[set[bytes], np.ndarray]:
     return distinct, dense
 
 
-def fit(texts: list[bytes | None], grades: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Hashed weights, dense weights and ordered thresholds, by Adam on the penalised log-likelihood."""
+def described(text: bytes | None, memory: Words) -> tuple[np.ndarray, int, np.ndarray]:
+    """Ids of the hashed features of a text's distinct words, the number of these words, and the dense features."""
+    distinct, dense = features(text)
+    return np.fromiter((x for w in distinct for x in memory[w]), np.int32), len(distinct), dense
+
+
+def fit(rows: list[tuple[np.ndarray, int, np.ndarray]], grades: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Hashed weights, dense weights and ordered thresholds, by Adam on the penalised log-likelihood; rows as described()."""
     if len(set(grades.tolist())) < 2:
         return None
-    memory = Words()
-    rows = [features(t) for t in texts]
-    ids = [np.fromiter((x for w in distinct for x in memory[w]), np.int64) for distinct, _ in rows]
-    own, ids = np.repeat(np.arange(len(rows)), [len(x) for x in ids]), np.concatenate(ids)
-    dense = np.array([r[1] for r in rows])
+    own, ids = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows]), np.concatenate([r[0] for r in rows])
+    dense = np.array([r[2] for r in rows])
     # Only features of several texts can teach anything about another text.
-    seen = np.bincount(np.unique(ids * len(rows) + own) // len(rows), minlength=1 << HASH_BITS)
+    seen = np.bincount(np.unique(ids.astype(np.int64) * len(rows) + own) // len(rows), minlength=1 << HASH_BITS)
     own, ids = own[seen[ids] >= MIN_TEXTS], ids[seen[ids] >= MIN_TEXTS]
     used, ids = np.unique(ids, return_inverse=True)
-    scale = np.array([1 / max(1, len(r[0])) ** POWER for r in rows])
+    scale = np.array([1 / max(1, r[1]) ** POWER for r in rows])
     # Grades weigh alike, so that a rare grade is learned too.
     share = np.bincount(grades, minlength=GRADES) / len(grades)
     weight = np.where(share > 0, 1 / np.maximum(share, 1e-9) ** 0.5, 0)[grades]
@@ -142,11 +145,31 @@ def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(rated), "doc_id").select("doc_id", "text", "grade")
 
 
+def _describe(batches):
+    import pyarrow as pa
+
+    memory = Words()
+    for b in batches:
+        rows = [described(t.as_py(), memory) for t in b.column(0).cast(pa.binary())]
+        ids, dense = pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([b.column(1), ids, pa.array([r[1] for r in rows], pa.int32()), dense], names=["grade", "ids", "n", "dense"])
+
+
+def fitted(docs: DataFrame, labels: DataFrame):
+    """The model of the labelled rows; the driver gets their features, not their texts."""
+    rows = graded(docs, labels).orderBy("doc_id", "grade", F.xxhash64("text")).limit(FIT_ROWS).select("text", "grade")
+    got = rows.mapInArrow(_describe, "grade int, ids array<int>, n int, dense array<double>").toArrow()
+    if not got.num_rows:
+        return None
+    ids, dense = got["ids"].combine_chunks(), got["dense"].combine_chunks()
+    flat, at, wide = ids.values.to_numpy(), ids.offsets.to_numpy(), dense.flatten().to_numpy().reshape(-1, DENSE)
+    return fit([(flat[at[i] : at[i + 1]], n, wide[i]) for i, n in enumerate(got["n"].to_pylist())], got["grade"].to_numpy().astype(np.int64))
+
+
 def scored(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(``columns`` of docs, expected_grade, p_top, selected), one row per input row."""
     spark = docs.sparkSession
-    rows = graded(docs, labels).orderBy("doc_id", "grade", "text").limit(FIT_ROWS).toPandas()
-    model = fit([None if t is None else t.encode() for t in rows["text"]], rows["grade"].to_numpy(np.int64)) if len(rows) else None
+    model = fitted(docs, labels)
     shared = spark.sparkContext.broadcast(model)
     columns = ["doc_id"] if columns is None else columns
 
