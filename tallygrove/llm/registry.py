@@ -1,7 +1,7 @@
 """Queries and oracle SQL of this subpackage, by name."""
 
-from . import mixing, pieces, pii, quality, secrets, simhash
+from . import langid, mixing, pieces, pii, quality, secrets, simhash
 
-MODULES = (mixing, pieces, pii, quality, secrets, simhash)
+MODULES = (langid, mixing, pieces, pii, quality, secrets, simhash)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
