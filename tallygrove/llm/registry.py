@@ -1,7 +1,7 @@
 """Queries and oracle SQL of this subpackage, by name."""
 
-from . import langid, mixing, neighbours, pieces, pii, quality, secrets, simhash, vecdups
+from . import langid, mixing, neighbours, passages, pieces, pii, quality, secrets, simhash, vecdups
 
-MODULES = (langid, mixing, neighbours, pieces, pii, quality, secrets, simhash, vecdups)
+MODULES = (langid, mixing, neighbours, passages, pieces, pii, quality, secrets, simhash, vecdups)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
