@@ -104,3 +104,19 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view as a DataFrame: only the columns that a query uses are read."""
     refs = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in BASE}
     return spark.sql(_filled(name, refs))
+
+
+def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text pages of forty lines, made of v_txn in order of time: date, text, amount with DR or CR, running balance."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    t = view(spark, sf_dir, "v_txn").withColumn("secs", F.unix_seconds(F.col("ts").cast("timestamp")))
+    w = Window.partitionBy("party_name").orderBy("secs", "seq")
+    t = t.withColumns({"n": F.row_number().over(w) - 1, "balance": F.round(F.sum(F.col("credit") - F.col("debit")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 10_000_000, 2)})
+    money = lambda c: F.format_string("%.2f", F.col(c))
+    gap = F.when(F.col("n") % 7 == 6, "\n").otherwise(" ")
+    line = F.concat(F.date_format("ts", "dd/MM/yyyy"), F.lit(" "), "description", gap, money("amount"), F.when(F.col("credit") > 0, " CR ").otherwise(" DR "), money("balance"))
+    t = t.withColumns({"line": line, "page_no": F.floor(F.col("n") / 40)})
+    pages = t.groupBy("party_name", "page_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("raw_text"))
+    return pages.select(F.col("party_name").alias("document_name"), "page_no", "raw_text")

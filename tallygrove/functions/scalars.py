@@ -75,25 +75,45 @@ def _number(text: Column) -> Column:
 
 def clean_amount(value: Column) -> Column:
     """B1: a lenient amount: brackets and Dr negate, lakh and crore multiply, separators go; what can't be read is 0."""
-    t = F.trim(value.cast("string"))
+    empty = value.isNull() | F.lower(F.trim(value.cast("string"))).isin("", "nan", "none", "-")
+    return F.when(empty, F.lit(0.0)).otherwise(_let(F.trim(value.cast("string")), _amount))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _amount(t: Column) -> Column:
     bracket = t.startswith("(") & t.endswith(")")
-    t = F.when(bracket, F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
-    suffix = F.lower(F.regexp_extract(t, "(?i)(dr|cr)$", 1))
-    negative = F.when(suffix == "dr", True).when(suffix == "cr", False).otherwise(bracket)
-    t = F.trim(F.regexp_replace(t, r"(?i)\s?(dr|cr)$", ""))
+    inner = F.when(bracket, F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+    return _let(F.struct(bracket.alias("bracket"), inner.alias("t")), _without_suffix)
+
+
+def _without_suffix(x: Column) -> Column:
+    suffix = F.lower(F.regexp_extract(x["t"], "(?i)(dr|cr)$", 1))
+    negative = F.when(suffix == "dr", True).when(suffix == "cr", False).otherwise(x["bracket"])
+    t = F.trim(F.regexp_replace(x["t"], r"(?i)\s?(dr|cr)$", ""))
     t = F.trim(F.regexp_replace(F.regexp_replace(t, r"(?i)₹|\b(?:rs\.?|inr)\b", ""), "/-|/", ""))
+    number = _let(t, _magnitude)
+    return _let(F.struct(negative.alias("negative"), number.alias("n")), lambda y: F.when(y["negative"] & (y["n"] != 0), -y["n"]).otherwise(y["n"]))
+
+
+def _magnitude(t: Column) -> Column:
     low = F.lower(t)
     scaled = lambda word, by: F.coalesce(_number(F.replace(F.trim(F.replace(low, F.lit(word), F.lit(""))), F.lit(","), F.lit(""))) * by, F.lit(0.0))
     commas, dots = F.regexp_count(t, F.lit(",")), F.regexp_count(t, F.lit(r"\."))
     tail = F.element_at(F.split(t, r"\."), -1)
-    grouped = F.concat(F.replace(F.substring(t, F.lit(1), F.length(t) - 3), F.lit("."), F.lit("")), F.lit("."), tail)
-    t = F.when(commas >= 2, F.replace(t, F.lit(","), F.lit(""))).when((dots >= 2) & (commas == 0), F.when(F.length(tail) == 2, grouped).otherwise(F.replace(t, F.lit("."), F.lit("")))).otherwise(t)
+    no_dots = F.replace(t, F.lit("."), F.lit(""))
+    grouped = F.when(F.length(tail) == 2, F.concat(F.replace(F.substring(t, F.lit(1), F.length(t) - 3), F.lit("."), F.lit("")), F.lit("."), tail)).otherwise(no_dots)
+    joined = F.when(commas >= 2, F.replace(t, F.lit(","), F.lit(""))).when((dots >= 2) & (commas == 0), grouped).otherwise(t)
+    plain = _let(joined, _signed_number)
+    return F.when(F.contains(low, F.lit("crore")), scaled("crore", 1e7)).when(F.contains(low, F.lit("lakh")), scaled("lakh", 1e5)).otherwise(plain)
+
+
+def _signed_number(t: Column) -> Column:
     t = F.when(t.endswith("-") & (F.regexp_count(t, F.lit("-")) == 1), F.concat(F.lit("-"), F.regexp_replace(t, "-$", ""))).otherwise(t)
-    plain = F.coalesce(_number(F.regexp_replace(t, r"[^0-9.\-]", "")), F.lit(0.0))
-    number = F.when(F.contains(low, F.lit("crore")), scaled("crore", 1e7)).when(F.contains(low, F.lit("lakh")), scaled("lakh", 1e5)).otherwise(plain)
-    number = F.when(negative & (number != 0), -number).otherwise(number)
-    empty = value.isNull() | F.lower(F.trim(value.cast("string"))).isin("", "nan", "none", "-")
-    return F.when(empty, F.lit(0.0)).otherwise(number)
+    return F.coalesce(_number(F.regexp_replace(t, r"[^0-9.\-]", "")), F.lit(0.0))
 
 
 def clean_date(value: Column) -> Column:
