@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 HASH_BITS = 16
+MASK = (1 << HASH_BITS) - 1
 FIT_DOCS = 3000
 SEQUENCE = 40
 STEPS = 60
@@ -34,11 +35,11 @@ UNDETERMINED = "und"
 _STRIP = ".,;:!?\"'()[]{}|#*&%$-_«»„“”‘’…"
 
 
-def word_features(word: str) -> tuple[int, ...]:
+def word_features(word: str, crc=zlib.crc32) -> list[int]:
     """Hashed features of a lower-cased word with a letter."""
-    w = f"^{word}$"
-    parts = [f"w{word}", *(f"p{word[:n]}" for n in (1, 2, 3, 4)), *(f"s{word[-n:]}" for n in (1, 2, 3, 4)), *(w[i : i + 3] for i in range(len(w) - 2))]
-    return tuple(zlib.crc32(p.encode("utf-8", "replace")) & ((1 << HASH_BITS) - 1) for p in parts)
+    w = f"^{word}$".encode("utf-8", "replace")
+    parts = [w, *[w[:n] for n in (2, 3, 4, 5)], *[w[-n:] for n in (2, 3, 4, 5)], *[w[i : i + 3] for i in range(1, len(w) - 3)]]
+    return [crc(p) & MASK for p in parts]
 
 
 def stripped(token: str) -> str | None:
@@ -142,23 +143,33 @@ class Labeller:
 
     def __init__(self, model):
         self.labels, self.w, self.trans = model
-        self.place, self.emits = {}, []
+        self.place = {}
         self.forget()
 
     def forget(self) -> None:
         self.place.clear()
-        self.emits = [np.zeros(len(self.labels), np.float32)]
+        self.fresh, self.sizes = [], []
+        self.emits = np.zeros((1, len(self.labels)), np.float32)
 
     def at(self, token: str) -> int:
         word = stripped(token)
         if word is None:
             found = 0
         else:
-            found = len(self.emits)
-            self.emits.append(self.w[list(word_features(word))].sum(0))
+            found = len(self.emits) + len(self.sizes)
+            ids = word_features(word)
+            self.fresh.extend(ids)
+            self.sizes.append(len(ids))
         self.place[token] = found
         return found
 
+    def learn(self) -> None:
+        """Sum the weights of words seen since the last time, all at once."""
+        if self.sizes:
+            starts = np.cumsum([0, *self.sizes[:-1]])
+            self.emits = np.concatenate([self.emits, np.add.reduceat(self.w[np.array(self.fresh, np.int32)], starts)])
+            self.fresh, self.sizes = [], []
+
     def many(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(label, score) of each text."""
         out: list = [(UNDETERMINED, 0.0)] * len(texts)
@@ -185,7 +196,8 @@ class Labeller:
         word = np.empty(lengths.sum(), np.int32)
         for j, r in enumerate(order):
             word[start[: lengths[r]] + j] = rows[r][1]
-        post, _, _ = forward_backward(np.array(self.emits)[word], self.trans.astype(np.float32), active)
+        self.learn()
+        post, _, _ = forward_backward(self.emits[word], self.trans.astype(np.float32), active)
         doc = np.concatenate([np.arange(k) for k in active])
         sums = np.stack([np.bincount(doc, post[:, y], len(rows)) for y in range(len(self.labels))], 1)
         best = sums.argmax(1)
