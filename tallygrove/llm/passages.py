@@ -186,6 +186,62 @@ def _compare(rows):
 SPAN = "k1 long, k2 int, lo int, hi int"
 
 
+def _scattered(batches, parts: int):
+    """Starts of crowded seeds, dealt by hash: a row per part, with arrays, so that no start is a row of its own."""
+    for b in batches:
+        lists = b.column(2)
+        sizes = np.diff(lists.offsets.to_numpy())
+        h = lists.flatten().to_numpy()
+        rid, is_open = (np.repeat(c, sizes) for c in (b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)))
+        at = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        yield _dealt(mixed(h.view(np.uint64)) % np.uint64(parts), [h, rid, (at * 2 + is_open).astype(np.int32)], ["part", "h", "rid", "at"])
+
+
+def _dealt(part: np.ndarray, columns: list[np.ndarray], names: list[str]):
+    """An Arrow batch with one row per value of ``part`` and the other columns as arrays."""
+    import pyarrow as pa
+
+    order = np.argsort(part, kind="stable")
+    values, first = np.unique(part[order], return_index=True)
+    offsets = pa.array(np.append(first, len(part)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(values.astype(np.int32)), *lists], names=names)
+
+
+def _met(batches, parts: int):
+    """Of the starts that one part got, the open ones whose hash came twice, dealt by the context that they are of."""
+    got = [[c.flatten().to_numpy() for c in b.columns[1:]] for b in batches]
+    if got:
+        h, rid, at = (np.concatenate(x) for x in zip(*got))
+        _, back, times = np.unique(h, return_inverse=True, return_counts=True)
+        hit = (times[back] > 1) & (at % 2 == 1)
+        if hit.any():
+            yield _dealt(mixed(rid[hit].view(np.uint64)) % np.uint64(parts), [rid[hit], at[hit] // 2], ["part", "rid", "at"])
+
+
+def _assembled(batches):
+    """Runs of repeated starts of each context."""
+    import pyarrow as pa
+
+    got = [[c.flatten().to_numpy() for c in b.columns[1:]] for b in batches]
+    if got:
+        rid, at = (np.concatenate(x) for x in zip(*got))
+        order = np.lexsort((at, rid))
+        rid, at = rid[order], at[order]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(rid) != 0) | (np.diff(at) > 1)]))
+        end = np.append(new[1:], len(rid)) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(rid[new]), pa.array(at[new].astype(np.int32)), pa.array(at[end].astype(np.int32))], names=["rid", "i", "j"])
+
+
+def _crowded(starts: DataFrame, parts: int) -> DataFrame:
+    """Repeated starts among the contexts of crowded seeds, compared by hash over all tasks."""
+    far = starts.where("crowd")
+    dealt = far.select("rid", "open", "h").mapInArrow(lambda b: _scattered(b, parts), "part int, h array<long>, rid array<long>, at array<int>")
+    met = dealt.repartition(parts, "part").mapInArrow(lambda b: _met(b, parts), "part int, rid array<long>, at array<int>")
+    runs = met.repartition(parts, "part").mapInArrow(_assembled, "rid long, i int, j int")
+    return runs.join(far.select("rid", "k1", "k2", "lo"), "rid").select("k1", "k2", (F.col("lo") + F.col("i")).alias("lo"), (F.col("lo") + F.col("j")).alias("hi"))
+
+
 def repeated(rows: DataFrame) -> DataFrame:
     """(k1, k2, lo, hi): runs of starts whose LENGTH-byte strings also start elsewhere, for rows of :func:`keyed`."""
     found = rows.where(F.octet_length("text") >= LENGTH).select("k1", "k2", "text")
@@ -203,12 +259,10 @@ def repeated(rows: DataFrame) -> DataFrame:
     wanted = some.groupBy("k1", "k2").agg(F.collect_list(F.struct("seed", "lo", "hi", "open", "crowd")).alias("wanted"))
     texts = rows.select("k1", "k2", "text")
     starts = texts.join(stored(wanted, "passages"), ["k1", "k2"])
-    starts = stored(starts.mapInArrow(_hashed, "k1 long, k2 int, seed long, lo int, open boolean, crowd boolean, h array<long>"), "passages")
+    starts = stored(starts.mapInArrow(_hashed, "k1 long, k2 int, seed long, lo int, open boolean, crowd boolean, h array<long>").withColumn("rid", F.monotonically_increasing_id()), "passages")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = starts.where("not crowd").repartition(n, "seed").sortWithinPartitions("seed").mapInPandas(_compared, SPAN)
-    many = starts.where("crowd").select("k1", "k2", "seed", "lo", "open", F.posexplode("h").alias("i", "h"))
-    twice = stored(many.groupBy("seed", "h").agg(F.count("*").alias("n")).where("n > 1").select("seed", "h"), "passages")
-    many = many.where("open").join(twice, ["seed", "h"], "left_semi").select("k1", "k2", (F.col("lo") + F.col("i")).alias("lo"), (F.col("lo") + F.col("i")).alias("hi"))
+    many = _crowded(starts, n)
     return whole.unionByName(few).unionByName(many)
 
 
