@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tallygrove.plans import catalog, sources_catalog  # noqa: F401
+from tallygrove.plans import catalog, documents_catalog, sources_catalog  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
