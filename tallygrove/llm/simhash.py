@@ -16,7 +16,7 @@ table gives an empty table.
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,36 +32,44 @@ SAMPLE = 2048
 PROBE_COST = 2.0
 
 
-def fingerprint(text: bytes | None, shingle: int, seed: int = 42) -> int:
-    """The fingerprint of one UTF-8 text as a signed 64-bit integer."""
+def views_of(text: bytes | None, shingle: int, views: int = 1, seed: int = 42) -> list[int]:
+    """Fingerprints of one UTF-8 text as signed 64-bit integers: the first from the shingles' hashes, others from them remixed."""
     import xxhash
 
     words = (text or b"").lower().split()  # bytes: lowers A-Z and splits on \x20 and \x09-\x0D only
     if not words:
-        return 0
+        return [0] * views
     n = max(1, len(words) - shingle + 1)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    counts = np.zeros(BITS, np.int64)
+    counts = np.zeros((views, BITS), np.int64)
     for lo in range(0, n, 1 << 16):  # bounded memory for giant texts
         part = range(lo, min(n, lo + (1 << 16)))
         h = np.fromiter((digest(join(words[i : i + shingle]), seed) for i in part), np.uint64, len(part))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n).view(np.int64)[0])
+        for v in range(views):
+            counts[v] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+    return np.packbits(2 * counts > n, axis=1).view(np.int64).ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp): one row per input row; each text is read whole, inside its task."""
+def fingerprint(text: bytes | None, shingle: int) -> int:
+    """The first fingerprint of one text."""
+    return views_of(text, shingle)[0]
+
+
+def fingerprints(docs: DataFrame, shingle: int = 5, text: str = "text", doc_id: str = "doc_id", views: int = 1) -> DataFrame:
+    """(doc_id, fp, fps): one row per input row, ``fps`` all views; each text is read whole, inside its task."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            texts = b.column(1).cast(pa.binary())
-            fps = pa.array((fingerprint(t.as_py(), shingle) for t in texts), type=pa.int64(), size=len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), fps], names=["doc_id", "fp"])
+            fps = [views_of(t.as_py(), shingle, views) for t in b.column(1).cast(pa.binary())]
+            first = pa.array([x[0] for x in fps], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), first, pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "fp", "fps"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long, fps array<long>")
 
 
 def group_bits(corr: np.ndarray, m: int) -> list[list[int]]:
@@ -175,25 +183,44 @@ def _mask(bits: list[int]) -> int:
     return int(np.uint64(sum(1 << b for b in bits)).view(np.int64))
 
 
-def groups(docs: DataFrame, shingle: int = 5, distance: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp, component_id): one row per input row; component_id is the smallest doc_id reachable by links."""
-    prints = stored(fingerprints(docs, shingle, text, doc_id), "simhash")
-    fps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash")
-    near = stored(links(fps, distance), "simhash")
-    if near.take(1):
-        comp = stored(components(near), "simhash")
-        named = fps.join(comp, fps.fp == comp.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def groups(docs: DataFrame, shingle: int = 5, distance: int = 3, text: str = "text", doc_id: str = "doc_id", views: int = 1) -> DataFrame:
+    """(doc_id, fp, component_id): one row per input row; component_id is the smallest doc_id reachable by links.
+
+    With several ``views`` two texts link if any of their fingerprints do, which finds more of the texts whose
+    similarity is near the limit: each view is an independent draw of the differing bits.
+    """
+    prints = fingerprints(docs, shingle, text, doc_id, views)
+    node = F.col("fp") if views == 1 else F.xxhash64("fps")
+    prints = stored(prints.withColumn("node", node), "simhash")
+    nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps")), "simhash")
+    if views == 1:
+        edges = stored(links(nodes.select(F.col("node").alias("fp")), distance), "simhash")
+    else:
+        edges = stored(reduce(DataFrame.unionByName, [_view_edges(nodes, v, distance) for v in range(views)]), "simhash")
+    if edges.take(1):
+        comp = stored(components(edges), "simhash")
+        named = nodes.join(comp.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
         named = stored(named, "simhash")
         first = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "simhash")
-        names = stored(named.join(first, "root").select("fp", "component_id"), "simhash")
+        names = stored(named.join(first, "root").select("node", "component_id"), "simhash")
     else:
-        names = fps.select("fp", F.col("least").alias("component_id"))
-    return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+        names = nodes.select("node", F.col("least").alias("component_id"))
+    return prints.join(names, "node").select("doc_id", "fp", "component_id")
+
+
+def _view_edges(nodes: DataFrame, view: int, distance: int) -> DataFrame:
+    """Edges (a, b) between nodes by one view: nodes of one value are tied to their smallest, near values by these."""
+    own = nodes.select("node", F.col("fps")[view].alias("fp"))
+    hubs = stored(own.groupBy("fp").agg(F.min("node").alias("hub")), "simhash")
+    tied = own.join(hubs, "fp").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    near = links(hubs.select("fp"), distance)
+    near = near.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("ha")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("hb")), "b")
+    return tied.unionByName(near.select(F.col("ha").alias("a"), F.col("hb").alias("b")))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 3, views: int = 1) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest doc_id; of rows that repeat this id, one stays."""
-    found = groups(docs, shingle, distance)
+    found = groups(docs, shingle, distance, views=views)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
     one = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
     return one.dropDuplicates(["doc_id"])

@@ -32,8 +32,8 @@ def prose(rng, n, words="the of and to a in is it we you that for red blue tree
 # SimHash -------------------------------------------------------------------------------------------------------------
 
 
-def brute_groups(rows, shingle, distance):
-    fps = [simhash.fingerprint(None if t is None else t.encode(), shingle) & (2**64 - 1) for _, t in rows]
+def brute_groups(rows, shingle, distance, views=1):
+    fps = [[x & (2**64 - 1) for x in simhash.views_of(None if t is None else t.encode(), shingle, views)] for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -43,7 +43,7 @@ def brute_groups(rows, shingle, distance):
 
     for i in range(len(rows)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= distance:
+            if any(bin(a ^ b).count("1") <= distance for a, b in zip(fps[i], fps[j])):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -51,8 +51,8 @@ def brute_groups(rows, shingle, distance):
     return sorted((d, least[find(i)]) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("distance", [0, 3, 6])
-def test_simhash_groups(spark, distance):
+@pytest.mark.parametrize("distance, views", [(0, 1), (3, 1), (6, 1), (6, 4)])
+def test_simhash_groups(spark, distance, views):
     rng, rows = random.Random(distance), []
     for i in range(60):
         base = prose(rng, rng.choice([1, 4, 80]))
@@ -61,8 +61,8 @@ def test_simhash_groups(spark, distance):
             for _ in range(k):
                 words[rng.randrange(len(words))] = "changed"
             rows.append((len(rows), " ".join(words)))
-    got = simhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, distance)
-    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == brute_groups(rows, 3, distance)
+    got = simhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, distance, views=views)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == brute_groups(rows, 3, distance, views)
 
 
 def test_simhash_allotment_is_complete():
