@@ -145,7 +145,7 @@ query("B14", "SELECT seq, round(list_sort([total_amount, subtotal, gst_amount],
 query("B17", "SELECT seq, CASE WHEN lower(trim(flag_text)) IN ('yes', 'y', 'true', '1', 'attached') THEN true WHEN lower(trim(flag_text)) IN ('no', 'n', 'false', '0') THEN false END AS flag FROM {v_raw} v")(
     lambda s, d: view(s, d, "v_raw").select("seq", S.to_bool(F.col("flag_text")).alias("flag"))
 )
-query("B18", "SELECT seq, try_cast(replace(trim(amount_text), ',', '') AS double) AS x FROM {v_raw} v WHERE seq % 8 <> 1")(lambda s, d: view(s, d, "v_raw").where("seq % 8 <> 1").select("seq", S.to_float(F.col("amount_text")).alias("x")))
+query("B18", "SELECT seq, try_cast(replace(trim(amount_text), ',', '') AS double) AS x FROM {v_raw} v")(lambda s, d: view(s, d, "v_raw").select("seq", S.to_float(F.col("amount_text")).alias("x")))
 query("B19", "SELECT seq, abs(amount - round_even(amount / 10000, 0) * 10000) < 0.01 AS r FROM {v_inv_rows} v")(lambda s, d: view(s, d, "v_inv_rows").select("seq", S.is_round(F.col("amount"), 10_000).alias("r")))
 query("B20", "SELECT txn_id, round(credit - debit, 2) AS x FROM {v_txn} v")(lambda s, d: view(s, d, "v_txn").select("txn_id", F.round(S.signed(F.col("credit"), F.col("debit"), F.col("amount"), F.lit(None)), 2).alias("x")))
 query("B21", "SELECT seq, coalesce(vendor_gst, vendor_name) AS x FROM {v_inv} v")(lambda s, d: view(s, d, "v_inv").select("seq", F.coalesce("vendor_gst", "vendor_name").alias("x")))
@@ -335,7 +335,7 @@ def _policy(kind: str, severity: str, rest: str) -> str:
 
 query("K35", found("vendor_missing_address", "MEDIUM", "0.7", "invoice_id", "total_amount", "FROM {inv} v WHERE trim(coalesce(vendor_address, '')) = ''"))(lambda s, d: short(I.no_address(inv(s, d))))
 query("K36", found("vendor_no_gst_high_invoice", "HIGH", "0.86", "invoice_id", "total_amount", "FROM {inv} v WHERE total_amount > 20000 AND trim(coalesce(vendor_gst, '')) = ''"))(lambda s, d: short(I.no_gstin(inv(s, d))))
-query("R4", _policy("new_vendor_screening", "MEDIUM", "FROM {inv} v WHERE amt > 25000 AND vendor NOT IN (SELECT DISTINCT lower(trim(vendor_name)) FROM {v_inv} w WHERE seq % 300 = 0)"))(lambda s, d: short(I.new_vendors(inv(s, d), view(s, d, "v_inv").where("seq % 300 = 0"))))
+query("R4", _policy("new_vendor_screening", "MEDIUM", "FROM {inv} v WHERE amt > 25000 AND vendor NOT IN (SELECT DISTINCT lower(trim(vendor_name)) FROM {v_inv} w WHERE total_amount > 1500000)"))(lambda s, d: short(I.new_vendors(inv(s, d), view(s, d, "v_inv").where("total_amount > 1500000"))))
 query("J9", ORACLES["R4"])(QUERIES["R4"])
 query("R5", _policy("duplicate_invoice", "HIGH", "FROM (SELECT *, row_number() OVER (PARTITION BY vendor, trim(invoice_number) ORDER BY seq) AS r FROM {inv} v) x WHERE r > 1"))(lambda s, d: short(I.duplicates(inv(s, d))))
 query("R6", _policy("gst_consistency", "HIGH", f"FROM {{inv}} v WHERE abs(gst_amount - (total_amount - subtotal)) > 0.01 * total_amount OR coalesce(NOT regexp_matches(upper(vendor_gst), '^{S.GSTIN}$'), false)"))(lambda s, d: short(I.tax_consistency(inv(s, d))))

@@ -10,13 +10,15 @@ from ..functions import scalars as S
 from ..sources import statements as P
 from .catalog import ORACLES, query
 
-# The cells of v_raw that are plain numbers with or without a suffix.
-query("B1b", "SELECT seq, coalesce(try_cast(regexp_extract(amount_text, '(\\d+)', 1) AS double), 0) AS value, CASE WHEN amount_text LIKE '%Dr' THEN 'DR' WHEN amount_text LIKE '%Cr' THEN 'CR' END AS side FROM {v_raw} v WHERE seq % 8 IN (0, 3, 4)")(
-    lambda s, d: view(s, d, "v_raw").where("seq % 8 in (0, 3, 4)").select("seq", D.suffixed_amount(F.col("amount_text")).alias("x")).select("seq", "x.*")
+_DIGITS = "coalesce(try_cast(regexp_extract(replace(amount_text, ',', ''), '(\\d+\\.?\\d*)', 1) AS double), 0)"
+query("B1b", f"SELECT seq, {_DIGITS} AS value, CASE WHEN amount_text LIKE '%Dr' THEN 'DR' WHEN amount_text LIKE '%Cr' THEN 'CR' END AS side FROM {{v_raw}} v")(
+    lambda s, d: view(s, d, "v_raw").select("seq", D.suffixed_amount(F.col("amount_text")).alias("x")).select("seq", "x.*")
+)
+query("B1c", f"SELECT seq, round(CASE seq % 8 WHEN 0 THEN CASE WHEN n >= 10000 THEN n / 100 ELSE n END WHEN 1 THEN n WHEN 6 THEN 0.0 ELSE CASE WHEN n <= 99999 THEN n ELSE 0.0 END END, 2) AS x FROM (SELECT seq, {_DIGITS} AS n FROM {{v_raw}} v) y")(
+    lambda s, d: view(s, d, "v_raw").select("seq", F.round(D.noisy_amount(F.col("amount_text")), 2).alias("x"))
 )
-query("B1c", "SELECT seq, round(cast(cents AS double) / CASE WHEN cents >= 10000 THEN 100 ELSE 1 END, 2) AS x FROM (SELECT seq, cast(amount_text AS bigint) AS cents FROM {v_raw} v WHERE seq % 8 = 0) y")(lambda s, d: view(s, d, "v_raw").where("seq % 8 = 0").select("seq", F.round(D.noisy_amount(F.col("amount_text")), 2).alias("x")))
 query("B2b", ORACLES["B2"])(lambda s, d: view(s, d, "v_raw").select("seq", F.date_format(S.clean_date(F.col("date_text")), "yyyy-MM-dd").alias("day")))
-query("B2c", f"SELECT b.seq, day FROM ({ORACLES['B2']}) b WHERE b.seq % 6 IN (1, 2, 4, 5)")(lambda s, d: view(s, d, "v_raw").where("seq % 6 in (1, 2, 4, 5)").select("seq", F.date_format(D.scanned_date(F.col("date_text")), "yyyy-MM-dd").alias("day")))
+query("B2c", f"SELECT b.seq, CASE WHEN b.seq % 6 NOT IN (0, 3) THEN day END AS day FROM ({ORACLES['B2']}) b")(lambda s, d: view(s, d, "v_raw").select("seq", F.date_format(D.scanned_date(F.col("date_text")), "yyyy-MM-dd").alias("day")))
 query("B7", "SELECT txn_id, cast(NULL AS varchar) AS upi_app, nullif(regexp_extract(description, 'UPI/([A-Za-z0-9]+)', 1), '') AS reference_number FROM {v_txn} v")(lambda s, d: view(s, d, "v_txn").select("txn_id", D.upi(F.col("description")).alias("x")).select("txn_id", "x.upi_app", "x.reference_number"))
 query(
     "B6",
