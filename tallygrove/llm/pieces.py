@@ -22,11 +22,14 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
+
+import numpy as np
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import slices, stored, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768
@@ -35,8 +38,9 @@ BLOCK = 256
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Words and pairs that a task remembers before it starts anew.
-MEMORY = 300_000
+MEMORY = 200_000
 START = ("", 0)
+NEVER = float("-inf")
 UNKNOWN_PENALTY = 10.0
 
 
@@ -83,7 +87,7 @@ class Encoder:
     """Segments texts under one vocabulary, remembering words and pairs in bounded memory."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.words, self.pairs = vocabulary, {}, {}
+        self.v, self.words, self.bare, self.pairs = vocabulary, {}, {}, {}
 
     def is_piece(self, t: str) -> bool:
         return len(t) == 1 or t in self.v.scores
@@ -93,15 +97,15 @@ class Encoder:
         score, parts = self.v.scores.get, list(unit)
         if len(parts) > 48:
             return self._merged_long(parts)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        pairs = [score(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)) != NEVER:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], NEVER)
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], NEVER)
         return parts
 
     def _merged_long(self, parts: list[str]) -> list[str]:
@@ -146,16 +150,37 @@ class Encoder:
         exits, path = self.paths(unit, 0, "", len(unit))
         return path(("", 0) if not unit else max(exits, key=exits.get)), max(exits.values(), default=0.0)
 
-    def unit_ids(self, unit: str) -> list[int]:
+    def unit_ids(self, unit: str) -> bytes:
+        """The ids of a word with the white space before it, as 32-bit integers."""
         found = self.words.get(unit)
         if found is None:
             if len(self.words) > MEMORY:
                 self.words.clear()
-            found = [i for p in self.unit(unit)[0] for i in self.v.id_list(p)]
+            found = array("i", [i for p in self.unit(unit)[0] for i in self.v.id_list(p)]).tobytes()
             if len(unit) < 64:
                 self.words[unit] = found
         return found
 
+    def word_ids(self, word: str) -> bytes:
+        """The ids of a word after one space; remembered without the space."""
+        found = self.bare.get(word)
+        if found is None:
+            if len(self.bare) > MEMORY:
+                self.bare.clear()
+            found = array("i", [i for p in self.unit(SPACE + word)[0] for i in self.v.id_list(p)]).tobytes()
+            if len(word) < 64:
+                self.bare[word] = found
+        return found
+
+    def text_ids(self, text: str) -> bytes:
+        """The ids of a whole text, word by word."""
+        if not text:
+            return b""
+        if text[0] == " " or "  " in text or SPACE in text:
+            return b"".join([self.unit_ids(u) for u in UNITS.findall(SPACE + text.replace(" ", SPACE))])
+        get, ids = self.bare.get, self.word_ids
+        return b"".join([get(w) or ids(w) for w in text.split(" ")])
+
     def paths(self, s: str, start: int, left: str, stop: int):
         """Best scores of the states that reach ``stop`` from ``left`` ending at ``start``; and what gives a state's pieces."""
         at, exits, back = {start: {left: 0.0}}, {}, {}
@@ -227,14 +252,17 @@ class Chunk:
                     out += [(*entry, *x, max(head.values()) + inner + w) for x, w in tail.items()]
         return out
 
-    def pieces(self, entry: tuple[str, int], out: tuple[str, int]) -> list[str]:
-        """The chunk's own pieces on the best path between two states."""
+    def ids(self, entry: tuple[str, int], out: tuple[str, int]) -> np.ndarray:
+        """The ids of the chunk's own pieces on the best path between two states."""
         if self.first is None:
-            return self.e.paths(self.s, self.lo + entry[1], entry[0], self.hi)[1](out)
+            return self._ids(self.e.paths(self.s, self.lo + entry[1], entry[0], self.hi)[1](out))
         exits, path = self.e.paths(self.s, self.lo + entry[1], entry[0], self.first)
-        head = path(max(exits, key=exits.get))
-        inner = [p for u in UNITS.findall(self.s[self.first : self.last]) for p in self.e.unit(u)[0]]
-        return head + inner + self.e.paths(self.s, self.last, "", self.hi)[1](out)
+        inner = b"".join([self.e.unit_ids(u) for u in UNITS.findall(self.s[self.first : self.last])])
+        tail = self.e.paths(self.s, self.last, "", self.hi)[1](out)
+        return np.concatenate([self._ids(path(max(exits, key=exits.get))), np.frombuffer(inner, np.int32), self._ids(tail)])
+
+    def _ids(self, pieces: list[str]) -> np.ndarray:
+        return np.array([i for p in pieces for i in self.e.v.id_list(p)], np.int32)
 
 
 def times(a: dict, b: dict) -> dict:
@@ -324,9 +352,8 @@ def _giants(rows: DataFrame, shared) -> DataFrame:
         import pandas as pd
 
         encoder = Encoder(Vocabulary.of(shared.value))
-        v = encoder.v
         for b in batches:
-            ids = [[i for p in Chunk(encoder, r.left, r.body, r.right).pieces((r.fa, r.fi), (r.ta, r.ti)) for i in v.id_list(p)] for r in b.itertuples()]
+            ids = [Chunk(encoder, r.left, r.body, r.right).ids((r.fa, r.fi), (r.ta, r.ti)) for r in b.itertuples()]
             yield pd.DataFrame({"key": b.key, "no": b.no, "ids": ids})
 
     own = stored(chunks.mapInPandas(matrices, f"key long, block int, no int, m {_MATRIX}"), "pieces")
@@ -343,43 +370,35 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, columns: list[
     """(row, ids): each row's ``columns`` (all by default) as a struct, and the ids of column ``text``."""
     vocabulary = vocabulary or Vocabulary()
     shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))
-    row = F.struct(*[docs[c] for c in columns or docs.columns]).alias("row")
-    rows = docs.select(row, docs["text"].cast("string").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    giant = F.coalesce(F.length("text") > CHUNK, F.lit(False))
+    columns = columns or docs.columns
+    row = F.struct(*[docs[c] for c in columns]).alias("row")
+    text = docs["text"].cast("string")
+    inside = "text" in columns and docs.schema["text"].dataType.simpleString() == "string"
+    kind = docs.select(row).schema["row"].dataType.simpleString()
+    giant = F.coalesce(F.length(text) > CHUNK, F.lit(False))
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         encoder = Encoder(Vocabulary.of(shared.value))
-        get, ids_of = encoder.words.get, encoder.unit_ids
-        for b in batches:
-            offsets, flat, valid = [0], [], []
-            out = []
-            for t in b.column(0):
-                t = t.as_py()
-                one = None
-                if t is not None:
-                    one = []
-                    for u in UNITS.findall(SPACE + t.replace(" ", SPACE)) if t else ():
-                        one += get(u) or ids_of(u)
-                out.append(None if one is None else pa.array(one, pa.int32()))
-            lists = pa.ListArray.from_arrays(_offsets(out), pa.concat_arrays([x for x in out if x is not None]) if any(x is not None for x in out) else pa.array([], pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(1), lists], names=["row", "ids"])
-
-    short = rows.where(~giant).select("text", "row").mapInArrow(run, f"row {kind}, ids array<int>")
-    giants = stored(rows.where(giant).withColumn("key", F.monotonically_increasing_id()), "pieces")
+        for b in slices(batches):
+            texts = pc.struct_field(b.column(0), "text") if inside else b.column(1)
+            ids = [None if t is None else encoder.text_ids(t) for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids)], names=["row", "ids"])
+
+    short = docs.where(~giant).select(row, *([] if inside else [text.alias("text")])).mapInArrow(run, f"row {kind}, ids array<int>")
+    giants = stored(docs.where(giant).select(row, text.alias("text"), F.monotonically_increasing_id().alias("key")), "pieces")
     return short.unionByName(_giants(giants, shared)) if giants.take(1) else short
 
 
-def _offsets(lists: list):
+def _lists(ids: list[bytes | None]):
+    """An Arrow array of lists from the bytes of 32-bit integers."""
     import pyarrow as pa
 
-    out, at = [], 0
-    for x in lists:
-        out.append(None if x is None else at)
-        at += 0 if x is None else len(x)
-    return pa.array([*out, at], pa.int32())
+    offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) // 4 for x in ids])]).astype(np.int32)
+    values = pa.array(np.frombuffer(b"".join([x for x in ids if x is not None]), np.int32))
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([x is None for x in ids], pa.bool_()))
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
@@ -394,14 +413,21 @@ def decode(rows: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
         parts = [b"" if i in v.silent else p.replace(SPACE, " ").encode() for i, p in enumerate(v.names)]
         for byte, i in v.bytes.items():
             parts[i] = bytes([byte])
-        parts[v.unknown] = " ⁇ ".encode()
-        for b in batches:
+        parts[v.unknown] = " \u2047 ".encode()
+        pool = np.frombuffer(b"".join(parts), np.uint8)
+        size = np.array([len(p) for p in parts])
+        start = np.cumsum(size) - size
+        for b in slices(batches):
+            lists = b.column(1)
+            flat, at, null = lists.values.to_numpy(), lists.offsets.to_numpy(), lists.is_null().to_pylist()
             texts = []
-            for ids in b.column(1):
-                ids = ids.as_py()
-                text = None if ids is None else b"".join(map(parts.__getitem__, ids))
-                texts.append(None if text is None else text[text[:1] == b" " :].decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["row", "ids", "decoded"])
+            for i in range(len(lists)):
+                ids = flat[at[i] : at[i + 1]]
+                n = size[ids]
+                ends = np.cumsum(n)
+                text = pool[np.repeat(start[ids] - ends + n, n) + np.arange(ends[-1] if len(ids) else 0)].tobytes()
+                texts.append(None if null[i] else text[text[:1] == b" " :].decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(texts, pa.string())], names=["row", "ids", "decoded"])
 
     return rows.select("row", "ids").mapInArrow(run, f"row {kind}, ids array<int>, decoded string")
 
