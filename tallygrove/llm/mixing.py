@@ -133,7 +133,9 @@ def slots_of(spark: SparkSession, sources: list, mix: Mix) -> DataFrame:
                 yield pd.DataFrame({"_k": r.k, "block": permuted(j % r.blocks, r.blocks, seed * 1_000_003 + r.source), "shard": r.shard, "slot": at})
 
     plan = spark.createDataFrame(runs, "k string, source int, blocks long, shard int, first long, n long")
-    return plan.repartition("k", "shard").mapInPandas(expand, "_k string, block long, shard int, slot long")
+    # As many tasks as the slots need: the plan's rows are few and small, but each stands for many slots.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // 1_000_000)
+    return plan.repartition(parts, "k", "shard").mapInPandas(expand, "_k string, block long, shard int, slot long")
 
 
 def pieces(rows: DataFrame, mix: Mix) -> DataFrame:
