@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+`` as a Java character class.
@@ -70,3 +70,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns of a row, nulls included: rows of one id and one key are equal."""
+    return F.xxhash64(*[docs[c] for c in docs.columns], *[F.isnull(docs[c]) for c in docs.columns])
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of ``found`` (doc_id, key, root): one with the smallest doc_id, null after all."""
+    best = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("best"))
+    best = best.select(F.col("best.doc_id").alias("_id"), F.col("best.key").alias("_key"))
+    keyed = docs.withColumn("_at", row_key(docs))
+    one = keyed.join(best, (F.col("_at") == F.col("_key")) & keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return one.dropDuplicates(["doc_id", "_at"]).drop("_at")

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored, table
+from .common import components, one_of_each, row_key, stored, table
 
 BITS = 64
 #: Fingerprints that the estimate of candidate counts looks at.  It steers cost only: any allotment is complete.
@@ -58,18 +58,18 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 5, text: str = "text", doc_id: str = "doc_id", views: int = 1) -> DataFrame:
-    """(doc_id, fp, fps): one row per input row, ``fps`` all views; each text is read whole, inside its task."""
+    """(doc_id, key, fp, fps): one row per input row, ``key`` of its columns, ``fps`` all views; each text is read whole, inside its task."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            fps = [views_of(t.as_py(), shingle, views) for t in b.column(1).cast(pa.binary())]
+            fps = [views_of(t.as_py(), shingle, views) for t in b.column(2).cast(pa.binary())]
             first = pa.array([x[0] for x in fps], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), first, pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "fp", "fps"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), first, pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "key", "fp", "fps"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, fps array<long>")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(docs).alias("key"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long, fps array<long>")
 
 
 def group_bits(corr: np.ndarray, m: int) -> list[list[int]]:
@@ -189,6 +189,11 @@ def groups(docs: DataFrame, shingle: int = 5, distance: int = 3, text: str = "te
     With several ``views`` two texts link if any of their fingerprints do, which finds more of the texts whose
     similarity is near the limit: each view is an independent draw of the differing bits.
     """
+    return _grouped(docs, shingle, distance, text, doc_id, views).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, shingle: int, distance: int, text: str, doc_id: str, views: int) -> DataFrame:
+    """As :func:`groups`, with each row's ``key`` and its group's ``root``; several groups may have one component_id where ids repeat."""
     prints = fingerprints(docs, shingle, text, doc_id, views)
     node = F.col("fp") if views == 1 else F.xxhash64("fps")
     prints = stored(prints.withColumn("node", node), "simhash")
@@ -202,10 +207,10 @@ def groups(docs: DataFrame, shingle: int = 5, distance: int = 3, text: str = "te
         named = nodes.join(comp.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
         named = stored(named, "simhash")
         first = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "simhash")
-        names = stored(named.join(first, "root").select("node", "component_id"), "simhash")
+        names = stored(named.join(first, "root").select("node", "root", "component_id"), "simhash")
     else:
-        names = nodes.select("node", F.col("least").alias("component_id"))
-    return prints.join(names, "node").select("doc_id", "fp", "component_id")
+        names = nodes.select("node", F.col("node").alias("root"), F.col("least").alias("component_id"))
+    return prints.join(names, "node").select("doc_id", "key", "fp", "root", "component_id")
 
 
 def _view_edges(nodes: DataFrame, view: int, distance: int) -> DataFrame:
@@ -219,11 +224,8 @@ def _view_edges(nodes: DataFrame, view: int, distance: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 3, views: int = 1) -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest doc_id; of rows that repeat this id, one stays."""
-    found = groups(docs, shingle, distance, views=views)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    one = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    """``docs`` with exactly one row of each group: one with the smallest doc_id."""
+    return one_of_each(docs, _grouped(docs, shingle, distance, "text", "doc_id", views))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallygrove.llm import langid, mixing, passages, pieces, pii, quality, secrets, simhash
+from tallygrove.llm import langid, mixing, passages, pieces, pii, quality, secrets, shinglesets, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 3000 + "x" * 2000 + "12 " * 3000
@@ -80,6 +80,60 @@ def test_simhash_odd_tables(spark):
     assert {r["doc_id"] for r in simhash.keep_one(docs(spark)).collect()} >= {0, 3, 4, 5, 7, 8}
 
 
+def changed(rng, words, share):
+    """Words with a run replaced, so that about ``share`` of all shingles stay common."""
+    k = round(len(words) * (1 - share) / (1 + share))
+    at = rng.randrange(5, len(words) - k - 5)
+    return [*words[:at], *[f"n{rng.randrange(10**9)}" for _ in range(max(0, k - 4))], *words[at + max(0, k - 4) :]]
+
+
+def jaccard(a, b):
+    x, y = (shinglesets.shingles(t.encode(), 5) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_duplicates_at_the_limit(spark):
+    """Pairs just above 0.8 are all linked, though no third text is near both, and pairs just below are not."""
+    rng, rows, kept = random.Random(5), [], []
+    for i in range(120):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        a, b = " ".join(words), " ".join(changed(rng, words, rng.choice([0.76, 0.78, 0.82, 0.85])))
+        rows += [(2 * i, a, "en", "a", 1), (2 * i + 1, b, "en", "a", 1)]
+        kept += [2 * i] if jaccard(a, b) >= 0.8 else [2 * i, 2 * i + 1]
+    assert 140 < len(kept) < 220
+    got = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == kept
+
+
+def test_near_duplicates_large_group_equals_brute_force(spark):
+    rng, rows = random.Random(6), []
+    words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    for i in range(80):
+        own = list(words)
+        for _ in range(rng.choice([1, 2, 3])):
+            own[rng.randrange(100)] = f"n{rng.randrange(10**9)}"
+        rows.append((i, " ".join(own), "en", "a", 1))
+    root = list(range(80))
+    for i in range(80):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8 and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert 1 < len(set(root)) < 60
+    assert sorted(r["doc_id"] for r in shinglesets.keep_one(docs(spark, rows)).collect()) == sorted(set(root))
+
+
+@pytest.mark.parametrize("keep_one", [shinglesets.keep_one, simhash.keep_one])
+def test_keep_one_with_repeated_ids(spark, keep_one):
+    """Exactly one row of each group stays, whatever ids repeat."""
+    a, b, c, d = (prose(random.Random(i), 60) + f" end{i}" for i in range(4))
+    rows = [(4, a, "en", "a", 1), (4, b, "en", "a", 1), (2, b, "en", "a", 1), (None, c, "en", "a", 1), (None, d, "en", None, 1), (None, d, None, "en", 1), (9, None, "en", "a", 0), (9, "", "en", "a", 0)]
+    got = keep_one(docs(spark, rows))
+    assert got.columns == docs(spark).columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == sorted([(4, a), (2, b), (0, c), (0, d), (9, "")])
+    assert keep_one(docs(spark, [])).count() == 0
+
+
 # Mixing --------------------------------------------------------------------------------------------------------------
 
 
