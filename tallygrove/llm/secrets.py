@@ -1,7 +1,7 @@
 """Secrets by a battery of randomness tests, with DataFrame functions only.
 
 Base rules find assignments to secret names, access keys and long hexadecimal runs; these are always reported.  Further
-candidates are long runs of key characters.  For each the encoding is inferred (hexadecimal, base 32, base 64), and
+candidates are long runs of key characters.  For each the encoding is inferred (hexadecimal, base 32, 36, 62 and 64, letters alone), and
 three tests ask whether its symbols are drawn at random: chi-squared for a uniform alphabet, runs above and below the
 alphabet's middle, and serial correlation of neighbours; the least p-value counts three times.  Over all candidates of
 the corpus a false-discovery procedure (Benjamini-Hochberg, on a grid of p-values) finds those that are *not* random; a
@@ -36,16 +36,24 @@ VALUE = r"""^(?:(?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["'
 # Only runs long enough can match; a shorter tail of the same run can't either.
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
+# A name and the value after its '=' are two runs; '=' belongs to a run only as its padding.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 
-#: Encodings: what shows one, its alphabet in order.
+#: Encodings: what shows one, its alphabet in order; the first that a token shows is its own.
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ENCODINGS = (
     (r"^(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]+$", DIGITS + "abcdef"),
     (r"^(?=[0-9A-F]*[0-9])(?=[0-9A-F]*[A-F])[0-9A-F]+$", DIGITS + "ABCDEF"),
     (r"^(?=[A-Z2-7]*[2-7])(?=[A-Z2-7]*[A-Z])[A-Z2-7]+$", UPPER + "234567"),
+    (r"^(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z])[A-Z0-9]+$", DIGITS + UPPER),
+    (r"^(?=[a-z0-9]*[0-9])(?=[a-z0-9]*[a-z])[a-z0-9]+$", DIGITS + LOWER),
+    (r"^[a-z]+$", LOWER),
+    (r"^[A-Z]+$", UPPER),
+    (r"^[A-Za-z]+$", UPPER + LOWER),
+    (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+$", UPPER + LOWER + DIGITS),
     (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
     (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
+    (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+$", UPPER + LOWER + DIGITS + "+/-_"),
 )
 
 
@@ -64,18 +72,20 @@ def _tail(z: Column) -> Column:
 def p_random(token: Column) -> Column:
     """The battery's p-value for the symbols of a token being random; null where it has no encoding."""
     body = F.regexp_replace(token, "=+$", "")
-    case = F.lit(None).cast("double")
+    case = F.lit(None).cast("string")
     for shows, alphabet in reversed(ENCODINGS):
-        case = F.when(body.rlike(shows), _battery(body, alphabet)).otherwise(case)
-    return case
+        case = F.when(body.rlike(shows), F.lit(alphabet)).otherwise(case)
+    # Through an array of one, so that the alphabet is found once a token.
+    one = F.array(F.struct(body.alias("body"), case.alias("alphabet")))
+    return F.get(F.transform(one, lambda x: F.when(x["alphabet"].isNotNull(), _battery(x["body"], x["alphabet"]))), F.lit(0))
 
 
-def _battery(body: Column, alphabet: str) -> Column:
-    k = float(len(alphabet))
-    at = F.transform(F.split(body, ""), lambda c: F.position(c, F.lit(alphabet)).cast("double") - 1)
+def _battery(body: Column, alphabet: Column) -> Column:
+    k = F.length(alphabet).cast("double")
+    at = F.transform(F.split(body, ""), lambda c: F.position(c, alphabet).cast("double") - 1)
     n = F.length(body).cast("double")
     # Chi-squared over the alphabet; Wilson and Hilferty's cube root makes it normal.
-    squares = F.aggregate(F.transform(F.split(F.lit(alphabet), ""), lambda c: (n - F.length(F.replace(body, c, F.lit("")))).cast("double")), F.lit(0.0), lambda a, x: a + x * x)
+    squares = F.aggregate(F.transform(F.split(alphabet, ""), lambda c: (n - F.length(F.replace(body, c, F.lit("")))).cast("double")), F.lit(0.0), lambda a, x: a + x * x)
     chi = squares * k / n - n
     df = k - 1
     z_chi = (F.cbrt(F.greatest(chi, F.lit(0.0)) / df) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5

@@ -225,6 +225,19 @@ def test_secret_battery_tells_random_from_written(spark):
     assert len([i for i in flagged if i < 60]) >= 50 and len([i for i in flagged if i >= 60]) <= 30
 
 
+def test_secret_values_after_names_and_in_other_alphabets(spark):
+    """A value written after '=' is tested, in every alphabet, and the name is no part of what is found."""
+    rng = random.Random(3)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    names = ["AWS_SECRET_ACCESS_KEY=", "sig=", "db_key=", "https://h.org/x?X-Signature=", "see "]
+    alphabets = (lower + upper + digits + "+/", lower + digits, upper + digits, lower, upper, lower + upper, lower + upper + digits + "+/-_")
+    texts = [names[i % 5] + "".join(rng.choice(alphabets[i // 60]) for _ in range(40)) + ["", " there", "&a=b"][i % 3] for i in range(420)]
+    got = secrets.detected(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    start = lambda i: len(names[i % 5])
+    hit = Counter(r["doc_id"] // 60 for r in got if (start(r["doc_id"]), start(r["doc_id"]) + 40) in {(x["start"], x["end"]) for x in r["spans"]})
+    assert len(hit) == 7 and min(hit.values()) >= 50
+
+
 def test_secret_odd_tables(spark):
     assert secrets.detected(docs(spark)).count() == len(ODD) and secrets.detected(docs(spark, [])).count() == 0
     assert secrets.redacted(docs(spark)).columns == docs(spark).columns
