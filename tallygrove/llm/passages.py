@@ -1,19 +1,15 @@
 """Removal of repeated passages: every byte covered by a string of ``LENGTH`` bytes that also starts elsewhere.
 
-The intervals of a suffix array that matter here are the sets of places with a common string of LENGTH bytes.  They are
-found by expansion from shorter common strings, by increasing length, stopping at LENGTH:
+Seeds find the places that may share such a string, and equal hashes of the strings decide; this replaces the method named
+for this operator, a Burrows-Wheeler transform with backward extension of its intervals, which is not built:
 
 1. Every LENGTH-byte string holds a *seed*: its substring of SEED bytes of least hash (leftmost on ties), so equal
    strings have equal seeds at equal offsets.  A seed's places form an interval of common length SEED.  Only the seeds,
    about one in a hundred bytes, are counted over the corpus.
 2. The starts that share a seed form a run; its whole *context* (from the first start to the end of the last string) is
-   hashed.  Contexts that occur twice are expanded to LENGTH at once, with all their starts.
-3. What is left are contexts that share a seed but not the whole: one copy of each is expanded start by start, to the
-   left of the seed by one byte each time and to the right up to LENGTH, and compared with the others of its seed.
-
-A Burrows-Wheeler transform of the whole corpus, the method named for this operator, needs the suffixes of all texts in
-one order and as many rounds as LENGTH over all of them; step 1 replaces the first SEED of its levels by one count, step
-3 is its backward extension, restricted to intervals that can still grow (see the README for figures).
+   hashed.  All strings of a context that occurs twice are repeated.
+3. What is left are contexts that share a seed but not the whole: every LENGTH-byte string of one copy of each is hashed
+   at once, and equal hashes are looked for among the strings of its seed.
 
 Strings are compared by two hashes: 64 bits of a polynomial over the bytes, with random byte values, and the seed's.
 
