@@ -38,7 +38,9 @@ BLOCK = 256
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Words and pairs that a task remembers before it starts anew.
-MEMORY = 200_000
+MEMORY = 150_000
+#: Words merged at once, and the length from which a word is merged on its own.
+AT_ONCE, LONG = 20_000, 48
 START = ("", 0)
 NEVER = float("-inf")
 UNKNOWN_PENALTY = 10.0
@@ -65,10 +67,32 @@ class Vocabulary:
         self.silent = {i for i, p in enumerate(model.pieces) if p.type == kinds.CONTROL}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
         self.longest = max(map(len, self.ids))
+        if self.mode == "bpe":
+            self.known, self.base, self.symbols, self.keys, self.joins, self.ranks, self.lists, self.offsets = self._tables()
         self.lowest = min(self.scores.values()) - UNKNOWN_PENALTY
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("only vocabularies without pieces across the start of a word are supported")
 
+    def _tables(self):
+        """For merging many words at once: number of symbols known, bound of symbols, symbols of characters, sorted pairs of
+        symbols with what they join to, ranks by score, and each symbol's ids.  Symbols are the pieces, the characters in them,
+        and then all other characters."""
+        names = sorted(self.ids, key=self.scores.get, reverse=True)
+        number = {p: i for i, p in enumerate(names)}
+        for p in names:  # single characters that only occur inside pieces
+            for c in p:
+                number.setdefault(c, len(number))
+        known = len(number)
+        base = known + 0x110000
+        pairs = [(number[p[:i]] * base + number[p[i:]], number[p]) for p in names for i in range(1, len(p)) if p[:i] in number and p[i:] in number]
+        keys, joins = (np.array(x, np.int64) for x in zip(*sorted(pairs)))
+        # Pieces of one score rank alike, so that the leftmost of them is merged first.
+        scores = np.array([self.scores[p] for p in names])
+        ranks = np.searchsorted(np.unique(-scores), -scores).astype(np.int32)
+        lists = [self.id_list(p) for p in number]
+        offsets = np.cumsum([0, *map(len, lists)])
+        return known, base, {ord(c): i for c, i in number.items() if len(c) == 1}, keys, joins.astype(np.int32), ranks, np.array([i for x in lists for i in x], np.int32), offsets
+
     @classmethod
     def of(cls, fields: dict) -> Vocabulary:
         """From the fields of another: tasks get plain values, not objects of this module."""
@@ -88,6 +112,9 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.words, self.bare, self.pairs = vocabulary, {}, {}, {}
+        if vocabulary.mode == "bpe":
+            self.symbols = np.arange(vocabulary.known, vocabulary.base, dtype=np.int32)
+            self.symbols[list(vocabulary.symbols)] = list(vocabulary.symbols.values())
 
     def is_piece(self, t: str) -> bool:
         return len(t) == 1 or t in self.v.scores
@@ -95,7 +122,7 @@ class Encoder:
     def merged(self, unit: str) -> list[str]:
         """Merge the adjacent pair of best score, leftmost first, until none is a piece."""
         score, parts = self.v.scores.get, list(unit)
-        if len(parts) > 48:
+        if len(parts) > LONG:
             return self._merged_long(parts)
         pairs = [score(a + b, NEVER) for a, b in zip(parts, parts[1:])]
         while pairs and (best := max(pairs)) != NEVER:
@@ -181,6 +208,79 @@ class Encoder:
         get, ids = self.bare.get, self.word_ids
         return b"".join([get(w) or ids(w) for w in text.split(" ")])
 
+    def many_ids(self, texts: list[str | None]) -> list[bytes | None]:
+        """The ids of each text; words not seen before are merged all at once."""
+        if self.v.mode == "bpe":
+            if len(self.bare) > MEMORY:
+                self.bare.clear()
+            words = {w for t in texts if t and SPACE not in t for w in t.split(" ")}
+            fresh = [w for w in words.difference(self.bare) if 0 < len(w) < LONG]
+            fresh.sort(key=len)  # so that words merged together are about as long
+            for at in range(0, len(fresh), AT_ONCE):
+                self.bare.update(zip(fresh[at : at + AT_ONCE], self._merged_many(fresh[at : at + AT_ONCE])))
+        return [None if t is None else self.text_ids(t) for t in texts]
+
+    def _merged_many(self, words: list[str]) -> list[bytes]:
+        """What word_ids gives for each word: every round merges each word's best pair, leftmost first."""
+        v = self.v
+        n = np.array([len(w) + 1 for w in words])
+        width = int(n.max())
+        inside = np.arange(width) < n[:, None]
+        flat = self.symbols[np.frombuffer("".join([SPACE + w for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        sym = np.full((len(n), width + 1), -1, np.int32)
+        sym[:, :width][inside] = flat
+        none = np.iinfo(np.int32).max
+
+        def look(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(rank, joined symbol) of pairs of symbols."""
+            key = a.astype(np.int64) * v.base + b
+            at = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
+            hit = (v.keys[at] == key) & (b >= 0) & (a >= 0)
+            to = v.joins[at]
+            return np.where(hit, v.ranks[to], none), to
+
+        rank, join = look(sym[:, :-1], sym[:, 1:])
+        live = np.arange(len(n))
+        while len(live):
+            best = rank[live].argmin(1)
+            going = rank[live, best] != none
+            live, best = live[going], best[going]
+            if not len(live):
+                break
+            # Close the gap: symbols after the pair move one place to the left.
+            shift = np.arange(width)
+            part, r, j = sym[live], rank[live], join[live]
+            merged = j[np.arange(len(live)), best]
+            take = shift + (shift > best[:, None])
+            wide = np.minimum(take, width)
+            part[:, :width] = np.take_along_axis(part, wide, 1)
+            part[:, width] = -1
+            at = np.arange(len(live))
+            part[at, best] = merged
+            wide = np.minimum(take, width - 1)
+            r, j = np.take_along_axis(r, wide, 1), np.take_along_axis(j, wide, 1)
+            r[:, width - 1] = none
+            left = np.maximum(best - 1, 0)
+            x, y = look(part[at, left], part[at, left + 1])
+            r[at, left], j[at, left] = x, y
+            x, y = look(part[at, best], part[at, best + 1])
+            r[at, best], j[at, best] = x, y
+            sym[live], rank[live], join[live] = part, r, j
+        # Ids of the symbols, then of the words.
+        kept = sym[:, :width] >= 0
+        flat, count = sym[:, :width][kept], kept.sum(1)
+        lists, offsets = v.lists, v.offsets
+        odd = np.unique(flat[flat >= v.known])
+        if len(odd):
+            more = [v.id_list(chr(c - v.known)) for c in odd.tolist()]
+            flat = np.where(flat >= v.known, v.known + np.searchsorted(odd, flat), flat)
+            lists, offsets = np.append(lists, np.array([i for x in more for i in x], np.int32)), np.append(offsets, offsets[-1] + np.cumsum([len(x) for x in more]))
+        size = offsets[flat + 1] - offsets[flat]
+        ends = np.cumsum(size)
+        ids = lists[np.repeat(offsets[flat] - ends + size, size) + np.arange(ends[-1])].tobytes()
+        cut = np.append(0, ends[np.cumsum(count) - 1] * 4).tolist()
+        return [ids[i:j] for i, j in zip(cut, cut[1:])]
+
     def paths(self, s: str, start: int, left: str, stop: int):
         """Best scores of the states that reach ``stop`` from ``left`` ending at ``start``; and what gives a state's pieces."""
         at, exits, back = {start: {left: 0.0}}, {}, {}
@@ -302,8 +402,8 @@ def states_between(matrices: list[dict], entry: tuple[str, int], out: tuple[str,
 _MATRIX = "array<struct<a:string,i:int,b:string,j:int,w:double>>"
 
 
-def _giants(rows: DataFrame, shared) -> DataFrame:
-    """(row, ids) of the rows (key, row, text) whose texts are split into chunks."""
+def _giants(rows: DataFrame, shared, parts: int) -> DataFrame:
+    """(row, ids) of the rows (key, row, text) whose texts are split into chunks; their matrices are dealt to ``parts`` tasks."""
     c, reach = CHUNK, shared.value["longest"]
     text = F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))
     whole = rows.select("key", text.alias("t")).withColumn("n", F.length("t"))
@@ -358,9 +458,9 @@ def _giants(rows: DataFrame, shared) -> DataFrame:
 
     own = stored(chunks.mapInPandas(matrices, f"key long, block int, no int, m {_MATRIX}"), "pieces")
     ends = "fa string, fi int, ta string, ti int"
-    blocks = own.groupBy("key", "block").applyInPandas(combined, f"key long, block int, m {_MATRIX}")
-    blocks = blocks.groupBy("key").applyInPandas(over_blocks, f"key long, block int, {ends}")
-    inside = own.join(blocks, ["key", "block"]).groupBy("key", "block").applyInPandas(within, f"key long, no int, {ends}")
+    blocks = own.repartition(parts, "key", "block").groupBy("key", "block").applyInPandas(combined, f"key long, block int, m {_MATRIX}")
+    blocks = blocks.repartition(parts, "key").groupBy("key").applyInPandas(over_blocks, f"key long, block int, {ends}")
+    inside = own.join(blocks, ["key", "block"]).repartition(parts, "key", "block").groupBy("key", "block").applyInPandas(within, f"key long, no int, {ends}")
     ids = chunks.join(inside, ["key", "no"]).mapInPandas(backtraced, "key long, no int, ids array<int>")
     ids = ids.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))
     return rows.join(ids, "key").select("row", "ids")
@@ -382,14 +482,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, columns: list[
         import pyarrow.compute as pc
 
         encoder = Encoder(Vocabulary.of(shared.value))
-        for b in slices(batches):
+        for b in slices(batches, 300):
             texts = pc.struct_field(b.column(0), "text") if inside else b.column(1)
-            ids = [None if t is None else encoder.text_ids(t) for t in texts.to_pylist()]
+            ids = encoder.many_ids(texts.to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids)], names=["row", "ids"])
 
     short = docs.where(~giant).select(row, *([] if inside else [text.alias("text")])).mapInArrow(run, f"row {kind}, ids array<int>")
     giants = stored(docs.where(giant).select(row, text.alias("text"), F.monotonically_increasing_id().alias("key")), "pieces")
-    return short.unionByName(_giants(giants, shared)) if giants.take(1) else short
+    n = giants.count()
+    return short.unionByName(_giants(giants, shared, 8 + n // 32)) if n else short
 
 
 def _lists(ids: list[bytes | None]):
@@ -408,6 +509,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         v = Vocabulary.of(shared.value)
         parts = [b"" if i in v.silent else p.replace(SPACE, " ").encode() for i, p in enumerate(v.names)]
@@ -417,17 +519,28 @@ def decode(rows: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
         pool = np.frombuffer(b"".join(parts), np.uint8)
         size = np.array([len(p) for p in parts])
         start = np.cumsum(size) - size
-        for b in slices(batches):
+        for b in slices(batches, 300):
             lists = b.column(1)
-            flat, at, null = lists.values.to_numpy(), lists.offsets.to_numpy(), lists.is_null().to_pylist()
-            texts = []
-            for i in range(len(lists)):
-                ids = flat[at[i] : at[i + 1]]
-                n = size[ids]
-                ends = np.cumsum(n)
-                text = pool[np.repeat(start[ids] - ends + n, n) + np.arange(ends[-1] if len(ids) else 0)].tobytes()
-                texts.append(None if null[i] else text[text[:1] == b" " :].decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(texts, pa.string())], names=["row", "ids", "decoded"])
+            ids, at = lists.flatten().to_numpy(), np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()))
+            ends = np.append(0, np.cumsum(size[ids]))
+            data, cut = np.empty(ends[-1], np.uint8), ends[at]
+            for lo in range(0, len(ids), AT_ONCE):  # in parts, as places take eight times the bytes
+                some = ids[lo : lo + AT_ONCE]
+                x, n = ends[lo : lo + len(some)], size[some]
+                data[x[0] : x[0] + n.sum()] = pool[np.repeat(start[some] - (x - x[0]), n) + np.arange(n.sum())]
+            # A text's first byte is dropped if it is the space that encoding puts before it.
+            first = cut[:-1][cut[1:] > cut[:-1]]
+            first = first[data[first] == 32]
+            gone = np.zeros(len(data), np.int8)
+            gone[first] = 1
+            cut = cut - np.append(0, np.cumsum(gone))[cut]
+            raw = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(data[gone == 0])])
+            try:
+                texts = raw.cast(pa.string())
+            except pa.ArrowInvalid:  # ids that are no text
+                texts = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+            texts = pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), texts)
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, texts], names=["row", "ids", "decoded"])
 
     return rows.select("row", "ids").mapInArrow(run, f"row {kind}, ids array<int>, decoded string")
 
