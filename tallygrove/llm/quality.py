@@ -11,8 +11,8 @@ every row whole.  Weights are ``1 << HASH_BITS`` numbers, whatever the size of t
 Defined results: a null or empty text has no features but the constant ones and gets the score of an empty document,
 which is never selected; labels that are null, or whose document is missing, are not learned from; a document labelled
 twice counts once a label; without labelled rows, or with only one grade, every text with a word is selected with
-probability 1 and expected grade 2; repeated rows get the same score; other columns are ignored; an empty table gives
-an empty table.
+probability 1 and expected grade 2; repeated rows get the same score; very long texts are read whole, by their distinct
+words; other columns pass through a struct, so none clashes; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -80,17 +80,53 @@ def described(text: bytes | None, memory: Words) -> tuple[np.ndarray, int, np.nd
     return np.fromiter((x for w in distinct for x in memory[w]), np.int32), len(distinct), dense
 
 
-def fit(rows: list[tuple[np.ndarray, int, np.ndarray]], grades: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Hashed weights, dense weights and ordered thresholds, by Adam on the penalised log-likelihood; rows as described()."""
+def likelihood(s: np.ndarray, cuts: np.ndarray, grades: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, float, float]:
+    """Weighted log-likelihood of scores under the cuts (theta_0, log of the gap to theta_1), and its slopes in s and the cuts."""
+    f = [1 / (1 + np.exp(-(s - t))) for t in (cuts[0], cuts[0] + np.exp(cuts[1]))]
+    upper = np.choose(grades, [np.ones(len(s)), f[0], f[1]])
+    lower = np.choose(grades, [f[0], f[1], np.zeros(len(s))])
+    like = np.maximum(upper - lower, 1e-9)
+    slope = [x * (1 - x) / like for x in f]
+    by_theta0 = weight * np.choose(grades, [slope[0], -slope[0], np.zeros(len(s))])
+    by_theta1 = weight * np.choose(grades, [np.zeros(len(s)), slope[1], -slope[1]])
+    return float((weight * np.log(like)).sum()), -(by_theta0 + by_theta1), float(by_theta0.sum() + by_theta1.sum()), float(by_theta1.sum() * np.exp(cuts[1]))
+
+
+def fit(ids: np.ndarray, at: np.ndarray, words: np.ndarray, dense: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Hashed weights, dense weights and ordered thresholds, by Adam on the penalised log-likelihood.
+
+    Text i has features ``ids[at[i]:at[i + 1]]``, ``words[i]`` distinct words, the dense features ``dense[i]`` and a grade.
+    """
     if len(set(grades.tolist())) < 2:
         return None
-    own, ids = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows]), np.concatenate([r[0] for r in rows])
-    dense = np.array([r[2] for r in rows])
-    # Only features of several texts can teach anything about another text.
-    seen = np.bincount(np.unique(ids.astype(np.int64) * len(rows) + own) // len(rows), minlength=1 << HASH_BITS)
-    own, ids = own[seen[ids] >= MIN_TEXTS], ids[seen[ids] >= MIN_TEXTS]
-    used, ids = np.unique(ids, return_inverse=True)
-    scale = np.array([1 / max(1, r[1]) ** POWER for r in rows])
+    n = len(grades)
+    # Only features of several texts can teach anything about another text.  A text may have an id twice; it counts once.
+    seen = np.zeros(1 << HASH_BITS, np.int32)
+    for i in range(n):
+        seen[np.unique(ids[at[i] : at[i + 1]])] += 1
+    keep = seen[ids] >= MIN_TEXTS
+    at = np.append(np.int32(0), np.cumsum(keep, dtype=np.int32))[at]
+    place = np.cumsum(seen >= MIN_TEXTS, dtype=np.int32) - 1
+    used, ids = np.flatnonzero(seen >= MIN_TEXTS), place[ids[keep]]
+    del keep
+    some = np.flatnonzero(at[1:] > at[:-1])  # texts with features left
+    sizes, buffer = np.diff(at), np.empty(len(ids), np.float32)
+
+    def summed(p: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        if len(ids):
+            np.take(p.astype(np.float32), ids, out=buffer, mode="clip")
+            out[some] = np.add.reduceat(buffer, at[some])
+        return out
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(used))
+        for lo in range(0, n, 500):  # in parts, so that no array of doubles has an entry for every feature of every text
+            hi = min(n, lo + 500)
+            out += np.bincount(ids[at[lo] : at[hi]], np.repeat(x[lo:hi], sizes[lo:hi]), len(used))
+        return out
+
+    scale = 1 / np.maximum(1, words) ** POWER
     # Grades weigh alike, so that a rare grade is learned too.
     share = np.bincount(grades, minlength=GRADES) / len(grades)
     weight = np.where(share > 0, 1 / np.maximum(share, 1e-9) ** 0.5, 0)[grades]
@@ -98,23 +134,13 @@ def fit(rows: list[tuple[np.ndarray, int, np.ndarray]], grades: np.ndarray) -> t
     # theta_0 and the log of the gap to theta_1 keep the thresholds in order.
     p = np.concatenate([np.zeros(len(used) + DENSE), [-1.0, 0.0]])
     m, v = np.zeros_like(p), np.zeros_like(p)
-    above = [(grades > k).astype(float) for k in range(GRADES - 1)]
     for step in range(1, STEPS + 1):
-        s = scale * np.bincount(own, p[ids], len(rows)) + dense @ p[len(used) : -2]
-        theta = (p[-2], p[-2] + np.exp(p[-1]))
-        # Likelihood of the interval between two links; its slope in s and in the thresholds.
-        f = [1 / (1 + np.exp(-(s - t))) for t in theta]
-        upper = np.choose(grades, [np.ones(len(s)), f[0], f[1]])
-        lower = np.choose(grades, [f[0], f[1], np.zeros(len(s))])
-        like = np.maximum(upper - lower, 1e-9)
-        slope = [x * (1 - x) / like for x in f]
-        by_theta0 = weight * np.choose(grades, [slope[0], -slope[0], np.zeros(len(s))])
-        by_theta1 = weight * np.choose(grades, [np.zeros(len(s)), slope[1], -slope[1]])
-        by_s = -(by_theta0 + by_theta1)
+        s = scale * summed(p[: len(used)]) + dense @ p[len(used) : -2]
+        _, by_s, *by_cuts = likelihood(s, p[-2:], grades, weight)
         grad = np.zeros_like(p)
-        grad[: len(used)] = -np.bincount(ids, (by_s * scale)[own], len(used)) + PENALTY * p[: len(used)]
+        grad[: len(used)] = -spread(by_s * scale) + PENALTY * p[: len(used)]
         grad[len(used) : -2] = -(dense.T @ by_s) + 1e-6 * p[len(used) : -2]
-        grad[-2], grad[-1] = -(by_theta0.sum() + by_theta1.sum()), -by_theta1.sum() * np.exp(p[-1])
+        grad[-2:] = -np.array(by_cuts)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         p -= 0.15 * (1 - step / (STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     hashed = np.zeros(1 << HASH_BITS, np.float32)
@@ -161,9 +187,10 @@ def fitted(docs: DataFrame, labels: DataFrame):
     got = rows.mapInArrow(_describe, "grade int, ids array<int>, n int, dense array<double>").toArrow()
     if not got.num_rows:
         return None
-    ids, dense = got["ids"].combine_chunks(), got["dense"].combine_chunks()
-    flat, at, wide = ids.values.to_numpy(), ids.offsets.to_numpy(), dense.flatten().to_numpy().reshape(-1, DENSE)
-    return fit([(flat[at[i] : at[i + 1]], n, wide[i]) for i, n in enumerate(got["n"].to_pylist())], got["grade"].to_numpy().astype(np.int64))
+    lists, dense = got["ids"].combine_chunks(), got["dense"].combine_chunks().flatten().to_numpy().reshape(-1, DENSE)
+    words, grades = got["n"].to_numpy(), got["grade"].to_numpy().astype(np.int64)
+    del got
+    return fit(lists.values.to_numpy(), lists.offsets.to_numpy(), words, dense, grades)
 
 
 def scored(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -370,6 +370,41 @@ def test_quality_held_out(spark):
     assert got[1, 0] > 0.95 and got[0, 0] < 0.1 and got.get((1, 1), 0) < 0.45
 
 
+def test_quality_slopes_equal_finite_differences():
+    rng = np.random.default_rng(1)
+    s, cuts, grades, weight = rng.normal(size=30), np.array([-0.4, 0.3]), rng.integers(0, 3, 30), rng.random(30)
+    _, by_s, by_cut, by_gap = quality.likelihood(s, cuts, grades, weight)
+    value = lambda s, cuts: quality.likelihood(s, cuts, grades, weight)[0]
+    step = 1e-6
+    for i in range(30):
+        d = np.eye(30)[i] * step
+        assert by_s[i] == pytest.approx((value(s + d, cuts) - value(s - d, cuts)) / 2 / step, abs=1e-5)
+    for got, d in ((by_cut, np.array([step, 0])), (by_gap, np.array([0, step]))):
+        assert got == pytest.approx((value(s, cuts + d) - value(s, cuts - d)) / 2 / step, abs=1e-5)
+    link = [1 / (1 + np.exp(t - s)) for t in (cuts[0], cuts[0] + np.exp(cuts[1]))]
+    plain = [1 - link[0], link[0] - link[1], link[1]]
+    assert value(s, cuts) == pytest.approx(sum(w * np.log(plain[g][i]) for i, (g, w) in enumerate(zip(grades, weight))))
+
+
+def test_quality_scores_equal_the_plain_formula(spark):
+    """Scores of a fitted model, word by word without the memory of words."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fitted(d, labels)
+    got = {r["row"]["doc_id"]: r for r in quality.scored(d, labels, ["doc_id", "text"]).collect()}
+    for r in list(got.values())[::20]:
+        distinct, dense = quality.features((r["row"]["text"] or "").encode())
+        if distinct:
+            x = np.zeros(1 << quality.HASH_BITS)
+            for w in distinct:
+                for n in quality.PREFIXES:
+                    if n <= len(w) or n == quality.PREFIXES[-1]:
+                        x[zlib.crc32(b"%d:%s" % (n, w[:n])) % len(x)] += 1
+            s = x @ model[0] / len(distinct) ** quality.POWER + model[1] @ dense
+            tails = 1 / (1 + np.exp(model[2] - s))
+            assert r["expected_grade"] == pytest.approx(tails.sum(), abs=1e-4) and r["p_top"] == pytest.approx(tails[1], abs=1e-4)
+            assert model[2][0] < model[2][1] and r["selected"] == (r["p_top"] >= 0.5)
+
+
 def test_quality_odd_tables(spark):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (5, 1, 1), (99, 1, 0), (None, 1, None), (1, None, None)], "doc_id long, quality int, toxic int")
     got = quality.scored(docs(spark), labels).collect()
