@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one of our own only where that is unset (tests, local mode)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one of our own only where that is unset in local mode (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tallygrove-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -40,36 +42,31 @@ def slices(batches, rows: int = 1000):
             yield b.slice(at, rows)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list of longs: (node, root), root the smallest id reachable.
 
-    Alternates large-star and small-star steps, which end after a logarithmic number of rounds and never gather a
-    component in one task: a large-star step groups by node only to find a minimum (partially aggregated), and joins
-    the minimum back.  Each round is written to the shared folder.  Nodes without edges do not occur in the result.
+    Every round moves each node to the one of least hash among itself and its neighbours and contracts the edges, until
+    none is left; a fixed hash as order makes a star settle in two rounds and a path in a logarithmic number.  A step
+    groups by node only to find a minimum, partially aggregated, and joins it back, so no component is gathered in one
+    task.  Each round is written to the shared folder.  Nodes without edges do not occur in the result.
     """
-    e = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u != v").distinct()
-    e = stored(e, "cc")  # u > v
-    for _ in range(rounds):
+    e = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
+    e, labels = stored(e, "cc"), None
+    while labels is None or e.take(1):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Stored, so that both sides of the next join are plain shuffles, which Spark splits where a hub is hot.
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc")
-        # Large-star: a node's larger neighbours move to the smallest node around it.
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        large = large.groupBy("u", "v").agg(F.lit(1).alias("one"))
-        # Small-star: a node and its smaller neighbours move to the smallest of those.
-        large = stored(large.select("u", "v"), "cc")
-        small = stored(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
-        moved = large.join(small, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v")
-        new = stored(moved.distinct(), "cc")
-        # Done when every node points at one node, and that node points nowhere.
-        state = new.groupBy("u").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"]
-        e = new
-        if (state or 1) == 1 and not new.select(F.col("v").alias("u")).distinct().join(new, "u", "left_semi").take(1):
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+        least = both.groupBy("u").agg(F.min(F.struct(F.xxhash64("v").alias("h"), "v")).alias("m"))
+        own = F.struct(F.xxhash64("u").alias("h"), F.col("u").alias("v"))
+        # Stored, so that both sides of the joins are plain shuffles, which Spark splits where a hub is hot.
+        to = stored(least.select("u", F.least("m", own)["v"].alias("p")), "cc")
+        if labels is None:
+            labels = to.select(F.col("u").alias("node"), F.col("p").alias("root"))
+        else:
+            labels = stored(labels.join(to, labels["root"] == to["u"], "left").select("node", F.coalesce("p", "root").alias("root")), "cc")
+        moved = e.join(to, "u").select("v", F.col("p").alias("x"))
+        moved = moved.join(to.select(F.col("u").alias("v"), F.col("p").alias("y")), "v").where("x <> y")
+        e = stored(moved.select(F.least("x", "y").alias("v"), F.greatest("x", "y").alias("u")).distinct(), "cc")
+    least = labels.groupBy("root").agg(F.min("node").alias("least"))
+    return labels.join(least, "root").select("node", F.col("least").alias("root"))
 
 
 def row_key(docs: DataFrame) -> Column:
