@@ -36,10 +36,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def slices(batches, rows: int = 1000):
-    """Arrow batches cut to ``rows`` rows, so that what a task makes of one stays small."""
+    """Arrow batches cut to ``rows`` rows and about 4 MB, so that what a task makes of one stays small."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        step = max(1, min(rows, 4_000_000 * b.num_rows // max(b.nbytes, 1)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

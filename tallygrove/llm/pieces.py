@@ -531,10 +531,10 @@ def decode(rows: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
             # A text's first byte is dropped if it is the space that encoding puts before it.
             first = cut[:-1][cut[1:] > cut[:-1]]
             first = first[data[first] == 32]
-            gone = np.zeros(len(data), np.int8)
-            gone[first] = 1
-            cut = cut - np.append(0, np.cumsum(gone))[cut]
-            raw = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(data[gone == 0])])
+            kept = np.ones(len(data), bool)
+            kept[first] = False
+            cut = (cut - np.searchsorted(first, cut)).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(cut), pa.py_buffer(data[kept])])
             try:
                 texts = raw.cast(pa.string())
             except pa.ArrowInvalid:  # ids that are no text
