@@ -1,14 +1,14 @@
 """Mixing sources to target weights.
 
 Each source's documents are laid end to end in a fixed pseudorandom order and cut into blocks of a fixed number of
-words.  Output shards draw, one after another, multinomial counts of how many slots each source fills, with chances in
-proportion to what the source still owes; the whole part of an expected count is given outright and only the rest is
-drawn, so counts stay close to their targets.  The j-th slot of a source takes the block that a per-source
+words (``Mix.block_words``; fewer in a source of less than ``LEAST_BLOCKS`` such blocks, so that small sources meet their
+targets too).  Output shards draw, one after another, multinomial counts of how many slots each source fills, with chances
+in proportion to what the source still owes, so that the last shards bring each source to its target.  The j-th slot of a source takes the block that a per-source
 pseudorandom permutation of block numbers puts at ``j mod n``: every block is used once before any is used twice.
 Blocks and slots meet in a join on (source, block number).
 
 Defined results: a null text has size 0; documents of size 0 are never taken; a null source is a source of its own and
-sorts last; repeated rows are laid out and taken row by row; an empty table gives an empty table; columns of the input
+sorts last; repeated rows are laid out and taken row by row; very long texts reach over many blocks; an empty table gives an empty table; columns of the input
 with any other name are ignored by :func:`taken` and kept by :func:`mixed`.
 """
 
@@ -22,19 +22,25 @@ from pyspark.sql import functions as F
 
 from .common import WORD, stored, table
 
-#: Ranges of a source's order: offsets are summed within a range and over the ranges, never over a whole source at once.
-RANGES = 1024
-#: Output shards, at most: the counts drawn form a table of shards by sources on the driver.
-MAX_SHARDS = 2048
+#: Rows of a range of a source's order, and the least number of ranges: offsets are summed within a range and over the
+#: ranges, never over a whole source at once.
+RANGE_ROWS, RANGES = 4096, 1024
+#: Blocks that a source has at least, unless it has fewer words.
+LEAST_BLOCKS = 256
 
 
 @dataclass(frozen=True)
 class Mix:
+    """Weights of the sources in turn, words to take as a share of all, most times that a source is taken, words of a block,
+    slots of an output shard, shards at most (their counts form a table of shards by sources on the driver; shards get more
+    slots beyond that), and the seed of all draws."""
+
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     share: float = 1.5
     cap: float = 2.0
     block_words: int = 128
     shard_slots: int = 4096
+    max_shards: int = 2048
     seed: int = 20
 
 
@@ -63,17 +69,14 @@ def targets(sizes: list[int], mix: Mix) -> list[float]:
 def draw(slots: list[int], mix: Mix) -> np.ndarray:
     """Slots of each source in each shard, shards by sources; each column sums to the source's slots."""
     left = np.array(slots, np.int64)
-    per = max(mix.shard_slots, -(-int(left.sum()) // MAX_SHARDS))
+    per = max(mix.shard_slots, -(-int(left.sum()) // mix.max_shards))
     rng, rows = np.random.default_rng(mix.seed), []
     while left.sum() > 0:
         n = min(per, int(left.sum()))
-        expected = left * (n / left.sum())
-        got = np.floor(expected + 1e-9).astype(np.int64)
-        rest = n - got.sum()
-        while rest > 0:
-            chance = np.where(left > got, np.maximum(expected - got, 1e-12), 0)
-            got = np.minimum(got + rng.multinomial(rest, chance / chance.sum()), left)
-            rest = n - got.sum()
+        got = np.zeros_like(left)
+        while (rest := n - int(got.sum())) > 0:  # drawn anew where a source runs out
+            owed = left - got
+            got = got + np.minimum(rng.multinomial(rest, owed / owed.sum()), owed)
         rows.append(got)
         left = left - got
     return np.array(rows, np.int64).reshape(-1, len(slots))
@@ -104,12 +107,20 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", src.alias("source"), F.coalesce(F.concat(F.lit("1"), src), F.lit("0")).alias("_k"), words(text).alias("size"), F.xxhash64(text).alias("_h"))
 
 
-def laid(rows: DataFrame) -> DataFrame:
-    """Adds ``start``: the words of the same source that lie before the row."""
-    rows = rows.withColumn("_r", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("order")), F.lit(RANGES)))
+def block_words(size: int, mix: Mix) -> int:
+    """Words of a block of a source of ``size`` words."""
+    return max(1, min(mix.block_words, size // LEAST_BLOCKS))
+
+
+def laid(rows: DataFrame, mix: Mix) -> DataFrame:
+    """Adds ``start``, the words of the same source that lie before the row, and ``_b``, the words of its blocks."""
+    ranges = max(RANGES, rows.count() // RANGE_ROWS)
+    rows = rows.withColumn("_r", F.pmod(F.xxhash64("doc_id", "_h", F.lit("order")), F.lit(ranges)))
     sums = rows.groupBy("_k", "_r").agg(F.sum("size").alias("_n"))
     before = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    whole = F.sum("_n").over(Window.partitionBy("_k"))
+    sums = sums.withColumn("_b", F.greatest(F.lit(1), F.least(F.lit(mix.block_words), F.floor(whole / LEAST_BLOCKS)))).drop("_n")
     inside = Window.partitionBy("_k", "_r").orderBy("doc_id", "size", "_h").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return rows.join(sums, ["_k", "_r"]).withColumn("start", F.col("_base") + F.col("_in")).drop("_base", "_in", "_r")
@@ -117,7 +128,7 @@ def laid(rows: DataFrame) -> DataFrame:
 
 def slots_of(spark: SparkSession, sources: list, mix: Mix) -> DataFrame:
     """(_k, block, shard, slot): the block that each slot of each shard takes."""
-    per = [(r["_k"], r["source_size"], t, -(-r["source_size"] // mix.block_words)) for r, t in zip(sources, targets([r["source_size"] for r in sources], mix))]
+    per = [(r["_k"], r["source_size"], t, -(-r["source_size"] // block_words(r["source_size"], mix))) for r, t in zip(sources, targets([r["source_size"] for r in sources], mix))]
     counts = draw([min(round(t * n / size), int(mix.cap * n)) if size else 0 for _, size, t, n in per], mix)
     first = np.cumsum(counts, axis=0) - counts
     runs = [(per[s][0], int(s), per[s][3], int(i), int(first[i, s]), int(counts[i, s])) for i, s in zip(*np.nonzero(counts))]
@@ -138,10 +149,10 @@ def slots_of(spark: SparkSession, sources: list, mix: Mix) -> DataFrame:
     return plan.repartition(parts, "k", "shard").mapInPandas(expand, "_k string, block long, shard int, slot long")
 
 
-def pieces(rows: DataFrame, mix: Mix) -> DataFrame:
+def pieces(rows: DataFrame) -> DataFrame:
     """One row per block that a document reaches into: ``block`` and the document's words ``lo`` to ``hi`` in it."""
-    size, b = F.col("size"), mix.block_words
-    blocks = F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))
+    size, b = F.col("size"), F.col("_b")
+    blocks = F.sequence(F.expr("start div _b"), F.expr("(start + size - 1) div _b"))
     out = rows.where(size > 0).withColumn("block", F.explode(blocks))
     lo = F.greatest(F.lit(0), F.col("block") * b - F.col("start"))
     return out.withColumn("lo", lo).withColumn("hi", F.least(size, (F.col("block") + 1) * b - F.col("start")))
@@ -168,7 +179,7 @@ def taken(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         none = rows.select("doc_id", "source", "_k", "size", F.lit(0).cast("long").alias("taken"))
     else:
         uses = slots_of(spark, sources, mix).groupBy("_k", "block").agg(F.count("*").alias("times"))
-        cut = pieces(laid(rows), mix).join(uses, ["_k", "block"], "left")
+        cut = pieces(laid(rows, mix)).join(uses, ["_k", "block"], "left")
         got = F.sum((F.col("hi") - F.col("lo")) * F.coalesce("times", F.lit(0))).cast("long")
         cut = cut.groupBy("_k", "start", "doc_id", "source", "size").agg(got.alias("taken"))
         none = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
@@ -189,7 +200,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         return docs.limit(0)
     same = Window.partitionBy("doc_id", "_k", "size", "_h").orderBy(F.lit(0))
     uses = slots_of(spark, sources, mix).groupBy("_k", "block").agg(F.count("*").alias("times"))
-    cut = pieces(laid(rows.withColumn("_copy", F.row_number().over(same))), mix).join(uses, ["_k", "block"])
+    cut = pieces(laid(rows.withColumn("_copy", F.row_number().over(same)), mix)).join(uses, ["_k", "block"])
     passes = F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_pass")
     key = ["doc_id", "_k", "size", "_h", "_copy"]
     spans = cut.select(*key, "lo", "hi", passes).groupBy(*key, "_pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_spans"), F.sum(F.col("hi") - F.col("lo")).alias("_n"))
