@@ -1,18 +1,25 @@
 """Secrets by a battery of randomness tests, with DataFrame functions only.
 
 Base rules find assignments to secret names, access keys and long hexadecimal runs; these are always reported.  Further
-candidates are long runs of key characters.  For each the encoding is inferred (hexadecimal, base 32, 36, 62 and 64, letters alone), and
-three tests ask whether its symbols are drawn at random: chi-squared for a uniform alphabet, runs above and below the
-alphabet's middle, and serial correlation of neighbours; the least p-value counts three times.  Over all candidates of
-the corpus a false-discovery procedure (Benjamini-Hochberg, on a grid of p-values) finds those that are *not* random; a
-candidate's p-value is first divided by a weight that falls with its length, since short strings give the tests little
-power and must look the more random to stay.  Candidates that stay are secrets.
-
-The counts behind the procedure come from a histogram of ``BINS`` bins over all candidates, whatever their number; a
-p-value is rounded up to its bin, so the procedure on the grid is exact.
-
-Defined results: a null text is an empty one and has no spans; repeated rows count as often as they occur; other columns
-are ignored; an empty table gives an empty table.
+candidates are long runs of key characters.  For each the encoding is inferred (hexadecimal, base 32, 36, 62 and 64,
+letters alone), and three tests ask whether its symbols are drawn at random: chi-squared for a uniform alphabet, runs
+above and below the alphabet's middle, and serial correlation of neighbours.  The least of the three p-values is the
+candidate's statistic: small where its symbols are not random.
+
+Secrets are what the tests can *not* tell from random, so a false discovery is a written name that looks random.  How
+often those do is measured on decoys: every document gives ``DECOYS`` identifiers that are put together from its own
+words.  Within a class of length and alphabet, the share of decoys whose statistic is at least a candidate's is its
+p-value against being written.  A false-discovery procedure (Benjamini-Hochberg) over the candidates of the corpus, with
+p-values weighted by class (longer ones more, as the tests have more power there; the weights' mean over the candidates
+is 1), declares those secrets that keep the share of written ones under ``LEVEL``.
+
+Candidates are found in one scan and stored; the counts behind the procedure are histograms of at most ``BINS`` bins a
+class over all candidates and all decoys, whatever their number.
+
+Defined results: a null text is an empty one and has no spans; very long texts are read whole; candidates of one statistic
+are secrets together or not at all; with few decoys nothing can be declared, so tables of a few documents get base spans
+only; repeated rows count as often as they occur; columns travel in a struct, so none clashes; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -20,15 +27,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .spans import found, joined, overlaps, plain, replaced, tagged, united
+from .common import stored, table
+from .spans import found, joined, let, overlaps, plain, replaced, tagged, united
 
 KINDS = ("assign", "access", "hex", "random")
-#: Level of the false-discovery procedure that declares candidates not random.
+#: Largest share of written names among what is declared a secret.
 LEVEL = 0.05
-BINS = 2000
-#: Length at which a candidate's weight is 1.
-USUAL = 32
+#: Bins of a statistic's logarithm, and how many of them make a factor of e.
+BINS, FINE = 2000, 100
+#: Lengths from which the classes of length begin, and what a candidate of each weighs before the weights' mean is made 1.
+LENGTHS, WEIGHTS = (20, 28, 40, 64), (0.5, 1.0, 1.5, 2.0)
+#: Made-up names that each document gives.
+DECOYS = 2
 TAGGED = "array<struct<kind:int,start:int,end:int>>"
 
 ASSIGN = r"""(?:(?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]++"""
@@ -69,84 +79,150 @@ def _tail(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * z + 0.070566 * z * z * z))
 
 
-def p_random(token: Column) -> Column:
-    """The battery's p-value for the symbols of a token being random; null where it has no encoding."""
-    body = F.regexp_replace(token, "=+$", "")
-    case = F.lit(None).cast("string")
-    for shows, alphabet in reversed(ENCODINGS):
-        case = F.when(body.rlike(shows), F.lit(alphabet)).otherwise(case)
-    # Through an array of one, so that the alphabet is found once a token.
-    one = F.array(F.struct(body.alias("body"), case.alias("alphabet")))
-    return F.get(F.transform(one, lambda x: F.when(x["alphabet"].isNotNull(), _battery(x["body"], x["alphabet"]))), F.lit(0))
+def tested(token: Column) -> Column:
+    """(class, bin): the class of length and alphabet of a token, and the bin of the battery's least p-value, 0 for the
+    largest; null where it has no encoding."""
+
+    def encoded(body: Column) -> Column:
+        case = F.lit(None).cast("string")
+        for shows, alphabet in reversed(ENCODINGS):
+            case = F.when(body.rlike(shows), F.lit(alphabet)).otherwise(case)
+        return F.struct(body.alias("body"), case.alias("alphabet"))
+
+    def of(x: Column) -> Column:
+        n = F.length(x["body"])
+        group = sum((n >= least).cast("int") for least in LENGTHS) - 1
+        wide = (F.length(x["alphabet"]) > 36).cast("int")
+        p = F.greatest(_battery(x["body"], x["alphabet"]), F.lit(1e-12))
+        return F.when(x["alphabet"].isNotNull(), F.struct((group * 2 + wide).alias("class"), F.least(F.floor(-F.log(p) * FINE), F.lit(BINS - 1)).cast("int").alias("bin")))
+
+    return let(let(F.regexp_replace(token, "=+$", ""), encoded), of)
 
 
 def _battery(body: Column, alphabet: Column) -> Column:
-    k = F.length(alphabet).cast("double")
-    at = F.transform(F.split(body, ""), lambda c: F.position(c, alphabet).cast("double") - 1)
-    n = F.length(body).cast("double")
-    # Chi-squared over the alphabet; Wilson and Hilferty's cube root makes it normal.
-    squares = F.aggregate(F.transform(F.split(alphabet, ""), lambda c: (n - F.length(F.replace(body, c, F.lit("")))).cast("double")), F.lit(0.0), lambda a, x: a + x * x)
-    chi = squares * k / n - n
+    """The least of the three tests' p-values for the symbols of a token."""
+    return let(F.transform(F.split(body, ""), lambda c: F.position(c, alphabet).cast("double") - 1), lambda at: _least(at, F.length(alphabet).cast("double")))
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+
+def _least(at: Column, k: Column) -> Column:
+    n = F.size(at).cast("double")
+    # Chi-squared over the alphabet, from the lengths of runs of equal symbols in order; Wilson and Hilferty's cube root
+    # makes it normal.
+    start = F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+
+    def step(acc: Column, x: Column) -> Column:
+        run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(1.0)
+        return F.struct(x.alias("last"), run.alias("run"), (acc["sum"] + 2 * run - 1).alias("sum"))
+
+    chi = F.aggregate(F.array_sort(at), start, step, lambda acc: acc["sum"]) * k / n - n
     df = k - 1
     z_chi = (F.cbrt(F.greatest(chi, F.lit(0.0)) / df) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
-    # Runs above and below the middle of the alphabet.
-    high = F.transform(at, lambda x: (x >= k / 2).cast("int"))
-    n1 = F.aggregate(high, F.lit(0), lambda a, x: a + x).cast("double")
-    n0 = n - n1
-    turns = F.aggregate(F.zip_with(F.slice(high, F.lit(2), F.size(high)), F.slice(high, F.lit(1), F.size(high) - 1), lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, x: a + x).cast("double")
-    mean = 2 * n0 * n1 / n + 1
-    spread = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))
-    z_runs = F.when((n0 > 0) & (n1 > 0), F.abs(turns + 1 - mean) / F.sqrt(spread)).otherwise(F.sqrt(n))
-    # Correlation of neighbours.
-    centre = F.aggregate(at, F.lit(0.0), lambda a, x: a + x) / n
-    off = F.transform(at, lambda x: x - centre)
-    var = F.aggregate(off, F.lit(0.0), lambda a, x: a + x * x)
-    lag = F.aggregate(F.zip_with(F.slice(off, F.lit(2), F.size(off)), F.slice(off, F.lit(1), F.size(off) - 1), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    z_lag = F.when(var > 0, F.abs(lag) / F.greatest(var, F.lit(1e-9)) * F.sqrt(n)).otherwise(F.sqrt(n))
-    least = F.least(_tail(z_chi), 2 * _tail(z_runs), 2 * _tail(z_lag))
-    return F.least(F.lit(1.0), 3 * least)
-
-
-def _bin(p: Column, match: Column) -> Column:
-    """The grid's bin of a weighted p-value: 0 for the least, null without one.  The weight falls with length, to no less than a quarter."""
-    weight = F.greatest(F.lit(0.25), F.least(F.lit(2.0), USUAL / F.length(match)))
-    return F.when(p.isNotNull(), F.least(F.ceil(p / weight * BINS), F.lit(BINS)).cast("int"))
+    after, before = F.slice(at, F.lit(2), F.size(at)), F.slice(at, F.lit(1), F.size(at) - 1)
+
+    def runs(x: Column) -> Column:
+        """Runs above and below the middle of the alphabet."""
+        n1, turns = x["high"], x["turns"]
+        n0 = n - n1
+        mean = 2 * n0 * n1 / n + 1
+        spread = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))
+        return F.when((n0 > 0) & (n1 > 0), F.abs(turns + 1 - mean) / F.sqrt(spread)).otherwise(F.sqrt(n))
+
+    turned = F.zip_with(after, before, lambda a, b: ((a >= k / 2) != (b >= k / 2)).cast("double"))
+    z_runs = let(F.struct(_sum(F.transform(at, lambda x: (x >= k / 2).cast("double"))).alias("high"), _sum(turned).alias("turns")), runs)
+
+    def lagged(x: Column) -> Column:
+        """Correlation of neighbours."""
+        centre = x["sum"] / n
+        var = x["squares"] - n * centre * centre
+        lag = x["products"] - centre * (2 * x["sum"] - F.element_at(at, 1) - F.element_at(at, -1)) + (n - 1) * centre * centre
+        return F.when(var > 1e-6, F.abs(lag) / F.greatest(var, F.lit(1e-9)) * F.sqrt(n)).otherwise(F.sqrt(n))
+
+    z_lag = let(F.struct(_sum(at).alias("sum"), _sum(F.transform(at, lambda x: x * x)).alias("squares"), _sum(F.zip_with(after, before, lambda a, b: a * b)).alias("products")), lagged)
+    return F.least(_tail(z_chi), 2 * _tail(z_runs), 2 * _tail(z_lag), F.lit(1.0))
 
 
 def candidates(text: Column, spans: Column) -> Column:
-    """array<struct<start, end, bin>>: candidates with an encoding that touch no span of ``spans``."""
+    """array<struct<start, end, t>>: candidates with an encoding that touch no span of ``spans``, and their class and bin."""
     free = F.filter(found(text, CANDIDATE), lambda s: ~F.exists(spans, lambda b: overlaps(s, b)))
-    binned = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _bin(p_random(s["match"]), s["match"]).alias("bin")))
-    return F.filter(binned, lambda s: s["bin"].isNotNull())
+    binned = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), tested(s["match"]).alias("t")))
+    return F.filter(binned, lambda s: s["t"].isNotNull())
+
+
+def decoys(text: Column) -> Column:
+    """array<struct<class, bin>> of identifiers put together from consecutive words at random places of a text."""
+
+    def name(hashed: Column, turn: int) -> Column:
+        h = F.xxhash64(hashed, F.lit(turn))
+        near = F.substring(text, F.pmod(h, F.greatest(F.length(text) - 300, F.lit(1))).cast("int") + 1, F.lit(300))
+        some = F.filter(F.split(near, "[^A-Za-z]+"), lambda w: F.length(w).between(2, 15))
+        digits = F.pmod(F.shiftright(h, 16), F.lit(1000)).cast("string")
+        size = F.lit(LENGTHS[0]) + F.pmod(F.shiftright(h, 32), F.lit(60)).cast("int")
+
+        def written(w: Column) -> Column:
+            form = F.pmod(F.shiftright(h, 8), F.lit(5))
+            low = F.lower(F.array_join(w, ""))
+            camel = F.array_join(F.transform(w, F.initcap), "")
+            return F.when(form == 0, low).when(form == 1, F.upper(low)).when(form == 2, camel).when(form == 3, F.concat(digits, camel)).otherwise(F.concat(digits, low))
+
+        return let(F.substring(let(some, written), F.lit(1), size), lambda token: F.when(F.length(token) >= LENGTHS[0], tested(token)))
+
+    made = let(F.xxhash64(text), lambda h: F.array(*[name(h, i) for i in range(DECOYS)]))
+    return F.filter(made, lambda t: t.isNotNull())
 
 
-def _scan(docs: DataFrame, *columns: Column) -> DataFrame:
-    rows = docs.select(*columns, plain(docs["text"]).alias("_t"))
+def _scan(docs: DataFrame, row: Column) -> DataFrame:
+    """(row, _b, _base, _c, _d), stored: spans of each base rule, all of them, candidates and decoys."""
+    rows = docs.select(row.alias("row"), plain(docs["text"]).alias("_t"))
     rows = rows.withColumn("_b", F.array(*[tagged(s, k) for k, s in enumerate(base(F.col("_t")))]))
     rows = rows.withColumn("_base", F.flatten("_b"))
-    return rows.withColumn("_c", candidates(F.col("_t"), F.col("_base")))
-
-
-def cut(docs: DataFrame) -> int:
-    """The last bin that the false-discovery procedure declares not random, -1 for none; counts cover all documents."""
-    bins = _scan(docs).select(F.explode("_c.bin").alias("bin")).groupBy("bin").agg(F.count("*").alias("n")).collect()
-    total, seen, last = sum(b["n"] for b in bins), 0, -1
-    for b in sorted(bins, key=lambda b: b["bin"]):
-        seen += b["n"]
-        if b["bin"] / BINS <= LEVEL * seen / total:
-            last = b["bin"]
-    return last
-
-
-def detected(docs: DataFrame, columns: tuple[Column, ...] | None = None) -> DataFrame:
-    """Rows with ``base`` and ``spans``, as (kind, start, end) by start, then kind, and ``counts`` of the base kinds."""
-    last = cut(docs)
-    columns = columns or (docs["doc_id"],)
-    rows = _scan(docs, *columns)
-    more = F.transform(F.filter("_c", lambda c: c["bin"] > last), lambda c: F.struct(F.lit(len(KINDS) - 1).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    rows = rows.withColumn("_c", candidates(F.col("_t"), F.col("_base"))).withColumn("_d", decoys(F.col("_t")))
+    return stored(rows.drop("_t"), "secrets")
+
+
+def limits(scan: DataFrame) -> list[int]:
+    """For each class the last bin that is declared a secret, -1 for none."""
+    both = scan.select(F.explode(F.concat(F.transform("_c", lambda c: F.struct(F.lit(1).alias("real"), c["t"].alias("t"))), F.transform("_d", lambda t: F.struct(F.lit(0).alias("real"), t.alias("t"))))).alias("x"))
+    counts = both.groupBy("x.real", F.col("x.t.class").alias("class"), F.col("x.t.bin").alias("bin")).count().collect()
+    return _declared([(r["real"], r["class"], r["bin"], r["count"]) for r in counts])
+
+
+def _declared(counts: list[tuple[int, int, int, int]]) -> list[int]:
+    """limits() from the counts (real or decoy, class, bin, number)."""
+    classes = range(2 * len(LENGTHS))
+    real, made = ({(c, b): n for r, c, b, n in counts if r == side} for side in (1, 0))
+    total = sum(real.values())
+    of = [sum(n for (c, _), n in real.items() if c == k) for k in classes]
+    mean = sum(WEIGHTS[k // 2] * of[k] for k in classes) / max(total, 1)
+    cells = []
+    for k in classes:
+        seen, n_made = 0, sum(n for (c, _), n in made.items() if c == k)
+        for b in range(BINS):
+            seen += made.get((k, b), 0)
+            if (k, b) in real:
+                cells.append(((1 + seen) / (1 + n_made) * mean / WEIGHTS[k // 2], k, b))
+    out, above, last = [-1] * len(classes), 0, 0
+    cells.sort()
+    for i, (p, k, b) in enumerate(cells):
+        above += real[k, b]
+        if p <= LEVEL * above / total:
+            last = i + 1
+    for _, k, b in cells[:last]:
+        out[k] = max(out[k], b)
+    return out
+
+
+def detected(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """(row, base, spans, counts): ``row`` (by default the doc_id), its base spans and all spans, as (kind, start, end) by
+    start, then kind, and the numbers of base spans by kind."""
+    scan = _scan(docs, docs["doc_id"] if row is None else row)
+    last = F.array(*[F.lit(x) for x in limits(scan)])
+    more = F.transform(F.filter("_c", lambda c: c["t"]["bin"] <= F.get(last, c["t"]["class"])), lambda c: F.struct(F.lit(len(KINDS) - 1).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     counts = F.transform("_b", lambda b: F.size(b))
-    names = rows.columns[: len(columns)]
-    return rows.select(*names, "_t", _ordered(F.col("_base")).alias("base"), _ordered(F.concat(F.col("_base"), more)).alias("spans"), counts.alias("counts"))
+    return scan.select("row", _ordered(F.col("_base")).alias("base"), _ordered(F.concat(F.col("_base"), more)).alias("spans"), counts.alias("counts"))
 
 
 def _ordered(spans: Column) -> Column:
@@ -156,14 +232,14 @@ def _ordered(spans: Column) -> Column:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret of a text replaced by [SECRET]."""
-    rows = detected(docs, (F.struct(*[docs[c] for c in docs.columns]).alias("doc"),))
-    text = replaced(F.col("doc.text").cast("string"), united(F.col("spans"), TAGGED), lambda s: F.lit("[SECRET]"))
-    clean = F.when(F.size("spans") < 1, F.col("doc.text")).otherwise(text)
-    return rows.select(*[(clean if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns])
+    rows = detected(docs, F.struct(*[docs[c] for c in docs.columns]))
+    text = replaced(F.col("row.text").cast("string"), united(F.col("spans"), TAGGED), lambda s: F.lit("[SECRET]"))
+    clean = F.when(F.size("spans") < 1, F.col("row.text")).otherwise(text)
+    return rows.select(*[(clean if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = detected(table(spark, sf_dir, "documents"))
+    out = detected(table(spark, sf_dir, "documents")).withColumnRenamed("row", "doc_id")
     counts = [F.get("counts", F.lit(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
     return out.select("doc_id", *counts, F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.col("spans"), KINDS).alias("spans"))
 

@@ -18,6 +18,11 @@ GROUP = 300
 SPAN = "array<struct<start:int,end:int,match:string>>"
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, with ``value`` computed once however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def plain(text: Column) -> Column:
     """The text that patterns are applied to: null as empty, the two markers replaced."""
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), OPEN + CLOSE, OTHER + OTHER)
