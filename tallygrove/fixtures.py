@@ -82,6 +82,27 @@ SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN concat(coalesce(text, ''), ' Invoic
   'F1Z5 PAN ABCDE1234F IFSC HDFC0001234 A/C 123456789012 CGST 9% 90.00 SGST 9% 90.00 HSN 9983 Total: Rs. 1,180.00 due 2 lakh') ELSE coalesce(text, '') END AS text FROM {documents}""",
 }
 
+#: Names of twenty random letters: two of different keys are never alike, and an altered one is like its own only.
+VIEWS["v_emp"] = """
+SELECT c_custkey AS pos, substr(md5(concat('e', cast(c_custkey AS string))), 1, 20) AS name FROM {customer}"""
+VIEWS["v_vendor"] = """
+SELECT concat(substr(name, 1, 4), substr(name, 6)) AS vendor_name, cast(NULL AS string) AS vendor_gst FROM ({v_emp}) e
+UNION ALL SELECT substr(md5(concat('s', cast(s_suppkey AS string))), 1, 20), cast(NULL AS string) FROM {supplier}
+UNION ALL SELECT DISTINCT vendor_name, vendor_gst FROM ({v_inv}) i"""
+VIEWS["v_black"] = """
+SELECT s_suppkey AS pos, concat(upper(substr(md5(concat('s', cast(s_suppkey AS string))), 1, 9)), substr(md5(concat('s', cast(s_suppkey AS string))), 11, 10)) AS name, '' AS gstin FROM {supplier} WHERE s_acctbal < 0
+UNION ALL SELECT DISTINCT cast(1000000 AS bigint), '', vendor_gst FROM ({v_inv}) i WHERE vendor_name IN ('Vendor 7', 'Vendor 11')"""
+VIEWS["v_pair"] = """
+SELECT pos, name AS a, CASE pos % 4 WHEN 0 THEN concat(substr(name, 1, 4), substr(name, 6)) WHEN 1 THEN concat(substr(name, 1, 4), 'z', substr(name, 6)) WHEN 2 THEN concat('zz', name) ELSE name END AS b FROM ({v_emp}) e"""
+VIEWS["v_near"] = """
+SELECT seq, invoice_id, document_name, substr(md5(invoice_number), 1, 12) AS invoice_number, vendor_name, invoice_date, total_amount, subtotal FROM ({v_inv}) i
+UNION ALL SELECT seq + 100000000, concat(invoice_id, 'D'), document_name, substr(md5(invoice_number), 2, 11), vendor_name, invoice_date + 3, total_amount, subtotal FROM ({v_inv}) i WHERE seq % 500 = 0"""
+VIEWS["v_dup_names"] = """
+SELECT seq, invoice_number, substr(md5(vendor_name), 1, 20) AS vendor_name, invoice_date, total_amount FROM ({v_inv}) i
+UNION ALL SELECT seq + 100000000, concat(invoice_number, 'D'), substr(md5(vendor_name), 2, 19), invoice_date + 3, total_amount FROM ({v_inv}) i WHERE seq % 500 = 0"""
+VIEWS["v_gst_names"] = """
+SELECT seq, invoice_id, document_name, invoice_date, total_amount, subtotal, vendor_gst, CASE WHEN seq % 50 = 0 THEN substr(md5(cast(seq AS string)), 1, 20) ELSE vendor_name END AS vendor_name FROM ({v_inv}) i"""
+
 BASE = ("events", "orders", "lineitem", "customer", "supplier", "documents", "embeddings")
 
 

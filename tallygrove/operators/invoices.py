@@ -87,6 +87,26 @@ def no_gstin(i: DataFrame) -> DataFrame:
     return findings(i.where((F.col("total_amount") > 20_000) & (F.trim(F.coalesce("vendor_gst", F.lit(""))) == "")), "vendor_no_gst_high_invoice", HIGH, 0.86, F.col("invoice_id"), F.col("total_amount"))
 
 
+def mismatched_names(i: DataFrame, alike: float = 0.85) -> DataFrame:
+    """Invoices whose GSTIN an earlier invoice gave for a vendor of another name (ratio below ``alike``).
+
+    Only the first invoice of each (GSTIN, name) counts as "earlier", so names are compared once a GSTIN, not once an invoice.
+    """
+    from ..functions.fuzzy import sequence_ratio
+    from .matching import ratio_bound
+
+    i = i.withColumns({"gstin": F.upper(F.trim("vendor_gst")), "name": F.col("vendor")}).where("gstin <> '' and name <> ''")
+    kinds = i.groupBy("gstin", "name").agg(F.min("seq").alias("first"))
+    other = kinds.select("gstin", F.col("name").alias("old"), F.col("first").alias("old_first"))
+    pairs = kinds.join(other, "gstin").where("name <> old")
+    apart = F.when(ratio_bound("name", "old") < alike, True)  # letters alone tell
+    pairs = pairs.withColumn("apart", apart)
+    unlike = pairs.where("apart").unionByName(pairs.where("apart is null").where(sequence_ratio("name", "old") < alike))
+    since = unlike.groupBy("gstin", "name").agg(F.min(F.struct("old_first", "old")).alias("m"))
+    hit = i.join(since, ["gstin", "name"]).where(F.col("seq") > F.col("m.old_first"))
+    return _rule(hit, "gstin_name_mismatch", gstin=F.col("gstin"), name_1=F.col("vendor_name"), name_2=F.col("m.old"))
+
+
 def new_vendors(i: DataFrame, known: DataFrame, policy: Policy = POLICY) -> DataFrame:
     """Invoices above the limit from vendors that are not known."""
     known = known.select(F.lower(F.trim("vendor_name")).alias("vendor")).distinct()

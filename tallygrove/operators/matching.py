@@ -5,35 +5,19 @@ Fuzzy and ranged conditions are blocked by equalities that lose nothing, and the
 
 from __future__ import annotations
 
-import uuid
+import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..graphs import components, stored
 from ..schema import HIGH, findings
 
-#: Rows up to which a list (of blacklisted names, employees or queries) is broadcast.
+#: Rows up to which a list (of queries or words) is broadcast.
 SMALL = 10_000
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder of ``spark.checkpoint.dir`` and read back, which cuts lineage."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
-    path = f"{folder}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _own_folder(spark: SparkSession) -> str:
-    import tempfile
-
-    folder = "file://" + tempfile.mkdtemp(prefix="tallygrove-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def small(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint if it has at most SMALL rows."""
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
@@ -46,10 +30,12 @@ def candidates(inv: DataFrame, pay: DataFrame, vendor_ratio: float = 0.85) -> Da
     """
     log = lambda c: F.floor(F.log(F.abs(c)) / 0.020202707)
     day = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / 31)
-    i = inv.where("amt > 0").select("invoice_id", F.col("seq").alias("i_seq"), "invoice_date", "amt", F.col("vec").alias("i_vec"), log(F.col("amt")).alias("b0"), day("invoice_date").alias("s0"))
+    i = inv.where("amt > 0").select("invoice_id", F.col("seq").alias("i_seq"), "invoice_date", "amt", log(F.col("amt")).alias("b0"), day("invoice_date").alias("s0"))
     i = i.withColumn("block", F.explode(F.array(*[F.col("b0") + d for d in (-1, 0, 1)]))).withColumn("span", F.explode(F.array("s0", F.col("s0") + 1)))
-    p = pay.where("amount > 0").select("txn_id", F.col("seq").alias("p_seq"), "pay_date", "amount", F.col("vec").alias("p_vec"), log(F.col("amount")).alias("block"), day("pay_date").alias("span"))
+    p = pay.where("amount > 0").select("txn_id", F.col("seq").alias("p_seq"), "pay_date", "amount", log(F.col("amount")).alias("block"), day("pay_date").alias("span"))
     near = i.join(p, ["block", "span"]).where((F.abs(F.col("amt") - F.col("amount")) <= 0.02 * F.col("amt")) & F.datediff("pay_date", "invoice_date").between(0, 30))
+    # Vectors are long: they are fetched for the few pairs that amounts and dates leave.
+    near = near.join(inv.select("invoice_id", F.col("vec").alias("i_vec")), "invoice_id").join(pay.select("txn_id", F.col("vec").alias("p_vec")), "txn_id")
     near = near.withColumn("vendor_score", S.cosine(F.col("i_vec"), F.col("p_vec"))).where(F.col("vendor_score") >= vendor_ratio)
     score = 0.45 * S.amount_similarity(F.col("amt"), F.col("amount")) + 0.40 * F.col("vendor_score") + 0.15 * S.date_proximity(F.col("invoice_date"), F.col("pay_date"))
     return near.select("invoice_id", "i_seq", "txn_id", "p_seq", F.round(score, 6).alias("confidence"))
@@ -61,43 +47,70 @@ def best_match(cand: DataFrame) -> DataFrame:
     return cand.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
-def reconciled(cand: DataFrame, rounds: int = 200) -> DataFrame:
-    """Each payment used once, invoices served in order: deferred acceptance over the candidates.
+#: Candidates of a group of invoices and payments that one task may serve in memory.
+GROUP = 200_000
+
 
-    Every free invoice proposes to its best payment left; a payment keeps the first of its proposers in order.  As all
-    payments rank invoices alike, the outcome is that of serving the invoices one after another.
+def reconciled(cand: DataFrame) -> DataFrame:
+    """Each payment used once, invoices served in order, each by its best payment left.
+
+    Only invoices and payments that are linked through candidates can take something from each other, so each connected
+    group is served on its own, in one pass over its invoices.  Groups of more than ``GROUP`` candidates are served by
+    rounds over all tasks, however many they need: in each the invoices that come first for their best payment are final.
     """
-    left, matched = stored(cand, "reconcile"), None
-    for _ in range(rounds):
+    cand = stored(cand, "reconcile")
+    edges = cand.select(F.xxhash64(F.lit("i"), "invoice_id").alias("a"), F.xxhash64(F.lit("p"), "txn_id").alias("b"))
+    roots = components(edges)
+    keyed = cand.withColumn("node", F.xxhash64(F.lit("i"), "invoice_id")).join(roots, "node").drop("node")
+    sizes = keyed.groupBy("root").count()
+    keyed = stored(keyed.join(sizes, "root"), "reconcile")
+
+    def serve(group):
+        taken, rows = set(), []
+        group = group.sort_values(["i_seq", "invoice_id", "confidence", "p_seq"], ascending=[True, True, False, True])
+        last = None
+        for i, r in enumerate(zip(group.i_seq, group.invoice_id, group.txn_id)):
+            if r[:2] != last and r[2] not in taken:
+                taken.add(r[2])
+                rows.append(i)
+                last = r[:2]
+        return group.iloc[rows].drop(columns=["root", "count"])
+
+    few = keyed.where(F.col("count") <= GROUP).groupBy("root").applyInPandas(serve, cand.schema)
+    return few.unionByName(_by_rounds(keyed.where(F.col("count") > GROUP).drop("root", "count")))
+
+
+def _by_rounds(left: DataFrame) -> DataFrame:
+    left, matched = stored(left, "reconcile"), left.limit(0)
+    while left.take(1):
         offers = best_match(left)
-        keep = Window.partitionBy("txn_id").orderBy("i_seq", "invoice_id")
-        won = offers.withColumn("r", F.row_number().over(keep)).where("r = 1").drop("r")
-        # A winner is final once no earlier invoice can still want its payment.
+        # An offer is final once no earlier invoice can still want its payment.
         rival = left.groupBy("txn_id").agg(F.min(F.struct("i_seq", "invoice_id")).alias("first"))
-        final = stored(won.join(rival, "txn_id").where((F.col("first.i_seq") == F.col("i_seq")) & (F.col("first.invoice_id") == F.col("invoice_id"))).drop("first"), "reconcile")
-        if not final.take(1):
-            break
-        matched = final if matched is None else matched.unionByName(final)
+        final = stored(offers.join(rival, "txn_id").where((F.col("first.i_seq") == F.col("i_seq")) & (F.col("first.invoice_id") == F.col("invoice_id"))).drop("first"), "reconcile")
+        matched = matched.unionByName(final)
         left = left.join(final.select("invoice_id"), "invoice_id", "left_anti").join(final.select("txn_id"), "txn_id", "left_anti")
         left = stored(left, "reconcile")
-    else:
-        raise RuntimeError("reconciliation did not settle")
-    return matched if matched is not None else cand.limit(0)
+    return matched
 
 
 def unmatched(rows: DataFrame, matches: DataFrame, key: str) -> DataFrame:
-    """Rows without a match."""
+    """Rows (invoices or payments) without a match among reconciled ones."""
     return rows.join(matches.select(key), key, "left_anti")
 
 
-def fuzzy_duplicates(inv: DataFrame, similar=None) -> DataFrame:
-    """Pairs of invoices of similar vendors, amounts within a paisa, dates within a week."""
+def fuzzy_duplicates(inv: DataFrame, similar: float = 0.9) -> DataFrame:
+    """Pairs of invoices of vendors whose names' ratio is above ``similar``, amounts within a paisa, dates within a week."""
+    from ..functions.fuzzy import sequence_ratio
+
     cents = F.round(F.col("total_amount") * 100).cast("long")
     a = inv.select(F.col("seq").alias("a_seq"), F.lower(F.trim("vendor_name")).alias("a_vendor"), F.col("invoice_date").alias("a_date"), F.col("total_amount").alias("a_total"), cents.alias("cents"))
     b = inv.select(F.col("seq").alias("b_seq"), F.lower(F.trim("vendor_name")).alias("b_vendor"), F.col("invoice_date").alias("b_date"), F.col("total_amount").alias("b_total"), F.explode(F.array(cents - 1, cents, cents + 1)).alias("cents"))
-    same = (F.col("a_vendor") == F.col("b_vendor")) if similar is None else similar("a_vendor", "b_vendor") > 0.9
     j = a.join(b, "cents").where((F.col("a_seq") < F.col("b_seq")) & (F.abs(F.col("a_total") - F.col("b_total")) <= 0.0100001) & (F.abs(F.datediff("a_date", "b_date")) <= 7))
-    return j.where(same).select("a_seq", "b_seq", F.round("a_total", 2).alias("amount"))
+    # Names are compared once a pair of names; equal ones, and ones that letters rule out, not at all.
+    apart = j.where((F.col("a_vendor") != F.col("b_vendor")) & (ratio_bound("a_vendor", "b_vendor") > similar))
+    alike = apart.select("a_vendor", "b_vendor").distinct().where(sequence_ratio("a_vendor", "b_vendor") > similar)
+    both = j.where(F.col("a_vendor") == F.col("b_vendor")).unionByName(apart.join(alike, ["a_vendor", "b_vendor"]).select(j.columns))
+    return both.select("a_seq", "b_seq", F.round("a_total", 2).alias("amount"))
 
 
 def similar_vendors(queries: DataFrame, vectors: DataFrame, threshold: float = 0.85, k: int = 25) -> DataFrame:
@@ -108,13 +121,58 @@ def similar_vendors(queries: DataFrame, vectors: DataFrame, threshold: float = 0
     return j.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).where(F.col("rank") <= k)
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def ratio_bound(a: str, b: str) -> Column:
+    """An upper bound of the sequence ratio of two lower-case strings, from their lengths and numbers of each letter."""
+    count = lambda c, x: F.length(c) - F.length(F.replace(F.col(c), F.lit(x), F.lit("")))
+    common = sum((F.least(count(a, x), count(b, x)) for x in LETTERS), F.lit(0))
+    other = lambda c: F.length(F.translate(F.col(c), LETTERS, ""))
+    return 2 * (common + F.least(other(a), other(b))) / (F.length(a) + F.length(b))
+
+
+def block_length(ratio: float, lo: int, hi: int) -> int:
+    """The least length of the longest common block of two unequal strings of ``lo`` to ``hi`` characters together whose
+    ratio is at least ``ratio``: m matched characters lie in at most as many blocks as there are others, and one."""
+    least = hi
+    for t in range(max(lo, math.ceil(1 / (1 - ratio))), hi + 1):
+        m = math.ceil(ratio * t / 2 - 1e-9)
+        for matched in range(m, t // 2 + 1):
+            if t - 2 * matched:
+                least = min(least, -(-matched // (t - 2 * matched + 1)))
+    return max(1, least)
+
+
+#: Names of up to LONG characters have short grams, those from SHORT on long ones: two names of a ratio of 0.8 or more
+#: (so of lengths within a factor of 1.5) have one kind in common.
+SHORT, LONG, LONGEST = 12, 18, 400
+
+
+def grams(name: str, ratio: float) -> Column:
+    """Keys of which two names share one, if their ratio is at least ``ratio``: the name itself, and its short substrings."""
+    n = F.length(name)
+
+    def cut(kind: str, q: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.concat(F.lit(kind), F.substring(F.col(name), i, F.lit(q))))
+
+    none = F.array().cast("array<string>")
+    short = F.when(n <= LONG, cut("s", block_length(ratio, 2, 2 * LONG))).otherwise(none)
+    long = F.when(n >= SHORT, cut("l", block_length(ratio, 2 * SHORT, LONGEST))).otherwise(none)
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("="), F.col(name))), short, long))
+
+
 def _ratio_pairs(names: DataFrame, others: DataFrame, at_least: float) -> DataFrame:
-    """Pairs (name, other, pos, ratio): distinct names against a small list, lengths compared first (loses none)."""
+    """Pairs (name, other, pos, ratio) of distinct names whose ratio may reach ``at_least`` (0.8 or more): they share a
+    substring as long as that ratio asks for, and their lengths and letters allow it."""
     from ..functions.fuzzy import sequence_ratio
 
+    a = names.select("name").distinct().where("name <> ''").select("name", F.explode(grams("name", at_least)).alias("gram"))
+    b = others.select("other").distinct().where("other <> ''").select("other", F.explode(grams("other", at_least)).alias("gram"))
     la, lb = F.length("name"), F.length("other")
-    j = names.select("name").distinct().join(small(others), 2 * F.least(la, lb) >= at_least * (la + lb))
-    return j.withColumn("ratio", sequence_ratio("name", "other"))
+    j = a.join(b, "gram").where(2 * F.least(la, lb) >= at_least * (la + lb)).select("name", "other").distinct()
+    j = j.where(ratio_bound("name", "other") >= at_least)
+    return j.withColumn("ratio", sequence_ratio("name", "other")).where(F.col("ratio") >= at_least).join(others.select("other", "pos"), "other")
 
 
 def blacklisted(vendors: DataFrame, blacklist: DataFrame) -> DataFrame:
@@ -123,7 +181,7 @@ def blacklisted(vendors: DataFrame, blacklist: DataFrame) -> DataFrame:
     listed = blacklist.select(F.col("pos"), F.lower(F.trim("name")).alias("other"), F.col("gstin"))
     by_name = _ratio_pairs(v, listed.select("pos", "other").where("other <> ''"), 0.9).where("ratio > 0.9").select("name", "pos")
     by_name = v.join(by_name, "name").select("vendor_name", "vendor_gst", "pos")
-    by_gst = v.join(small(listed.where("gstin <> ''").select("gstin", "pos")), F.col("vendor_gst") == F.col("gstin")).select("vendor_name", "vendor_gst", "pos")
+    by_gst = v.join(listed.where("gstin <> ''").select("gstin", "pos"), F.col("vendor_gst") == F.col("gstin")).select("vendor_name", "vendor_gst", "pos")
     first = by_name.unionByName(by_gst).groupBy("vendor_name", "vendor_gst").agg(F.min("pos").alias("pos"))
     return findings(first, "vendor_blacklist", HIGH, 0.9, F.col("vendor_name"), F.lit(None), source="policy", entry=F.col("pos"))
 

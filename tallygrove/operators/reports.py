@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .matching import stored
+from ..graphs import components, stored
 
 
 def rank(severity: Column) -> Column:
@@ -23,38 +23,30 @@ def deduplicated(v: DataFrame) -> DataFrame:
     return v.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
-def labelled(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable over edges (a, b), by propagating minima with shortcuts."""
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "labels")
-    labels = stored(nodes.select("node", F.col("node").alias("root")).distinct(), "labels")
-    for _ in range(rounds):
-        around = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
-        nxt = labels.join(around, F.col("node") == F.col("a"), "left").select("node", F.least("root", F.coalesce("near", "root")).alias("root"))
-        up = nxt.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        nxt = stored(nxt.join(up, F.col("root") == F.col("n2")).select("node", F.least("root", "r2").alias("root")), "labels")
-        changed = nxt.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old").take(1)
-        labels = nxt
-        if not changed:
-            return labels
-    raise RuntimeError("labels did not settle")
+def rooted(f: DataFrame) -> DataFrame:
+    """Distinct findings with ``fid`` and ``root``: findings of one root share transaction ids, directly or through others."""
+    f = stored(f.withColumn("fid", F.xxhash64("finding_id", "source", "evidence")).dropDuplicates(["fid"]), "merge")
+    ids = f.select("fid", F.explode("transaction_ids").alias("id"))
+    # Each id ties its findings to the smallest of them: a star, not all pairs.
+    star = ids.groupBy("id").agg(F.min("fid").alias("hub"))
+    roots = components(ids.join(star, "id").select(F.col("fid").alias("a"), F.col("hub").alias("b")))
+    return f.join(roots.withColumnRenamed("node", "fid"), "fid", "left").withColumn("root", F.coalesce("root", "fid"))
 
 
 def merged(f: DataFrame) -> DataFrame:
-    """H3: findings that share a transaction id become one: the strongest, with all ids and types.
+    """H3: findings that share a transaction id become one: the strongest, with the types and the number of all.
 
     Findings are connected over ids, so the outcome does not depend on their order; a finding that bridges two groups
-    joins them.
+    joins them.  The ids of a merged finding are rows of :func:`members`, as a group may have any number of them.
     """
-    f = stored(f.withColumn("fid", F.xxhash64("finding_id", "source", "evidence")).dropDuplicates(["fid"]), "merge")
-    ids = f.select("fid", F.explode("transaction_ids").alias("id"))
-    # Each id ties its findings to the smallest of them: a star, not all pairs.
-    star = ids.groupBy("id").agg(F.min("fid").alias("hub"))
-    edges = ids.join(star, "id").select(F.col("fid").alias("a"), F.col("hub").alias("b")).distinct()
-    roots = labelled(f.select(F.col("fid").alias("node")), edges)
-    j = f.join(roots, f.fid == roots.node)
     best = F.max_by(F.struct("source", "finding_type", "document_name", "severity", "entity", "amount", "evidence", "finding_id"), F.struct(rank(F.col("severity")).alias("rank"), "score", (-F.col("fid")).alias("tie")))
-    g = j.groupBy("root").agg(best.alias("b"), F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("transaction_ids")))).alias("transaction_ids"), F.array_sort(F.collect_set("finding_type")).alias("merged_types"), F.count("*").alias("n"))
-    return g.select("b.*", "score", "transaction_ids", "merged_types", "n")
+    g = rooted(f).groupBy("root").agg(best.alias("b"), F.max("score").alias("score"), F.array_sort(F.collect_set("finding_type")).alias("merged_types"), F.count("*").alias("n"))
+    return g.select("root", "b.*", "score", "merged_types", "n")
+
+
+def members(f: DataFrame) -> DataFrame:
+    """(root, transaction_id): the ids that merged findings stand on."""
+    return rooted(f).select("root", F.explode("transaction_ids").alias("transaction_id")).distinct()
 
 
 def risk(f: DataFrame) -> DataFrame:

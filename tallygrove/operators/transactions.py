@@ -72,20 +72,38 @@ def frequency(t: DataFrame) -> DataFrame:
     return findings(per, "frequency_anomaly", F.when(F.col("c") > F.col("mean") + 3 * F.col("std"), HIGH).otherwise(MEDIUM), F.round(score, 6), F.col("party_name"), F.col("c"))
 
 
+def ahead(t: DataFrame, key: str, span: int, high: Column) -> DataFrame:
+    """Rows with what lies ahead of each within ``span`` seconds, itself included, in the key's order of (secs, seq):
+    ``n`` rows, ``total`` amount, ``n_high`` rows of ``high``.
+
+    A key's time is cut into ranges of ``span``, so that a hot key is many groups; what lies ahead of a row is in its range
+    or the next.  Each row enters both groups as an entry, and its own once more as a mark at the end of its span; running
+    sums at the mark less those before the row are what lies between.
+    """
+    t = t.withColumns({"_range": F.floor(F.col("secs") / span), "_high": F.coalesce(high, F.lit(False)).cast("long"), "_amount": F.coalesce(F.col("amount"), F.lit(0.0))})
+    as_of = lambda kind, at, range_: F.struct(F.lit(kind).alias("kind"), at.alias("at"), range_.alias("range"))
+    own = F.col("_range")
+    t = t.withColumn("_x", F.explode(F.array(as_of(0, F.col("secs"), own), as_of(0, F.col("secs"), own - 1), as_of(1, F.col("secs") + span, own))))
+    group = Window.partitionBy(key, "_x.range")
+    is_row = F.col("_x.kind") == 0
+    sums = {"n": F.when(is_row, 1).otherwise(0), "total": F.when(is_row, F.col("_amount")).otherwise(0.0), "n_high": F.when(is_row, F.col("_high")).otherwise(0)}
+    order = group.orderBy("_x.at", "_x.kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumns({f"_{k}": F.sum(x).over(order) for k, x in sums.items()})
+    # A row's own running sums come to its mark, which follows it in the order of the rows.
+    each = Window.partitionBy(key, "_x.range", "seq", "secs").orderBy("_x.kind", "_x.at")
+    before = {k: F.first(F.col(f"_{k}") - x).over(each) for k, x in sums.items()}
+    t = t.withColumns({f"_b_{k}": x for k, x in before.items()}).where("_x.kind = 1")
+    return t.withColumns({k: F.col(f"_{k}") - F.col(f"_b_{k}") for k in sums}).drop("_x", "_range", "_high", "_amount", *[f"_{k}" for k in sums], *[f"_b_{k}" for k in sums])
+
+
 def _windows(t: DataFrame, key: str, policy: Policy, combined: bool) -> DataFrame:
     """For each key the first row from which on enough rows within the days all stay below the threshold."""
-    span = policy.split_days * DAY
-    order = Window.partitionBy(key).orderBy("secs", "seq")
-    # A range frame takes in rows of the same second that come before; they are counted out again.
-    ahead = Window.partitionBy(key).orderBy("secs").rangeBetween(0, span)
-    same = Window.partitionBy(key, "secs").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(0, Window.unboundedFollowing)
-    over = F.when(F.col("amount") >= policy.split_below, F.col("secs"))
-    t = t.select("*", (F.count("*").over(ahead) - F.count("*").over(same)).alias("n"), (F.sum("amount").over(ahead) - F.coalesce(F.sum("amount").over(same), F.lit(0.0))).alias("total"), F.min(over).over(rest).alias("next_over"))
-    t = t.where((F.col("n") >= policy.split_count) & (F.col("next_over").isNull() | (F.col("next_over") > F.col("secs") + span)))
+    t = ahead(t, key, policy.split_days * DAY, F.col("amount") >= policy.split_below).where((F.col("n") >= policy.split_count) & (F.col("n_high") == 0))
     if combined:
         t = t.where(F.col("total") > policy.approval_above)
-    return t.withColumn("r", F.row_number().over(order)).where("r = 1")
+    columns = [c for c in t.columns if c != key]
+    first = t.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct("secs", "seq")).alias("_first"))
+    return first.select(key, *[F.col("_first")[c].alias(c) for c in columns])
 
 
 def split_billing(t: DataFrame, policy: Policy = POLICY) -> DataFrame:
@@ -160,8 +178,7 @@ def round_numbers(t: DataFrame) -> DataFrame:
 def frequent_merchants(t: DataFrame) -> DataFrame:
     """Receivers of more than five merchant payments within some thirty days."""
     t = t.where(S.tags(F.col("description"))["is_merchant"]).withColumn("receiver", F.upper(F.trim(S.receiver(F.col("description"))))).where("receiver is not null")
-    ahead = Window.partitionBy("receiver").orderBy("secs").rangeBetween(0, 30 * DAY)
-    g = t.withColumn("n", F.count("*").over(ahead)).groupBy("receiver").agg(F.max("n").alias("n"), F.sum("amount").alias("total")).where("n > 5")
+    g = ahead(t, "receiver", 30 * DAY, F.lit(False)).groupBy("receiver").agg(F.max("n").alias("n"), F.sum("amount").alias("total")).where("n > 5")
     return findings(g, "frequent_merchant_payments", LOW, 0.5, F.col("receiver"), F.col("total"), n=F.col("n"))
 
 

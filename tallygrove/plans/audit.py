@@ -2,28 +2,53 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..graphs import stored
 from ..operators import expenses as E
+from ..operators import forest
 from ..operators import invoices as I
+from ..operators import matching as M
 from ..operators import reports as R
 from ..operators import transactions as T
-from ..operators.matching import stored
 
-TRANSACTION_CHECKS = (T.amount_outliers, T.timing, T.split_billing, T.many_sources, T.personal_accounts, T.fast_payments, T.just_below, T.reissued, T.cash_withdrawals, T.round_numbers, T.frequent_merchants, T.loan_burden, T.unmatched_refunds, T.untaxed_vendors, T.shared_accounts)
-TRANSACTION_RULES = (lambda t: T.over_limits(t, F.col("category")), T.round_bias)
+TRANSACTION_CHECKS = (
+    T.amount_outliers, T.timing, T.frequency, T.split_billing, forest.multivariate, T.many_sources, T.personal_accounts, T.fast_payments, T.just_below, T.reissued, T.cash_withdrawals,
+    T.round_numbers, T.frequent_merchants, T.loan_burden, T.unmatched_refunds, T.untaxed_vendors, T.shared_accounts,
+)
+TRANSACTION_RULES = (lambda t: T.over_limits(t, F.col("category")), T.split_billing_combined, T.round_bias)
 EXPENSE_CHECKS = (E.weekend, E.consecutive, E.late, E.split, E.round_large, E.limits)
 TAX_CHECKS = (I.invalid_gstins, I.repeated_numbers, I.tax_sums)
 ROW_CHECKS = (I.row_checks, I.repeated_rows)
-INVOICE_CHECKS = (I.no_address, I.no_gstin, I.duplicates, I.tax_consistency, I.same_amounts, I.sudden_activity, I.one_timers, I.busy_months, I.clustering, I.unusually_high, I.split_taxes, I.tax_types)
-
-
-def checked(txns: DataFrame, claims: DataFrame, tax_lines: DataFrame, rows: DataFrame, invoices: DataFrame) -> DataFrame:
-    """The findings of all row, group, window and join checks, in one DataFrame."""
-    out = [f(txns) for f in (*TRANSACTION_CHECKS, *TRANSACTION_RULES)] + [f(claims) for f in EXPENSE_CHECKS] + [f(tax_lines) for f in TAX_CHECKS] + [f(rows) for f in ROW_CHECKS] + [f(invoices) for f in INVOICE_CHECKS]
+INVOICE_CHECKS = (I.no_address, I.no_gstin, I.duplicates, I.tax_consistency, I.near_duplicates, I.same_amounts, I.mismatched_names, I.sudden_activity, I.one_timers, I.busy_months, I.clustering, I.unusually_high, I.split_taxes, I.tax_types)
+
+
+@dataclass
+class Books:
+    """The canonical tables of an audit, prepared: transactions, expense claims, tax lines, invoice rows, invoices, paid
+    invoices (with ``pay_date``), vendors seen before, all vendors, the blacklist and the employees."""
+
+    txns: DataFrame
+    claims: DataFrame
+    tax_lines: DataFrame
+    rows: DataFrame
+    invoices: DataFrame
+    paid: DataFrame
+    known: DataFrame
+    vendors: DataFrame
+    blacklist: DataFrame
+    employees: DataFrame
+
+
+def checked(books: Books) -> DataFrame:
+    """The findings of every check and rule, in one DataFrame.  Each table is prepared and stored once."""
+    b = Books(**{k: stored(v, k) for k, v in vars(books).items()})
+    out = [f(b.txns) for f in (*TRANSACTION_CHECKS, *TRANSACTION_RULES)] + [f(b.claims) for f in EXPENSE_CHECKS] + [f(b.tax_lines) for f in TAX_CHECKS] + [f(b.rows) for f in ROW_CHECKS] + [f(b.invoices) for f in INVOICE_CHECKS]
+    out += [M.like_employees(b.vendors, b.employees), I.new_vendors(b.invoices, b.known), M.blacklisted(b.vendors, b.blacklist), I.payment_terms(b.paid), M.related(b.vendors, b.employees)]
     return reduce(DataFrame.unionByName, out)
 
 

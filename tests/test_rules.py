@@ -79,6 +79,46 @@ def test_reconciliation_is_sequential_greedy(spark, seed):
     assert got == want
 
 
+def test_reconciliation_of_many_equals_and_by_rounds(spark, monkeypatch):
+    """Any number of invoices that like the same payments alike, served in one task or by rounds."""
+    rows = [(i, p, 0.9) for i in range(12) for p in range(12)]
+    want = {f"I{i}": f"P{i}" for i in range(12)}
+    assert {r["invoice_id"]: r["txn_id"] for r in matching.reconciled(cand(spark, rows)).collect()} == want
+    monkeypatch.setattr(matching, "GROUP", 10)
+    assert {r["invoice_id"]: r["txn_id"] for r in matching.reconciled(cand(spark, [r for r in rows if r[0] < 4])).collect()} == {k: want[k] for k in list(want)[:4]}
+
+
+def test_names_of_a_ratio_share_a_gram(spark):
+    """Blocking loses no pair: every pair whose ratio reaches the limit is found, at any length."""
+    import difflib
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.choice([3, 6, 11, 14, 20, 33]))) for _ in range(60)]
+    others = []
+    for i, w in enumerate(words):
+        x = list(w)
+        for _ in range(rng.randrange(0, 1 + len(x) // 6)):
+            x[rng.randrange(len(x))] = rng.choice("abcdz")
+            if rng.random() < 0.5:
+                x.insert(rng.randrange(len(x)), "q")
+        others.append((i, "".join(x)))
+    a, b = spark.createDataFrame([(w,) for w in words], "name string"), spark.createDataFrame(others, "pos int, other string")
+    for limit in (0.8, 0.88, 0.9):
+        want = {(x, y) for x in words for _, y in others if difflib.SequenceMatcher(None, x, y).ratio() >= limit}
+        assert want and {(r["name"], r["other"]) for r in matching._ratio_pairs(a, b, limit).collect()} == want
+
+
+def test_windows_equal_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(f"2024-01-{rng.randint(1, 28):02d}T{rng.choice([0, 10]):02d}:00:00", f"V{rng.choice([0, 0, 1, 2])}", "pay", rng.choice([100.0, 2000.5, 120_000.0])) for _ in range(80)]
+    t = txns(spark, rows)
+    got = {r["seq"]: (r["n"], round(r["total"], 2), r["n_high"]) for r in transactions.ahead(t, "party_name", 7 * 86_400, F.col("amount") >= 100_000).collect()}
+    all_rows = t.select("seq", "secs", "party_name", "amount").collect()
+    for a in all_rows:
+        near = [b for b in all_rows if b["party_name"] == a["party_name"] and a["secs"] <= b["secs"] <= a["secs"] + 7 * 86_400 and (b["secs"] > a["secs"] or b["seq"] >= a["seq"])]
+        assert got[a["seq"]] == (len(near), round(sum(b["amount"] for b in near), 2), sum(b["amount"] >= 100_000 for b in near))
+
+
 def made(spark, rows):
     f = spark.createDataFrame(rows, "kind string, severity string, score double, ids array<string>").withColumn("document_name", F.lit("d"))
     return findings(f, F.col("kind"), F.col("severity"), F.col("score"), F.array_join("ids", "-"), F.lit(1.0), F.col("ids"))
@@ -86,8 +126,10 @@ def made(spark, rows):
 
 def test_merge_joins_what_a_finding_bridges(spark):
     f = made(spark, [("a", "LOW", 0.9, ["1", "2"]), ("b", "HIGH", 0.5, ["3", "4"]), ("c", "MEDIUM", 0.7, ["2", "3"]), ("d", "LOW", 0.1, ["9"])])
-    got = {r["finding_type"]: (r["score"], r["transaction_ids"], r["merged_types"]) for r in reports.merged(f.repartition(3)).collect()}
-    assert got == {"b": (0.9, ["1", "2", "3", "4"], ["a", "b", "c"]), "d": (0.1, ["9"], ["d"])}
+    got = {r["finding_type"]: (r["score"], r["merged_types"], r["n"]) for r in reports.merged(f.repartition(3)).collect()}
+    assert got == {"b": (0.9, ["a", "b", "c"], 3), "d": (0.1, ["d"], 1)}
+    ids = reports.members(f).groupBy("root").agg(F.array_sort(F.collect_list("transaction_id")).alias("ids")).collect()
+    assert sorted(r["ids"] for r in ids) == [["1", "2", "3", "4"], ["9"]]
 
 
 @pytest.mark.parametrize("n, want", [(0, 0.0), (1, 6.0), (9, 52.0), (50, 100.0)])
