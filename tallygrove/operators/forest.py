@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..graphs import stored
 from ..schema import HIGH, MEDIUM, findings
+from .quantiles import quantiles
 
 TREES, SAMPLE = 100, 256
 CONTAMINATION = 0.05
@@ -48,12 +50,12 @@ def depths(tree, x: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
 def multivariate(t: DataFrame, seed: int = 42) -> DataFrame:
     """The five per cent of larger payments that are most easily isolated by amount, hour, weekday and vendor frequency."""
     t = t.where(~F.col("transaction_category").isin("SALARY", "EMI", "REFUND"))
-    stats = t.agg(F.count("*").alias("n"), F.percentile("amount", 0.25).alias("q25")).first()
-    t = t.where(F.col("amount") >= max(stats["q25"] or 0.0, 500.0))
+    n, q25 = t.count(), quantiles(t, "amount", [0.25]).first()
+    t = t.where(F.col("amount") >= max(q25["q"][0] if q25["q"] else 0.0, 500.0))
     t = t.withColumn("frequency", F.count("*").over(Window.partitionBy("party_name")).cast("double"))
     features = ["amount", "hour", "day", "frequency"]
     t = t.withColumns({"hour": F.hour("ts").cast("double"), "day": F.weekday("ts").cast("double")})
-    if stats["n"] < 20 or t.count() < 20:
+    if n < 20 or t.count() < 20:
         return findings(t.where("false"), "multivariate_anomaly", HIGH, 0.0, F.col("txn_id"), F.col("amount"))
     picked = t.select(*features).orderBy(F.xxhash64("txn_id", F.lit(seed)), "txn_id").limit(TREES * SAMPLE).toPandas().to_numpy(np.float64)
     rng = np.random.default_rng(seed)
@@ -69,7 +71,7 @@ def multivariate(t: DataFrame, seed: int = 42) -> DataFrame:
             depths(tree, x, np.arange(len(x)), total)
         return pd.Series(-(2.0 ** (-total / len(shared.value) / usual)))
 
-    t = t.withColumn("s", score(*features))
-    cut = t.agg(F.percentile("s", CONTAMINATION)).first()[0]
+    t = stored(t.withColumn("s", score(*features)), "forest")  # scored once
+    cut = quantiles(t, "s", [CONTAMINATION]).first()["q"][0]
     t = t.where(F.col("s") < cut).withColumn("magnitude", F.lit(cut) - F.col("s"))
     return findings(t, "multivariate_anomaly", F.when(F.col("magnitude") > 0.25, HIGH).otherwise(MEDIUM), F.round(F.least(F.lit(1.0), 0.55 + F.col("magnitude")), 6), F.col("txn_id"), F.col("amount"))

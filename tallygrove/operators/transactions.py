@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schema import HIGH, LOW, MEDIUM, POLICY, Policy, findings
+from .quantiles import quantiles
 
 DAY = 86_400
 
@@ -34,9 +35,10 @@ def amount_outliers(t: DataFrame) -> DataFrame:
     t = without(t, "SALARY", "INTEREST", "CHARGES")
     positive = F.when(F.col("amount") > 0, F.col("amount"))
     stats = t.groupBy("category").agg(
-        F.count("*").alias("n"), F.count(positive).alias("np"), F.count_distinct(positive).alias("nd"), F.avg(positive).alias("mean"), F.stddev_pop(positive).alias("std"), F.percentile(positive, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
+        F.count("*").alias("n"), F.count(positive).alias("np"), F.count_distinct(positive).alias("nd"), F.avg(positive).alias("mean"), F.stddev_pop(positive).alias("std")
     )
-    stats = stats.where("n >= 5 and np >= 5 and nd > 1")
+    ranks = quantiles(t.where("amount > 0"), "amount", [0.25, 0.5, 0.75], ["category"]).withColumnRenamed("category", "qc")
+    stats = stats.where("n >= 5 and np >= 5 and nd > 1").join(ranks, F.col("category").eqNullSafe(F.col("qc"))).drop("qc")
     limit = F.when(F.col("n") >= 30, 3.0).when(F.col("n") >= 15, 3.5).otherwise(4.0)
     j = t.where("amount > 0").alias("t").join(stats.withColumnRenamed("category", "cat"), F.col("category").eqNullSafe(F.col("cat")))
     z = F.coalesce(F.abs(F.col("amount") - F.col("mean")) / F.nullif("std", F.lit(0.0)), F.lit(0.0))
@@ -50,7 +52,7 @@ def timing(t: DataFrame, policy: Policy = POLICY) -> DataFrame:
     """K2: payments outside office hours, at weekends or on holidays."""
     t = without(t, "TDS", "CHARGES", "INTEREST")
     midnight = (F.hour("ts") == 0) & (F.minute("ts") == 0) & (F.second("ts") == 0)
-    stats = t.agg(F.avg(midnight.cast("double")).alias("share"), F.count("*").alias("n"), F.max("amount").alias("top"), F.percentile("amount", 0.9).alias("q90"))
+    stats = t.agg(F.avg(midnight.cast("double")).alias("share"), F.count("*").alias("n"), F.max("amount").alias("top")).crossJoin(quantiles(t, "amount", [0.9]).select(F.get("q", F.lit(0)).alias("q90")))  # one row each
     t = t.crossJoin(F.broadcast(stats))  # one row
     weekend, hour = F.weekday("ts") >= 5, F.hour("ts")
     off = (F.col("share") < 0.9) & ((hour < policy.opens) | (hour > policy.closes))
@@ -132,7 +134,7 @@ def personal_accounts(t: DataFrame) -> DataFrame:
 
 def fast_payments(t: DataFrame) -> DataFrame:
     """Large payments on the day of their invoice."""
-    q = t.agg(F.percentile("amount", 0.9).alias("q90"))
+    q = quantiles(t, "amount", [0.9]).select(F.get("q", F.lit(0)).alias("q90"))
     t = t.crossJoin(F.broadcast(q)).where((F.to_date("ts") == F.col("invoice_date")) & (F.col("amount") >= F.greatest(F.lit(100_000.0), "q90")))
     return findings(t, "payment_unusually_fast_after_invoice", MEDIUM, 0.76, F.col("txn_id"), F.col("amount"))
 

@@ -386,7 +386,6 @@ query("J10", "SELECT DISTINCT name, gstin FROM (SELECT vendor_name AS name, vend
 
 # Joins ---------------------------------------------------------------------------------------------------------------
 
-_VEC = "(SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, embedding AS vec, count(*) OVER () AS n FROM embeddings)"
 _CAND = (
     """WITH e AS (SELECT vec_id AS k, embedding AS vec FROM embeddings), i AS (SELECT o_orderkey AS seq, cast(o_orderdate AS date) AS d, round(o_totalprice, 2) AS amt, vec FROM orders JOIN e ON o_custkey % 100 = k),
 p AS (SELECT txn_id, p.seq, pay_date, amount, vec FROM {v_pay} p JOIN e ON vendor_key = k),
@@ -409,7 +408,14 @@ def cands(s: SparkSession, d: str) -> DataFrame:
 query("J1", _CAND + " SELECT invoice_id, arg_min(txn_id, p_seq) AS txn_id, round(any_value(confidence), 4) AS confidence FROM (SELECT *, max(confidence) OVER (PARTITION BY invoice_id) AS top FROM c) x WHERE confidence = top GROUP BY invoice_id")(
     lambda s, d: M.best_match(cands(s, d)).select("invoice_id", "txn_id", F.round("confidence", 4).alias("confidence"))
 )
-query("J2")(lambda s, d: M.reconciled(cands(s, d)).select("invoice_id", "txn_id", "confidence"))
+_SERVED = (
+    _CAND.replace("WITH", "WITH RECURSIVE", 1)
+    + """, r AS (SELECT invoice_id, row_number() OVER (ORDER BY i_seq) AS k, list(p_seq ORDER BY confidence DESC, p_seq) AS prefs, list(confidence ORDER BY confidence DESC, p_seq) AS confs FROM c GROUP BY i_seq, invoice_id),
+g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS pick UNION ALL
+  SELECT k2, CASE WHEN pick2 IS NULL THEN used ELSE list_append(used, pick2) END, pick2 FROM (SELECT r.k AS k2, used, list_filter(prefs, x -> NOT list_contains(used, x))[1] AS pick2 FROM g JOIN r ON r.k = g.k + 1) s),
+m AS (SELECT invoice_id, 'P' || pick AS txn_id, confs[list_position(prefs, pick)] AS confidence FROM g JOIN r USING (k) WHERE pick IS NOT NULL)"""
+)
+query("J2", _SERVED + " SELECT * FROM m")(lambda s, d: M.reconciled(cands(s, d)).select("invoice_id", "txn_id", "confidence"))
 
 
 def unmatched_both(s: SparkSession, d: str) -> DataFrame:
@@ -419,7 +425,7 @@ def unmatched_both(s: SparkSession, d: str) -> DataFrame:
     return M.unmatched(i.select("invoice_id"), done, "invoice_id").select(F.lit("invoice").alias("side"), F.col("invoice_id").alias("id")).unionByName(M.unmatched(p.select("txn_id"), done, "txn_id").select(F.lit("payment").alias("side"), F.col("txn_id").alias("id")))
 
 
-query("J3")(unmatched_both)
+query("J3", _SERVED + " SELECT 'invoice' AS side, 'I' || seq AS id FROM i WHERE 'I' || seq NOT IN (SELECT invoice_id FROM m) UNION ALL SELECT 'payment', txn_id FROM p WHERE txn_id NOT IN (SELECT txn_id FROM m)")(unmatched_both)
 query("J4", "SELECT a.seq AS a_seq, b.seq AS b_seq, round(a.total_amount, 2) AS amount FROM {v_dup_names} a JOIN {v_dup_names} b ON (a.vendor_name = b.vendor_name OR substr(a.vendor_name, 2) = b.vendor_name) AND a.seq < b.seq AND abs(a.total_amount - b.total_amount) <= 0.0100001 AND abs(date_diff('day', a.invoice_date, b.invoice_date)) <= 7")(
     lambda s, d: M.fuzzy_duplicates(view(s, d, "v_dup_names"))
 )
@@ -432,10 +438,10 @@ query("J5", f"SELECT * FROM (SELECT query_id, vec_id, similarity, row_number() O
 _ALTERED = "concat(substr(name, 1, 4), substr(name, 6))"
 query(
     "R21",
-    found("vendor_blacklist", "HIGH", "0.9", "vendor_name", "NULL", "FROM (SELECT substr(md5('s' || s_suppkey), 1, 20) AS vendor_name FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT DISTINCT vendor_name FROM {v_inv} i WHERE vendor_gst IN (SELECT vendor_gst FROM {v_inv} j WHERE vendor_name IN ('Vendor 7', 'Vendor 11'))) v"),
+    found("vendor_blacklist", "HIGH", "0.9", "vendor_name", "NULL", "FROM (SELECT substr(md5('s' || s_suppkey), 1, 20) AS vendor_name FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT vendor_name FROM (SELECT DISTINCT vendor_name, vendor_gst FROM {v_inv} i WHERE vendor_gst IN (SELECT vendor_gst FROM {v_inv} j WHERE vendor_name IN ('Vendor 7', 'Vendor 11'))) g) v"),
 )(lambda s, d: short(M.blacklisted(view(s, d, "v_vendor"), view(s, d, "v_black"))))
-query("J6", "SELECT DISTINCT vendor_name, vendor_gst FROM {v_inv} i WHERE vendor_gst IN (SELECT gstin FROM {v_black} b WHERE gstin <> '')")(
-    lambda s, d: M.blacklisted(view(s, d, "v_inv"), view(s, d, "v_black")).join(view(s, d, "v_inv").select(F.col("vendor_name").alias("entity"), "vendor_gst").distinct(), "entity").select(F.col("entity").alias("vendor_name"), "vendor_gst")
+query("J6", "SELECT DISTINCT vendor_name FROM {v_inv} i WHERE vendor_gst IN (SELECT gstin FROM {v_black} b WHERE gstin <> '')")(
+    lambda s, d: M.blacklisted(view(s, d, "v_inv"), view(s, d, "v_black")).select(F.col("entity").alias("vendor_name")).distinct()
 )
 query("R24", found("related_party_vendor", "HIGH", "0.9", _ALTERED, "NULL", "FROM {v_emp} e"))(lambda s, d: short(M.related(view(s, d, "v_vendor"), view(s, d, "v_emp"))))
 query("J7", f"SELECT {_ALTERED} AS vendor, name AS employee, round(38 / 39.0, 4) AS ratio FROM {{v_emp}} e")(

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,20 @@ def test_windows_equal_brute_force(spark):
         assert got[a["seq"]] == (len(near), round(sum(b["amount"] for b in near), 2), sum(b["amount"] >= 100_000 for b in near))
 
 
+def test_quantiles_are_exact(spark):
+    from tallygrove.operators.quantiles import quantiles
+
+    r = random.Random(1)
+    rows = [(r.choice(["a", "b", None]), r.choice([5.0, r.random() * 1e6, float(r.randrange(50))])) for _ in range(30_000)] + [("c", 3.5), ("d", 1.0), ("d", 2.0), ("e", None)]
+    d, ps = spark.createDataFrame(rows, "g string, x double"), [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+    got = quantiles(d, "x", ps, ["g"]).collect()
+    assert len(got) == 5
+    for g in got:
+        assert g["q"] == pytest.approx(list(np.quantile([x for k, x in rows if k == g["g"] and x is not None], ps)))
+    assert quantiles(d, "x", ps).first()["q"] == pytest.approx(list(np.quantile([x for _, x in rows if x is not None], ps)))
+    assert quantiles(d.limit(0), "x", ps).first()["q"] == []
+
+
 def made(spark, rows):
     f = spark.createDataFrame(rows, "kind string, severity string, score double, ids array<string>").withColumn("document_name", F.lit("d"))
     return findings(f, F.col("kind"), F.col("severity"), F.col("score"), F.array_join("ids", "-"), F.lit(1.0), F.col("ids"))
