@@ -1,13 +1,12 @@
-"""What the operators share: reading tables, cutting lineage in the shared folder, connected components."""
+"""What the operators share: reading tables, slices of batches, keys of rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..graphs import components, stored  # noqa: F401 (for the operators)
+
 #: White space of the word rule ``[^\x20\x09-\x0D]+`` as a Java character class.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,25 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one of our own only where that is unset in local mode (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tallygrove-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batches, rows: int = 1000):
     """Arrow batches cut to ``rows`` rows and about 4 MB, so that what a task makes of one stays small."""
     for b in batches:
@@ -43,33 +23,6 @@ def slices(batches, rows: int = 1000):
             yield b.slice(at, step)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an undirected edge list of longs: (node, root), root the smallest id reachable.
-
-    Every round moves each node to the one of least hash among itself and its neighbours and contracts the edges, until
-    none is left; a fixed hash as order makes a star settle in two rounds and a path in a logarithmic number.  A step
-    groups by node only to find a minimum, partially aggregated, and joins it back, so no component is gathered in one
-    task.  Each round is written to the shared folder.  Nodes without edges do not occur in the result.
-    """
-    e = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
-    e, labels = stored(e, "cc"), None
-    while labels is None or e.take(1):
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.struct(F.xxhash64("v").alias("h"), "v")).alias("m"))
-        own = F.struct(F.xxhash64("u").alias("h"), F.col("u").alias("v"))
-        # Stored, so that both sides of the joins are plain shuffles, which Spark splits where a hub is hot.
-        to = stored(least.select("u", F.least("m", own)["v"].alias("p")), "cc")
-        if labels is None:
-            labels = to.select(F.col("u").alias("node"), F.col("p").alias("root"))
-        else:
-            labels = stored(labels.join(to, labels["root"] == to["u"], "left").select("node", F.coalesce("p", "root").alias("root")), "cc")
-        moved = e.join(to, "u").select("v", F.col("p").alias("x"))
-        moved = moved.join(to.select(F.col("u").alias("v"), F.col("p").alias("y")), "v").where("x <> y")
-        e = stored(moved.select(F.least("x", "y").alias("v"), F.greatest("x", "y").alias("u")).distinct(), "cc")
-    least = labels.groupBy("root").agg(F.min("node").alias("least"))
-    return labels.join(least, "root").select("node", F.col("least").alias("root"))
-
-
 def row_key(docs: DataFrame) -> Column:
     """A hash of all columns of a row, nulls included: rows of one id and one key are equal."""
     return F.xxhash64(*[docs[c] for c in docs.columns], *[F.isnull(docs[c]) for c in docs.columns])
