@@ -39,6 +39,37 @@ def test_search_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_search_over_shards_verifies_few(spark, monkeypatch):
+    """With a bound from the first shard; the share verified in a shard, on vectors without any structure."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neighbours, "SHARD", 1200)
+    x = np.random.default_rng(3).normal(size=(3600, 64)).astype(np.float32).astype(np.float64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in neighbours.nearest(table(spark, x), F.col("vec_id") % 50 == 0, 5).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(x), 50):
+        c = u @ u[q]
+        c[q] = -9
+        hits += len(got[q] & set(np.argsort(-c)[:5].tolist()))
+    assert hits / (5 * len(got)) >= 0.9
+    index = neighbours.Index(x[:3000], np.arange(3000))
+    for q in range(3000, 3100):
+        index.best(u[q], -1, 5, float(np.sqrt(2 - 2 * np.sort(u[:3000] @ u[q])[-5])))
+    assert index.verified <= 0.25 * 3000 * 100
+
+
+def test_search_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.01])] * 4 + [(i, [1.0, 0.1 * i]) for i in range(2, 10)]
+    d = spark.createDataFrame([(i, v, 0, 1, "x") for i, v in rows], SCHEMA)
+    got = {r["rank"]: r["vec_id"] for r in neighbours.nearest(d, F.col("vec_id") == 0, 5).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5}
+
+
 def test_search_odd_tables(spark):
     from pyspark.sql import functions as F
 
