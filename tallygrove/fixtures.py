@@ -128,7 +128,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text pages of forty lines, made of v_txn in order of time: date, text, amount with DR or CR, running balance."""
+    """Text pages of forty transactions, made of v_txn in order of time: date, text, amount with DR or CR, running balance.
+
+    A page begins with a heading (of two kinds, by vendor) and ends with two lines of text and its total; every eleventh
+    transaction is followed by a line of text that belongs to it."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
@@ -138,6 +141,9 @@ def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     money = lambda c: F.format_string("%.2f", F.col(c))
     gap = F.when(F.col("n") % 7 == 6, "\n").otherwise(" ")
     line = F.concat(F.date_format("ts", "dd/MM/yyyy"), F.lit(" "), "description", gap, money("amount"), F.when(F.col("credit") > 0, " CR ").otherwise(" DR "), money("balance"))
+    line = F.concat(line, F.when(F.col("n") % 11 == 5, F.concat(F.lit("\nnote "), F.col("n").cast("string"))).otherwise(""))
     t = t.withColumns({"line": line, "page_no": F.floor(F.col("n") / 40)})
-    pages = t.groupBy("party_name", "page_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("raw_text"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    head = F.when(F.right("party_name", F.lit(1)).isin("0", "2", "4", "6", "8"), "Value Date  Particulars  Chq No  Withdrawal  Deposit  Closing Balance").otherwise("Narration|Txn Date|Amount|Balance")
+    pages = t.groupBy("party_name", "page_no").agg(F.concat_ws("\n", head, body, F.lit("Statement of account"), F.lit("Page total 5,000.00")).alias("raw_text"))
     return pages.select(F.col("party_name").alias("document_name"), "page_no", "raw_text")

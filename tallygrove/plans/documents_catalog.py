@@ -14,23 +14,46 @@ _DIGITS = "coalesce(try_cast(regexp_extract(replace(amount_text, ',', ''), '(\\d
 query("B1b", f"SELECT seq, {_DIGITS} AS value, CASE WHEN amount_text LIKE '%Dr' THEN 'DR' WHEN amount_text LIKE '%Cr' THEN 'CR' END AS side FROM {{v_raw}} v")(
     lambda s, d: view(s, d, "v_raw").select("seq", D.suffixed_amount(F.col("amount_text")).alias("x")).select("seq", "x.*")
 )
-query("B1c", f"SELECT seq, round(CASE seq % 8 WHEN 0 THEN CASE WHEN n >= 10000 THEN n / 100 ELSE n END WHEN 1 THEN n WHEN 6 THEN 0.0 ELSE CASE WHEN n <= 99999 THEN n ELSE 0.0 END END, 2) AS x FROM (SELECT seq, {_DIGITS} AS n FROM {{v_raw}} v) y")(
-    lambda s, d: view(s, d, "v_raw").select("seq", F.round(D.noisy_amount(F.col("amount_text")), 2).alias("x"))
+# Cells whose amount is known: a row number before it, letters read for zeros, a lost point, letters beside digits, a side
+# before it, too large a value, a whole number; by turns.
+_CELL = "CASE seq % 7 WHEN 0 THEN concat(cast(seq % 900 AS varchar), ' ', cents, '.25') WHEN 1 THEN concat(cents, '1.uu') WHEN 2 THEN concat(cents, '75') WHEN 3 THEN concat('x', cents, '.50y') WHEN 4 THEN concat('DR ', cents, '.10') WHEN 5 THEN concat('9', lpad(cents, 9, '0'), '.00') ELSE concat('paid ', cast(seq % 1000 AS varchar)) END"
+_CENTS = "lpad(cast(seq % 90000 + 10000 AS varchar), 5, '0')"
+query("B1c", f"SELECT seq, round(CASE seq % 7 WHEN 0 THEN c + 0.25 WHEN 1 THEN c * 10 + 1 WHEN 2 THEN c + 0.75 WHEN 3 THEN c + 0.5 WHEN 4 THEN c + 0.1 WHEN 5 THEN 0.0 ELSE seq % 1000 END, 2) AS x FROM (SELECT seq, try_cast({_CENTS} AS double) AS c FROM {{v_raw}} v) y")(
+    lambda s, d: view(s, d, "v_raw").withColumn("cents", F.expr(_CENTS.replace("varchar", "string"))).select("seq", F.round(D.noisy_amount(F.expr(_CELL.replace("varchar", "string"))), 2).alias("x"))
 )
 query("B2b", ORACLES["B2"])(lambda s, d: view(s, d, "v_raw").select("seq", F.date_format(S.clean_date(F.col("date_text")), "yyyy-MM-dd").alias("day")))
-query("B2c", f"SELECT b.seq, CASE WHEN b.seq % 6 NOT IN (0, 3) THEN day END AS day FROM ({ORACLES['B2']}) b")(lambda s, d: view(s, d, "v_raw").select("seq", F.date_format(D.scanned_date(F.col("date_text")), "yyyy-MM-dd").alias("day")))
-query("B7", "SELECT txn_id, cast(NULL AS varchar) AS upi_app, nullif(regexp_extract(description, 'UPI/([A-Za-z0-9]+)', 1), '') AS reference_number FROM {v_txn} v")(lambda s, d: view(s, d, "v_txn").select("txn_id", D.upi(F.col("description")).alias("x")).select("txn_id", "x.upi_app", "x.reference_number"))
+_SCAN = "concat('paid on ', CASE seq % 4 WHEN 0 THEN concat(dd, '/', mm, '/', yyyy) WHEN 1 THEN concat(dd, '-', mm, '-', right(yyyy, 2)) WHEN 2 THEN concat(dd, ' ', left(mon, 3), ' ', yyyy) ELSE concat(dd, ' ', left(mon, CASE WHEN mon IN ('Oct', 'Jan', 'Feb', 'Sep') THEN 2 ELSE 3 END), ' ', yyyy) END, ' at noon')"
+_PARTS = "SELECT seq, lpad(cast(seq % 28 + 1 AS varchar), 2, '0') AS dd, lpad(cast(seq % 12 + 1 AS varchar), 2, '0') AS mm, cast(2000 + seq % 25 AS varchar) AS yyyy, substr('JanFebMarAprMayJunJulAugSepOctNovDec', cast((seq % 12) * 3 + 1 AS int), 3) AS mon"
+query("B2c", f"SELECT seq, yyyy || '-' || mm || '-' || dd AS day FROM ({_PARTS} FROM {{v_raw}} v) p")(
+    lambda s, d: view(s, d, "v_raw").selectExpr(*_PARTS.replace("varchar", "string").removeprefix("SELECT ").replace(", lpad", "\n lpad").replace(", cast(2000", "\n cast(2000").replace(", substr", "\n substr").split("\n")).select("seq", F.date_format(D.scanned_date(F.expr(_SCAN)), "yyyy-MM-dd").alias("day"))
+)
+_APP = "concat('UPI/R', cast(seq AS varchar), '/', CASE seq % 6 WHEN 0 THEN 'PhonePe' WHEN 1 THEN 'x GPAY y' WHEN 2 THEN 'paytm' WHEN 3 THEN 'BHIM' WHEN 4 THEN 'shop.no@okbank' ELSE 'plain' END, '/end')"
+query("B7", "SELECT txn_id, CASE seq % 6 WHEN 0 THEN 'phonepe' WHEN 1 THEN 'gpay' WHEN 2 THEN 'paytm' WHEN 3 THEN 'bhim' END AS upi_app, CASE WHEN seq % 6 = 4 THEN 'shop.no@okbank' END AS recipient, 'R' || seq AS reference_number FROM {v_txn} v")(
+    lambda s, d: view(s, d, "v_txn").select("txn_id", D.upi(F.expr(_APP.replace("varchar", "string"))).alias("x")).select("txn_id", "x.*")
+)
 query(
     "B6",
     "SELECT txn_id, CASE " + " ".join(f"WHEN regexp_matches(lower(description), '{p}') THEN '{n}'" for n, p in D.MODES) + " END AS payment_mode, CASE WHEN description LIKE 'UPI/%' THEN 'Payment' END AS receiver_name, regexp_matches(lower(description), 'reversal|refund|return|chargeback|\\brev\\b') AS is_reversal FROM {v_txn} v",
 )(lambda s, d: view(s, d, "v_txn").select("txn_id", D.second_tags(F.col("description")).alias("x")).select("txn_id", "x.payment_mode", "x.receiver_name", "x.is_reversal"))
 _NUMBER = "coalesce(" + ", ".join(f"nullif(trim(regexp_extract(text, '{p}', 1)), '')" for p in D.FIELDS["invoice_number"]) + ")"
 _GSTIN = f"nullif(regexp_extract(upper(text), '({S.GSTIN})', 1), '')"
-query("B15", f"SELECT doc_id, {_NUMBER} AS invoice_number, {_GSTIN} AS gstin FROM {{v_text}} v")(lambda s, d: view(s, d, "v_text").select("doc_id", D.invoice_fields(F.col("text")).alias("x")).select("doc_id", "x.invoice_number", "x.gstin"))
-query("B16", f"SELECT doc_id, CASE WHEN {_GSTIN} IS NULL THEN 'no GSTIN' ELSE '' END AS tax_warning FROM {{v_text}} v")(lambda s, d: view(s, d, "v_text").select("doc_id", F.regexp_extract(D.invoice_fields(F.col("text"))["warnings"], "(no GSTIN)", 1).alias("tax_warning")))
+# An invoice block alone, so that every field is known; every third text is a letter without any.
+_BLOCK = "CASE WHEN doc_id % 3 = 0 THEN 'a letter' ELSE concat('Invoice No: INV-', cast(doc_id AS varchar), '\n', CASE WHEN doc_id % 2 = 0 THEN 'Invoice Date: 15/03/2024\n' ELSE '' END, 'Vendor: Firm ', cast(doc_id AS varchar), '\nGSTIN 27ABCDE', lpad(cast(doc_id % 10000 AS varchar), 4, '0'), 'F1Z5\nTotal: Rs. 1,', lpad(cast(doc_id % 1000 AS varchar), 3, '0'), '.50') END"
+_HAS = "doc_id % 3 <> 0"
+query(
+    "B15",
+    f"SELECT doc_id, CASE WHEN {_HAS} THEN 'INV-' || doc_id END AS invoice_number, CASE WHEN {_HAS} AND doc_id % 2 = 0 THEN '2024-03-15' END AS day, CASE WHEN {_HAS} THEN 'Firm ' || doc_id END AS vendor, CASE WHEN {_HAS} THEN 1000.5 + doc_id % 1000 END AS total, CASE WHEN {_HAS} THEN '27ABCDE' || lpad(cast(doc_id % 10000 AS varchar), 4, '0') || 'F1Z5' END AS gstin FROM {{v_text}} v",
+)(lambda s, d: view(s, d, "v_text").select("doc_id", D.invoice_fields(F.expr(_BLOCK.replace("varchar", "string"))).alias("x")).select("doc_id", "x.invoice_number", F.date_format("x.invoice_date", "yyyy-MM-dd").alias("day"), "x.vendor", "x.total", "x.gstin"))
+query("B16", f"SELECT doc_id, CASE WHEN {_HAS} THEN CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.8 END ELSE 0.0 END AS confidence, CASE WHEN {_HAS} THEN '' ELSE 'low confidence; no GSTIN' END AS warnings FROM {{v_text}} v")(
+    lambda s, d: view(s, d, "v_text").select("doc_id", D.invoice_fields(F.expr(_BLOCK.replace("varchar", "string"))).alias("x")).select("doc_id", "x.confidence", "x.warnings")
+)
 query("B29", "SELECT document_name, description, amount FROM (SELECT document_name, unnest(['net', 'tax']) AS description, unnest([subtotal, gst_amount]) AS amount FROM {v_inv} v) x")(
     lambda s, d: D.line_items(view(s, d, "v_inv").select("document_name", F.array(*[F.struct(F.lit(n).alias("description"), F.col(c).alias("amount")) for n, c in (("net", "subtotal"), ("tax", "gst_amount"))]).alias("line_items")))
 )
-query("T10", "SELECT seq, CASE seq % 4 WHEN 0 THEN 'debit' WHEN 1 THEN 'credit' WHEN 2 THEN 'description' ELSE 'balance' END AS name FROM {v_raw} v")(
-    lambda s, d: view(s, d, "v_raw").select("seq", P.page_column(F.element_at(F.array(*[F.lit(x) for x in ("Withdrawal Amt", "Deposits", "Narration", "Closing Balance")]), (F.col("seq") % 4 + 1).cast("int"))).alias("name"))
-)
+# Fixed headings of the fixture, two of each name.
+_HEADS = ("Withdrawal Amt", "DR Amount", "Deposits", "Credit", "Narration", "Transaction Details", "Closing Balance", "Running balance", "Value Date", "Branch")
+_HEAD = "CASE seq % 10 " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HEADS)) + " END"
+query(
+    "T10",
+    f"SELECT seq, CASE WHEN regexp_matches(h, 'withdrawal|debit|^dr') THEN 'debit' WHEN regexp_matches(h, 'deposit|credit|^cr') THEN 'credit' WHEN h LIKE '%balance%' THEN 'balance' WHEN h LIKE '%date%' THEN 'date' WHEN regexp_matches(h, 'narration|particular|description|remark|detail') THEN 'description' ELSE h END AS name FROM (SELECT seq, lower({_HEAD}) AS h FROM {{v_raw}} v) x",
+)(lambda s, d: view(s, d, "v_raw").select("seq", P.page_column(F.expr(_HEAD)).alias("name")))

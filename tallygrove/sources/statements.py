@@ -27,21 +27,63 @@ def lines(pages: DataFrame) -> DataFrame:
     return out.withColumn("line", F.trim("line")).where("line <> ''")
 
 
-def merged(rows: DataFrame, most: int = 4) -> DataFrame:
-    """A transaction begins at a line that starts with a date and takes what follows, ``most`` lines in all."""
-    w = in_order()
-    starts = F.col("line").rlike(rf"^\s*(?:{DATE})")
-    rows = rows.withColumn("txn_no", F.sum(starts.cast("int")).over(w)).where("txn_no > 0")
-    rows = rows.withColumn("k", F.row_number().over(in_order("document_name", "txn_no"))).where(F.col("k") <= most)
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "line_no", "line"))), lambda x: x["line"]), " ")
-    return rows.groupBy("document_name", "txn_no").agg(text.alias("line"), F.min("page_no").alias("page_no"), F.min("line_no").alias("line_no"))
+#: A line that ends a transaction: its last amount, with its side, is at the end.
+TAIL = rf"{MONEY}\s*(?:DR|CR|Dr|Cr)?\s*$"
+# Words of lines that never continue a transaction, and of lines of totals, which are none.
+FRAME = "txn date|statement|account|opening balance|closing balance"
+TOTALS = "(?i)page total|opening balance|closing balance|brought forward|carried forward"
+
+
+def merged(rows: DataFrame, most: int = 4, orphans: int = 2) -> DataFrame:
+    """Lines of one transaction as one line; all other lines stay lines of their own (``txn_no`` 0).
+
+    A transaction begins at a line with a date and ends at the first line with an amount at its end, or after ``most``
+    lines; up to ``orphans`` lines of text alone that follow at once belong to it too.  Every date begins anew, so lines
+    between two dates are all that matters to one another.
+    """
+    starts, tail = F.col("line").rlike(DATE), F.col("line").rlike(TAIL)
+    text = ~F.col("line").rlike(MONEY) & ~F.lower("line").rlike(FRAME) & F.col("line").rlike(r"^[A-Za-z0-9\s/._&\-,:+@()'\"]+$") & F.col("line").rlike("[A-Za-z]")
+    rows = rows.withColumn("txn_no", F.sum(starts.cast("int")).over(in_order()))
+    part, order = Window.partitionBy("document_name", "txn_no"), in_order("document_name", "txn_no")
+    rows = rows.withColumns({"k": F.row_number().over(order), "text": text})
+    rows = rows.withColumn("end", F.least(F.lit(most), F.coalesce(F.min(F.when(tail, F.col("k"))).over(part), F.lit(most))))
+    # The first line after the end that is not text alone, beyond which nothing belongs to the transaction.
+    stop = F.min(F.when((F.col("k") > F.col("end")) & ~F.col("text"), F.col("k"))).over(part)
+    own = (F.col("txn_no") > 0) & ((F.col("k") <= F.col("end")) | ((F.col("k") <= F.col("end") + orphans) & (F.col("k") < F.coalesce(stop, F.lit(1 << 30)))))
+    rows = rows.withColumn("g", F.when(own, 0).otherwise(F.col("k")))
+    line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "line_no", "line"))), lambda x: x["line"]), " ")
+    out = rows.groupBy("document_name", "txn_no", "g").agg(line.alias("line"), F.min(F.struct("page_no", "line_no")).alias("at"))
+    return out.select("document_name", F.when(F.col("g") == 0, F.col("txn_no")).otherwise(0).alias("txn_no"), "line", "at.page_no", "at.line_no")
+
+
+# Words of headings, and names of columns by the words in their heading, the first name that fits.
+HEADING = ("date", "description", "particulars", "narration", "debit", "credit", "withdrawal", "deposit", "balance", "amount")
+COLUMNS = (
+    ("date", "date|txn|value"), ("description", "narration|description|particular|detail|remark"), ("debit", "debit|dr|withdrawal"), ("credit", "credit|cr|deposit"),
+    ("balance", "balance|closing"), ("ref_no", "ref|chq|cheque"), ("amount", "amount"),
+)
 
 
 def heading(rows: DataFrame) -> DataFrame:
-    """The first line of a document that holds two heading words or more."""
-    words = ("date", "description", "particulars", "narration", "debit", "credit", "withdrawal", "deposit", "balance", "amount")
-    n = sum((F.contains(F.lower("line"), F.lit(x)).cast("int") for x in words), F.lit(0))
-    return rows.withColumn("n", n).where("n >= 2").groupBy("document_name").agg(F.min_by("line", F.struct("page_no", "line_no")).alias("heading"))
+    """(document_name, heading, columns): a document's first line with two heading words or more, and the place of each
+    column in it; cells are parted by two spaces, tabs or bars."""
+    low = F.lower("line")
+    n = sum((F.contains(low, F.lit(x)).cast("int") for x in HEADING), F.lit(0))
+    cells = F.filter(F.transform(F.split("line", r"\s{2,}|\t|\|"), F.trim), lambda c: c != "")
+
+    def name(c):
+        out = None
+        for kind, words in COLUMNS:
+            out = F.when(F.lower(c).rlike(words), kind) if out is None else out.when(F.lower(c).rlike(words), kind)
+        return out
+
+    names = F.transform(cells, name)
+    known = F.filter(F.array_distinct(names), lambda x: x.isNotNull())
+    # A name that comes twice keeps its first place.
+    places = F.map_from_entries(F.transform(known, lambda x: F.struct(x, (F.array_position(names, x) - 1).cast("int"))))
+    rows = rows.withColumns({"n": n, "columns": places}).where((F.col("n") >= 2) & (F.size("columns") >= 2))
+    first = rows.groupBy("document_name").agg(F.min_by(F.struct("line", "columns"), F.struct("page_no", "line_no")).alias("h"))
+    return first.select("document_name", F.col("h.line").alias("heading"), "h.columns")
 
 
 def parsed(rows: DataFrame) -> DataFrame:
@@ -53,7 +95,8 @@ def parsed(rows: DataFrame) -> DataFrame:
     out = rows.withColumns({"own_date": own, "m": money, "s": sides})
     out = out.withColumn("date", F.last("own_date", ignorenulls=True).over(in_order()))
     text = F.trim(F.regexp_replace(F.regexp_replace("line", rf"{MONEY}\s*(?:DR|CR|Dr|Cr)?", ""), rf"{DATE}|\|", ""))
-    return out.where(F.size("m") >= 1).select(
+    # A heading names no amounts; a line of totals has some, but is no transaction.
+    return out.where((F.size("m") >= 1) & ~F.col("line").rlike(TOTALS)).select(
         "document_name", "page_no", "line_no", "date", F.regexp_replace(text, r"\s+", " ").alias("description"),
         number(F.when(F.size("m") >= 2, F.element_at("m", -2)).otherwise(F.element_at("m", -1))).alias("amount"),
         F.nullif(F.upper(F.when(F.size("m") >= 2, F.try_element_at("s", F.lit(-2))).otherwise(F.element_at("s", -1))), F.lit("")).alias("side"),
@@ -61,12 +104,16 @@ def parsed(rows: DataFrame) -> DataFrame:
     )
 
 
+def around(rows: DataFrame) -> DataFrame:
+    """Adds the last known balance ``before`` a row and the balance ``after`` it."""
+    w = in_order()
+    before = F.last(F.nullif("balance", F.lit(0.0)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumns({"before": before, "after": F.lead("balance").over(w)})
+
+
 def resolved(rows: DataFrame) -> DataFrame:
     """Debit and credit by suffix, else by the change of the balance; a first row by the balance after it."""
-    w = in_order()
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last(F.nullif("balance", F.lit(0.0)), ignorenulls=True).over(past)
-    rows = rows.withColumns({"before": before, "after": F.lead("balance").over(w)})
+    rows = around(rows)
     delta = F.col("balance") - F.col("before")
     by_delta = F.when(F.abs(F.abs(delta) - F.col("amount")) <= 0.01, F.when(delta < 0, "DR").otherwise("CR"))
     first = F.when(F.col("before").isNull() & F.col("balance").isNotNull() & F.col("after").isNotNull(), F.when(F.col("balance") >= F.col("amount"), "CR").otherwise("DR"))
