@@ -137,12 +137,19 @@ def of_document(f: DataFrame, name: str) -> DataFrame:
     return f.where(F.lower(F.trim("document_name")) == name.strip().lower()).select(F.explode("transaction_ids").alias("txn_id")).distinct()
 
 
-def summary(f: DataFrame) -> DataFrame:
-    """A line of summary from the counts and the score."""
+def summary(f: DataFrame, most: int = 5, kind: str = "document") -> DataFrame:
+    """A summary from the counts, the score, and the most frequent types of high and of medium severity; for a clean
+    audit a line that names the ``kind`` of document."""
     level = F.when(F.col("risk_score") >= 60, "HIGH").when(F.col("risk_score") >= 30, "MEDIUM").otherwise("LOW")
-    one = severities(f).crossJoin(risk(f))
-    line = F.format_string("Overall risk is %s (%.1f): %d findings, %d high, %d medium, %d low.", level, F.col("risk_score"), F.col("total"), F.col("high"), F.col("medium"), F.col("low"))
-    return one.select("*", F.when(F.col("total") == 0, "No issues found.").otherwise(line).alias("summary"))
+    order = Window.partitionBy("severity").orderBy(F.desc("n"), "finding_type")
+    types = f.where(F.col("severity").isin("HIGH", "MEDIUM")).groupBy("severity", "finding_type").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    said = F.concat(F.col("finding_type"), F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
+    listed = lambda s: F.coalesce(F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("severity") == s, F.struct("r", said.alias("t"))))), lambda x: x["t"]), ", "), F.lit("")), F.lit("none"))
+    tops = types.agg(listed("HIGH").alias("top_high"), listed("MEDIUM").alias("top_medium"))
+    one = severities(f).crossJoin(risk(f)).crossJoin(tops)  # one row each
+    line = F.format_string("Overall risk is %s (%.1f): %d findings, %d high, %d medium, %d low. High: %s. Medium: %s.", level, F.col("risk_score"), F.col("total"), F.col("high"), F.col("medium"), F.col("low"), F.col("top_high"), F.col("top_medium"))
+    clean = F.lit(f"No issues found: every check of this {kind} passed.")
+    return one.select("high", "medium", "low", "total", "risk_score", F.when(F.col("total") == 0, clean).otherwise(line).alias("summary"))
 
 
 def vendor_totals(f: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,6 +28,10 @@ ROW_CHECKS = (I.row_checks, I.repeated_rows)
 INVOICE_CHECKS = (I.no_address, I.no_gstin, I.duplicates, I.tax_consistency, I.near_duplicates, I.same_amounts, I.mismatched_names, I.sudden_activity, I.one_timers, I.busy_months, I.clustering, I.unusually_high, I.split_taxes, I.tax_types)
 
 
+#: Jobs that the checks are dealt to, and how many run at the same time.
+PARTS, AT_ONCE = 12, 6
+
+
 @dataclass
 class Books:
     """The canonical tables of an audit, prepared: transactions, expense claims, tax lines, invoice rows, invoices, paid
@@ -45,11 +50,18 @@ class Books:
 
 
 def checked(books: Books) -> DataFrame:
-    """The findings of every check and rule, in one DataFrame.  Each table is prepared and stored once."""
-    b = Books(**{k: stored(v, k) for k, v in vars(books).items()})
-    out = [f(b.txns) for f in (*TRANSACTION_CHECKS, *TRANSACTION_RULES)] + [f(b.claims) for f in EXPENSE_CHECKS] + [f(b.tax_lines) for f in TAX_CHECKS] + [f(b.rows) for f in ROW_CHECKS] + [f(b.invoices) for f in INVOICE_CHECKS]
-    out += [M.like_employees(b.vendors, b.employees), I.new_vendors(b.invoices, b.known), M.blacklisted(b.vendors, b.blacklist), I.payment_terms(b.paid), M.related(b.vendors, b.employees)]
-    return reduce(DataFrame.unionByName, out)
+    """The findings of every check and rule, in one DataFrame.
+
+    Each table is prepared and stored once; the checks run in ``PARTS`` jobs, some at the same time, as most are too small to
+    keep a cluster busy alone.
+    """
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        b = Books(**dict(zip(vars(books), pool.map(stored, vars(books).values(), vars(books)))))
+        checks = [(f, b.txns) for f in (*TRANSACTION_CHECKS, *TRANSACTION_RULES)] + [(f, b.claims) for f in EXPENSE_CHECKS] + [(f, b.tax_lines) for f in TAX_CHECKS] + [(f, b.rows) for f in ROW_CHECKS] + [(f, b.invoices) for f in INVOICE_CHECKS]
+        checks += [(M.like_employees, b.vendors, b.employees), (I.new_vendors, b.invoices, b.known), (M.blacklisted, b.vendors, b.blacklist), (I.payment_terms, b.paid), (M.related, b.vendors, b.employees)]
+        parts = [checks[i::PARTS] for i in range(PARTS)]
+        done = pool.map(lambda part: stored(reduce(DataFrame.unionByName, [f(*tables) for f, *tables in part]), "findings"), parts)
+        return reduce(DataFrame.unionByName, done)
 
 
 def report(findings: DataFrame) -> DataFrame:

@@ -500,7 +500,13 @@ query("A5", f"SELECT round(least(100.0, CASE WHEN raw > 50 THEN 50 + (raw - 50)
 query("A5b", f"SELECT round(least(100.0, sum({_WEIGHT}) / 300 * 100), 1) AS risk_score FROM ({ORACLES['K31']}) f")(lambda s, d: R.simple_risk(T.loan_burden(txn(s, d))))
 query("A6", f"SELECT 'uncategorized' AS category, round(sum(amount), 2) AS total, count(*) AS n FROM ({ORACLES['K26']}) f")(lambda s, d: R.by_category(T.just_below(txn(s, d))))
 query("A16", "SELECT document_name, count(*) AS n FROM {v_txn} v WHERE amount BETWEEN 95000 AND 99000 GROUP BY document_name")(lambda s, d: R.by_document(T.just_below(txn(s, d))).select("document_name", "n"))
-query("A17")(lambda s, d: R.summary(all_findings(s, d)))
+_RISK = f"SELECT least(100.0, CASE WHEN raw > 50 THEN 50 + (raw - 50) * 0.5 ELSE raw END) AS risk FROM (SELECT sum(CASE WHEN source = 'policy' THEN {_WEIGHT} * CASE WHEN severity = 'HIGH' THEN 1.2 ELSE 1.0 END ELSE {_WEIGHT} * score END) / 3 AS raw FROM ({_ALL_SQL}) f) x"
+_TOPS = "(SELECT coalesce(string_agg(finding_type || ' (' || n || ')', ', ' ORDER BY n DESC, finding_type), 'none') FROM (SELECT finding_type, count(*) AS n FROM fs WHERE severity = '{}' GROUP BY finding_type ORDER BY n DESC, finding_type LIMIT 5) t)"
+query(
+    "A17",
+    f"WITH fs AS ({_ALL_SQL}), r AS ({_RISK}), c AS (SELECT count(*) AS n, count(*) FILTER (severity = 'HIGH') AS h, count(*) FILTER (severity = 'MEDIUM') AS m, count(*) FILTER (severity = 'LOW') AS l FROM fs) "
+    f"SELECT printf('Overall risk is %s (%.1f): %d findings, %d high, %d medium, %d low.', CASE WHEN risk >= 60 THEN 'HIGH' WHEN risk >= 30 THEN 'MEDIUM' ELSE 'LOW' END, risk, n, h, m, l) || ' High: ' || {_TOPS.format('HIGH')} || '. Medium: ' || {_TOPS.format('MEDIUM')} || '.' AS summary FROM r, c",
+)(lambda s, d: R.summary(said(s, d)).select("summary"))
 query("A19", f"SELECT entity AS vendor, round(sum(amount), 2) AS total, count(*) AS n FROM ({ORACLES['K5']}) f WHERE entity LIKE 'Vendor %' GROUP BY entity")(lambda s, d: R.vendor_totals(T.split_billing(txn(s, d))))
 query("A2", "SELECT t.document_type, coalesce(n, 0) AS n FROM (VALUES ('bank_statement'), ('expense'), ('gst'), ('invoice'), ('ledger')) t(document_type) LEFT JOIN (SELECT 'bank_statement' AS document_type, count(DISTINCT document_name) AS n FROM {v_txn} v UNION ALL SELECT 'expense', count(DISTINCT document_name) FROM {v_exp} w) c USING (document_type)")(
     lambda s, d: view(s, d, "v_txn").select(F.lit("bank_statement").alias("document_type"), "document_name").union(exp(s, d).select(F.lit("expense"), "document_name")).groupBy("document_type").agg(F.count_distinct("document_name").alias("n"))
@@ -514,7 +520,24 @@ query("F4", f"SELECT finding_type, entity FROM ({ORACLES['K24']}) f WHERE lower(
 query("F5", "SELECT DISTINCT txn_id FROM {v_txn} v WHERE document_name = 'stmt_1' AND amount BETWEEN 95000 AND 99000")(lambda s, d: R.of_document(T.just_below(txn(s, d)), " STMT_1 "))
 query("H1", f"SELECT * FROM ({ORACLES['K2']}) f ORDER BY {_RANK} DESC, score DESC, finding_type, entity")(lambda s, d: short(R.ordered(T.timing(txn(s, d)))))
 query("H2", f"SELECT DISTINCT finding_type, severity, entity FROM ({ORACLES['R6']}) f")(lambda s, d: R.deduplicated(I.tax_consistency(inv(s, d)).union(I.tax_consistency(inv(s, d)))).select("finding_type", "severity", "entity"))
-query("H3")(lambda s, d: R.merged(all_findings(s, d)).select("finding_type", "severity", "score", "entity", "n"))
+_SINGLE = ("K24", "K26", "K29", "K33", "R1", "R3")
+
+
+def of_transactions(s: SparkSession, d: str) -> DataFrame:
+    """Findings that each stand on one transaction; some transactions have several."""
+    t = txn(s, d)
+    out = T.personal_accounts(t)
+    for f in (T.just_below(t), T.round_numbers(t), T.untaxed_vendors(t), T.over_limits(t, F.col("category")), T.round_bias(t)):
+        out = out.unionByName(f)
+    return out
+
+
+query(
+    "H3",
+    "SELECT entity, CASE max(" + _RANK + ") WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity, max(score) AS score, array_to_string(list_sort(list(DISTINCT finding_type)), ',') AS types, count(*) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT * FROM ({ORACLES[k]}) q{k}" for k in _SINGLE)
+    + ") f GROUP BY entity",
+)(lambda s, d: R.merged(of_transactions(s, d)).select("entity", "severity", F.round("score", 4).alias("score"), F.array_join("merged_types", ",").alias("types"), "n"))
 query("H4", f"SELECT finding_type, entity FROM (SELECT *, {_RANK} AS rk, CASE WHEN source = 'policy' THEN CASE severity WHEN 'HIGH' THEN 0.85 WHEN 'MEDIUM' THEN 0.65 ELSE 0.45 END ELSE score END AS sc FROM ({_ALL_SQL}) f) x ORDER BY rk DESC, sc DESC, finding_type, entity LIMIT 3")(
     lambda s, d: R.top(said(s, d)).select("finding_type", "entity")
 )
@@ -522,8 +545,12 @@ query("H5", f"SELECT finding_type, count(*) AS n FROM ({_ALL_SQL}) f GROUP BY fi
 query("H6", f"SELECT finding_type, entity FROM ({ORACLES['K2']}) f ORDER BY {_RANK} DESC, score DESC, finding_type, entity LIMIT 50 OFFSET 50")(lambda s, d: R.page(T.timing(txn(s, d)), 2).select("finding_type", "entity"))
 query("H8", "SELECT 'txn' AS kind, txn_id AS id, amount FROM {v_txn} v UNION ALL SELECT 'exp', expense_id, amount FROM {v_exp} w")(lambda s, d: view(s, d, "v_txn").select(F.lit("txn").alias("kind"), F.col("txn_id").alias("id"), "amount").unionByName(exp(s, d).select(F.lit("exp").alias("kind"), F.col("expense_id").alias("id"), "amount"), allowMissingColumns=True))
 query("H9", f"SELECT DISTINCT finding_type FROM ({_ALL_SQL}) f")(lambda s, d: said(s, d).select("finding_type").distinct())
-query("K4")(lambda s, d: R.ordered(all_findings(s, d).where("source = 'anomaly'")).select("finding_type", "severity", "score", "entity"))
-query("R25")(lambda s, d: R.deduplicated(all_findings(s, d).where("source = 'policy'")).select("finding_type", "severity", "score", "entity"))
+query("K4", f"SELECT finding_type, severity, count(*) AS n, round(sum(score), 2) AS score FROM ({_ALL_SQL}) f WHERE source = 'anomaly' GROUP BY ALL")(
+    lambda s, d: said(s, d).where("source = 'anomaly'").groupBy("finding_type", "severity").agg(F.count("*").alias("n"), F.round(F.sum(F.round("score", 4)), 2).alias("score"))
+)
+query("R25", f"SELECT finding_type, entity, severity FROM (SELECT *, row_number() OVER (PARTITION BY finding_type, entity ORDER BY {_RANK} DESC) AS r FROM ({_ALL_SQL}) f WHERE source = 'policy') x WHERE r = 1")(
+    lambda s, d: R.deduplicated(said(s, d).where("source = 'policy'").withColumn("document_name", F.lit(""))).select("finding_type", "entity", "severity")
+)
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
