@@ -179,6 +179,8 @@ class Encoder:
 
     def unit_ids(self, unit: str) -> bytes:
         """The ids of a word with the white space before it, as 32-bit integers."""
+        if unit[:1] == SPACE and SPACE not in unit[1:]:
+            return self.word_ids(unit[1:])
         found = self.words.get(unit)
         if found is None:
             if len(self.words) > MEMORY:
@@ -210,15 +212,18 @@ class Encoder:
 
     def many_ids(self, texts: list[str | None]) -> list[bytes | None]:
         """The ids of each text; words not seen before are merged all at once."""
+        self.learn({w for t in texts if t and SPACE not in t for w in t.split(" ")})
+        return [None if t is None else self.text_ids(t) for t in texts]
+
+    def learn(self, words: set[str]) -> None:
+        """Merge the words that are not remembered yet, all at once."""
         if self.v.mode == "bpe":
             if len(self.bare) > MEMORY:
                 self.bare.clear()
-            words = {w for t in texts if t and SPACE not in t for w in t.split(" ")}
             fresh = [w for w in words.difference(self.bare) if 0 < len(w) < LONG]
             fresh.sort(key=len)  # so that words merged together are about as long
             for at in range(0, len(fresh), AT_ONCE):
                 self.bare.update(zip(fresh[at : at + AT_ONCE], self._merged_many(fresh[at : at + AT_ONCE])))
-        return [None if t is None else self.text_ids(t) for t in texts]
 
     def _merged_many(self, words: list[str]) -> list[bytes]:
         """What word_ids gives for each word: every round merges each word's best pair, leftmost first."""
@@ -453,6 +458,7 @@ def _giants(rows: DataFrame, shared, parts: int) -> DataFrame:
 
         encoder = Encoder(Vocabulary.of(shared.value))
         for b in batches:
+            encoder.learn({w for body in b.body for w in body.split(SPACE)})
             ids = [Chunk(encoder, r.left, r.body, r.right).ids((r.fa, r.fi), (r.ta, r.ti)) for r in b.itertuples()]
             yield pd.DataFrame({"key": b.key, "no": b.no, "ids": ids})
 
