@@ -92,6 +92,10 @@ UNION ALL SELECT DISTINCT vendor_name, vendor_gst FROM ({v_inv}) i"""
 VIEWS["v_black"] = """
 SELECT s_suppkey AS pos, concat(upper(substr(md5(concat('s', cast(s_suppkey AS string))), 1, 9)), substr(md5(concat('s', cast(s_suppkey AS string))), 11, 10)) AS name, '' AS gstin FROM {supplier} WHERE s_acctbal < 0
 UNION ALL SELECT DISTINCT cast(1000000 AS bigint), '', vendor_gst FROM ({v_inv}) i WHERE vendor_name IN ('Vendor 7', 'Vendor 11')"""
+VIEWS["v_cash"] = """
+SELECT txn_id, seq, ts, document_name, party_name, amount, debit, credit, CASE WHEN seq % 7 = 0 THEN concat('ATM WDL ', cast(seq AS string)) ELSE description END AS description, category, beneficiary_account FROM ({v_txn}) t"""
+VIEWS["v_shared"] = """
+SELECT txn_id, seq, ts, document_name, party_name, amount, debit, credit, description, category, CASE WHEN seq % 10 = 0 THEN concat('SH', cast(seq % 40 AS string)) ELSE beneficiary_account END AS beneficiary_account FROM ({v_txn}) t"""
 VIEWS["v_pair"] = """
 SELECT pos, name AS a, CASE pos % 4 WHEN 0 THEN concat(substr(name, 1, 4), substr(name, 6)) WHEN 1 THEN concat(substr(name, 1, 4), 'z', substr(name, 6)) WHEN 2 THEN concat('zz', name) ELSE name END AS b FROM ({v_emp}) e"""
 VIEWS["v_near"] = """

@@ -27,6 +27,12 @@ def _before(*keys: str):
     return Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
 
 
+def with_history(i: DataFrame) -> DataFrame:
+    """Adds to each invoice the vendor's number of earlier ones, the first of them and the oldest date among them."""
+    w = _before("vendor")
+    return i.withColumns({"earlier": F.count("*").over(w), "first_id": F.first("invoice_id").over(w), "oldest": F.min("invoice_date").over(w)})
+
+
 # Tax lines -----------------------------------------------------------------------------------------------------------
 
 

@@ -162,6 +162,13 @@ query("B30", found("just_below", "LOW", "0.0", "txn_id", "amount", "FROM {v_txn}
     lambda s, d: T.just_below(txn(s, d)).select(F.lit("just_below").alias("finding_type"), F.lit("LOW").alias("severity"), F.lit(0.0).alias("score"), "entity", "amount")
 )
 
+
+
+def said_in(f: DataFrame, *names: str) -> DataFrame:
+    """The entity of findings with numbers of their evidence."""
+    return f.select("entity", *[F.get_json_object("evidence", f"$.{n}").cast("double").alias(n) for n in names])
+
+
 # Transactions --------------------------------------------------------------------------------------------------------
 
 query(
@@ -190,9 +197,12 @@ f AS (SELECT *, row_number() OVER (PARTITION BY KEY ORDER BY s, seq) AS r FROM r
 query("K5", ("WITH t AS (SELECT * FROM {txn} t WHERE cat NOT IN ('EMI', 'TRANSFER', 'CHARGES')), " + _W1.replace("{src}", "t").replace("KEY", "party_name").replace("EXTRA", "") + " " + found("split_billing", "HIGH", "0.95", "party_name", "total", "FROM f WHERE r = 1")))(
     lambda s, d: short(T.split_billing(txn(s, d)))
 )
-query("W1", ORACLES["K5"])(QUERIES["K5"])
+# What lies ahead of every payment within a week.
+query("W1", "WITH t AS (SELECT * FROM {txn} t), " + _W1.replace("{src}", "t").replace("KEY", "party_name").replace("EXTRA", "") + " SELECT txn_id, n, round(total, 2) AS total, n_high FROM (SELECT r.*, (SELECT count(*) FROM w b WHERE b.party_name = r.party_name AND b.s BETWEEN r.s AND r.s + 604800 AND (b.s > r.s OR b.seq >= r.seq) AND b.amount >= 50000) AS n_high FROM r) x")(
+    lambda s, d: T.ahead(txn(s, d), "party_name", 7 * T.DAY, F.col("amount") >= 50_000).select("txn_id", "n", F.round("total", 2).alias("total"), "n_high")
+)
 query("K23", found("payment_multi_source_to_same_beneficiary", "HIGH", "0.82", "beneficiary_account", "sum(amount)", "FROM {v_txn} v WHERE beneficiary_account <> '' GROUP BY beneficiary_account HAVING count(DISTINCT source_account) >= 2"))(lambda s, d: short(T.many_sources(txn(s, d))))
-query("A12", ORACLES["K23"])(QUERIES["K23"])
+query("A12", "SELECT beneficiary_account AS entity, cast(count(DISTINCT source_account) AS double) AS n FROM {v_txn} v WHERE beneficiary_account <> '' GROUP BY beneficiary_account HAVING count(DISTINCT source_account) >= 2")(lambda s, d: said_in(T.many_sources(txn(s, d)), "n"))
 query("K24", found("payment_possible_personal_account", "MEDIUM", "0.7", "txn_id", "amount", "FROM {v_txn} v WHERE regexp_full_match(beneficiary_account, '\\d{10,12}')"))(lambda s, d: short(T.personal_accounts(txn(s, d))))
 query("K25", found("payment_unusually_fast_after_invoice", "MEDIUM", "0.76", "txn_id", "amount", "FROM {v_txn} v, (SELECT quantile_cont(amount, 0.9) AS q90 FROM {v_txn} x) q WHERE cast(ts AS date) = invoice_date AND amount >= greatest(100000, q90)"))(
     lambda s, d: short(T.fast_payments(txn(s, d)))
@@ -200,14 +210,22 @@ query("K25", found("payment_unusually_fast_after_invoice", "MEDIUM", "0.76", "tx
 query("K26", found("payment_just_below_threshold", "CASE WHEN n >= 2 THEN 'HIGH' ELSE 'LOW' END", "CASE WHEN n >= 2 THEN 0.85 ELSE 0.45 END", "txn_id", "amount", "FROM (SELECT *, count(*) OVER (PARTITION BY beneficiary_account) AS n FROM {v_txn} v WHERE amount BETWEEN 95000 AND 99000) x"))(
     lambda s, d: short(T.just_below(txn(s, d)))
 )
-query("W4", ORACLES["K26"])(QUERIES["K26"])
+query("W4", "SELECT txn_id AS entity, cast(count(*) OVER (PARTITION BY beneficiary_account) AS double) AS repeats FROM {v_txn} v WHERE amount BETWEEN 95000 AND 99000")(lambda s, d: said_in(T.just_below(txn(s, d)), "repeats"))
 query(
     "K27",
     "WITH t AS (SELECT *, floor(epoch(ts)) AS s FROM {v_txn} v), j AS (SELECT d.*, row_number() OVER (PARTITION BY d.beneficiary_account ORDER BY c.s, c.seq, d.s, d.seq) AS r FROM t c JOIN t d ON c.beneficiary_account = d.beneficiary_account AND c.credit > 0 AND d.debit > 0 AND abs(c.credit - d.debit) <= 1 AND d.s > c.s AND d.s <= c.s + 604800) "
     + found("payment_reversed_and_reissued", "HIGH", "0.9", "beneficiary_account", "debit", "FROM j WHERE r = 1"),
 )(lambda s, d: short(T.reissued(txn(s, d))))
-query("J12", ORACLES["K27"])(QUERIES["K27"])
-query("K28", found("large_cash_withdrawal", "MEDIUM", "0.7", "txn_id", "debit", "FROM {txn} t, (SELECT max(amount) AS salary FROM {txn} t WHERE cat = 'SALARY') s WHERE topic = 'cash' AND debit > 0.5 * salary"))(lambda s, d: short(T.cash_withdrawals(txn(s, d))))
+query(
+    "J12",
+    "WITH t AS (SELECT *, floor(epoch(ts)) AS s FROM {v_txn} v), j AS (SELECT d.beneficiary_account AS entity, c.txn_id AS credit_id, d.txn_id AS debit_id, row_number() OVER (PARTITION BY d.beneficiary_account ORDER BY c.s, c.seq, d.s, d.seq) AS r FROM t c JOIN t d ON c.beneficiary_account = d.beneficiary_account AND c.credit > 0 AND d.debit > 0 AND abs(c.credit - d.debit) <= 1 AND d.s > c.s AND d.s <= c.s + 604800) SELECT entity, credit_id, debit_id FROM j WHERE r = 1",
+)(lambda s, d: T.reissued(txn(s, d)).select("entity", F.col("transaction_ids")[0].alias("credit_id"), F.col("transaction_ids")[1].alias("debit_id")))
+def cash(s: SparkSession, d: str) -> DataFrame:
+    """Transactions of which every seventh is a withdrawal at a machine."""
+    return T.prepared(view(s, d, "v_cash"))
+
+
+query("K28", found("large_cash_withdrawal", "MEDIUM", "0.7", "txn_id", "debit", "FROM {v_cash} t, (SELECT max(amount) AS salary FROM {txn} t WHERE cat = 'SALARY' AND seq % 7 <> 0) s WHERE seq % 7 = 0 AND debit > 0.5 * salary"))(lambda s, d: short(T.cash_withdrawals(cash(s, d))))
 query("A14", "SELECT max(amount) AS salary FROM {txn} t WHERE cat = 'SALARY'")(lambda s, d: T.salary(txn(s, d)))
 query("K29", found("round_number_transaction", "LOW", "0.45", "txn_id", "amount", "FROM {txn} t WHERE amount > 50000 AND abs(amount - round_even(amount / 10000, 0) * 10000) < 0.01 AND coalesce(mode, '') NOT IN ('SI', 'EMI')"))(lambda s, d: short(T.round_numbers(txn(s, d))))
 _MERCHANT = "(coalesce(topic IN ('food_delivery', 'ecommerce', 'travel', 'fuel'), false) OR coalesce(mode = 'POS', false))"
@@ -215,9 +233,11 @@ query(
     "K30",
     "WITH t AS (SELECT *, {rcv} AS rcv, floor(epoch(ts)) AS s FROM {txn} t WHERE " + _MERCHANT + "), n AS (SELECT *, count(*) OVER (PARTITION BY rcv ORDER BY s RANGE BETWEEN CURRENT ROW AND 2592000 FOLLOWING) AS n FROM t) " + found("frequent_merchant_payments", "LOW", "0.5", "rcv", "sum(amount)", "FROM n GROUP BY rcv HAVING max(n) > 5"),
 )(lambda s, d: short(T.frequent_merchants(txn(s, d))))
-query("W2", ORACLES["K30"])(QUERIES["K30"])
+query("W2", "WITH t AS (SELECT *, {rcv} AS rcv, floor(epoch(ts)) AS s FROM {txn} t WHERE " + _MERCHANT + "), n AS (SELECT *, count(*) OVER (PARTITION BY rcv ORDER BY s RANGE BETWEEN CURRENT ROW AND 2592000 FOLLOWING) AS n FROM t) SELECT rcv AS entity, cast(max(n) AS double) AS n FROM n GROUP BY rcv HAVING max(n) > 5")(
+    lambda s, d: said_in(T.frequent_merchants(txn(s, d)), "n")
+)
 query("K31", found("emi_obligation_exceeds_salary", "HIGH", "0.95", "'all'", "total", "FROM (SELECT sum(debit) AS total FROM {txn} t WHERE topic = 'emi' AND debit > 0) e, (SELECT max(amount) AS salary FROM {txn} t WHERE cat = 'SALARY') s WHERE total > 0.5 * salary"))(lambda s, d: short(T.loan_burden(txn(s, d))))
-query("A15", ORACLES["K31"])(QUERIES["K31"])
+query("A15", "SELECT 'all' AS entity, cast(n AS double) AS n FROM (SELECT sum(debit) AS total, count(*) AS n FROM {txn} t WHERE topic = 'emi' AND debit > 0) e, (SELECT max(amount) AS salary FROM {txn} t WHERE cat = 'SALARY') s WHERE total > 0.5 * salary")(lambda s, d: said_in(T.loan_burden(txn(s, d)), "n"))
 query(
     "K32",
     "WITH t AS (SELECT *, {rcv} AS rcv, floor(epoch(ts)) AS s FROM {txn} t) "
@@ -225,8 +245,9 @@ query(
 )(lambda s, d: short(T.unmatched_refunds(txn(s, d))))
 query("J13", ORACLES["K32"])(QUERIES["K32"])
 query("K33", found("vendor_no_gst_high_payment", "HIGH", "0.88", "txn_id", "amount", "FROM {txn} t WHERE cat <> 'TRANSFER' AND amount > 20000 AND trim(coalesce(vendor_gst, '')) = ''"))(lambda s, d: short(T.untaxed_vendors(txn(s, d))))
-query("K34", found("vendor_shared_bank_account", "HIGH", "0.9", "beneficiary_account", "sum(amount)", "FROM {txn} t WHERE cat <> 'TRANSFER' AND beneficiary_account <> '' GROUP BY beneficiary_account HAVING count(DISTINCT party_name) >= 2"))(lambda s, d: short(T.shared_accounts(txn(s, d))))
-query("A13", ORACLES["K34"])(QUERIES["K34"])
+_SHARED = "FROM {v_shared} t WHERE beneficiary_account <> '' GROUP BY beneficiary_account HAVING count(DISTINCT party_name) >= 2"
+query("K34", found("vendor_shared_bank_account", "HIGH", "0.9", "beneficiary_account", "sum(amount)", _SHARED))(lambda s, d: short(T.shared_accounts(T.prepared(view(s, d, "v_shared")))))
+query("A13", "SELECT beneficiary_account AS entity, cast(count(DISTINCT party_name) AS double) AS n " + _SHARED)(lambda s, d: said_in(T.shared_accounts(T.prepared(view(s, d, "v_shared"))), "n"))
 query("R1", found("amount_threshold", "CASE WHEN category = 'none' THEN 'HIGH' ELSE 'MEDIUM' END", "0.6", "txn_id", "amount", "FROM {v_txn} v WHERE amount > 100000"))(lambda s, d: short(T.over_limits(txn(s, d), F.col("category"))))
 _TOKEN = "CASE WHEN description LIKE 'UPI/%' THEN 'SWIGGY' WHEN description LIKE 'NEFT/%' THEN 'TRADERS' WHEN description LIKE 'POS/%' THEN 'POSAMAZON' WHEN description LIKE 'LOAN%' THEN 'LOAN' WHEN description LIKE 'SALARY%' THEN 'SALARY' ELSE 'REFUNDSWIGGY' END"
 query("R2", ("WITH t AS (SELECT *, " + _TOKEN + " AS token FROM {txn} t), " + _W1.replace("{src}", "t").replace("KEY", "token").replace("EXTRA", "AND total > 100000") + " " + found("split_billing", "HIGH", "0.9", "token", "total", "FROM f WHERE r = 1")))(
@@ -279,7 +300,7 @@ def _limits(cap: int) -> str:
 
 
 query("R18", _limits(100_000))(lambda s, d: short(E.limits(exp(s, d))))
-query("R19", ORACLES["R18"])(QUERIES["R18"])
+query("R19", "SELECT * FROM (" + _limits(300_000) + ") x WHERE finding_type = 'expense_employee_monthly_limit'")(lambda s, d: short(E.limits(exp(s, d), monthly_cap=300_000.0)).where("finding_type = 'expense_employee_monthly_limit'"))
 query("R20", _limits(750_000))(lambda s, d: short(E.limits(exp(s, d), monthly_cap=750_000.0)))
 query("J14", "SELECT expense_id, round(sum(amount) OVER (PARTITION BY lower(trim(submitted_by)), strftime(exp_date, '%Y-%m')), 2) AS spend FROM {v_exp} v")(
     lambda s, d: exp(s, d).selectExpr("expense_id", "round(sum(amount) over (partition by lower(trim(submitted_by)), date_format(exp_date, 'yyyy-MM')), 2) as spend")
@@ -336,7 +357,9 @@ def _policy(kind: str, severity: str, rest: str) -> str:
 query("K35", found("vendor_missing_address", "MEDIUM", "0.7", "invoice_id", "total_amount", "FROM {inv} v WHERE trim(coalesce(vendor_address, '')) = ''"))(lambda s, d: short(I.no_address(inv(s, d))))
 query("K36", found("vendor_no_gst_high_invoice", "HIGH", "0.86", "invoice_id", "total_amount", "FROM {inv} v WHERE total_amount > 20000 AND trim(coalesce(vendor_gst, '')) = ''"))(lambda s, d: short(I.no_gstin(inv(s, d))))
 query("R4", _policy("new_vendor_screening", "MEDIUM", "FROM {inv} v WHERE amt > 25000 AND vendor NOT IN (SELECT DISTINCT lower(trim(vendor_name)) FROM {v_inv} w WHERE total_amount > 1500000)"))(lambda s, d: short(I.new_vendors(inv(s, d), view(s, d, "v_inv").where("total_amount > 1500000"))))
-query("J9", ORACLES["R4"])(QUERIES["R4"])
+query("J9", "SELECT DISTINCT vendor FROM {inv} v WHERE amt > 25000 AND vendor NOT IN (SELECT DISTINCT lower(trim(vendor_name)) FROM {v_inv} w WHERE total_amount > 1500000)")(
+    lambda s, d: I.new_vendors(inv(s, d), view(s, d, "v_inv").where("total_amount > 1500000")).select(F.col("entity").alias("invoice_id")).join(inv(s, d).select("invoice_id", "vendor"), "invoice_id").select("vendor").distinct()
+)
 query("R5", _policy("duplicate_invoice", "HIGH", "FROM (SELECT *, row_number() OVER (PARTITION BY vendor, trim(invoice_number) ORDER BY seq) AS r FROM {inv} v) x WHERE r > 1"))(lambda s, d: short(I.duplicates(inv(s, d))))
 query("R6", _policy("gst_consistency", "HIGH", f"FROM {{inv}} v WHERE abs(gst_amount - (total_amount - subtotal)) > 0.01 * total_amount OR coalesce(NOT regexp_matches(upper(vendor_gst), '^{S.GSTIN}$'), false)"))(lambda s, d: short(I.tax_consistency(inv(s, d))))
 _PAIR = "b.vendor = a.vendor AND b.seq < a.seq AND trim(b.invoice_number) <> trim(a.invoice_number) AND b.amt > 0 AND abs(a.amt - b.amt) <= greatest(1, a.amt * 0.01)"
@@ -375,8 +398,11 @@ query(
     "WITH n AS (SELECT *, lower(trim(vendor_name)) AS vendor, coalesce(nullif(total_amount, 0), subtotal, 0) AS amt FROM {v_gst_names} v WHERE vendor_gst IS NOT NULL), k AS (SELECT vendor_gst, vendor, min(seq) AS first FROM n GROUP BY ALL) "
     + _policy("gstin_name_mismatch", "HIGH", "FROM n WHERE EXISTS (SELECT 1 FROM k WHERE k.vendor_gst = n.vendor_gst AND k.vendor <> n.vendor AND k.first < n.seq)"),
 )(lambda s, d: short(I.mismatched_names(I.prepared(view(s, d, "v_gst_names")))))
-query("W5", "SELECT invoice_id, count(*) OVER (PARTITION BY vendor ORDER BY seq) - 1 AS earlier FROM {inv} v")(lambda s, d: inv(s, d).selectExpr("invoice_id", "count(*) over (partition by vendor order by seq) - 1 as earlier"))
-query("J15", ORACLES["W5"])(QUERIES["W5"])
+query("W5", "SELECT invoice_id, count(*) OVER (PARTITION BY vendor ORDER BY seq) - 1 AS earlier FROM {inv} v")(lambda s, d: I.with_history(inv(s, d)).select("invoice_id", "earlier"))
+# The first earlier invoice of the vendor, and its date.
+query("J15", "SELECT invoice_id, first_value(invoice_id) OVER w AS first_id, strftime(min(invoice_date) OVER w, '%Y-%m-%d') AS oldest FROM {inv} v WINDOW w AS (PARTITION BY vendor ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")(
+    lambda s, d: I.with_history(inv(s, d)).select("invoice_id", "first_id", F.date_format("oldest", "yyyy-MM-dd").alias("oldest"))
+)
 query("A11", "SELECT vendor_name, invoice_number, count(*) AS n, array_to_string(list_sort(list(seq)), ',') AS members FROM {v_inv} v GROUP BY ALL HAVING count(*) > 1")(
     lambda s, d: view(s, d, "v_inv").groupBy("vendor_name", "invoice_number").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("seq")).cast("array<string>"), ",").alias("members")).where("n > 1")
 )
@@ -486,7 +512,7 @@ def said(s: SparkSession, d: str) -> DataFrame:
     return all_findings(s, d).where(~F.col("finding_type").isin("multivariate_anomaly", "near_duplicate_invoice"))
 
 
-_PARTS = ["K1", "K2", "K5", "K23", "K24", "K25", "K26", "K27", "K28", "K29", "K30", "K31", "K32", "K33", "K34", "K7", "K8", "K9", "K10", "K11", "K14", "K15", "K16", "K17", "K18", "K19", "K20", "K21", "K22", "K35", "K36", "K37"]
+_PARTS = ["K1", "K2", "K5", "K23", "K24", "K25", "K26", "K27", "K29", "K30", "K31", "K32", "K33", "K7", "K8", "K9", "K10", "K11", "K14", "K15", "K16", "K17", "K18", "K19", "K20", "K21", "K22", "K35", "K36", "K37"]
 _RULES = ["R1", "R2", "R3", "R4", "R18", "R5", "R6", "R8", "R10", "R11", "R12", "R13", "R14", "R15", "R16", "R17", "R21", "R22", "R23", "R24"]
 _ALL_SQL = " UNION ALL ".join([f"SELECT *, 'anomaly' AS source FROM ({ORACLES[k]}) q{k}" for k in _PARTS] + [f"SELECT *, 'policy' AS source FROM ({ORACLES[k]}) q{k}" for k in _RULES])
 _RANK = "CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END"
