@@ -150,28 +150,42 @@ SHORT, LONG, LONGEST = 12, 18, 400
 
 
 def grams(name: str, ratio: float) -> Column:
-    """Keys of which two names share one, if their ratio is at least ``ratio``: the name itself, and its short substrings."""
+    """array<struct<kind, gram>> of which two names of a ratio of at least ``ratio`` share some: the name itself, and its short
+    substrings, the n-th of equal ones as such."""
     n = F.length(name)
 
     def cut(kind: str, q: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.concat(F.lit(kind), F.substring(F.col(name), i, F.lit(q))))
+        all_ = F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.substring(F.col(name), i, F.lit(q)))
+        numbered = F.transform(all_, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(all_, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+        return F.transform(numbered, lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("gram")))
 
-    none = F.array().cast("array<string>")
+    none = F.array().cast("array<struct<kind:string,gram:string>>")
     short = F.when(n <= LONG, cut("s", block_length(ratio, 2, 2 * LONG))).otherwise(none)
     long = F.when(n >= SHORT, cut("l", block_length(ratio, 2 * SHORT, LONGEST))).otherwise(none)
-    return F.array_distinct(F.concat(F.array(F.concat(F.lit("="), F.col(name))), short, long))
+    return F.concat(F.array(F.struct(F.lit("=").alias("kind"), F.col(name).alias("gram"))), short, long)
+
+
+def _shared(ratio: float, q: int) -> Column:
+    """The least number of substrings of ``q`` characters that two unequal names of lengths la and lb share: m matched
+    characters in at most as many blocks as there are others, and one."""
+    t = F.col("la") + F.col("lb")
+    m = F.ceil(F.lit(ratio) * t / 2 - 1e-9)
+    return F.greatest(F.lit(1), m - (t - 2 * m + 1) * (q - 1))
 
 
 def _ratio_pairs(names: DataFrame, others: DataFrame, at_least: float) -> DataFrame:
-    """Pairs (name, other, pos, ratio) of distinct names whose ratio may reach ``at_least`` (0.8 or more): they share a
-    substring as long as that ratio asks for, and their lengths and letters allow it."""
+    """Pairs (name, other, pos, ratio) of distinct names whose ratio may reach ``at_least`` (0.8 or more): they share as many
+    substrings as that ratio asks for, and their lengths and letters allow it."""
     from ..functions.fuzzy import sequence_ratio
 
-    a = names.select("name").distinct().where("name <> ''").select("name", F.explode(grams("name", at_least)).alias("gram"))
-    b = others.select("other").distinct().where("other <> ''").select("other", F.explode(grams("other", at_least)).alias("gram"))
-    la, lb = F.length("name"), F.length("other")
-    j = a.join(b, "gram").where(2 * F.least(la, lb) >= at_least * (la + lb)).select("name", "other").distinct()
-    j = j.where(ratio_bound("name", "other") >= at_least)
+    a = names.select("name").distinct().where("name <> ''").select("name", F.length("name").alias("la"), F.explode(grams("name", at_least)).alias("g"))
+    b = others.select("other").distinct().where("other <> ''").select("other", F.length("other").alias("lb"), F.explode(grams("other", at_least)).alias("g"))
+    j = a.join(b, "g").where(2 * F.least("la", "lb") >= at_least * (F.col("la") + F.col("lb")))
+    count = lambda kind: F.count_if(F.col("g.kind") == kind)
+    j = j.groupBy("name", "other", "la", "lb").agg(count("=").alias("same"), count("s").alias("short"), count("l").alias("long"))
+    qs, ql = block_length(at_least, 2, 2 * LONG), block_length(at_least, 2 * SHORT, LONGEST)
+    j = j.where((F.col("same") > 0) | ((F.col("short") > 0) & (F.col("short") >= _shared(at_least, qs))) | ((F.col("long") > 0) & (F.col("long") >= _shared(at_least, ql))))
+    j = j.select("name", "other").where(ratio_bound("name", "other") >= at_least)
     return j.withColumn("ratio", sequence_ratio("name", "other")).where(F.col("ratio") >= at_least).join(others.select("other", "pos"), "other")
 
 

@@ -497,7 +497,7 @@ def books(s: SparkSession, d: str):
     from .audit import Books
 
     v = view(s, d, "v_inv")
-    return Books(txn(s, d), exp(s, d), gst(s, d), rows(s, d), inv(s, d), paid(s, d), v.where("total_amount > 1500000"), view(s, d, "v_vendor"), view(s, d, "v_black"), view(s, d, "v_emp"))
+    return Books(txn(s, d), exp(s, d), gst(s, d), rows(s, d), inv(s, d), paid(s, d), v.where("total_amount > 1500000"), view(s, d, "v_seller"), view(s, d, "v_black"), view(s, d, "v_staff"))
 
 
 def all_findings(s: SparkSession, d: str) -> DataFrame:
@@ -514,7 +514,9 @@ def said(s: SparkSession, d: str) -> DataFrame:
 
 _PARTS = ["K1", "K2", "K5", "K23", "K24", "K25", "K26", "K27", "K29", "K30", "K31", "K32", "K33", "K7", "K8", "K9", "K10", "K11", "K14", "K15", "K16", "K17", "K18", "K19", "K20", "K21", "K22", "K35", "K36", "K37"]
 _RULES = ["R1", "R2", "R3", "R4", "R18", "R5", "R6", "R8", "R10", "R11", "R12", "R13", "R14", "R15", "R16", "R17", "R21", "R22", "R23", "R24"]
-_ALL_SQL = " UNION ALL ".join([f"SELECT *, 'anomaly' AS source FROM ({ORACLES[k]}) q{k}" for k in _PARTS] + [f"SELECT *, 'policy' AS source FROM ({ORACLES[k]}) q{k}" for k in _RULES])
+# The audit's own employees are those customers whose balance is below zero.
+_STAFF = {k: ORACLES[k].replace(duck("v_emp"), duck("v_staff")) for k in ("K37", "R24")}
+_ALL_SQL = " UNION ALL ".join([f"SELECT *, 'anomaly' AS source FROM ({_STAFF.get(k, ORACLES[k])}) q{k}" for k in _PARTS] + [f"SELECT *, 'policy' AS source FROM ({_STAFF.get(k, ORACLES[k])}) q{k}" for k in _RULES])
 _RANK = "CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END"
 _WEIGHT = "CASE severity WHEN 'HIGH' THEN 18.0 WHEN 'MEDIUM' THEN 6.0 ELSE 2.0 END"
 query("H7", f"SELECT * FROM ({_ALL_SQL}) f")(lambda s, d: said(s, d).select("source", "finding_type", "severity", F.round("score", 4).alias("score"), "entity", F.coalesce("amount", F.lit(0.0)).alias("amount")))
