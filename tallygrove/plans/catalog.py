@@ -469,13 +469,13 @@ query(
 query("J6", "SELECT DISTINCT vendor_name FROM {v_inv} i WHERE vendor_gst IN (SELECT gstin FROM {v_black} b WHERE gstin <> '')")(
     lambda s, d: M.blacklisted(view(s, d, "v_inv"), view(s, d, "v_black")).select(F.col("entity").alias("vendor_name")).distinct()
 )
-query("R24", found("related_party_vendor", "HIGH", "0.9", _ALTERED, "NULL", "FROM {v_emp} e"))(lambda s, d: short(M.related(view(s, d, "v_vendor"), view(s, d, "v_emp"))))
-query("J7", f"SELECT {_ALTERED} AS vendor, name AS employee, round(38 / 39.0, 4) AS ratio FROM {{v_emp}} e")(
-    lambda s, d: M.related(view(s, d, "v_vendor"), view(s, d, "v_emp")).select(F.col("entity").alias("vendor"), F.get_json_object("evidence", "$.employee").alias("employee"), F.get_json_object("evidence", "$.ratio").cast("double").alias("ratio"))
+query("R24", found("related_party_vendor", "HIGH", "0.9", _ALTERED, "NULL", "FROM {v_staff} e"))(lambda s, d: short(M.related(view(s, d, "v_seller"), view(s, d, "v_staff"))))
+query("J7", f"SELECT {_ALTERED} AS vendor, name AS employee, round(38 / 39.0, 4) AS ratio FROM {{v_staff}} e")(
+    lambda s, d: M.related(view(s, d, "v_seller"), view(s, d, "v_staff")).select(F.col("entity").alias("vendor"), F.get_json_object("evidence", "$.employee").alias("employee"), F.get_json_object("evidence", "$.ratio").cast("double").alias("ratio"))
 )
-query("K37", found("vendor_name_similar_to_employee", "HIGH", "0.75 + (38 / 39.0 - 0.88)", _ALTERED, "NULL", "FROM {v_emp} e"))(lambda s, d: short(M.like_employees(view(s, d, "v_vendor"), view(s, d, "v_emp"))))
-query("J8", f"SELECT {_ALTERED} AS vendor, name AS employee FROM {{v_emp}} e")(
-    lambda s, d: M.like_employees(view(s, d, "v_vendor"), view(s, d, "v_emp")).select(F.col("entity").alias("vendor"), F.get_json_object("evidence", "$.employee").alias("employee"))
+query("K37", found("vendor_name_similar_to_employee", "HIGH", "0.75 + (38 / 39.0 - 0.88)", _ALTERED, "NULL", "FROM {v_staff} e"))(lambda s, d: short(M.like_employees(view(s, d, "v_seller"), view(s, d, "v_staff"))))
+query("J8", f"SELECT {_ALTERED} AS vendor, name AS employee FROM {{v_staff}} e")(
+    lambda s, d: M.like_employees(view(s, d, "v_seller"), view(s, d, "v_staff")).select(F.col("entity").alias("vendor"), F.get_json_object("evidence", "$.employee").alias("employee"))
 )
 query("B27", "SELECT vec_id, round(greatest(0.0, least(1.0, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]))), 6) AS x FROM embeddings")(
     lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").crossJoin(F.broadcast(s.read.parquet(f"{d}/embeddings.parquet").where("vec_id = 0").limit(1).select(F.col("embedding").alias("q")))).select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("q")), 6).alias("x"))
