@@ -121,7 +121,7 @@ def _index(sets: DataFrame, least: float) -> DataFrame:
     seen = each.groupBy("sig").count()
     kept = F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1
     rare = each.join(seen, "sig").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "sig"))).alias("s"))
-    part = F.floor(F.log("n") / F.log(F.lit(1 / least)) + 1e-9).cast("int")
+    part = F.col("n") if least >= 1 else F.floor(F.log("n") / F.log(F.lit(1 / least)) + 1e-9).cast("int")
     return rare.select("node", "n", part.alias("part"), F.explode(F.slice("s", F.lit(1), kept.cast("int"))["sig"]).alias("sig"))
 
 
