@@ -13,8 +13,8 @@ the next, and compares what meets.  :func:`likeness` compares two given sets, no
 Defined results: a null text counts as empty; a text without words has no signatures, the fingerprint '' and likeness 1
 to another such and 0 to others; equal texts have equal fingerprints.  The next document is the one of the next smaller
 doc_id (null below all; the first after the last; itself if alone).  Rows of one doc_id come in the order of a hash of all
-their columns; equal rows count as one document and get one result each.  Other columns are ignored, and an empty table
-gives an empty one.  Only SQL functions are used.
+their columns, equal rows one after another.  Other columns are ignored, and an empty table gives an empty one.  Only SQL
+functions are used.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .spans import let
 CHAIN = 4
 #: Least share of all words that makes a word an anchor.
 SHARE = 0.001
+#: Characters of a range of neighbouring documents, and the most ranges.
+SPAN, SPANS = 8_000_000, 100_000
 WORDS = r"[\p{L}\p{M}\p{N}]+"
 
 
@@ -76,43 +78,62 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(large < 1, F.lit(1.0)).when((small < 1) | (small < least * large), F.lit(0.0)).otherwise(both)
 
 
-def followers(ids: DataFrame) -> DataFrame:
-    """``ids`` (doc_id, key: distinct; any others) with ``next``, the (doc_id, key) that follows, the first after the last.
+def _order(doc_id: str, key: str) -> Column:
+    """What documents are in order of: descending doc_id, null last, then ``key``."""
+    return F.struct(F.isnull(doc_id).alias("none"), F.coalesce(F.bitwise_not(doc_id), F.lit(0)).alias("down"), F.col(key).alias("key"))
 
-    Rows are dealt in ranges; a range's last row is followed by the next range's first, of which there is one a range.
-    """
-    order = (F.isnull("doc_id").alias("none"), F.bitwise_not("doc_id").alias("down"), F.col("key"))
-    rows = ids.repartitionByRange(F.isnull("doc_id"), F.bitwise_not("doc_id"), "key").withColumn("span", F.spark_partition_id())
+
+def bounds(rows: DataFrame) -> DataFrame:
+    """One row, ``b``: the first of each of the ranges that ``rows`` (order, size) are dealt in, of about SPAN characters."""
     rows = stored(rows, "spotsigs")
-    own = F.struct("doc_id", "key")
-    heads = rows.groupBy("span").agg(F.min_by(own, F.struct(*order)).alias("head"))
-    all_ = Window.orderBy("span")
-    first = F.first("head").over(all_.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.select("span", F.coalesce(F.lead("head").over(all_), first).alias("head"))
-    inside = F.lead(own).over(Window.partitionBy("span").orderBy(*order))
-    return rows.withColumn("inside", inside).join(heads, "span").withColumn("next", F.coalesce("inside", "head")).drop("inside", "head", "span")
+    n = min(SPANS, max(1, (rows.agg(F.sum("size")).first()[0] or 0) // SPAN))
+    heads = rows.repartitionByRange(n, "order").groupBy(F.spark_partition_id()).agg(F.min("order").alias("head"))
+    return stored(heads.agg(F.sort_array(F.collect_list("head")).alias("b")), "spotsigs")
+
+
+def _place(b: Column, order: Column) -> Column:
+    """The range that ``order`` lies in: the last whose first is not above it, by halving."""
+
+    def halved(at: Column, _: Column) -> Column:
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        right = F.struct(mid.alias("lo"), at["hi"].alias("hi"))
+        left = F.struct(at["lo"].alias("lo"), mid.alias("hi"))
+        return F.when(at["hi"] - at["lo"] <= 1, at).when(F.get(b, mid) <= order, right).otherwise(left)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SPANS.bit_length())), F.struct(F.lit(0).alias("lo"), F.size(b).alias("hi")), halved)["lo"]
+
+
+def neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Rows (doc_id, text, order, span, guest) of whole ranges: each document in its own, the first of each as a guest behind the one before.
+
+    So every document and the next one are in one range, and texts are moved once.
+    """
+    plain = F.coalesce(docs[text].cast("string"), F.lit(""))
+    base = docs.select(docs[doc_id].cast("long").alias("doc_id"), row_key(docs).alias("key"), plain.alias("text"))
+    base = base.select("doc_id", "text", _order("doc_id", "key").alias("order"))
+    b = bounds(base.select("order", F.length("text").cast("long").alias("size")))
+    base = base.withColumn("b", b.scalar()).withColumn("own", _place(F.col("b"), F.col("order")))
+    last = F.when(F.col("own") > 0, F.col("own")).otherwise(F.size("b")) - 1
+    at = lambda span, guest: F.struct(span.alias("span"), F.lit(guest).alias("guest"))
+    places = F.when(F.get("b", F.col("own")) == F.col("order"), F.array(at(F.col("own"), False), at(last, True))).otherwise(F.array(at(F.col("own"), False)))
+    return base.select("doc_id", "text", "order", F.explode(places).alias("p")).select("doc_id", "text", "order", "p.span", "p.guest").repartition("span")
 
 
 def compared(docs: DataFrame, common: list[str] | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: its fingerprint, that of its edited text, and likenesses to this and to the next document.
 
     Columns doc_id, text, edited, sigs, edited_sigs, near_edited, near_next.  The edited text is the text whose last third is
-    replaced by as much (or all) of the next document's start.  Texts are moved once, starts of a third of them once more.
+    replaced by as much (or all) of the next document's start.
     """
     common = anchors(docs, text=text) if common is None else common
-    plain = F.coalesce(docs[text].cast("string"), F.lit(""))
-    base = docs.select(docs[doc_id].cast("long").alias("doc_id"), row_key(docs).alias("key"), plain.alias("text"))
-    ids = base.groupBy("doc_id", "key").agg(F.floor(F.max(F.length("text")) / 3).cast("int").alias("want"))
-    after = followers(ids).select(F.col("next.doc_id").alias("n_id"), F.col("next.key").alias("n_key"), F.col("doc_id").alias("p_id"), F.col("key").alias("p_key"), "want")
-    start = F.struct(F.substring(F.col("text"), F.lit(1), F.col("want")).alias("start"), signatures(F.col("text"), common).alias("sigs"))
-    starts = base.join(after, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("key") == F.col("n_key")))
-    starts = starts.select("p_id", "p_key", "want", start.alias("s")).groupBy("p_id", "p_key", "want").agg(F.first("s").alias("s"))
-    both = base.join(starts, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("key") == F.col("p_key")))
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - F.col("want")), F.col("s.start"))
-    both = both.select("doc_id", "text", edited.alias("edited"), F.col("s.sigs").alias("next_sigs"))
-    both = both.withColumn("sigs", signatures(F.col("text"), common)).withColumn("edited_sigs", signatures(F.col("edited"), common))
+    rows = neighbours(docs, text, doc_id).withColumn("sigs", signatures(F.col("text"), common))
+    ahead = F.lead(F.struct("text", "sigs")).over(Window.partitionBy("span").orderBy("guest", "order"))
+    rows = rows.withColumn("next", ahead).where("NOT guest")
+    want = F.floor(F.length("text") / 3).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - want), F.substring(F.col("next.text"), F.lit(1), want))
+    rows = rows.select("doc_id", "text", "sigs", F.col("next.sigs").alias("next_sigs"), edited.alias("edited")).withColumn("edited_sigs", signatures(F.col("edited"), common))
     near = {"near_edited": likeness(F.col("sigs"), F.col("edited_sigs")), "near_next": likeness(F.col("sigs"), F.col("next_sigs"))}
-    return both.withColumns(near).drop("next_sigs")
+    return rows.withColumns(near).drop("next_sigs")
 
 
 def _index(sets: DataFrame, least: float) -> DataFrame:
