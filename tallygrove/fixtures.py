@@ -157,3 +157,56 @@ def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(F.right("party_name", F.lit(1)).isin("0", "2", "4", "6", "8"), "Value Date  Particulars  Chq No  Withdrawal  Deposit  Closing Balance").otherwise("Narration|Txn Date|Amount|Balance")
     pages = t.groupBy("party_name", "page_no").agg(F.concat_ws("\n", head, body, F.lit("Statement of account"), F.lit("Page total 5,000.00")).alias("raw_text"))
     return pages.select(F.col("party_name").alias("document_name"), "page_no", "raw_text")
+
+
+def layout_pages(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
+    """The transactions of :func:`statement_pages` in one of two banks' layouts, thirty a page, with a scanner's faults.
+
+    ``columns``: two dates, a reference on every other document's pages, debit, credit and balance with a dash for none,
+    or, every fifth, one amount and the balance alone.  ``balance``: date, text, amount and balance; every ninth amount is
+    missing.  Every eleventh transaction is followed by a line of text; some zeros are the letter O.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    t = view(spark, sf_dir, "v_txn").withColumn("secs", F.unix_seconds(F.col("ts").cast("timestamp")))
+    w = Window.partitionBy("party_name").orderBy("secs", "seq")
+    t = t.withColumns({"n": F.row_number().over(w) - 1, "balance": F.round(F.sum(F.col("credit") - F.col("debit")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 10_000_000, 2)})
+    money = lambda c: F.format_string("%,.2f", F.col(c))
+    even = F.right("party_name", F.lit(1)).isin("0", "2", "4", "6", "8")
+    faulty = lambda c: F.when(F.col("n") % 4 == 1, F.translate(c, "0", "O")).otherwise(c)
+    if layout == "columns":
+        day = faulty(F.date_format("ts", "dd/MM/yyyy"))
+        sides = F.when(F.col("n") % 5 == 4, money("amount")).when(F.col("credit") > 0, F.concat(F.lit("- "), money("amount"))).otherwise(F.concat(money("amount"), F.lit(" | --")))
+        ref = F.when(even, F.concat(F.lit("REF"), F.col("seq").cast("string"), F.lit(" "))).otherwise("")
+        line = F.concat(day, F.lit(" "), day, F.lit("  "), ref, "description", F.when(F.col("n") % 8 == 3, " XXXXXXXX").otherwise(""), F.lit("  "), faulty(sides), F.lit(" "), money("balance"))
+        head = F.when(even, "STATE BANK OF INDIA\nAccount No: 12345\nTxn Date  Value Date  Description  Ref No  Debit  Credit  Balance").otherwise("SBI\nAccount No. 678OO\nTxn Date  Description  Debit  Credit  Balance")
+    else:
+        amount = F.when((F.col("n") > 0) & (F.col("n") % 9 == 0), "").otherwise(F.concat(F.lit(" "), faulty(money("amount"))))
+        line = F.concat(faulty(F.date_format("ts", "dd/MM/yy")), F.lit(" "), "description", amount, F.lit(" "), money("balance"))
+        head = F.lit("HDFC BANK LTD\nAccount No : 5O1")
+    line = F.concat(line, F.when(F.col("n") % 11 == 5, F.concat(F.lit("\nnote "), F.col("n").cast("string"))).otherwise(""))
+    t = t.withColumns({"line": line, "page_no": F.floor(F.col("n") / 30)})
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    pages = t.groupBy("party_name", "page_no").agg(F.concat_ws("\n", F.when(F.col("page_no") == 0, head), F.when(F.col("page_no") == 0, F.lit("Opening Balance 10,000,000.00")), body).alias("raw_text"))
+    return pages.select(F.col("party_name").alias("document_name"), "page_no", "raw_text")
+
+
+def column_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transactions of :func:`statement_pages` as rows of cells between bars, in two orders of columns, with the other side empty or zero."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    t = view(spark, sf_dir, "v_txn").withColumn("secs", F.unix_seconds(F.col("ts").cast("timestamp")))
+    w = Window.partitionBy("party_name").orderBy("secs", "seq")
+    t = t.withColumns({"n": F.row_number().over(w) - 1, "balance": F.round(F.sum(F.col("credit") - F.col("debit")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 10_000_000, 2)})
+    money = lambda c: F.format_string("%,.2f", F.col(c))
+    even, none = F.right("party_name", F.lit(1)).isin("0", "2", "4", "6", "8"), F.when(F.col("n") % 2 == 0, "").otherwise("0.00")
+    debit, credit = F.when(F.col("credit") > 0, none).otherwise(money("amount")), F.when(F.col("credit") > 0, money("amount")).otherwise(none)
+    day = F.date_format("ts", "dd/MM/yyyy")
+    line = F.when(even, F.concat_ws("|", day, "description", F.concat(F.lit("R"), F.col("seq").cast("string")), debit, credit, money("balance"))).otherwise(F.concat_ws(" | ", day, credit, debit, "description", money("balance")))
+    head = F.when(even, "Value Date|Particulars|Chq No|Withdrawal|Deposit|Closing Balance").otherwise("Txn Date | Deposit | Withdrawal | Narration | Balance")
+    t = t.withColumns({"line": line, "page_no": F.floor(F.col("n") / 40)})
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    pages = t.groupBy("party_name", "page_no").agg(F.concat_ws("\n", head, body, F.lit("Statement of account")).alias("raw_text"))
+    return pages.select(F.col("party_name").alias("document_name"), "page_no", "raw_text")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixtures import statement_pages, view
+from ..fixtures import column_pages, layout_pages, statement_pages, view
 from ..functions import scalars as S
 from ..operators import reports as R
 from ..operators import transactions as T
+from ..sources import layouts as L
 from ..sources import statements as P
 from ..sources import tables as X
 from .catalog import ORACLES, QUERIES, query, txn
@@ -97,6 +98,10 @@ query("T9", f"SELECT party_name AS document_name, strftime(ts, '%Y-%m-%d') AS da
     lambda s, d: P.deduplicated(P.resolved(_rows(s, d)).unionByName(P.resolved(_rows(s, d)).withColumn("page_no", F.col("page_no") + 1000))).select("document_name", _day(), "description", "debit", "credit", "balance")
 )
 query("W6", f"SELECT party_name AS document_name, balance, lag(balance) OVER w AS before, lead(balance) OVER w AS after FROM {_PAGES} p WINDOW w AS (PARTITION BY party_name ORDER BY n)")(lambda s, d: P.around(_rows(s, d)).select("document_name", "balance", "before", "after"))
+# Columns by the document's heading: amounts' places differ, and the empty side is blank or zero.
+query("T4b", f"SELECT party_name AS document_name, strftime(ts, '%Y-%m-%d') AS day, description, CASE WHEN right(party_name, 1) IN ('0', '2', '4', '6', '8') THEN 'R' || seq END AS ref_no, debit, credit, balance FROM {_PAGES} p")(
+    lambda s, d: P.transactions(column_pages(s, d)).select("document_name", _day(), "description", "ref_no", "debit", "credit", "balance")
+)
 # Every fifth balance is off: its row does not follow from the one before, nor the next from it.
 _OFF = "round(balance + CASE WHEN n % 5 = 3 THEN 5000000 ELSE 0 END, 2)"
 query(
@@ -120,3 +125,37 @@ def _forest(s: SparkSession, d: str) -> DataFrame:
 
     f = multivariate(T.prepared(view(s, d, "v_txn")))
     return f.select("finding_type", "severity", "score", "entity", "amount")
+
+
+# Only a document's first page has a heading, so later pages are of variant B.
+_REF = "right(party_name, 1) IN ('0', '2', '4', '6', '8') AND n < 30"
+_NOTE = "CASE WHEN n % 11 = 5 THEN ' note ' || n ELSE '' END"
+query(
+    "T8",
+    "SELECT party_name AS document_name, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN right(party_name, 1) IN ('0', '2', '4', '6', '8') AND n >= 30 THEN 'REF' || seq || ' ' ELSE '' END || description || " + _NOTE + f" AS description, CASE WHEN {_REF} THEN 'REF' || seq WHEN n < 0 THEN '' END AS ref_no, "
+    f"CASE WHEN debit > 0 OR n = 0 AND n % 5 = 4 THEN amount END AS debit, CASE WHEN credit > 0 THEN amount END AS credit, balance FROM {_PAGES} p",
+)(lambda s, d: L.by_columns(layout_pages(s, d, "columns")).select("document_name", _day(), "description", "ref_no", "debit", "credit", "balance"))
+query(
+    "T8b",
+    "SELECT party_name AS document_name, strftime(ts, '%Y-%m-%d') AS day, description || " + _NOTE + " AS description, CASE WHEN n > 0 AND balance < before THEN amount END AS debit, CASE WHEN n > 0 AND balance >= before THEN amount END AS credit, balance "
+    f"FROM (SELECT *, lag(balance) OVER (PARTITION BY party_name ORDER BY n) AS before FROM {_PAGES} p) p",
+)(lambda s, d: L.by_balance(layout_pages(s, d, "balance")).select("document_name", _day(), "description", "debit", "credit", "balance"))
+
+
+def _both_layouts(s: SparkSession, d: str) -> DataFrame:
+    even = F.right("document_name", F.lit(1)).isin("0", "2", "4", "6", "8")
+    return layout_pages(s, d, "columns").where(even).unionByName(layout_pages(s, d, "balance").where(~even))
+
+
+# Documents of both layouts at once: which layout, whose account, how many transactions, and the lines before the first.
+query(
+    "T8c",
+    f"SELECT party_name AS document_name, CASE WHEN even THEN 'columns' ELSE 'balance' END AS layout, CASE WHEN even THEN '12345' ELSE '501' END AS account_number, count(*) AS transactions, CASE WHEN even THEN 3 + (count(*) + 29) // 30 - 1 ELSE 2 END AS warnings, round(sum(balance), 2) AS balances "
+    f"FROM (SELECT *, right(party_name, 1) IN ('0', '2', '4', '6', '8') AS even FROM {_PAGES} p) p GROUP BY party_name, even",
+)(lambda s, d: _layout_report(_both_layouts(s, d)))
+
+
+def _layout_report(pages: DataFrame) -> DataFrame:
+    rows = L.transactions(pages).groupBy("document_name").agg(F.count("*").alias("transactions"), F.round(F.sum("balance"), 2).alias("balances"))
+    warned = L.warnings(pages).groupBy("document_name").agg(F.count("*").alias("warnings"))
+    return L.documents(pages).join(rows, "document_name").join(warned, "document_name", "left")

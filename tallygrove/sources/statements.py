@@ -69,7 +69,7 @@ def heading(rows: DataFrame) -> DataFrame:
     column in it; cells are parted by two spaces, tabs or bars."""
     low = F.lower("line")
     n = sum((F.contains(low, F.lit(x)).cast("int") for x in HEADING), F.lit(0))
-    cells = F.filter(F.transform(F.split("line", r"\s{2,}|\t|\|"), F.trim), lambda c: c != "")
+    cells = F.filter(F.transform(F.split("line", r"\s{2,}|\t|\|"), lambda x: F.trim(x)), lambda c: c != "")
 
     def name(c):
         out = None
@@ -86,22 +86,57 @@ def heading(rows: DataFrame) -> DataFrame:
     return first.select("document_name", F.col("h.line").alias("heading"), "h.columns")
 
 
-def parsed(rows: DataFrame) -> DataFrame:
-    """T4, T5: date (carried forward), description, amount with its suffix, and balance: the last two amounts of a line."""
-    money = F.regexp_extract_all("line", F.lit(rf"({MONEY})\s*(?:DR|CR|Dr|Cr)?"), F.lit(1))
+SIDE = r"\s*(?:DR|CR|Dr|Cr)?"
+
+
+def _number(text: Column) -> Column:
+    return F.replace(text, F.lit(","), F.lit("")).try_cast("double")
+
+
+def _by_columns(columns: Column) -> dict[str, Column]:
+    """A line's values by its document's map of columns, chosen row by row; null where the line has no such cells."""
+    line = F.regexp_replace("line", r"^\s*\||\|\s*$", "")
+    cells = F.transform(F.split(line, r"\s*[|\t]\s*|\s{2,}"), lambda x: F.trim(x))
+    enough = F.size(cells) > F.coalesce(F.array_max(F.map_values(columns)), F.lit(1 << 30))
+    cell = lambda name: F.when(enough, F.get(cells, F.try_element_at(columns, F.lit(name))))
+    money = lambda name: _number(F.regexp_extract(cell(name), rf"^(-?\d[\d,]*\.?\d*){SIDE}$", 1))
+    suffix = F.nullif(F.upper(F.regexp_extract(cell("amount"), "(DR|CR|Dr|Cr)$", 1)), F.lit(""))
+    debit, credit = F.nullif(money("debit"), F.lit(0.0)), F.nullif(money("credit"), F.lit(0.0))
+    # An amount's own suffix counts where neither side's column has a value.
+    amount = F.coalesce(debit, credit, money("amount"))
+    side = F.when(debit.isNotNull(), "DR").when(credit.isNotNull(), "CR").otherwise(suffix)
+    known = cell("date").rlike(DATE) & amount.isNotNull()
+    got = {"date": cell("date"), "description": cell("description"), "ref_no": F.nullif(cell("ref_no"), F.lit("")), "amount": amount, "side": side, "balance": money("balance")}
+    return {"known": F.coalesce(known, F.lit(False)), **got}
+
+
+def parsed(rows: DataFrame, headings: DataFrame | None = None) -> DataFrame:
+    """T4, T5: date (carried forward), description, reference, amount with its side, and balance.
+
+    Where a document's heading (:func:`heading`) names its columns and a line has as many cells, values are read from these;
+    else the last two amounts of the line are the amount, with its suffix, and the balance.
+    """
+    money = F.regexp_extract_all("line", F.lit(rf"({MONEY}){SIDE}"), F.lit(1))
     sides = F.regexp_extract_all("line", F.lit(rf"{MONEY}\s*(DR|CR|Dr|Cr)?"), F.lit(1))
-    number = lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double")
-    own = S.clean_date(F.nullif(F.regexp_extract("line", f"({DATE})", 1), F.lit("")))
-    out = rows.withColumns({"own_date": own, "m": money, "s": sides})
+    if headings is None:
+        rows = rows.withColumn("columns", F.lit(None).cast("map<string,int>"))
+    else:
+        rows = rows.join(headings.select("document_name", "columns"), "document_name", "left")
+    own = F.nullif(F.regexp_extract("line", f"({DATE})", 1), F.lit(""))
+    out = rows.withColumns({f"c_{k}": v for k, v in _by_columns(F.col("columns")).items()})
+    out = out.withColumns({"own_date": S.clean_date(F.when(F.col("c_known"), F.col("c_date")).otherwise(own)), "m": money, "s": sides})
     out = out.withColumn("date", F.last("own_date", ignorenulls=True).over(in_order()))
-    text = F.trim(F.regexp_replace(F.regexp_replace("line", rf"{MONEY}\s*(?:DR|CR|Dr|Cr)?", ""), rf"{DATE}|\|", ""))
+    text = F.trim(F.regexp_replace(F.regexp_replace("line", rf"{MONEY}{SIDE}", ""), rf"{DATE}|\|", ""))
+    two = F.size("m") >= 2
+    by_order = {
+        "description": text, "ref_no": F.lit(None).cast("string"), "amount": _number(F.when(two, F.element_at("m", -2)).otherwise(F.element_at("m", -1))),
+        "side": F.nullif(F.upper(F.when(two, F.try_element_at("s", F.lit(-2))).otherwise(F.element_at("s", -1))), F.lit("")), "balance": F.when(two, _number(F.element_at("m", -1))),
+    }
+    chosen = {k: F.when(F.col("c_known"), F.col(f"c_{k}")).otherwise(v) for k, v in by_order.items()}
+    chosen["description"] = F.regexp_replace(F.coalesce(chosen["description"], text), r"\s+", " ")
     # A heading names no amounts; a line of totals has some, but is no transaction.
-    return out.where((F.size("m") >= 1) & ~F.col("line").rlike(TOTALS)).select(
-        "document_name", "page_no", "line_no", "date", F.regexp_replace(text, r"\s+", " ").alias("description"),
-        number(F.when(F.size("m") >= 2, F.element_at("m", -2)).otherwise(F.element_at("m", -1))).alias("amount"),
-        F.nullif(F.upper(F.when(F.size("m") >= 2, F.try_element_at("s", F.lit(-2))).otherwise(F.element_at("s", -1))), F.lit("")).alias("side"),
-        F.when(F.size("m") >= 2, number(F.element_at("m", -1))).alias("balance"),
-    )
+    kept = out.where((F.size("m") >= 1) & ~F.col("line").rlike(TOTALS))
+    return kept.select("document_name", "page_no", "line_no", "date", *[v.alias(k) for k, v in chosen.items()])
 
 
 def around(rows: DataFrame) -> DataFrame:
@@ -128,8 +163,9 @@ def deduplicated(rows: DataFrame) -> DataFrame:
 
 
 def transactions(pages: DataFrame) -> DataFrame:
-    """T1 to T9 together: pages of text to transactions."""
-    return deduplicated(resolved(parsed(merged(lines(pages)))))
+    """T1 to T9 together: pages of text to transactions, by the columns that headings name where they do."""
+    rows = lines(pages)
+    return deduplicated(resolved(parsed(merged(rows), heading(rows))))
 
 
 def page_column(name: Column) -> Column:

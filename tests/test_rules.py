@@ -187,11 +187,14 @@ def test_csv_statement_and_batch(spark, tmp_path):
 
 
 def test_pages_to_transactions(spark):
-    text = "Date Description Debit Balance\n01/02/2024 Rent paid 100.00 DR 900.00\n02/02/2024 Salary\ncredit 50.00 950.00\n"
+    text = "Date  Description  Debit  Balance\n01/02/2024 Rent paid 100.00 DR 900.00\n02/02/2024 Salary\ncredit 50.00 950.00\n"
     pages = spark.createDataFrame([("d", 0, text)], "document_name string, page_no long, raw_text string")
     got = [(str(r["date"]), r["description"], r["debit"], r["credit"]) for r in statements.transactions(pages).orderBy("date").collect()]
     assert got == [("2024-02-01", "Rent paid", 100.0, 0.0), ("2024-02-02", "Salary credit", 0.0, 50.0)]
-    assert statements.heading(statements.lines(pages)).first()["heading"].startswith("Date")
+    found = statements.heading(statements.lines(pages)).first()
+    assert found["heading"].startswith("Date") and found["columns"] == {"date": 0, "description": 1, "debit": 2, "balance": 3}
+    # Cells are parted by two spaces, tabs or bars: words one space apart are one cell, and no map.
+    assert statements.heading(statements.lines(pages.withColumn("raw_text", F.regexp_replace("raw_text", "  ", " ")))).first() is None
 
 
 def test_landing_folder_is_audited_once(spark, tmp_path):
