@@ -6,13 +6,16 @@ Fuzzy and ranged conditions are blocked by equalities that lose nothing, and the
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..graphs import components, stored
 from ..schema import HIGH, findings
+from .vectors import near
 
 #: Rows up to which a list (of queries or words) is broadcast.
 SMALL = 10_000
@@ -23,22 +26,24 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
-def candidates(inv: DataFrame, pay: DataFrame, vendor_ratio: float = 0.85) -> DataFrame:
+def candidates(inv: DataFrame, pay: DataFrame, vectors: DataFrame, vendor_ratio: float = 0.85) -> DataFrame:
     """Payments within two per cent and thirty days of an invoice, of a similar vendor, with a confidence.
 
-    Both sides have ``vec``; invoices have invoice_id, seq, invoice_date and amt, payments txn_id, seq, pay_date, amount.
+    Invoices have invoice_id, seq, vendor, invoice_date and amt, payments txn_id, seq, vendor, pay_date and amount, and
+    ``vectors`` (vendor, vec) one row a vendor.  Vendors are compared once; invoices then meet only payments of similar
+    vendors with amounts and days of one of two or three neighbouring ranges, by equality.
     """
     log = lambda c: F.floor(F.log(F.abs(c)) / 0.020202707)
     day = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / 31)
-    i = inv.where("amt > 0").select("invoice_id", F.col("seq").alias("i_seq"), "invoice_date", "amt", log(F.col("amt")).alias("b0"), day("invoice_date").alias("s0"))
+    asked, paid = (vectors.join(side.select("vendor").distinct(), "vendor", "left_semi") for side in (inv, pay))
+    alike = stored(near(asked, paid, vendor_ratio, key="vendor", vector="vec", distinct=False), "vendors")
+    alike = alike.select(F.col("query_id").alias("vendor"), F.col("vendor").alias("payee"), F.least(F.lit(1.0), "similarity").alias("vendor_score")).where(F.col("vendor_score") >= vendor_ratio)
+    i = inv.where("amt > 0").select("invoice_id", F.col("seq").alias("i_seq"), "vendor", "invoice_date", "amt", log(F.col("amt")).alias("b0"), day("invoice_date").alias("s0")).join(small(alike), "vendor")
     i = i.withColumn("block", F.explode(F.array(*[F.col("b0") + d for d in (-1, 0, 1)]))).withColumn("span", F.explode(F.array("s0", F.col("s0") + 1)))
-    p = pay.where("amount > 0").select("txn_id", F.col("seq").alias("p_seq"), "pay_date", "amount", log(F.col("amount")).alias("block"), day("pay_date").alias("span"))
-    near = i.join(p, ["block", "span"]).where((F.abs(F.col("amt") - F.col("amount")) <= 0.02 * F.col("amt")) & F.datediff("pay_date", "invoice_date").between(0, 30))
-    # Vectors are long: they are fetched for the few pairs that amounts and dates leave.
-    near = near.join(inv.select("invoice_id", F.col("vec").alias("i_vec")), "invoice_id").join(pay.select("txn_id", F.col("vec").alias("p_vec")), "txn_id")
-    near = near.withColumn("vendor_score", S.cosine(F.col("i_vec"), F.col("p_vec"))).where(F.col("vendor_score") >= vendor_ratio)
+    p = pay.where("amount > 0").select("txn_id", F.col("seq").alias("p_seq"), F.col("vendor").alias("payee"), "pay_date", "amount", log(F.col("amount")).alias("block"), day("pay_date").alias("span"))
+    met = i.join(p, ["payee", "block", "span"]).where((F.abs(F.col("amt") - F.col("amount")) <= 0.02 * F.col("amt")) & F.datediff("pay_date", "invoice_date").between(0, 30))
     score = 0.45 * S.amount_similarity(F.col("amt"), F.col("amount")) + 0.40 * F.col("vendor_score") + 0.15 * S.date_proximity(F.col("invoice_date"), F.col("pay_date"))
-    return near.select("invoice_id", "i_seq", "txn_id", "p_seq", F.round(score, 6).alias("confidence"))
+    return met.select("invoice_id", "i_seq", "txn_id", "p_seq", F.round(score, 6).alias("confidence"))
 
 
 def best_match(cand: DataFrame) -> DataFrame:
@@ -47,37 +52,49 @@ def best_match(cand: DataFrame) -> DataFrame:
     return cand.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
-#: Candidates of a group of invoices and payments that one task may serve in memory.
+#: Candidates of a group of invoices and payments that one task serves.
 GROUP = 200_000
 
 
+def _served(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that are matches, of rows in order of root, invoice and preference; a group may go on in the next batch."""
+    root, invoice, taken = None, None, set()
+    for b in batches:
+        rows = []
+        for at, r in enumerate(zip(*(b.column(c).to_pylist() for c in ("root", "i_seq", "invoice_id", "txn_id")))):
+            if r[0] != root:
+                root, invoice, taken = r[0], None, set()
+            if r[1:3] != invoice and r[3] not in taken:
+                taken.add(r[3])
+                rows.append(at)
+                invoice = r[1:3]
+        yield b.take(pa.array(rows, pa.int64())).select(["invoice_id", "i_seq", "txn_id", "p_seq", "confidence"])
+
+
 def reconciled(cand: DataFrame) -> DataFrame:
     """Each payment used once, invoices served in order, each by its best payment left.
 
-    Only invoices and payments that are linked through candidates can take something from each other, so each connected
-    group is served on its own, in one pass over its invoices.  Groups of more than ``GROUP`` candidates are served by
-    rounds over all tasks, however many they need: in each the invoices that come first for their best payment are final.
+    Only invoices and payments that are linked through candidates can take something from each other.  An invoice whose
+    payments no other can use takes its best.  All others are grouped by connected components; many groups pass through a task
+    in one stream of rows.  Groups of more than ``GROUP`` candidates are served by rounds over all tasks, however many they
+    need: in each the invoices that come first for their best payment are final.
     """
     cand = stored(cand, "reconcile")
+    wanted = cand.groupBy("txn_id").agg(F.count("*").alias("wanted"))
+    rivals = cand.join(wanted, "txn_id").groupBy("invoice_id").agg(F.max("wanted").alias("wanted"))
+    rivals = stored(rivals, "reconcile")
+    alone = best_match(cand.join(rivals.where("wanted = 1"), "invoice_id", "left_semi"))
+    cand = stored(cand.join(rivals.where("wanted > 1"), "invoice_id", "left_semi"), "reconcile")
     edges = cand.select(F.xxhash64(F.lit("i"), "invoice_id").alias("a"), F.xxhash64(F.lit("p"), "txn_id").alias("b"))
-    roots = components(edges)
-    keyed = cand.withColumn("node", F.xxhash64(F.lit("i"), "invoice_id")).join(roots, "node").drop("node")
+    keyed = cand.withColumn("node", F.xxhash64(F.lit("i"), "invoice_id")).join(components(edges), "node").drop("node")
     sizes = keyed.groupBy("root").count()
     keyed = stored(keyed.join(sizes, "root"), "reconcile")
-
-    def serve(group):
-        taken, rows = set(), []
-        group = group.sort_values(["i_seq", "invoice_id", "confidence", "p_seq"], ascending=[True, True, False, True])
-        last = None
-        for i, r in enumerate(zip(group.i_seq, group.invoice_id, group.txn_id)):
-            if r[:2] != last and r[2] not in taken:
-                taken.add(r[2])
-                rows.append(i)
-                last = r[:2]
-        return group.iloc[rows].drop(columns=["root", "count"])
-
-    few = keyed.where(F.col("count") <= GROUP).groupBy("root").applyInPandas(serve, cand.schema)
-    return few.unionByName(_by_rounds(keyed.where(F.col("count") > GROUP).drop("root", "count")))
+    few = keyed.where(F.col("count") <= GROUP).repartition("root").sortWithinPartitions("root", "i_seq", "invoice_id", F.desc("confidence"), "p_seq")
+    schema = "invoice_id string, i_seq long, txn_id string, p_seq long, confidence double"
+    few = few.select("root", "invoice_id", F.col("i_seq").cast("long"), "txn_id", F.col("p_seq").cast("long"), "confidence").mapInArrow(_served, schema)
+    columns = ["invoice_id", "i_seq", "txn_id", "p_seq", "confidence"]
+    large = _by_rounds(keyed.where(F.col("count") > GROUP).drop("root", "count"))
+    return alone.select(columns).unionByName(few).unionByName(large.select(columns))
 
 
 def _by_rounds(left: DataFrame) -> DataFrame:
@@ -114,9 +131,8 @@ def fuzzy_duplicates(inv: DataFrame, similar: float = 0.9) -> DataFrame:
 
 
 def similar_vendors(queries: DataFrame, vectors: DataFrame, threshold: float = 0.85, k: int = 25) -> DataFrame:
-    """Of each query's ``k`` nearest vectors, those of at least ``threshold``."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    j = vectors.select("vec_id", "embedding").join(small(q), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(S.cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
+    """Of each query's ``k`` nearest vectors, those of at least ``threshold`` (above 0), by cells of vectors."""
+    j = near(queries, vectors, threshold - 1e-6, k).select("query_id", "vec_id", F.round(F.least(F.lit(1.0), "similarity"), 6).alias("similarity"))
     j = j.where(F.col("similarity") >= threshold)
     return j.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).where(F.col("rank") <= k)
 
@@ -132,60 +148,98 @@ def ratio_bound(a: str, b: str) -> Column:
     return 2 * (common + F.least(other(a), other(b))) / (F.length(a) + F.length(b))
 
 
-def block_length(ratio: float, lo: int, hi: int) -> int:
-    """The least length of the longest common block of two unequal strings of ``lo`` to ``hi`` characters together whose
-    ratio is at least ``ratio``: m matched characters lie in at most as many blocks as there are others, and one."""
-    least = hi
-    for t in range(max(lo, math.ceil(1 / (1 - ratio))), hi + 1):
-        m = math.ceil(ratio * t / 2 - 1e-9)
-        for matched in range(m, t // 2 + 1):
-            if t - 2 * matched:
-                least = min(least, -(-matched // (t - 2 * matched + 1)))
-    return max(1, least)
-
-
-#: Names of up to LONG characters have short grams, those from SHORT on long ones: two names of a ratio of 0.8 or more
-#: (so of lengths within a factor of 1.5) have one kind in common.
-SHORT, LONG, LONGEST = 12, 18, 400
+#: Names of up to LONGEST characters are looked up in tables of numbers of grams; pairs of more than PAIRED characters together
+#: share single grams instead of pairs of grams.
+LONGEST, PAIRED = 400, 128
 
 
-def grams(name: str, ratio: float) -> Column:
-    """array<struct<kind, gram>> of which two names of a ratio of at least ``ratio`` share some: the name itself, and its short
-    substrings, the n-th of equal ones as such."""
-    n = F.length(name)
+def shared(ratio: float, la: int, lb: int) -> int:
+    """The least number of pairs of neighbouring characters that two unequal names of these lengths share in order: their m
+    matched characters lie in at most as many blocks as there are others, and one."""
+    m = math.ceil(ratio * (la + lb) / 2 - 1e-9)
+    return m - (la + lb - 2 * m + 1) if 2 * m <= la + lb and m <= min(la, lb) else -(1 << 20)
 
-    def cut(kind: str, q: int) -> Column:
-        all_ = F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.substring(F.col(name), i, F.lit(q)))
-        numbered = F.transform(all_, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(all_, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
-        return F.transform(numbered, lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("gram")))
 
-    none = F.array().cast("array<struct<kind:string,gram:string>>")
-    short = F.when(n <= LONG, cut("s", block_length(ratio, 2, 2 * LONG))).otherwise(none)
-    long = F.when(n >= SHORT, cut("l", block_length(ratio, 2 * SHORT, LONGEST))).otherwise(none)
-    return F.concat(F.array(F.struct(F.lit("=").alias("kind"), F.col(name).alias("gram"))), short, long)
+def kinds(ratio: float) -> dict[str, list[int]]:
+    """For each kind of key and each length up to LONGEST, of how many of its rarest grams a name's keys are made; 0 for none.
 
-
-def _shared(ratio: float, q: int) -> Column:
-    """The least number of substrings of ``q`` characters that two unequal names of lengths la and lb share: m matched
-    characters in at most as many blocks as there are others, and one."""
-    t = F.col("la") + F.col("lb")
-    m = F.ceil(F.lit(ratio) * t / 2 - 1e-9)
-    return F.greatest(F.lit(1), m - (t - 2 * m + 1) * (q - 1))
+    ``letter``: single characters, for pairs of tiny names that may share no two neighbours; ``one``: a gram, for pairs that
+    may share but one; ``two``: two grams in order, for pairs that share more; ``long``: a gram, for long names.  A name needs
+    the kinds of all lengths that a similar name may have.
+    """
+    out = {k: [0] * (LONGEST + 1) for k in ("letter", "one", "two", "long")}
+    for la in range(1, LONGEST + 1):
+        for lb in range(max(1, math.floor(la * ratio / (2 - ratio))), math.ceil(la * (2 - ratio) / ratio) + 1):
+            c = shared(ratio, la, lb)
+            if c < -1000:
+                continue
+            if c < 1:
+                out["letter"][la] = la
+            elif la + lb > PAIRED:
+                out["long"][la] = max(out["long"][la], la - 1 - c + 1)
+            elif c == 1:
+                out["one"][la] = la - 1
+            else:
+                out["two"][la] = max(out["two"][la], la - 1 - c + 2)
+    return out
+
+
+def _keys(names: DataFrame, ratio: float) -> DataFrame:
+    """(side, name, n, kind, key, p, q): the keys that a name shares with each name as similar as ``ratio``, with their grams' places.
+
+    A gram is two neighbouring characters.  Of two names' grams at least :func:`shared` agree in order, so a name's grams
+    that do not agree are few; with its rarest grams first, as many more as a key has are enough for one that agrees.
+    """
+    grams = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.struct(F.substring("name", i, F.lit(2)).alias("gram"), i.alias("pos")))
+    names = names.select("side", "name", F.length("name").alias("n"))
+    each = names.where("n > 1").select("side", "name", "n", F.explode(grams).alias("g")).select("side", "name", "n", "g.gram", "g.pos")
+    seen = each.groupBy("gram").agg(F.count("*").alias("seen"))
+    rare = each.join(seen, "gram").groupBy("side", "name", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "gram", "pos"))).alias("g"))
+    tables = kinds(ratio)
+    # Beyond the table every gram counts.
+    many = lambda kind: F.when(F.col("n") <= LONGEST, F.get(F.array(*[F.lit(x) for x in tables[kind]]), F.col("n"))).otherwise(F.col("n") if kind == "long" else 0)
+    first = lambda kind: F.array_sort(F.transform(F.slice("g", F.lit(1), many(kind)), lambda x: F.struct(x["pos"].alias("pos"), x["gram"].alias("gram"))))
+    key = lambda kind, text, p, q: F.struct(F.lit(kind).alias("kind"), text.alias("key"), p.alias("p"), q.alias("q"))
+    single = lambda kind: F.transform(first(kind), lambda x: key(kind, x["gram"], x["pos"], x["pos"]))
+    pairs = lambda g: F.flatten(F.transform(g, lambda x, i: F.transform(F.slice(g, i + 2, F.greatest(F.size(g) - i - 1, F.lit(0))), lambda y: key("two", F.concat(x["gram"], y["gram"]), x["pos"], y["pos"]))))
+    two = F.flatten(F.transform(F.array(first("two")), pairs))
+    columns = ("side", "name", "n", "k.kind", "k.key", "k.p", "k.q")
+    by_grams = rare.select("side", "name", "n", F.explode(F.concat(single("one"), single("long"), two)).alias("k")).select(*columns)
+    letters = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: key("letter", F.substring("name", i, F.lit(1)), i, i))
+    by_letters = names.where(many("letter") > 0).select("side", "name", "n", F.explode(letters).alias("k")).select(*columns)
+    same = names.select("side", "name", "n", F.lit("=").alias("kind"), F.col("name").alias("key"), F.lit(1).alias("p"), F.lit(1).alias("q"))
+    return by_grams.unionByName(by_letters).unionByName(same)
+
+
+def _common(a: str, b: str, q: int) -> Column:
+    """How many kinds of ``q`` neighbouring characters two names share, each counted once."""
+    cut = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - q + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(q)))
+    return F.size(F.array_intersect(cut(a), cut(b)))
 
 
 def _ratio_pairs(names: DataFrame, others: DataFrame, at_least: float) -> DataFrame:
-    """Pairs (name, other, pos, ratio) of distinct names whose ratio may reach ``at_least`` (0.8 or more): they share as many
-    substrings as that ratio asks for, and their lengths and letters allow it."""
+    """Pairs (name, other, pos, ratio) of distinct names whose ratio may reach ``at_least`` (0.8 or more): they share a key with
+    places that the ratio allows, and their lengths, grams and letters allow it."""
     from ..functions.fuzzy import sequence_ratio
 
-    a = names.select("name").distinct().where("name <> ''").select("name", F.length("name").alias("la"), F.explode(grams("name", at_least)).alias("g"))
-    b = others.select("other").distinct().where("other <> ''").select("other", F.length("other").alias("lb"), F.explode(grams("other", at_least)).alias("g"))
-    j = a.join(b, "g").where(2 * F.least("la", "lb") >= at_least * (F.col("la") + F.col("lb")))
-    count = lambda kind: F.count_if(F.col("g.kind") == kind)
-    j = j.groupBy("name", "other", "la", "lb").agg(count("=").alias("same"), count("s").alias("short"), count("l").alias("long"))
-    qs, ql = block_length(at_least, 2, 2 * LONG), block_length(at_least, 2 * SHORT, LONGEST)
-    j = j.where((F.col("same") > 0) | ((F.col("short") > 0) & (F.col("short") >= _shared(at_least, qs))) | ((F.col("long") > 0) & (F.col("long") >= _shared(at_least, ql))))
-    j = j.select("name", "other").where(ratio_bound("name", "other") >= at_least)
+    both = names.select(F.lit("a").alias("side"), "name").union(others.select(F.lit("b"), "other")).distinct().where("name <> ''")
+    keys = stored(_keys(both, at_least), "names")
+    a = keys.where("side = 'a'").select("name", F.col("n").alias("la"), "kind", "key", F.col("p").alias("ap"), F.col("q").alias("aq"))
+    b = keys.where("side = 'b'").select(F.col("name").alias("other"), F.col("n").alias("lb"), "kind", "key", F.col("p").alias("bp"), F.col("q").alias("bq"))
+    t = F.col("la") + F.col("lb")
+    m = F.ceil(F.lit(at_least) * t / 2 - 1e-9)
+    # Before a matched character stand at most la - m unmatched ones of the one name and lb - m of the other.
+    moved = lambda x, y: (F.col(y) - F.col(x)).between(-(F.col("la") - m), F.col("lb") - m)
+    j = a.join(b, ["kind", "key"]).where((m <= F.least("la", "lb")) & moved("ap", "bp") & moved("aq", "bq"))
+    j = j.select("name", "other").distinct()
+    t = F.length("name") + F.length("other")
+    m = F.ceil(F.lit(at_least) * t / 2 - 1e-9)
+    blocks = t - 2 * m + 1
+    # Equal grams are counted once, so a name's repeated ones are taken off what must be shared.
+    repeats = lambda c: F.length(c) - 1 - _common(c, c, 2)
+    enough = _common("name", "other", 2) >= m - blocks - F.least(repeats("name"), repeats("other"))
+    j = j.where((F.col("name") == F.col("other")) | (F.least(F.length("name"), F.length("other")) < 2) | enough)
+    j = j.where(ratio_bound("name", "other") >= at_least)
     return j.withColumn("ratio", sequence_ratio("name", "other")).where(F.col("ratio") >= at_least).join(others.select("other", "pos"), "other")
 
 

@@ -421,10 +421,11 @@ c AS (SELECT 'I' || i.seq AS invoice_id, i.seq AS i_seq, txn_id, p.seq AS p_seq,
 )
 
 
-def sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("k"), F.col("embedding").alias("vec"))
-    o = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("I"), "o_orderkey").alias("invoice_id"), F.to_date("o_orderdate").alias("invoice_date"), F.round("o_totalprice", 2).alias("amt"), (F.col("o_custkey") % 100).alias("k"))
-    return o.join(e, "k"), view(s, d, "v_pay").withColumnRenamed("vendor_key", "k").join(e, "k")
+def sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Invoices, payments and vendors' vectors."""
+    e = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("vendor"), F.col("embedding").alias("vec"))
+    o = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("I"), "o_orderkey").alias("invoice_id"), F.to_date("o_orderdate").alias("invoice_date"), F.round("o_totalprice", 2).alias("amt"), (F.col("o_custkey") % 100).alias("vendor"))
+    return o, view(s, d, "v_pay").withColumnRenamed("vendor_key", "vendor"), e
 
 
 def cands(s: SparkSession, d: str) -> DataFrame:
@@ -446,8 +447,8 @@ query("J2", _SERVED + " SELECT * FROM m")(lambda s, d: M.reconciled(cands(s, d))
 
 def unmatched_both(s: SparkSession, d: str) -> DataFrame:
     """What reconciliation leaves over, on either side."""
-    i, p = sides(s, d)
-    done = M.stored(M.reconciled(M.candidates(i, p)), "matches")
+    i, p, e = sides(s, d)
+    done = M.stored(M.reconciled(M.candidates(i, p, e)), "matches")
     return M.unmatched(i.select("invoice_id"), done, "invoice_id").select(F.lit("invoice").alias("side"), F.col("invoice_id").alias("id")).unionByName(M.unmatched(p.select("txn_id"), done, "txn_id").select(F.lit("payment").alias("side"), F.col("txn_id").alias("id")))
 
 
