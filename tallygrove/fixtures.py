@@ -210,3 +210,24 @@ def column_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
     pages = t.groupBy("party_name", "page_no").agg(F.concat_ws("\n", head, body, F.lit("Statement of account")).alias("raw_text"))
     return pages.select(F.col("party_name").alias("document_name"), "page_no", "raw_text")
+
+
+def written_files(spark: SparkSession, sf_dir: str) -> str:
+    """A new folder in the shared one with v_raw's and v_exp's documents as CSV files: each document one file, the expense
+    sheets in Latin-1, and three files that can't be read (quotes that don't close, no header, a type that isn't accepted)."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from .graphs import shared_folder
+
+    folder = f"{shared_folder(spark)}/files/{uuid.uuid4().hex}"
+    put = lambda df, name, encoding: df.repartition("doc").write.partitionBy("doc").option("header", True).option("encoding", encoding).csv(f"{folder}/{name}")
+    raw = view(spark, sf_dir, "v_raw").select(F.col("document_name").alias("doc"), F.col("date_text").alias("Txn Date"), F.concat("description", F.lit(" ₹")).alias("Description"), F.col("amount_text").alias("Debit"), F.lit("").alias("Credit"), F.lit("").alias("Balance"), F.col("seq").alias("Ref No./Cheque No."))
+    put(raw, "statements", "UTF-8")
+    claims = view(spark, sf_dir, "v_exp").select(F.col("document_name").alias("doc"), F.when(F.col("seq") % 7 != 0, F.col("expense_id")).alias("Expense ID"), F.date_format("exp_date", "dd/MM/yyyy").alias("Date"), F.concat(F.lit("Café, "), F.col("seq").cast("string")).alias("Description"), F.col("amount").cast("string").alias("Amount"), F.col("submitted_by").alias("Submitted By"), F.col("approved_by").alias("Approved By"), F.when(F.col("receipt_attached"), "Y").otherwise("N").alias("Receipt Attached Y/N"))
+    put(claims, "claims", "ISO-8859-1")
+    for name, text in (("open.bad", 'Date,Amount\n01/01/2024,"5'), ("headless.bad", "\n1\n2")):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/{name}")
+    spark.createDataFrame([("x",)], "value string").coalesce(1).write.json(f"{folder}/other.bad")
+    return folder

@@ -184,39 +184,43 @@ def kinds(ratio: float) -> dict[str, list[int]]:
     return out
 
 
+#: Words of 64 bits that stand for a name's grams.
+WORDS = 4
+
+
 def _keys(names: DataFrame, ratio: float) -> DataFrame:
-    """(side, name, n, kind, key, p, q): the keys that a name shares with each name as similar as ``ratio``, with their grams' places.
+    """(side, id, n, k, p, q, bits, lost): keys that a name shares with each name as similar as ``ratio``, with their grams' places.
 
     A gram is two neighbouring characters.  Of two names' grams at least :func:`shared` agree in order, so a name's grams
     that do not agree are few; with its rarest grams first, as many more as a key has are enough for one that agrees.
+    ``bits`` has a bit set for every gram; ``lost`` is how many grams it has above its number of bits.
     """
     grams = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.struct(F.substring("name", i, F.lit(2)).alias("gram"), i.alias("pos")))
-    names = names.select("side", "name", F.length("name").alias("n"))
-    each = names.where("n > 1").select("side", "name", "n", F.explode(grams).alias("g")).select("side", "name", "n", "g.gram", "g.pos")
+    names = names.select("side", "name", F.xxhash64("name").alias("id"), F.length("name").alias("n"))
+    each = names.where("n > 1").select("side", "id", "n", F.explode(grams).alias("g")).select("side", "id", "n", "g.gram", "g.pos")
     seen = each.groupBy("gram").agg(F.count("*").alias("seen"))
-    rare = each.join(seen, "gram").groupBy("side", "name", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "gram", "pos"))).alias("g"))
+    bit = F.pmod(F.xxhash64("gram"), F.lit(64 * WORDS))
+    words = [F.bit_or(F.when(F.floor(bit / 64) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
+    rare = each.join(seen, "gram").groupBy("side", "id", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "gram", "pos"))).alias("g"), *words)
+    bits = F.array(*[F.col(f"w{w}") for w in range(WORDS)])
+    rare = rare.withColumns({"bits": bits, "lost": F.col("n") - 1 - sum((F.bit_count(f"w{w}") for w in range(WORDS)), F.lit(0))})
     tables = kinds(ratio)
     # Beyond the table every gram counts.
     many = lambda kind: F.when(F.col("n") <= LONGEST, F.get(F.array(*[F.lit(x) for x in tables[kind]]), F.col("n"))).otherwise(F.col("n") if kind == "long" else 0)
     first = lambda kind: F.array_sort(F.transform(F.slice("g", F.lit(1), many(kind)), lambda x: F.struct(x["pos"].alias("pos"), x["gram"].alias("gram"))))
-    key = lambda kind, text, p, q: F.struct(F.lit(kind).alias("kind"), text.alias("key"), p.alias("p"), q.alias("q"))
+    key = lambda kind, text, p, q: F.struct(F.xxhash64(F.lit(kind), text).alias("k"), p.alias("p"), q.alias("q"))
     single = lambda kind: F.transform(first(kind), lambda x: key(kind, x["gram"], x["pos"], x["pos"]))
     pairs = lambda g: F.flatten(F.transform(g, lambda x, i: F.transform(F.slice(g, i + 2, F.greatest(F.size(g) - i - 1, F.lit(0))), lambda y: key("two", F.concat(x["gram"], y["gram"]), x["pos"], y["pos"]))))
     two = F.flatten(F.transform(F.array(first("two")), pairs))
-    columns = ("side", "name", "n", "k.kind", "k.key", "k.p", "k.q")
-    by_grams = rare.select("side", "name", "n", F.explode(F.concat(single("one"), single("long"), two)).alias("k")).select(*columns)
+    columns = ("side", "id", "n", "k.k", "k.p", "k.q", "bits", "lost")
+    by_grams = rare.select("side", "id", "n", "bits", "lost", F.explode(F.concat(single("one"), single("long"), two)).alias("k")).select(*columns)
+    none = names.withColumns({"bits": F.array_repeat(F.lit(0).cast("long"), WORDS), "lost": F.lit(1 << 30)})
     letters = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: key("letter", F.substring("name", i, F.lit(1)), i, i))
-    by_letters = names.where(many("letter") > 0).select("side", "name", "n", F.explode(letters).alias("k")).select(*columns)
-    same = names.select("side", "name", "n", F.lit("=").alias("kind"), F.col("name").alias("key"), F.lit(1).alias("p"), F.lit(1).alias("q"))
+    by_letters = none.where(many("letter") > 0).withColumn("k", F.explode(letters)).select(*columns)
+    same = none.withColumn("k", key("=", F.col("name"), F.lit(1), F.lit(1))).select(*columns)
     return by_grams.unionByName(by_letters).unionByName(same)
 
 
-def _common(a: str, b: str, q: int) -> Column:
-    """How many kinds of ``q`` neighbouring characters two names share, each counted once."""
-    cut = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - q + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(q)))
-    return F.size(F.array_intersect(cut(a), cut(b)))
-
-
 def _ratio_pairs(names: DataFrame, others: DataFrame, at_least: float) -> DataFrame:
     """Pairs (name, other, pos, ratio) of distinct names whose ratio may reach ``at_least`` (0.8 or more): they share a key with
     places that the ratio allows, and their lengths, grams and letters allow it."""
@@ -224,22 +228,19 @@ def _ratio_pairs(names: DataFrame, others: DataFrame, at_least: float) -> DataFr
 
     both = names.select(F.lit("a").alias("side"), "name").union(others.select(F.lit("b"), "other")).distinct().where("name <> ''")
     keys = stored(_keys(both, at_least), "names")
-    a = keys.where("side = 'a'").select("name", F.col("n").alias("la"), "kind", "key", F.col("p").alias("ap"), F.col("q").alias("aq"))
-    b = keys.where("side = 'b'").select(F.col("name").alias("other"), F.col("n").alias("lb"), "kind", "key", F.col("p").alias("bp"), F.col("q").alias("bq"))
+    a = keys.where("side = 'a'").select(F.col("id").alias("a"), F.col("n").alias("la"), "k", F.col("p").alias("ap"), F.col("q").alias("aq"), F.col("bits").alias("a_bits"), F.col("lost").alias("a_lost"))
+    b = keys.where("side = 'b'").select(F.col("id").alias("b"), F.col("n").alias("lb"), "k", F.col("p").alias("bp"), F.col("q").alias("bq"), F.col("bits").alias("b_bits"), F.col("lost").alias("b_lost"))
     t = F.col("la") + F.col("lb")
     m = F.ceil(F.lit(at_least) * t / 2 - 1e-9)
     # Before a matched character stand at most la - m unmatched ones of the one name and lb - m of the other.
     moved = lambda x, y: (F.col(y) - F.col(x)).between(-(F.col("la") - m), F.col("lb") - m)
-    j = a.join(b, ["kind", "key"]).where((m <= F.least("la", "lb")) & moved("ap", "bp") & moved("aq", "bq"))
-    j = j.select("name", "other").distinct()
-    t = F.length("name") + F.length("other")
-    m = F.ceil(F.lit(at_least) * t / 2 - 1e-9)
-    blocks = t - 2 * m + 1
-    # Equal grams are counted once, so a name's repeated ones are taken off what must be shared.
-    repeats = lambda c: F.length(c) - 1 - _common(c, c, 2)
-    enough = _common("name", "other", 2) >= m - blocks - F.least(repeats("name"), repeats("other"))
-    j = j.where((F.col("name") == F.col("other")) | (F.least(F.length("name"), F.length("other")) < 2) | enough)
-    j = j.where(ratio_bound("name", "other") >= at_least)
+    common = sum((F.bit_count(F.col("a_bits")[w].bitwiseAND(F.col("b_bits")[w])) for w in range(WORDS)), F.lit(0))
+    # Grams that agree have their bits in common; each has its own, but for those that a name has lost.
+    enough = common >= m - (t - 2 * m + 1) - F.least("a_lost", "b_lost")
+    j = a.join(b, "k").where((m <= F.least("la", "lb")) & moved("ap", "bp") & moved("aq", "bq") & enough).select("a", "b").distinct()
+    own = lambda side, name: both.where(F.col("side") == side).select(F.xxhash64("name").alias(side), F.col("name").alias(name))
+    j = j.join(own("a", "name"), "a").join(own("b", "other"), "b").select("name", "other")
+    j = j.where((F.col("name") == F.col("other")) | (ratio_bound("name", "other") >= at_least))
     return j.withColumn("ratio", sequence_ratio("name", "other")).where(F.col("ratio") >= at_least).join(others.select("other", "pos"), "other")
 
 

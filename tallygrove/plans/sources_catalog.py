@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixtures import column_pages, layout_pages, statement_pages, view
+from ..fixtures import column_pages, layout_pages, statement_pages, view, written_files
 from ..functions import scalars as S
 from ..operators import reports as R
 from ..operators import transactions as T
+from ..sources import batch as Y
 from ..sources import layouts as L
 from ..sources import statements as P
 from ..sources import tables as X
-from .catalog import ORACLES, QUERIES, query, txn
+from .catalog import ORACLES, QUERIES, query, short, txn
 
 
 def raw(s: SparkSession, d: str) -> DataFrame:
@@ -38,7 +39,6 @@ query("S5", f"SELECT seq, day, debit, credit FROM {_L} l")(lambda s, d: _ledger(
 query("S16", f"SELECT seq, concat_ws('|', CASE WHEN day IS NULL THEN 'missing_date' END, CASE WHEN seq % 9 = 0 THEN 'missing_narration' END, CASE WHEN debit IS NULL AND credit IS NULL THEN 'missing_amount' END, CASE WHEN debit IS NOT NULL AND credit IS NOT NULL THEN 'both_debit_and_credit_present' END) AS issues FROM {_L} l")(
     lambda s, d: _ledger(s, d).select("seq", "issues")
 )
-query("S9")(lambda s, d: view(s, d, "v_exp").agg(F.count("*").alias("n")).select(F.lit(X.kind_of_headers("a.csv", view(s, d, "v_exp").select(F.col("submitted_by").alias("Submitted By"), "amount").columns)).alias("kind"), "n"))
 query("S10", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), '" + X.INVOICE_WORDS + "') THEN 'invoice' WHEN regexp_matches(lower(text), '" + X.STATEMENT_WORDS + "') THEN 'bank_statement' ELSE 'unknown' END AS kind FROM {v_text} v")(lambda s, d: view(s, d, "v_text").select("doc_id", X.kind_of_text(F.col("text")).alias("kind")))
 
 
@@ -159,3 +159,64 @@ def _layout_report(pages: DataFrame) -> DataFrame:
     rows = L.transactions(pages).groupBy("document_name").agg(F.count("*").alias("transactions"), F.round(F.sum("balance"), 2).alias("balances"))
     warned = L.warnings(pages).groupBy("document_name").agg(F.count("*").alias("warnings"))
     return L.documents(pages).join(rows, "document_name").join(warned, "document_name", "left")
+
+# Files ---------------------------------------------------------------------------------------------------------------
+
+_DOC = F.regexp_extract("path", "doc=([^/]+)/", 1)
+_FILES = "(SELECT DISTINCT document_name AS file, 'bank_statement' AS kind, 'sbi' AS bank, 'utf-8' AS encoding FROM {v_raw} v UNION ALL SELECT DISTINCT document_name, 'expense', 'generic', 'cp1252' FROM {v_exp} w)"
+_BAD = "(VALUES ('headless.bad', 'no header'), ('open.bad', 'unexpected end of data'), ('other.bad', 'type not accepted')) b(file, error)"
+
+
+def _batch(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return Y.load_batch(s, written_files(s, d))
+
+
+# What a file is, by the header and the bytes that it has.
+query("S9", f"SELECT DISTINCT file, kind, bank, encoding FROM {_FILES} f")(lambda s, d: _batch(s, d)[0].select(_DOC.alias("file"), "kind", F.col("bank_name").alias("bank"), "encoding").distinct())
+query("S1", f"SELECT CAST(k.seq AS VARCHAR) AS ref, v.document_name, 'sbi' AS bank_name, b1.amount AS debit, b2.day, v.description || ' ₹' AS description FROM (SELECT seq {_KEPT}) k JOIN {{v_raw}} v USING (seq) JOIN ({ORACLES['B1']}) b1 ON k.seq = b1.seq JOIN ({ORACLES['B2']}) b2 ON k.seq = b2.seq")(
+    lambda s, d: Y.statements(_batch(s, d)[0], _DOC).select(F.col("transaction_id").alias("ref"), "document_name", "bank_name", F.round("debit", 4).alias("debit"), F.date_format("date", "yyyy-MM-dd").alias("day"), "description")
+)
+query("S11", f"SELECT file, NULL AS error, n FROM (SELECT document_name AS file, count(*) AS n FROM {{v_raw}} v GROUP BY 1 UNION ALL SELECT document_name, count(*) FROM {{v_exp}} w GROUP BY 1) g UNION ALL SELECT file, error, 1 FROM {_BAD}")(
+    lambda s, d: _batch_report(*_batch(s, d))
+)
+
+
+def _batch_report(good: DataFrame, bad: DataFrame) -> DataFrame:
+    """Rows by file that was read, and the reason by file that was not."""
+    rows = good.groupBy(_DOC.alias("file")).agg(F.count("*").alias("n")).select("file", F.lit(None).cast("string").alias("error"), "n")
+    return rows.unionByName(bad.select(F.regexp_extract("path", "([^/]+bad)/", 1).alias("file"), "error", F.lit(1).cast("long").alias("n")))
+
+
+query("S7", "SELECT submitted_by AS employee, strftime(exp_date, '%Y-%m-%d') AS day, 'Café, ' || seq AS description, amount, receipt_attached AS receipt, CASE WHEN seq % 7 = 0 THEN 'made' ELSE expense_id END AS expense_id FROM {v_exp} v")(
+    lambda s, d: Y.claims(_batch(s, d)[0], _DOC).select(F.col("submitted_by").alias("employee"), F.date_format("exp_date", "yyyy-MM-dd").alias("day"), "description", F.round("amount", 4).alias("amount"), F.col("receipt_attached").alias("receipt"), F.when(F.col("expense_id") == F.format_string("EXP-%06d", F.col("seq") + 1), F.lit("made")).otherwise(F.col("expense_id")).alias("expense_id"))
+)
+query("S19", "SELECT file, accepted FROM (SELECT document_name AS file, true AS accepted FROM (SELECT DISTINCT document_name FROM {v_raw} v UNION SELECT DISTINCT document_name FROM {v_exp} w) u UNION ALL VALUES ('open.bad', false), ('headless.bad', false), ('other.bad', false)) x")(
+    lambda s, d: _gated(s, written_files(s, d))
+)
+
+
+def _gated(s: SparkSession, folder: str) -> DataFrame:
+    return X.accepted(s, folder).where(~F.col("path").rlike("/_[^/]*$")).select(F.coalesce(F.nullif(_DOC, F.lit("")), F.regexp_extract("path", "([^/]+bad)/", 1)).alias("file"), "accepted")
+
+
+def _history(s: SparkSession, d: str) -> DataFrame:
+    """The tables as files that come out of order, in two runs of a stream, a few files at a time."""
+    import uuid
+
+    from ..graphs import shared_folder
+    from ..streaming import history as H
+
+    at = f"{shared_folder(s)}/landing/{uuid.uuid4().hex}"
+    out = None
+    for name, v, of, schema in (("txns", "v_txn", H.of_transactions, H.TXNS), ("invoices", "v_inv", H.of_invoices, H.INVOICES)):
+        rows = view(s, d, v).select(*[c.split(" ")[0] for c in schema.split(", ")])
+        part = F.pmod(F.xxhash64("seq"), F.lit(6))
+        for run in (0, 1):
+            rows.where(part % 2 == 1 - run).repartition(3, part).write.mode("append").option("header", True).option("emptyValue", "").csv(f"{at}/{name}")
+            H.audit_history(s, f"{at}/{name}", f"{at}/{name}-out", f"{at}/{name}-seen", of, schema, files=2).awaitTermination()
+        got = s.read.option("basePath", f"{at}/{name}-out").parquet(f"{at}/{name}-out")
+        out = got if out is None else out.unionByName(got)
+    return H.findings(out)
+
+
+query("X1", " UNION ALL ".join(f"SELECT * FROM ({ORACLES[k]}) {k}" for k in ("K5", "K26", "K30", "R5")))(lambda s, d: short(_history(s, d)))

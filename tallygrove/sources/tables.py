@@ -98,8 +98,8 @@ def header(columns: Iterable[str], aliases: Iterable[str]) -> str | None:
 
 
 def mapped(df: DataFrame, aliases: dict[str, tuple[str, ...]], keep: tuple[str, ...] = ()) -> DataFrame:
-    """A projection to the canonical columns, as text; null where no header matches."""
-    picked = {c: header([x for x in df.columns if x not in keep], names) for c, names in aliases.items()}
+    """A projection to the canonical columns, as text; null where no header matches.  A column of a canonical name is that."""
+    picked = {c: c if c in df.columns else header([x for x in df.columns if x not in keep], names) for c, names in aliases.items()}
     col = lambda h: F.col("`" + h.replace("`", "``") + "`").cast("string")
     return df.select(*keep, *[(col(h) if h else F.lit(None).cast("string")).alias(c) for c, h in picked.items()])
 
@@ -133,15 +133,16 @@ def cleaned_rows(rows: DataFrame) -> DataFrame:
     return rows.where(keep & S.clean_date(F.col("date")).isNotNull())
 
 
-def statement(raw: DataFrame, bank: str | None = None) -> DataFrame:
-    """Canonical statement rows; raw has ``seq`` and ``document_name`` beside its own columns."""
-    keep = tuple(c for c in ("seq", "document_name") if c in raw.columns)
-    bank = bank or bank_of_headers([c for c in raw.columns if c not in keep])
+def statement(raw: DataFrame, bank: str | Column | None = None) -> DataFrame:
+    """Canonical statement rows; raw has ``seq`` and ``document_name`` beside its own columns, and ``bank_name`` if it is known row by row."""
+    keep = tuple(c for c in ("seq", "document_name", "bank_name") if c in raw.columns)
+    bank = bank_of_headers([c for c in raw.columns if c not in keep]) if bank is None else bank
+    bank = bank if isinstance(bank, Column) else F.lit(bank)
     rows = cleaned_rows(mapped(raw, STATEMENT, keep))
     money = lambda c: S.clean_amount(F.col(c))
     reference = F.coalesce(F.nullif(F.trim("transaction_id"), F.lit("")), F.nullif(F.regexp_extract("description", "(?i)UPI/([A-Za-z0-9]+)", 1), F.lit("")))
     balance = F.when(F.trim("balance") != "", money("balance"))
-    return rows.select(*keep, F.lit(bank).alias("bank_name"), S.clean_date(F.col("date")).alias("date"), "description", money("debit").alias("debit"), money("credit").alias("credit"), balance.alias("balance"), reference.alias("transaction_id"))
+    return rows.select(*[c for c in keep if c != "bank_name"], bank.alias("bank_name"), S.clean_date(F.col("date")).alias("date"), "description", money("debit").alias("debit"), money("credit").alias("credit"), balance.alias("balance"), reference.alias("transaction_id"))
 
 
 def ledger(raw: DataFrame) -> DataFrame:
@@ -190,20 +191,9 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFra
     return rows.withColumn("seq", F.row_number().over(order) - 1).drop("_block", "_row")
 
 
-def load_batch(spark: SparkSession, paths: list[str]) -> tuple[list[DataFrame], DataFrame]:
-    """One statement DataFrame per path that can be read, and a DataFrame (path, error) of those that cannot."""
-    good, bad = [], []
-    for p in paths:
-        try:
-            good.append(statement(read_csv(spark, p)))
-        except Exception as e:  # a file that can't be read must not stop the others
-            bad.append((p, type(e).__name__))
-    return good, spark.createDataFrame(bad, "path string, error string")
-
-
 def accepted(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("csv", "pdf", "xlsx", "xls", "png", "jpg", "jpeg"), most: int = 10 * 1024 * 1024) -> DataFrame:
     """Files of a folder with whether their type and size are accepted; contents are not read."""
-    f = spark.read.format("binaryFile").load(folder).select("path", "length")
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
     return f.withColumn("accepted", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*suffixes) & (F.col("length") <= most))
 
 

@@ -181,11 +181,28 @@ def test_csv_statement_and_batch(spark, tmp_path):
     p.write_text("Date,Narration,Chq./Ref.No.,Withdrawal Amt.,Deposit Amt.,Closing Balance\n15/03/2024,UPI/123ABC/x,,\"1,00,000.00\",,5.00\n15/03/2024,Opening Balance,,,,5\nbad,x,,1,,\n")
     got = tables.statement(tables.read_csv(spark, str(p))).collect()
     assert [(r["bank_name"], r["debit"], r["transaction_id"], r["balance"]) for r in got] == [("hdfc", 100000.0, "123ABC", 5.0)]
-    good, bad = tables.load_batch(spark, [str(p), str(tmp_path / "none.csv")])
-    assert len(good) == 1 and bad.count() == 1
     assert tables.accepted(spark, str(tmp_path)).where("accepted").count() == 1
 
 
+def test_batch_quarantines_file_by_file(spark, tmp_path):
+    """Encodings file by file, rows of short length, and what can't be read beside what can."""
+    from tallygrove.sources import batch
+
+    head = "Date,Narration,Chq./Ref.No.,Withdrawal Amt.,Deposit Amt.,Closing Balance\n"
+    (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbf" + (head + '15/03/2024,"Café, two\nlines",R1,,"1,00,000.00",5.00\n\n16/03/2024,short\n').encode())
+    (tmp_path / "b.csv").write_bytes((head + "15/03/2024,Café €,R2,7,,\n").encode("cp1252"))
+    (tmp_path / "c.csv").write_bytes((head + "15/03/2024,Café,R3,7,,\n").encode("latin-1") + b"16/03/2024,\x81,R4,8,,\n")
+    (tmp_path / "open.csv").write_text(head + '1,"2')
+    (tmp_path / "empty.csv").write_text("\n \n")
+    (tmp_path / "note.pdf").write_text("x")
+    (tmp_path / "large.csv").write_text(head + "x" * 5000)
+    good, bad = batch.load_batch(spark, str(tmp_path), most=2000)
+    assert sorted((r["path"][-8:], r["error"]) for r in bad.collect()) == [("arge.csv", "too large"), ("mpty.csv", "empty file"), ("note.pdf", "type not accepted"), ("open.csv", "unexpected end of data")]
+    got = sorted((r["document_name"], r["seq"], r["description"], r["debit"], r["credit"], r["bank_name"]) for r in batch.statements(good).collect())
+    assert got == [("a.csv", 0, "Café, two\nlines", 0.0, 100000.0, "hdfc"), ("a.csv", 1, "short", 0.0, 0.0, "hdfc"), ("b.csv", 0, "Café €", 7.0, 0.0, "hdfc"), ("c.csv", 0, "Café", 7.0, 0.0, "hdfc"), ("c.csv", 1, "\x81", 8.0, 0.0, "hdfc")]
+    assert {r["path"][-5:]: r["encoding"] for r in good.collect()} == {"a.csv": "utf-8", "b.csv": "cp1252", "c.csv": "latin-1"}
+
+
 def test_pages_to_transactions(spark):
     text = "Date  Description  Debit  Balance\n01/02/2024 Rent paid 100.00 DR 900.00\n02/02/2024 Salary\ncredit 50.00 950.00\n"
     pages = spark.createDataFrame([("d", 0, text)], "document_name string, page_no long, raw_text string")
