@@ -159,8 +159,10 @@ def old_category(text: Column) -> Column:
 
 
 def transaction_reference(text: Column) -> Column:
-    """The reference in a description: after UTR, REF or RRN, else twelve digits or more."""
-    got = [F.regexp_extract(text, p, 1) for p in (r"(?i)\bUTR[:\-\s]*([A-Za-z0-9-]+)", r"(?i)\bREF[:\-\s]*([A-Za-z0-9-]+)", r"(?i)\bRRN[:\-\s]*([A-Za-z0-9-]+)", r"\b(\d{12,})\b")]
+    """The reference in a description: after UTR, REF or RRN, else twelve digits or more, else a word that begins so."""
+    words = ("UTR", "REF", "RRN")
+    after = [rf"(?i)\b{w}[:\-\s]*([A-Za-z0-9-]+)" for w in words]
+    got = [F.regexp_extract(text, p, 1) for p in (*after, r"\b(\d{12,})\b", rf"(?i)\b((?:{'|'.join(words)})[A-Za-z0-9-]+)\b")]
     return F.coalesce(*[F.nullif(g, F.lit("")) for g in got])
 
 

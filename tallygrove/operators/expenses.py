@@ -79,3 +79,29 @@ def categorized(e: DataFrame) -> DataFrame:
     """Ids and categories filled in where they are missing."""
     made = F.format_string("EXP-%06d", F.col("seq") + 1)
     return e.withColumns({"expense_id": F.coalesce(F.nullif(F.trim("expense_id"), F.lit("")), made), "category": F.coalesce(F.nullif(F.trim("category"), F.lit("")), S.expense_category(F.col("description")))})
+
+
+#: Columns that name people in expense sheets.
+PEOPLE = ("submitted_by", "approved_by", "employee", "employee_name")
+
+
+def people(e: DataFrame) -> DataFrame:
+    """The distinct names of all columns that name people."""
+    names = F.explode(F.array(*[F.trim(c) for c in PEOPLE if c in e.columns]))
+    return e.select(names.alias("name")).where("name <> ''").distinct()
+
+
+def without_split_vendors(e: DataFrame, splits: DataFrame, longest: int = 3) -> DataFrame:
+    """claims whose description names no vendor of the split-billing findings (K5).
+
+    A vendor's name begins with a gram of up to ``longest`` characters, which a description that names it holds: claims and
+    vendors meet at equal grams, each distinct description once, and are then compared as a whole.
+    """
+    vendor = F.lower(F.trim("entity"))
+    vendors = splits.select(vendor.alias("vendor"), F.left(vendor, F.lit(longest)).alias("gram")).where("vendor <> ''").distinct()
+    text = F.lower(F.coalesce("description", F.lit("")))
+    texts = e.select(text.alias("said")).distinct()
+    cut = lambda q: F.transform(F.sequence(F.lit(1), F.greatest(F.length("said") - q + 1, F.lit(1))), lambda i: F.substring("said", i, F.lit(q)))
+    grams = F.array_distinct(F.concat(*[cut(q) for q in range(1, longest + 1)]))
+    naming = texts.withColumn("gram", F.explode(grams)).join(vendors, "gram").where(F.contains("said", F.col("vendor"))).select("said").distinct()
+    return e.withColumn("said", text).join(naming, "said", "left_anti").drop("said")

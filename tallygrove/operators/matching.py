@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -244,6 +245,12 @@ def _ratio_pairs(names: DataFrame, others: DataFrame, at_least: float) -> DataFr
     return j.withColumn("ratio", sequence_ratio("name", "other")).where(F.col("ratio") >= at_least).join(others.select("other", "pos"), "other")
 
 
+def vendor_set(*tables: DataFrame) -> DataFrame:
+    """The distinct (name, gstin) of invoices, ledger and transactions; each has ``name`` and may have ``gstin``."""
+    parts = [t.select(F.trim("name").alias("name"), F.coalesce(F.col("gstin") if "gstin" in t.columns else F.lit(None), F.lit("")).alias("gstin")) for t in tables]
+    return reduce(DataFrame.unionByName, parts).where("name <> ''").distinct()
+
+
 def blacklisted(vendors: DataFrame, blacklist: DataFrame) -> DataFrame:
     """Vendors (vendor_name, vendor_gst) on a blacklist (pos, name, gstin): by GSTIN, or a name ratio above 0.9."""
     v = vendors.select(F.lower(F.trim("vendor_name")).alias("name"), "vendor_name", "vendor_gst").distinct()

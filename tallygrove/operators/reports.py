@@ -114,9 +114,36 @@ def top_types(f: DataFrame, n: int = 10) -> DataFrame:
 
 
 def page(f: DataFrame, number: int, size: int = 50) -> DataFrame:
-    """H6: one page of the ordered findings; a page has 200 at most."""
+    """H6: one page of the ordered findings, with the ``total`` of all; a page has 200 at most."""
     size = min(max(size, 1), 200)
-    return ordered(f).offset((max(number, 1) - 1) * size).limit(size)
+    total = f.agg(F.count("*").alias("total"))  # one row
+    return ordered(f).offset((max(number, 1) - 1) * size).limit(size).crossJoin(F.broadcast(total))
+
+
+TYPES = ("bank_statement", "expense", "gst", "invoice", "ledger")
+
+
+def by_type(documents: DataFrame) -> DataFrame:
+    """A2: documents and rows of each type, 0 where there are none; ``documents`` is (document_type, document_name, n)."""
+    types = documents.sparkSession.createDataFrame([(x,) for x in TYPES], "document_type string")
+    g = documents.groupBy("document_type").agg(F.count("*").alias("documents"), F.sum("n").alias("n"))
+    return g.join(F.broadcast(types), "document_type", "right").select("document_type", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("documents", "n")])
+
+
+def counters(documents: DataFrame, f: DataFrame) -> DataFrame:
+    """A3: documents, transactions (bank and expense rows, else those that the findings stand on), tax lines, invoices, all rows."""
+    of = lambda *types: F.coalesce(F.sum(F.when(F.col("document_type").isin(*types), F.col("n"))), F.lit(0)).cast("long")
+    rows = documents.agg(F.count("*").alias("documents"), of("bank_statement", "expense").alias("own"), of("gst").alias("tax_lines"), of("invoice").alias("invoices"), of(*TYPES).alias("rows"))
+    named = f.select(F.explode("transaction_ids").alias("id")).agg(F.count_distinct("id").alias("named"))
+    both = rows.crossJoin(named)  # one row each
+    return both.select("documents", F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("named")).alias("transactions"), "tax_lines", "invoices", "rows")
+
+
+def scope(f: DataFrame, name: str) -> DataFrame:
+    """(kind, value): the distinct transactions and entities of a document's findings."""
+    own = f.where(F.lower(F.trim("document_name")) == name.strip().lower())
+    pairs = F.concat(F.transform("transaction_ids", lambda x: F.struct(F.lit("transaction").alias("kind"), x.alias("value"))), F.array(F.struct(F.lit("entity").alias("kind"), F.col("entity").alias("value"))))
+    return own.select(F.explode(pairs).alias("p")).select("p.*").where("value IS NOT NULL").distinct()
 
 
 def filtered(f: DataFrame, severity: str | None = None, kind: str | None = None, document: str | None = None, text: str | None = None) -> DataFrame:
@@ -132,11 +159,6 @@ def filtered(f: DataFrame, severity: str | None = None, kind: str | None = None,
     return f
 
 
-def of_document(f: DataFrame, name: str) -> DataFrame:
-    """the distinct transactions that a document's findings stand on."""
-    return f.where(F.lower(F.trim("document_name")) == name.strip().lower()).select(F.explode("transaction_ids").alias("txn_id")).distinct()
-
-
 def summary(f: DataFrame, most: int = 5, kind: str = "document") -> DataFrame:
     """A summary from the counts, the score, and the most frequent types of high and of medium severity; for a clean
     audit a line that names the ``kind`` of document."""

@@ -31,10 +31,17 @@ _APP = "concat('UPI/R', cast(seq AS varchar), '/', CASE seq % 6 WHEN 0 THEN 'Pho
 query("B7", "SELECT txn_id, CASE seq % 6 WHEN 0 THEN 'phonepe' WHEN 1 THEN 'gpay' WHEN 2 THEN 'paytm' WHEN 3 THEN 'bhim' END AS upi_app, CASE WHEN seq % 6 = 4 THEN 'shop.no@okbank' END AS recipient, 'R' || seq AS reference_number FROM {v_txn} v")(
     lambda s, d: view(s, d, "v_txn").select("txn_id", D.upi(F.expr(_APP.replace("varchar", "string"))).alias("x")).select("txn_id", "x.*")
 )
+_CHAIN = lambda table: "CASE " + " ".join(f"WHEN regexp_matches(lower(t), '{p}') THEN '{n}'" for n, p in table) + " END"
+_MODE = _CHAIN(D.MODES)
+# Descriptions with a bank's name now and then, and transfers to somebody.
+_TEXT = "CASE WHEN seq % 9 = 4 THEN concat('TRF TO Ravi Kumar-', description) WHEN seq % 9 = 5 THEN concat('ACH HDFC0001234 CANARA ', description) WHEN seq % 9 = 6 THEN concat('IMPS/', cast(seq + 1000000000 AS varchar), '/9876543210/a.b@okaxis') ELSE description END"
 query(
     "B6",
-    "SELECT txn_id, CASE " + " ".join(f"WHEN regexp_matches(lower(description), '{p}') THEN '{n}'" for n, p in D.MODES) + " END AS payment_mode, CASE WHEN description LIKE 'UPI/%' THEN 'Payment' END AS receiver_name, regexp_matches(lower(description), 'reversal|refund|return|chargeback|\\brev\\b') AS is_reversal FROM {v_txn} v",
-)(lambda s, d: view(s, d, "v_txn").select("txn_id", D.second_tags(F.col("description")).alias("x")).select("txn_id", "x.payment_mode", "x.receiver_name", "x.is_reversal"))
+    f"SELECT txn_id, {_MODE} AS payment_mode, CASE WHEN seq % 9 = 4 THEN 'Ravi Kumar' WHEN mode = 'UPI' THEN 'Payment' WHEN mode = 'NEFT' THEN 'Acme Traders' END AS receiver_name, regexp_matches(lower(t), 'reversal|refund|return|chargeback|\\brev\\b') AS is_reversal, "
+    "CASE WHEN seq % 9 = 5 THEN 'CANARA' END AS receiver_bank, CASE WHEN seq % 9 = 6 THEN '9876543210' END AS phone_number, CASE WHEN seq % 9 = 6 THEN 'a.b@okaxis' END AS receiver_upi, "
+    "CASE mode WHEN 'UPI' THEN cast(100000000000 + seq AS varchar) WHEN 'NEFT' THEN nullif(regexp_extract(regexp_extract(t, '/(.*)$', 1), '(?i)[A-Z0-9]{8,}', 0), '') WHEN 'IMPS' THEN cast(seq + 1000000000 AS varchar) WHEN 'ACH' THEN 'HDFC0001234' "
+    "ELSE nullif(regexp_extract(t, '\\b[A-Z0-9]{8,}\\b', 0), '') END AS transaction_id, " + _CHAIN(D.CATEGORIES) + f" AS category FROM (SELECT *, {_MODE} AS mode FROM (SELECT *, {_TEXT} AS t FROM {{v_txn}} v) x) y",
+)(lambda s, d: view(s, d, "v_txn").select("txn_id", D.second_tags(F.expr(_TEXT.replace("varchar", "string"))).alias("x")).select("txn_id", "x.payment_mode", "x.receiver_name", "x.is_reversal", "x.receiver_bank", "x.phone_number", "x.receiver_upi", "x.transaction_id", "x.category"))
 _NUMBER = "coalesce(" + ", ".join(f"nullif(trim(regexp_extract(text, '{p}', 1)), '')" for p in D.FIELDS["invoice_number"]) + ")"
 _GSTIN = f"nullif(regexp_extract(upper(text), '({S.GSTIN})', 1), '')"
 # An invoice block alone, so that every field is known; every third text is a letter without any.
@@ -44,6 +51,16 @@ query(
     "B15",
     f"SELECT doc_id, CASE WHEN {_HAS} THEN 'INV-' || doc_id END AS invoice_number, CASE WHEN {_HAS} AND doc_id % 2 = 0 THEN '2024-03-15' END AS day, CASE WHEN {_HAS} THEN 'Firm ' || doc_id END AS vendor, CASE WHEN {_HAS} THEN 1000.5 + doc_id % 1000 END AS total, CASE WHEN {_HAS} THEN '27ABCDE' || lpad(cast(doc_id % 10000 AS varchar), 4, '0') || 'F1Z5' END AS gstin FROM {{v_text}} v",
 )(lambda s, d: view(s, d, "v_text").select("doc_id", D.invoice_fields(F.expr(_BLOCK.replace("varchar", "string"))).alias("x")).select("doc_id", "x.invoice_number", F.date_format("x.invoice_date", "yyyy-MM-dd").alias("day"), "x.vendor", "x.total", "x.gstin"))
+# A tax invoice between two parties, with either kind of tax.
+_TAXED = (
+    "concat('Tax Invoice\n27ABCDE', lpad(cast(doc_id % 10000 AS varchar), 4, '0'), 'F1Z5\nM/S Buyer & Sons ', CASE WHEN doc_id % 2 = 0 THEN 'Ltd.' ELSE 'Co' END, ' GSTIN 29ABCDE', lpad(cast(doc_id % 10000 AS varchar), 4, '0'), 'F1Z5\nPlace of Supply: Karnataka (29)\n', "
+    "CASE WHEN doc_id % 5 = 0 THEN 'Taxable Value: Rs. ' WHEN doc_id % 5 = 1 THEN 'Taxable Amount - ' ELSE '' END, '1,', lpad(cast(doc_id % 1000 AS varchar), 3, '0'), '.00\n', CASE WHEN doc_id % 2 = 0 THEN 'IGST (18.00 %) 180.50' ELSE 'CGST 9% 90.25\nSGST 9% 90.30' END)"
+)
+query(
+    "B15b",
+    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Buyer & Sons Ltd.' ELSE 'Buyer & Sons Co' END AS buyer_name, '29ABCDE' || lpad(cast(doc_id % 10000 AS varchar), 4, '0') || 'F1Z5' AS buyer_gst, 'Karnataka (29)' AS place_of_supply, 1000.0 + doc_id % 1000 AS subtotal, CASE WHEN doc_id % 2 <> 0 THEN 90.25 END AS cgst_amount, "
+    "CASE WHEN doc_id % 2 <> 0 THEN 90.3 END AS sgst_amount, CASE WHEN doc_id % 2 = 0 THEN 180.5 END AS igst_amount, CASE WHEN doc_id % 2 = 0 THEN 180.5 ELSE 180.55 END AS gst_amount, CASE WHEN doc_id % 2 = 0 THEN 18.0 ELSE 9.0 END AS gst_rate FROM {v_text} v",
+)(lambda s, d: view(s, d, "v_text").select("doc_id", D.tax_fields(F.expr(_TAXED.replace("varchar", "string"))).alias("x")).select("doc_id", "x.*"))
 query("B16", f"SELECT doc_id, CASE WHEN {_HAS} THEN CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.8 END ELSE 0.0 END AS confidence, CASE WHEN {_HAS} THEN '' ELSE 'low confidence; no GSTIN' END AS warnings FROM {{v_text}} v")(
     lambda s, d: view(s, d, "v_text").select("doc_id", D.invoice_fields(F.expr(_BLOCK.replace("varchar", "string"))).alias("x")).select("doc_id", "x.confidence", "x.warnings")
 )
