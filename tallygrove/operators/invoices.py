@@ -1,6 +1,6 @@
 """Checks on invoices, invoice rows and tax lines.
 
-``seq`` is the order in which invoices came in; "earlier" means a smaller ``seq``.  Windows are by vendor.
+``seq`` is the order in which invoices came in, one each; "earlier" means a smaller ``seq``.  Windows are by vendor and range of it.
 """
 
 from __future__ import annotations
@@ -23,14 +23,40 @@ def _rule(df: DataFrame, kind: str, severity: str | Column = HIGH, score: float
     return findings(df, kind, severity, score, F.col("invoice_id"), F.col("amt"), source="policy", **more)
 
 
-def _before(*keys: str):
-    return Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+#: Width of the ranges of ``seq`` that running values are carried over.
+RANGE = 4096
+
+
+def running(df: DataFrame, keys: list[str], sums: dict[str, Column] | None = None, least: dict[str, Column] | None = None, upto: int = -1, span: int | None = None) -> DataFrame:
+    """``df`` with running sums and minima over each key's rows before a row (with ``upto`` 0: and itself), in order of ``seq``.
+
+    A key's rows are cut into ranges of ``seq``.  Ranges have their totals, which are carried on from range to range, one row
+    each; windows run within ranges only.  So a hot key is many groups.
+    """
+    sums, least = sums or {}, least or {}
+    df = df.withColumns({"_b": F.floor(F.col("seq") / (span or RANGE)), **{f"_{k}": v for k, v in {**sums, **least}.items()}})
+    total = df.groupBy(*keys, "_b").agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in sums], *[F.min(f"_{k}").alias(f"_{k}") for k in least])
+    past = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.sum(f"_{k}").over(past).alias(f"_p_{k}") for k in sums] + [F.min(f"_{k}").over(past).alias(f"_p_{k}") for k in least]
+    total = total.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_k_b"), *carried)
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    df = df.join(total, [*on, F.col("_b") == F.col("_k_b")])
+    w = Window.partitionBy(*keys, "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, upto)
+    both = {k: F.coalesce(f"_p_{k}", F.lit(0)) + F.coalesce(F.sum(f"_{k}").over(w), F.lit(0)) for k in sums}
+    both |= {k: F.least(F.col(f"_p_{k}"), F.min(f"_{k}").over(w)) for k in least}
+    return df.withColumns(both).drop("_b", "_k_b", *[f"_k_{k}" for k in keys], *[f"_{k}" for k in (*sums, *least)], *[f"_p_{k}" for k in (*sums, *least)])
+
+
+def with_first(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with ``first``, the smallest ``seq`` of the row's keys, by a partially aggregated minimum."""
+    first = df.groupBy(*keys).agg(F.min("seq").alias("first")).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "first")
+    return df.join(first, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).drop(*[f"_k_{k}" for k in keys])
 
 
 def with_history(i: DataFrame) -> DataFrame:
     """Adds to each invoice the vendor's number of earlier ones, the first of them and the oldest date among them."""
-    w = _before("vendor")
-    return i.withColumns({"earlier": F.count("*").over(w), "first_id": F.first("invoice_id").over(w), "oldest": F.min("invoice_date").over(w)})
+    i = running(i, ["vendor"], {"earlier": F.lit(1).cast("long")}, {"head": F.struct("seq", "invoice_id"), "oldest": F.col("invoice_date")})
+    return i.withColumn("first_id", F.col("head.invoice_id")).drop("head")
 
 
 # Tax lines -----------------------------------------------------------------------------------------------------------
@@ -122,8 +148,7 @@ def new_vendors(i: DataFrame, known: DataFrame, policy: Policy = POLICY) -> Data
 def duplicates(i: DataFrame) -> DataFrame:
     """A number that the vendor used before."""
     i = i.withColumn("number", F.trim("invoice_number")).where("number <> '' and vendor <> ''")
-    r = F.row_number().over(Window.partitionBy("vendor", "number").orderBy("seq"))
-    return _rule(i.withColumn("r", r).where("r > 1"), "duplicate_invoice")
+    return _rule(with_first(i, ["vendor", "number"]).where("seq > first"), "duplicate_invoice")
 
 
 def tax_consistency(i: DataFrame, policy: Policy = POLICY) -> DataFrame:
@@ -166,32 +191,30 @@ def same_amounts(i: DataFrame) -> DataFrame:
 
 def sudden_activity(i: DataFrame) -> DataFrame:
     """A vendor without older invoices that has three within thirty days (earlier ones and this)."""
-    w = _before("vendor")
-    i = i.where("invoice_date is not null and vendor <> ''").withColumns({"oldest": F.min("invoice_date").over(w), "n": F.count("*").over(w)})
+    i = running(i.where("invoice_date is not null and vendor <> ''"), ["vendor"], {"n": F.lit(1).cast("long")}, {"oldest": F.col("invoice_date")})
     return _rule(i.where((F.col("n") >= 2) & (F.col("oldest") >= F.date_sub("invoice_date", 30))), "vendor_sudden_activity", MEDIUM)
 
 
 def one_timers(i: DataFrame) -> DataFrame:
     """A vendor's first invoice, above 50 000 and without a GSTIN."""
-    i = i.where("vendor <> ''").withColumn("r", F.row_number().over(Window.partitionBy("vendor").orderBy("seq")))
-    return _rule(i.where((F.col("r") == 1) & (F.col("amt") > 50_000) & (F.trim(F.coalesce("vendor_gst", F.lit(""))) == "")), "one_time_vendor")
+    i = with_first(i.where("vendor <> ''"), ["vendor"])
+    return _rule(i.where((F.col("seq") == F.col("first")) & (F.col("amt") > 50_000) & (F.trim(F.coalesce("vendor_gst", F.lit(""))) == "")), "one_time_vendor")
 
 
 def busy_months(i: DataFrame) -> DataFrame:
     """A month with three times as many invoices so far as the vendor's other months so far, on average."""
     i = i.where("invoice_date is not null and vendor <> ''").withColumn("month", F.date_format("invoice_date", "yyyy-MM"))
-    order = Window.partitionBy("vendor").orderBy("seq")
-    c = F.row_number().over(Window.partitionBy("vendor", "month").orderBy("seq"))
     # A month counts once: at its first invoice.
-    months = F.sum((F.col("c") == 1).cast("long")).over(order)
-    i = i.withColumn("c", c).withColumns({"others": F.row_number().over(order) - F.col("c"), "other_months": months - 1})
+    i = running(with_first(i, ["vendor", "month"]), ["vendor"], {"all": F.lit(1).cast("long"), "months": (F.col("seq") == F.col("first")).cast("long")}, upto=0)
+    i = running(i, ["vendor", "month"], {"c": F.lit(1).cast("long")}, upto=0)
+    i = i.withColumns({"others": F.col("all") - F.col("c"), "other_months": F.col("months") - 1})
     return _rule(i.where((F.col("other_months") > 0) & (F.col("c") >= 3 * F.col("others") / F.col("other_months"))), "invoice_frequency_anomaly", MEDIUM)
 
 
 def clustering(i: DataFrame, policy: Policy = POLICY) -> DataFrame:
     """An amount just below the approval threshold, where the vendor had one before."""
     i = i.where((F.col("amt") >= 0.95 * policy.approval_above) & (F.col("amt") < policy.approval_above) & (F.col("vendor") != ""))
-    return _rule(i.withColumn("r", F.row_number().over(Window.partitionBy("vendor").orderBy("seq"))).where("r > 1"), "amount_clustering")
+    return _rule(with_first(i, ["vendor"]).where("seq > first"), "amount_clustering")
 
 
 def unusually_high(i: DataFrame, by_vendor: bool = False, bucket: int = 4096) -> DataFrame:
@@ -211,7 +234,7 @@ def unusually_high(i: DataFrame, by_vendor: bool = False, bucket: int = 4096) ->
     sums = i.groupBy(*keys, "bucket").agg(F.count("*").alias("bn"), F.sum("x").alias("bs"), F.sum(F.col("x") * F.col("x")).alias("bq"))
     past = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, "bucket", *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(c) for c in ("bn", "bs", "bq")])
-    w = _before(*keys, "bucket")
+    w = Window.partitionBy(*keys, "bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     i = i.join(sums, [*keys, "bucket"])
     n = F.col("bn") + F.count("*").over(w)
     s = F.col("bs") + F.coalesce(F.sum("x").over(w), F.lit(0.0))

@@ -82,20 +82,22 @@ def ahead(t: DataFrame, key: str, span: int, high: Column) -> DataFrame:
     or the next.  Each row enters both groups as an entry, and its own once more as a mark at the end of its span; running
     sums at the mark less those before the row are what lies between.
     """
-    t = t.withColumns({"_range": F.floor(F.col("secs") / span), "_high": F.coalesce(high, F.lit(False)).cast("long"), "_amount": F.coalesce(F.col("amount"), F.lit(0.0))})
+    t = t.withColumns({"_range": F.floor(F.col("secs") / span), "_high": F.coalesce(high, F.lit(False)).cast("long"), "_amount": F.round(F.coalesce(F.col("amount"), F.lit(0.0)) * 10_000).cast("long")})
     as_of = lambda kind, at, range_: F.struct(F.lit(kind).alias("kind"), at.alias("at"), range_.alias("range"))
     own = F.col("_range")
     t = t.withColumn("_x", F.explode(F.array(as_of(0, F.col("secs"), own), as_of(0, F.col("secs"), own - 1), as_of(1, F.col("secs") + span, own))))
     group = Window.partitionBy(key, "_x.range")
     is_row = F.col("_x.kind") == 0
-    sums = {"n": F.when(is_row, 1).otherwise(0), "total": F.when(is_row, F.col("_amount")).otherwise(0.0), "n_high": F.when(is_row, F.col("_high")).otherwise(0)}
+    sums = {"n": F.when(is_row, 1).otherwise(0), "total": F.when(is_row, F.col("_amount")).otherwise(0), "n_high": F.when(is_row, F.col("_high")).otherwise(0)}
     order = group.orderBy("_x.at", "_x.kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumns({f"_{k}": F.sum(x).over(order) for k, x in sums.items()})
     # A row's own running sums come to its mark, which follows it in the order of the rows.
     each = Window.partitionBy(key, "_x.range", "seq", "secs").orderBy("_x.kind", "_x.at")
     before = {k: F.first(F.col(f"_{k}") - x).over(each) for k, x in sums.items()}
     t = t.withColumns({f"_b_{k}": x for k, x in before.items()}).where("_x.kind = 1")
-    return t.withColumns({k: F.col(f"_{k}") - F.col(f"_b_{k}") for k in sums}).drop("_x", "_range", "_high", "_amount", *[f"_{k}" for k in sums], *[f"_b_{k}" for k in sums])
+    # Amounts are summed in whole hundredths of cents, so that sums and differences are exact.
+    t = t.withColumns({k: F.col(f"_{k}") - F.col(f"_b_{k}") for k in sums}).withColumn("total", F.col("total") / 10_000)
+    return t.drop("_x", "_range", "_high", "_amount", *[f"_{k}" for k in sums], *[f"_b_{k}" for k in sums])
 
 
 def _windows(t: DataFrame, key: str, policy: Policy, combined: bool) -> DataFrame:
@@ -141,7 +143,9 @@ def fast_payments(t: DataFrame) -> DataFrame:
 
 def just_below(t: DataFrame) -> DataFrame:
     """Payments just below the approval threshold; worse where a beneficiary has several."""
-    t = t.where(F.col("amount").between(95_000, 99_000)).withColumn("repeats", F.count("*").over(Window.partitionBy("beneficiary_account")))
+    t = t.where(F.col("amount").between(95_000, 99_000))
+    counts = t.groupBy("beneficiary_account").agg(F.count("*").alias("repeats")).withColumnRenamed("beneficiary_account", "_to")
+    t = t.join(counts, F.col("beneficiary_account").eqNullSafe(F.col("_to"))).drop("_to")
     again = F.col("repeats") >= 2
     return findings(t, "payment_just_below_threshold", F.when(again, HIGH).otherwise(LOW), F.when(again, 0.85).otherwise(0.45), F.col("txn_id"), F.col("amount"), repeats=F.col("repeats"))
 

@@ -232,3 +232,61 @@ def test_order_of_rows_does_not_matter(spark):
     t = txns(spark, rows).withColumn("beneficiary_account", F.col("party_name"))
     a, b = (sorted(transactions.just_below(x).select("entity", "severity").collect()) for x in (t, t.orderBy(F.rand(1)).repartition(3)))
     assert a == b
+
+
+@pytest.mark.parametrize("few, bins", [(5, 4), (1, 2)])
+def test_quantiles_narrow_to_few_values(spark, monkeypatch, few, bins):
+    """Brackets are halved or quartered until hardly anything is gathered, across gaps and heavy ties too."""
+    from tallygrove.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "FEW", few)
+    monkeypatch.setattr(Q, "BINS", bins)
+    r = random.Random(4)
+    xs = [r.choice([1.0, 1.0 + r.random() * 1e-6, 1e12 + r.random(), 7.0]) for _ in range(60)]
+    d = spark.createDataFrame([(x,) for x in xs], "x double")
+    ps = [0.0, 0.3, 0.5, 0.77, 1.0]
+    assert Q.quantiles(d, "x", ps).first()["q"] == pytest.approx(list(np.quantile(xs, ps)))
+
+
+def test_running_values_over_ranges(spark):
+    """Sums and minima before a row are the same however wide the ranges, for a hot key and a null one."""
+    r = random.Random(5)
+    rows = [(i, r.choice(["hot", "hot", "hot", "b", None]), float(r.randrange(100))) for i in range(200)]
+    d = spark.createDataFrame(rows, "seq long, vendor string, x double")
+    for span in (1, 7, 1000):
+        got = invoices.running(d, ["vendor"], {"n": F.lit(1).cast("long"), "s": F.col("x")}, {"m": F.col("x")}, span=span).collect()
+        assert len(got) == 200 and set(got[0].asDict()) == {"seq", "vendor", "x", "n", "s", "m"}
+        for g in got:
+            before = [x for i, v, x in rows if v == g["vendor"] and i < g["seq"]]
+            assert (g["n"], g["s"], g["m"]) == (len(before), sum(before), min(before, default=None))
+
+
+def test_near_vectors_by_cells(spark):
+    """Every pair at the limit is found, in whatever cells, and clusters leave most pairs uncompared."""
+    from tallygrove.operators import vectors as V
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(8, 16))
+    x = np.concatenate([centres[i % 8] + rng.normal(size=16) * 0.1 for i in range(400)]).reshape(400, 16)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = u @ u.T
+    for least in (0.3, 0.97):
+        got = {(r[0], r[1]) for r in V.near(d, d, least).select("query_id", "vec_id").collect()}
+        assert got == {(i, j) for i in range(400) for j in range(400) if i != j and sims[i, j] >= least}
+    assert V.compared_share(d, d, 0.97) < 0.3
+    top = matching.similar_vendors(d.where("vec_id % 50 = 0"), d, 0.5, 5).collect()
+    for q in range(0, 400, 50):
+        want = [j for j in np.argsort(-np.round(sims[q], 6), kind="stable") if j != q and round(sims[q, j], 6) >= 0.5][:5]
+        assert [r["vec_id"] for r in sorted(top, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+    assert V.near(d.limit(0), d, 0.9).count() == V.near(d, d.limit(0), 0.9).count() == 0
+
+
+def test_one_vendor_of_most_invoices_and_equal_vectors(spark):
+    """J1 meets similar vendors only, with equal and with different vectors."""
+    inv = spark.createDataFrame([("I1", 1, "a", "2024-01-01", 100.0), ("I2", 2, "b", "2024-01-01", 100.0), ("I3", 3, "c", "2024-01-01", 100.0)], "invoice_id string, seq long, vendor string, invoice_date string, amt double").withColumn("invoice_date", F.to_date("invoice_date"))
+    pay = spark.createDataFrame([("P1", 1, "a", "2024-01-05", 101.0), ("P2", 2, "c", "2024-02-05", 100.0), ("P3", 3, "c", "2024-01-31", 100.0)], "txn_id string, seq long, vendor string, pay_date string, amount double").withColumn("pay_date", F.to_date("pay_date"))
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0])], "vendor string, vec array<double>")
+    got = sorted((r["invoice_id"], r["txn_id"]) for r in matching.candidates(inv, pay, vectors).collect())
+    assert got == [("I1", "P1"), ("I2", "P1"), ("I3", "P3")]
