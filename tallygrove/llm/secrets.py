@@ -2,14 +2,15 @@
 
 Base rules find assignments to secret names, access keys and long hexadecimal runs; these are always reported.  Further
 candidates are long runs of key characters.  For each the encoding is inferred (hexadecimal, base 32, 36, 62 and 64,
-letters alone), and three tests ask whether its symbols are drawn at random: chi-squared for a uniform alphabet, runs
-above and below the alphabet's middle, and serial correlation of neighbours.  The least of the three p-values is the
-candidate's statistic: small where its symbols are not random.
+letters alone), and tests ask whether its symbols are drawn at random: chi-squared for a uniform alphabet, over all its
+symbols and over vowels against the rest; runs above and below the alphabet's middle; and serial correlation of neighbours, of
+their places in the alphabet, of being vowels, and of the pairs of letters that words are made of.  The tests' p-values are combined (Fisher's sum of logarithms): the statistic
+is large where symbols are not random.
 
 Secrets are what the tests can *not* tell from random, so a false discovery is a written name that looks random.  How
 often those do is measured on decoys: every document gives ``DECOYS`` identifiers that are put together from its own
-words.  Within a class of length and alphabet, the share of decoys whose statistic is at least a candidate's is its
-p-value against being written.  A false-discovery procedure (Benjamini-Hochberg) over the candidates of the corpus, with
+words.  Within a class of length and family of encodings (as names are written: in letters of one case or of both, each with
+digits or without), the share of decoys whose statistic is at most a candidate's is its p-value against being written.  A false-discovery procedure (Benjamini-Hochberg) over the candidates of the corpus, with
 p-values weighted by class (longer ones more, as the tests have more power there; the weights' mean over the candidates
 is 1), declares those secrets that keep the share of written ones under ``LEVEL``.
 
@@ -33,12 +34,12 @@ from .spans import found, joined, let, overlaps, plain, replaced, tagged, united
 KINDS = ("assign", "access", "hex", "random")
 #: Largest share of written names among what is declared a secret.
 LEVEL = 0.05
-#: Bins of a statistic's logarithm, and how many of them make a factor of e.
-BINS, FINE = 2000, 100
+#: Bins of the statistic, and how many of them make a factor of e.
+BINS, FINE = 4000, 40
 #: Lengths from which the classes of length begin, and what a candidate of each weighs before the weights' mean is made 1.
 LENGTHS, WEIGHTS = (20, 28, 40, 64), (0.5, 1.0, 1.5, 2.0)
 #: Made-up names that each document gives.
-DECOYS = 2
+DECOYS = 4
 TAGGED = "array<struct<kind:int,start:int,end:int>>"
 
 ASSIGN = r"""(?:(?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]++"""
@@ -49,22 +50,34 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 # A name and the value after its '=' are two runs; '=' belongs to a run only as its padding.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 
-#: Encodings: what shows one, its alphabet in order; the first that a token shows is its own.
-UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Encodings: what shows one, its alphabet in order, its family; the first that a token shows is its own.
+UPPER, LOWER, DIGITS, VOWELS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "aeiouAEIOU"
 ENCODINGS = (
-    (r"^(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]+$", DIGITS + "abcdef"),
-    (r"^(?=[0-9A-F]*[0-9])(?=[0-9A-F]*[A-F])[0-9A-F]+$", DIGITS + "ABCDEF"),
-    (r"^(?=[A-Z2-7]*[2-7])(?=[A-Z2-7]*[A-Z])[A-Z2-7]+$", UPPER + "234567"),
-    (r"^(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z])[A-Z0-9]+$", DIGITS + UPPER),
-    (r"^(?=[a-z0-9]*[0-9])(?=[a-z0-9]*[a-z])[a-z0-9]+$", DIGITS + LOWER),
-    (r"^[a-z]+$", LOWER),
-    (r"^[A-Z]+$", UPPER),
-    (r"^[A-Za-z]+$", UPPER + LOWER),
-    (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+$", UPPER + LOWER + DIGITS),
-    (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
-    (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
-    (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+$", UPPER + LOWER + DIGITS + "+/-_"),
+    (r"^(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]+$", DIGITS + "abcdef", 2),
+    (r"^(?=[0-9A-F]*[0-9])(?=[0-9A-F]*[A-F])[0-9A-F]+$", DIGITS + "ABCDEF", 2),
+    (r"^(?=[A-Z2-7]*[2-7])(?=[A-Z2-7]*[A-Z])[A-Z2-7]+$", UPPER + "234567", 2),
+    (r"^(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z])[A-Z0-9]+$", DIGITS + UPPER, 2),
+    (r"^(?=[a-z0-9]*[0-9])(?=[a-z0-9]*[a-z])[a-z0-9]+$", DIGITS + LOWER, 2),
+    (r"^[a-z]+$", LOWER, 0),
+    (r"^[A-Z]+$", UPPER, 0),
+    (r"^[A-Za-z]+$", UPPER + LOWER, 1),
+    (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+$", UPPER + LOWER + DIGITS, 3),
+    (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/", 3),
+    (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_", 3),
+    (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+$", UPPER + LOWER + DIGITS + "+/-_", 3),
 )
+# Pairs of letters that are frequent in words of languages written in Latin letters.
+PAIRS = (
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur "
+    "ie ai qu ei us la ta ss em un il et ec tr ge no"
+).split()
+#: Letters of one case, of both; letters of one case, of both with digits.
+FAMILIES = 4
+
+
+def weight(class_: int) -> float:
+    """What a candidate of a class weighs, by its length."""
+    return WEIGHTS[class_ // FAMILIES]
 
 
 def base(text: Column) -> list[Column]:
@@ -80,35 +93,77 @@ def _tail(z: Column) -> Column:
 
 
 def tested(token: Column) -> Column:
-    """(class, bin): the class of length and alphabet of a token, and the bin of the battery's least p-value, 0 for the
-    largest; null where it has no encoding."""
+    """(class, bin): the class of length and family of a token, and the bin of the battery's statistic, 0 where most random;
+    null where it has no encoding."""
+    alphabets, families = F.array(*[F.lit(e[1]) for e in ENCODINGS]), F.array(*[F.lit(e[2]) for e in ENCODINGS])
 
     def encoded(body: Column) -> Column:
-        case = F.lit(None).cast("string")
-        for shows, alphabet in reversed(ENCODINGS):
-            case = F.when(body.rlike(shows), F.lit(alphabet)).otherwise(case)
-        return F.struct(body.alias("body"), case.alias("alphabet"))
+        case = F.lit(None).cast("int")
+        for i, (shows, _, _) in reversed(list(enumerate(ENCODINGS))):
+            case = F.when(body.rlike(shows), F.lit(i)).otherwise(case)
+        return F.struct(body.alias("body"), case.alias("which"))
 
     def of(x: Column) -> Column:
-        n = F.length(x["body"])
-        group = sum((n >= least).cast("int") for least in LENGTHS) - 1
-        wide = (F.length(x["alphabet"]) > 36).cast("int")
-        p = F.greatest(_battery(x["body"], x["alphabet"]), F.lit(1e-12))
-        return F.when(x["alphabet"].isNotNull(), F.struct((group * 2 + wide).alias("class"), F.least(F.floor(-F.log(p) * FINE), F.lit(BINS - 1)).cast("int").alias("bin")))
+        group = sum((F.length(x["body"]) >= least).cast("int") for least in LENGTHS) - 1
+        bin_ = F.least(F.floor(_battery(x["body"], F.get(alphabets, x["which"])) * FINE), F.lit(BINS - 1)).cast("int")
+        return F.when(x["which"].isNotNull(), F.struct((group * FAMILIES + F.get(families, x["which"])).alias("class"), bin_.alias("bin")))
 
     return let(let(F.regexp_replace(token, "=+$", ""), encoded), of)
 
 
 def _battery(body: Column, alphabet: Column) -> Column:
-    """The least of the three tests' p-values for the symbols of a token."""
-    return let(F.transform(F.split(body, ""), lambda c: F.position(c, alphabet).cast("double") - 1), lambda at: _least(at, F.length(alphabet).cast("double")))
+    """The tests' p-values for the symbols of a token, combined: the sum of their negative logarithms."""
+    symbols = F.transform(F.split(body, ""), lambda c: F.struct((F.position(c, alphabet).cast("double") - 1).alias("at"), (F.position(c, F.lit(VOWELS)) > 0).cast("double").alias("vowel")))
+    k = F.length(alphabet).cast("double")
+    vowels = k - F.length(F.translate(alphabet, VOWELS, ""))
+    battery = let(symbols, lambda x: let(x["at"], lambda at: _combined(at, k)) + let(x["vowel"], lambda v: _vowels(v, vowels / k)))
+    return battery + let(F.split(F.lower(body), ""), _paired)
 
 
 def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
 
-def _least(at: Column, k: Column) -> Column:
+def _information(p: Column) -> Column:
+    return -F.log(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12)))
+
+
+def _serial(x: Column, flat: Column) -> Column:
+    """The standard score of the correlation of neighbours; ``flat`` where all are equal."""
+    n = F.size(x).cast("double")
+    after, before = F.slice(x, F.lit(2), F.size(x)), F.slice(x, F.lit(1), F.size(x) - 1)
+
+    def lagged(s: Column) -> Column:
+        centre = s["sum"] / n
+        var = s["squares"] - n * centre * centre
+        lag = s["products"] - centre * (2 * s["sum"] - F.element_at(x, 1) - F.element_at(x, -1)) + (n - 1) * centre * centre
+        return F.when(var > 1e-6, F.abs(lag) / F.greatest(var, F.lit(1e-9)) * F.sqrt(n)).otherwise(flat)
+
+    return let(F.struct(_sum(x).alias("sum"), _sum(F.transform(x, lambda v: v * v)).alias("squares"), _sum(F.zip_with(after, before, lambda a, b: a * b)).alias("products")), lagged)
+
+
+def _vowels(v: Column, share: Column) -> Column:
+    """Chi-squared of vowels against the rest, and their serial correlation; the first tells where all are equal."""
+    n = F.size(v).cast("double")
+    z = F.abs(_sum(v) - n * share) / F.sqrt(n * share * (1 - share))
+    return _information(2 * _tail(z)) + _information(2 * _tail(_serial(v, F.lit(0.7))))
+
+
+def _paired(c: Column) -> Column:
+    """How many neighbouring letters are a frequent pair, against letters drawn at random; pairs with other symbols don't count."""
+    after, before = F.slice(c, F.lit(2), F.size(c)), F.slice(c, F.lit(1), F.size(c) - 1)
+    pairs = F.filter(F.zip_with(before, after, lambda a, b: F.concat(a, b)), lambda x: x.rlike("^[a-z][a-z]$"))
+    share = len(PAIRS) / 676
+
+    def score(x: Column) -> Column:
+        n = F.size(x).cast("double")
+        hits = F.size(F.filter(x, lambda v: v.isin(PAIRS))).cast("double")
+        return F.when(n > 0, (hits - n * share) / F.sqrt(F.greatest(n, F.lit(1.0)) * share * (1 - share))).otherwise(0.0)
+
+    return _information(_tail(let(pairs, score)))
+
+
+def _combined(at: Column, k: Column) -> Column:
     n = F.size(at).cast("double")
     # Chi-squared over the alphabet, from the lengths of runs of equal symbols in order; Wilson and Hilferty's cube root
     # makes it normal.
@@ -133,16 +188,7 @@ def _least(at: Column, k: Column) -> Column:
 
     turned = F.zip_with(after, before, lambda a, b: ((a >= k / 2) != (b >= k / 2)).cast("double"))
     z_runs = let(F.struct(_sum(F.transform(at, lambda x: (x >= k / 2).cast("double"))).alias("high"), _sum(turned).alias("turns")), runs)
-
-    def lagged(x: Column) -> Column:
-        """Correlation of neighbours."""
-        centre = x["sum"] / n
-        var = x["squares"] - n * centre * centre
-        lag = x["products"] - centre * (2 * x["sum"] - F.element_at(at, 1) - F.element_at(at, -1)) + (n - 1) * centre * centre
-        return F.when(var > 1e-6, F.abs(lag) / F.greatest(var, F.lit(1e-9)) * F.sqrt(n)).otherwise(F.sqrt(n))
-
-    z_lag = let(F.struct(_sum(at).alias("sum"), _sum(F.transform(at, lambda x: x * x)).alias("squares"), _sum(F.zip_with(after, before, lambda a, b: a * b)).alias("products")), lagged)
-    return F.least(_tail(z_chi), 2 * _tail(z_runs), 2 * _tail(z_lag), F.lit(1.0))
+    return _information(_tail(z_chi)) + _information(2 * _tail(z_runs)) + _information(2 * _tail(_serial(at, F.sqrt(n))))
 
 
 def candidates(text: Column, spans: Column) -> Column:
@@ -158,15 +204,17 @@ def decoys(text: Column) -> Column:
     def name(hashed: Column, turn: int) -> Column:
         h = F.xxhash64(hashed, F.lit(turn))
         near = F.substring(text, F.pmod(h, F.greatest(F.length(text) - 300, F.lit(1))).cast("int") + 1, F.lit(300))
-        some = F.filter(F.split(near, "[^A-Za-z]+"), lambda w: F.length(w).between(2, 15))
+        # What may be cut off, and what may be a secret itself, gives no words.
+        whole = F.split(F.regexp_replace(near, r"^\S+|\S+$|\S{20,}+", " "), "[^A-Za-z]+")
+        some = F.filter(whole, lambda w: F.length(w).between(2, 15))
         digits = F.pmod(F.shiftright(h, 16), F.lit(1000)).cast("string")
         size = F.lit(LENGTHS[0]) + F.pmod(F.shiftright(h, 32), F.lit(60)).cast("int")
 
         def written(w: Column) -> Column:
-            form = F.pmod(F.shiftright(h, 8), F.lit(5))
+            form = F.pmod(F.shiftright(h, 8), F.lit(6))
             low = F.lower(F.array_join(w, ""))
-            camel = F.array_join(F.transform(w, F.initcap), "")
-            return F.when(form == 0, low).when(form == 1, F.upper(low)).when(form == 2, camel).when(form == 3, F.concat(digits, camel)).otherwise(F.concat(digits, low))
+            camel = F.array_join(F.transform(w, lambda x: F.initcap(x)), "")
+            return F.when(form == 0, low).when(form == 1, F.upper(low)).when(form == 2, camel).when(form == 3, F.concat(digits, low)).when(form == 4, F.concat(digits, F.upper(low))).otherwise(F.concat(digits, camel))
 
         return let(F.substring(let(some, written), F.lit(1), size), lambda token: F.when(F.length(token) >= LENGTHS[0], tested(token)))
 
@@ -192,18 +240,18 @@ def limits(scan: DataFrame) -> list[int]:
 
 def _declared(counts: list[tuple[int, int, int, int]]) -> list[int]:
     """limits() from the counts (real or decoy, class, bin, number)."""
-    classes = range(2 * len(LENGTHS))
+    classes = range(FAMILIES * len(LENGTHS))
     real, made = ({(c, b): n for r, c, b, n in counts if r == side} for side in (1, 0))
     total = sum(real.values())
     of = [sum(n for (c, _), n in real.items() if c == k) for k in classes]
-    mean = sum(WEIGHTS[k // 2] * of[k] for k in classes) / max(total, 1)
+    mean = sum(weight(k) * of[k] for k in classes) / max(total, 1)
     cells = []
     for k in classes:
         seen, n_made = 0, sum(n for (c, _), n in made.items() if c == k)
         for b in range(BINS):
             seen += made.get((k, b), 0)
             if (k, b) in real:
-                cells.append(((1 + seen) / (1 + n_made) * mean / WEIGHTS[k // 2], k, b))
+                cells.append(((1 + seen) / (1 + n_made) * mean / weight(k), k, b))
     out, above, last = [-1] * len(classes), 0, 0
     cells.sort()
     for i, (p, k, b) in enumerate(cells):

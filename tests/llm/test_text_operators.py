@@ -276,8 +276,8 @@ def test_secret_procedure_by_hand():
         got = secrets._declared(counts)
         real = [(c, b) for r, c, b, n in counts if r for _ in range(n)]
         made = [(c, b) for r, c, b, n in counts if not r for _ in range(n)]
-        mean = sum(secrets.WEIGHTS[c // 2] for c, _ in real) / len(real)
-        p = sorted(((1 + sum(d == c and e <= b for d, e in made)) / (1 + sum(d == c for d, _ in made)) * mean / secrets.WEIGHTS[c // 2], c, b) for c, b in real)
+        mean = sum(secrets.weight(c) for c, _ in real) / len(real)
+        p = sorted(((1 + sum(d == c and e <= b for d, e in made)) / (1 + sum(d == c for d, _ in made)) * mean / secrets.weight(c), c, b) for c, b in real)
         k = max((i + 1 for i, x in enumerate(p) if x[0] <= secrets.LEVEL * (i + 1) / len(p)), default=0)
         want = {(c, b) for _, c, b in p[:k]}
         assert {(c, b) for c, b in real if b <= got[c]} == want
