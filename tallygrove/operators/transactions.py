@@ -30,6 +30,12 @@ def without_regular(t: DataFrame, amounts: list[float]) -> DataFrame:
     return t
 
 
+def spread(t: DataFrame, by: str = "category") -> DataFrame:
+    """By category the quartiles and the ninth decile of amounts (``q``), and both standard deviations."""
+    q = quantiles(t, "amount", [0.25, 0.5, 0.75, 0.9], [by]).withColumnRenamed(by, "_by")
+    return t.groupBy(by).agg(F.stddev_pop("amount").alias("sd"), F.stddev_samp("amount").alias("sds")).join(q, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+
+
 def amount_outliers(t: DataFrame) -> DataFrame:
     """K1: amounts far from their category's mean (population z) or above the third quartile by three ranges."""
     t = without(t, "SALARY", "INTEREST", "CHARGES")

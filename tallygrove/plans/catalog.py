@@ -262,7 +262,7 @@ query("S14", "SELECT txn_id, cat, round(amount, 2) AS amount FROM {txn} t WHERE
 query(
     "A18",
     "SELECT category, round(quantile_cont(amount, 0.25), 4) AS q1, round(median(amount), 4) AS med, round(quantile_cont(amount, 0.75), 4) AS q3, round(quantile_cont(amount, 0.9), 4) AS q90, round(stddev_pop(amount), 3) AS sd, round(stddev_samp(amount), 3) AS sds FROM {v_txn} v GROUP BY category",
-)(lambda s, d: view(s, d, "v_txn").groupBy("category").agg(*[F.round(F.percentile("amount", p), 4).alias(n) for n, p in (("q1", 0.25), ("med", 0.5), ("q3", 0.75), ("q90", 0.9))], F.round(F.stddev_pop("amount"), 3).alias("sd"), F.round(F.stddev_samp("amount"), 3).alias("sds")))
+)(lambda s, d: T.spread(view(s, d, "v_txn")).select("category", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q1", "med", "q3", "q90"))], F.round("sd", 3).alias("sd"), F.round("sds", 3).alias("sds")))
 query("A7", "SELECT party_name, round(sum(amount), 2) AS total, count(*) AS n FROM {v_txn} v GROUP BY party_name")(lambda s, d: R.concentration(txn(s, d)))
 query("A8", "SELECT strftime(cast(ts AS date), '%Y-%m-%d') AS day, round(sum(amount), 2) AS total, count(*) AS n FROM {v_txn} v GROUP BY ALL")(lambda s, d: R.timeline(txn(s, d)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "total", "n"))
 query("W7", "SELECT party_name, round(avg(c), 4) AS mean, round(coalesce(stddev_samp(c), 0), 4) AS sd FROM (SELECT party_name, date_trunc('month', ts) AS m, count(*) AS c FROM {v_txn_monthly} v GROUP BY ALL) x GROUP BY party_name")(
