@@ -39,8 +39,13 @@ def merged(f: DataFrame) -> DataFrame:
     Findings are connected over ids, so the outcome does not depend on their order; a finding that bridges two groups
     joins them.  The ids of a merged finding are rows of :func:`members`, as a group may have any number of them.
     """
+    return strongest(rooted(f))
+
+
+def strongest(rows: DataFrame) -> DataFrame:
+    """The merged finding of each root of :func:`rooted` findings."""
     best = F.max_by(F.struct("source", "finding_type", "document_name", "severity", "entity", "amount", "evidence", "finding_id"), F.struct(rank(F.col("severity")).alias("rank"), "score", (-F.col("fid")).alias("tie")))
-    g = rooted(f).groupBy("root").agg(best.alias("b"), F.max("score").alias("score"), F.array_sort(F.collect_set("finding_type")).alias("merged_types"), F.count("*").alias("n"))
+    g = rows.groupBy("root").agg(best.alias("b"), F.max("score").alias("score"), F.array_sort(F.collect_set("finding_type")).alias("merged_types"), F.count("*").alias("n"))
     return g.select("root", "b.*", "score", "merged_types", "n")
 
 

@@ -562,24 +562,38 @@ query("F4", f"SELECT finding_type, entity FROM ({ORACLES['K24']}) f WHERE lower(
 query("F5", "SELECT DISTINCT kind, value FROM (SELECT txn_id, beneficiary_account FROM {v_txn} v WHERE document_name = 'stmt_1' AND amount BETWEEN 95000 AND 99000) x, LATERAL (VALUES ('transaction', txn_id), ('entity', txn_id)) t(kind, value)")(lambda s, d: R.scope(T.just_below(txn(s, d)), " STMT_1 "))
 query("H1", f"SELECT * FROM ({ORACLES['K2']}) f ORDER BY {_RANK} DESC, score DESC, finding_type, entity")(lambda s, d: short(R.ordered(T.timing(txn(s, d)))))
 query("H2", f"SELECT DISTINCT finding_type, severity, entity FROM ({ORACLES['R6']}) f")(lambda s, d: R.deduplicated(I.tax_consistency(inv(s, d)).union(I.tax_consistency(inv(s, d)))).select("finding_type", "severity", "entity"))
-_SINGLE = ("K24", "K26", "K29", "K33", "R1", "R3")
+_SINGLE = ("K24", "K26", "K29", "K33", "R1", "R3", "R5", "R10", "R13", "R14")
 
 
-def of_transactions(s: SparkSession, d: str) -> DataFrame:
-    """Findings that each stand on one transaction; some transactions have several."""
-    t = txn(s, d)
-    out = T.personal_accounts(t)
-    for f in (T.just_below(t), T.round_numbers(t), T.untaxed_vendors(t), T.over_limits(t, F.col("category")), T.round_bias(t)):
-        out = out.unionByName(f)
-    return out
+def linked_findings(s: SparkSession, d: str) -> DataFrame:
+    """Findings on single transactions and invoices, and such that tie two of them together."""
+    t, i = txn(s, d), inv(s, d)
+    of_txns = [f(t) for f in (T.personal_accounts, T.just_below, T.round_numbers, T.untaxed_vendors, T.round_bias, T.reissued)]
+    of_invoices = [f(i) for f in (I.duplicates, I.sudden_activity, I.clustering, I.unusually_high, I.same_amounts)]
+    return reduce(DataFrame.unionByName, [*of_txns, T.over_limits(t, F.col("category")), *of_invoices])
 
 
+# Groups by what can be reached from an id over findings that hold two of them.
+_TIED = (
+    f"SELECT finding_type, severity, score, [credit_id, debit_id] AS ids FROM ({ORACLES['K27']}) k JOIN ({ORACLES['J12']}) j USING (entity) "
+    "UNION ALL SELECT 'same_amount_vendor_duplicate', 'MEDIUM', score, [entity, b_id] FROM (" + ORACLES["R8"] + f") k JOIN (SELECT a.invoice_id AS entity, arg_min(b.invoice_id, b.seq) AS b_id FROM {{inv}} a JOIN {{inv}} b ON {_PAIR} GROUP BY a.invoice_id) j USING (entity)"
+)
 query(
     "H3",
-    "SELECT entity, CASE max(" + _RANK + ") WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity, max(score) AS score, array_to_string(list_sort(list(DISTINCT finding_type)), ',') AS types, count(*) AS n FROM ("
-    + " UNION ALL ".join(f"SELECT * FROM ({ORACLES[k]}) q{k}" for k in _SINGLE)
-    + ") f GROUP BY entity",
-)(lambda s, d: R.merged(of_transactions(s, d)).select("entity", "severity", F.round("score", 4).alias("score"), F.array_join("merged_types", ",").alias("types"), "n"))
+    "WITH RECURSIVE f AS (" + " UNION ALL ".join(f"SELECT finding_type, severity, score, [entity] AS ids FROM ({ORACLES[k]}) q{k}" for k in _SINGLE) + f" UNION ALL {_TIED}), "
+    "adj AS (SELECT DISTINCT ids[1] AS x, ids[2] AS y FROM f WHERE len(ids) > 1 UNION SELECT ids[2], ids[1] FROM f WHERE len(ids) > 1), "
+    "reach(src, id) AS (SELECT DISTINCT x, x FROM adj UNION SELECT r.src, a.y FROM reach r JOIN adj a ON r.id = a.x), label AS (SELECT id, min(src) AS root FROM reach GROUP BY id) "
+    f"SELECT coalesce(root, ids[1]) AS first_id, CASE max({_RANK}) WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity, max(score) AS score, array_to_string(list_sort(list(DISTINCT finding_type)), ',') AS types, count(*) AS n FROM f LEFT JOIN label ON id = ids[1] GROUP BY 1",
+)(lambda s, d: _groups(M.stored(linked_findings(s, d), "findings")))
+
+
+def _groups(f: DataFrame) -> DataFrame:
+    """Merged findings, each with the least id that it stands on."""
+    f = M.stored(R.rooted(f), "findings")
+    least = f.select("root", F.explode("transaction_ids").alias("id")).groupBy("root").agg(F.min("id").alias("first_id"))
+    return R.strongest(f).join(least, "root").select("first_id", "severity", F.round("score", 4).alias("score"), F.array_join("merged_types", ",").alias("types"), "n")
+
+
 query("H4", f"SELECT finding_type, entity FROM (SELECT *, {_RANK} AS rk, CASE WHEN source = 'policy' THEN CASE severity WHEN 'HIGH' THEN 0.85 WHEN 'MEDIUM' THEN 0.65 ELSE 0.45 END ELSE score END AS sc FROM ({_ALL_SQL}) f) x ORDER BY rk DESC, sc DESC, finding_type, entity LIMIT 3")(
     lambda s, d: R.top(said(s, d)).select("finding_type", "entity")
 )
