@@ -31,7 +31,8 @@ def row_key(docs: DataFrame) -> Column:
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of ``found`` (doc_id, key, root): one with the smallest doc_id, null after all."""
     best = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("best"))
-    best = best.select(F.col("best.doc_id").alias("_id"), F.col("best.key").alias("_key"))
-    keyed = docs.withColumn("_at", row_key(docs))
-    one = keyed.join(best, (F.col("_at") == F.col("_key")) & keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return one.dropDuplicates(["doc_id", "_at"]).drop("_at")
+    best = best.select(F.col("best.doc_id").alias("best_id"), F.col("best.key").alias("best_key"))
+    # Rows travel in a struct, so that no column of theirs clashes with these.
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), row_key(docs).alias("key"))
+    one = keyed.join(best, (F.col("key") == F.col("best_key")) & F.col("id").eqNullSafe(F.col("best_id")), "left_semi")
+    return one.dropDuplicates(["id", "key"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])

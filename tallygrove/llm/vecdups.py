@@ -6,9 +6,10 @@ neighbours of at least ``FLOOR`` are kept: two vectors that are linked meet thro
 are saturated (full, and every neighbour linked) are enlarged to the whole group that they reach: the vectors of a linked
 component with a saturated list are compared exactly, in blocks, and only their numbers of links are passed on.
 
-Recall is audited against brute force for ``AUDIT`` vectors of all and as many of those with a neighbour in their list
-(each those of least hash), vector by vector, so that a large group counts no more than a small one; below ``RECALL`` the
-graph gets more leaves and is refined again, and after ``TRIES`` times the search fails rather than return too few links.
+Recall is audited against brute force for ``AUDIT`` vectors of all and as many of those with links in leaves that are drawn
+for the audit alone, so that what the graph missed is as likely to be asked for as what it found (each those of least
+hash), vector by vector, so that a large group counts no more than a small one.  Below ``RECALL`` the graph gets the audit's
+links and more leaves and is refined again; after ``TRIES`` times all vectors are compared exactly, in blocks.
 Links are checked in double precision: none below the threshold is kept.
 
 Defined results: vectors that are null or zero or hold null or non-finite components link with nothing and are their own
@@ -31,6 +32,8 @@ from .vectors import matrix, unit, valid
 FLOOR = 0.7
 #: Length of a neighbour list, leaves per round, vectors in a leaf, rows in a bucket of a leaf's tree.
 LIST, TREES, LEAF, BUCKET = 20, 12, 64, 2000
+#: Trees drawn for an audit, and what sets their draws apart from the graph's.
+AUDIT_TREES, APART = 4, 7919
 ROUNDS, CHANGED = 4, 0.01
 #: Rows of a block of the exact comparison.
 BLOCK = 512
@@ -69,7 +72,7 @@ def _frame(parts: list):
     return pd.DataFrame({"a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64), "cos": np.asarray(c, np.float64)})
 
 
-def started(nodes: DataFrame, n: int, seed: int) -> DataFrame:
+def started(nodes: DataFrame, n: int, seed: int, trees: int = TREES) -> DataFrame:
     """(a, b, cos): neighbours from random-projection leaves.  Crowded buckets are salted before they are split."""
     bits = max(1, math.ceil(math.log2(max(2, n / BUCKET))))
 
@@ -80,14 +83,14 @@ def started(nodes: DataFrame, n: int, seed: int) -> DataFrame:
             if len(b):
                 for dim, g in b.groupby("dim"):
                     x = unit(matrix(g.v))
-                    planes = np.random.default_rng((seed, dim)).standard_normal((dim, TREES * bits))
-                    keys = ((x @ planes > 0).reshape(len(g), TREES, bits) * (1 << np.arange(bits))).sum(2)
-                    yield pd.DataFrame({"node": np.repeat(g.node.to_numpy(), TREES), "dim": dim, "tree": np.tile(np.arange(TREES), len(g)), "bucket": keys.ravel()})
+                    planes = np.random.default_rng((seed, dim)).standard_normal((dim, trees * bits))
+                    keys = ((x @ planes > 0).reshape(len(g), trees, bits) * (1 << np.arange(bits))).sum(2)
+                    yield pd.DataFrame({"node": np.repeat(g.node.to_numpy(), trees), "dim": dim, "tree": np.tile(np.arange(trees), len(g)), "bucket": keys.ravel()})
 
     places = stored(nodes.mapInPandas(signed, "node long, dim int, tree int, bucket long"), "vecdups")
     key = ["dim", "tree", "bucket"]
     sizes = places.groupBy(*key).agg(F.ceil(F.count("*") / (2 * BUCKET)).cast("int").alias("salts"))
-    sizes = F.broadcast(sizes) if TREES << bits <= 100_000 else sizes
+    sizes = F.broadcast(sizes) if trees << bits <= 100_000 else sizes
     places = places.join(sizes, key).withColumn("salt", F.pmod(F.xxhash64("node", "tree"), F.col("salts")))
 
     def leaves(group):
@@ -160,33 +163,52 @@ def graph(nodes: DataFrame, n: int, seed: int, known: DataFrame | None = None) -
 def crowded(lists: DataFrame, comp: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """(node, links): exact numbers of linked vectors for components with a saturated list, compared in blocks."""
     full = lists.where(F.col("cos") >= threshold).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= LIST)
-    roots = comp.join(full.select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct()
+    roots = stored(comp.join(full.select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct(), "vecdups")
     members = comp.join(roots, "root", "left_semi").join(nodes, "node")
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = stored(members.join(sizes, "root").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "vecdups")
-    if not members.take(1):
+    if not roots.take(1):
         return members.select("node", F.lit(0).cast("long").alias("links"))
+    return _blocks(members.join(sizes, "root"), threshold).groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def _blocks(members: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, label) of ``members`` (root, node, v, times, blocks), block against block: how many of the other block are
+    linked, and the least node that the two blocks' links reach, null without any."""
+    members = stored(members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "vecdups")
     seek = members.select("root", "i", "node", "v", "times", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    have = members.select("root", F.col("i").alias("j"), "node", "v", "times", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    have = members.select("root", F.col("i").alias("j"), F.col("node").alias("b"), F.col("v").alias("w"), F.col("times").alias("weight"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
 
     def count(mine, others):
         import pandas as pd
 
         if not len(mine) or not len(others):
-            return pd.DataFrame({"node": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
-        ids = mine.node.to_numpy()
-        near = unit(matrix(mine.v)) @ unit(matrix(others.v)).T >= threshold
-        near &= ids[:, None] != others.node.to_numpy()[None, :]
-        return pd.DataFrame({"node": ids, "links": near @ others.times.to_numpy()})
-
-    parts = seek.groupBy("root", "i", "j").cogroup(have.groupBy("root", "i", "j")).applyInPandas(count, "node long, links long")
-    return parts.groupBy("node").agg(F.sum("links").alias("links"))
-
-
-def audited(nodes: DataFrame, lists: DataFrame, found: DataFrame, threshold: float) -> float:
+            return pd.DataFrame({"node": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "label": np.zeros(0, np.int64)})
+        ids, theirs = mine.node.to_numpy(), others.b.to_numpy()
+        near = unit(matrix(mine.v)) @ unit(matrix(others.w)).T >= threshold
+        near &= ids[:, None] != theirs[None, :]
+        a, b, far = ids.copy(), theirs.copy(), np.iinfo(np.int64).max
+        while True:
+            new = np.minimum(a, np.where(near, b[None, :], far).min(1))
+            b = np.minimum(b, np.where(near, new[:, None], far).min(0))
+            if (new == a).all():
+                break
+            a = new
+        return pd.DataFrame({"node": ids, "links": near @ others.weight.to_numpy(), "label": a})
+
+    return seek.groupBy("root", "i", "j").cogroup(have.groupBy("root", "i", "j")).applyInPandas(count, "node long, links long, label long")
+
+
+def exact(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, links) and (a, b), which connect what is linked, of all nodes, compared in blocks."""
+    sizes = nodes.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    got = stored(_blocks(nodes.join(sizes, "dim").withColumnRenamed("dim", "root"), threshold), "vecdups")
+    return got.groupBy("node").agg(F.sum("links").alias("links")), got.where("links > 0").select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b")
+
+
+def audited(nodes: DataFrame, drawn: DataFrame, found: DataFrame, threshold: float) -> float:
     """Mean share of their true links that was found, over the vectors of a sample that have any."""
     some = nodes.select("node", "v", "dim")
-    near = some.join(lists.select(F.col("a").alias("node")).distinct(), "node")
+    near = some.join(drawn.select(F.col("a").alias("node")).distinct(), "node")
     first = lambda x: x.orderBy(F.xxhash64("node"), "node").limit(AUDIT)
     sample = first(some).unionByName(first(near).select(some.columns)).distinct().toPandas()
     if not len(sample):
@@ -216,7 +238,7 @@ def linked(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
     nodes = vectors.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("times"))
     nodes = stored(nodes.withColumn("dim", F.size("v")), "vecdups")
     n = nodes.count()
-    lists, recall = None, 0.0
+    lists = None
     for attempt in range(TRIES):
         lists = graph(nodes, n, attempt, lists)
         near = stored(lists.where(F.col("cos") >= threshold), "vecdups")
@@ -226,11 +248,13 @@ def linked(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
             more = crowded(lists, comp, nodes, threshold)
             links = links.join(more.withColumnRenamed("links", "exact"), "node", "left").select("node", F.coalesce("exact", "links").alias("links"))
         links = stored(links, "vecdups")
-        recall = audited(nodes, lists, links, threshold)
-        if recall >= RECALL:
+        drawn = stored(started(nodes, n, APART + attempt, AUDIT_TREES).where(F.col("cos") >= threshold), "vecdups")
+        if audited(nodes, drawn, links, threshold) >= RECALL:
             break
+        lists = lists.unionByName(drawn)
     else:
-        raise RuntimeError(f"only {recall:.3f} of the audited links were found")
+        links, edges = exact(nodes, threshold)
+        comp = stored(components(edges), "vecdups")
     found = nodes.join(links, "node", "left")
     root = F.lit(None).cast("long").alias("root")
     found = found.join(comp, "node", "left") if comp is not None else found.withColumn("root", root)

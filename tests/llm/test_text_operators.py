@@ -491,3 +491,12 @@ def test_pipeline_stages_on_odd_documents(spark, tmp_path):
         assert at.columns == SCHEMA.replace(",", "").split()[::2], name
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and all(r["round_trip"] for r in out)
+
+
+def test_one_of_each_with_clashing_columns(spark):
+    """Names used inside the grouping may be the documents' own."""
+    names = ("_id", "_key", "_at", "_t", "doc", "row", "id", "key", "best_id", "best_key", "root", "node")
+    d = spark.createDataFrame([(1, "a b c d e f g", None, "s", 1), (2, "a b c d e f g", None, "s", 1), (3, LONG, None, "s", 1)], SCHEMA).withColumns({c: F.lit(c) for c in names})
+    for got in (shinglesets.keep_one(d, 5), simhash.keep_one(d, 3, 3)):
+        assert got.columns == d.columns
+        assert sorted((r["doc_id"], r["_id"], r["_key"], r["_at"], r["row"]) for r in got.collect()) == [(i, "_id", "_key", "_at", "row") for i in (1, 3)]

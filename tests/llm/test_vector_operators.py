@@ -97,6 +97,35 @@ def test_links_and_components(spark, seed):
     assert all(r["n_links"] <= near[r["vec_id"]].sum() for r in got)
 
 
+def test_audit_asks_for_links_that_were_missed(spark):
+    """Isolated pairs at the limit among many random vectors: all but a few are found, as the audit's draws are its own."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    for i in range(0, 400, 2):
+        noise = rng.normal(size=64)
+        u = x[i] / np.linalg.norm(x[i])
+        noise -= (noise @ u) * u
+        x[i + 1] = 0.92 * u + np.sqrt(1 - 0.92**2) * noise / np.linalg.norm(noise)
+    got = {r["vec_id"]: r["n_links"] for r in vecdups.linked(table(spark, x)).collect()}
+    assert sum(got[i] == 1 for i in range(400)) >= 0.98 * 400 and not any(got[i] for i in range(400, 6000))
+
+
+def test_links_exactly_where_the_graph_fails(spark, monkeypatch):
+    """After the last try all vectors are compared, block by block."""
+    monkeypatch.setattr(vecdups, "RECALL", 2.0)
+    monkeypatch.setattr(vecdups, "TRIES", 1)
+    monkeypatch.setattr(vecdups, "BLOCK", 40)
+    x = clusters(5, [2, 3, 8, 60], 100)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    root = np.arange(len(x))
+    for _ in range(len(x)):
+        root = np.minimum(root, np.where(near, root[None, :], len(x)).min(1))
+    got = vecdups.linked(table(spark, x)).collect()
+    assert all((r["n_links"], r["component_id"]) == (near[r["vec_id"]].sum(), root[r["vec_id"]]) for r in got) and len(got) == len(x)
+
+
 def test_links_odd_tables(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vecdups.linked(spark.createDataFrame(ODD, SCHEMA)).collect()}
     assert len(got) == len(ODD)
