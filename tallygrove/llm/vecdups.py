@@ -272,4 +272,12 @@ def op8_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_vector_dups": op8_vector_dups}
-ORACLES: dict[str, str] = {}
+#: All pairs by brute force; what it finds is what the graph has to find.
+ORACLES = {
+    "op8_vector_dups": """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r(vec_id, other) AS (SELECT a, b FROM p UNION SELECT r.vec_id, p.b FROM r JOIN p ON r.other = p.a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY a), c AS (SELECT vec_id, least(vec_id, min(other)) AS component_id FROM r GROUP BY vec_id)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, e.vec_id) AS component_id, coalesce(component_id, e.vec_id) = e.vec_id AS kept FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)"""
+}
