@@ -89,12 +89,6 @@ VIEWS["v_vendor"] = """
 SELECT concat(substr(name, 1, 4), substr(name, 6)) AS vendor_name, cast(NULL AS string) AS vendor_gst FROM ({v_emp}) e
 UNION ALL SELECT substr(md5(concat('s', cast(s_suppkey AS string))), 1, 20), cast(NULL AS string) FROM {supplier}
 UNION ALL SELECT DISTINCT vendor_name, vendor_gst FROM ({v_inv}) i"""
-VIEWS["v_staff"] = """
-SELECT c_custkey AS pos, substr(md5(concat('e', cast(c_custkey AS string))), 1, 20) AS name FROM {customer} WHERE c_acctbal < 0"""
-VIEWS["v_seller"] = """
-SELECT concat(substr(name, 1, 4), substr(name, 6)) AS vendor_name, cast(NULL AS string) AS vendor_gst FROM ({v_staff}) e
-UNION ALL SELECT substr(md5(concat('s', cast(s_suppkey AS string))), 1, 20), cast(NULL AS string) FROM {supplier}
-UNION ALL SELECT DISTINCT vendor_name, vendor_gst FROM ({v_inv}) i"""
 VIEWS["v_black"] = """
 SELECT s_suppkey AS pos, concat(upper(substr(md5(concat('s', cast(s_suppkey AS string))), 1, 9)), substr(md5(concat('s', cast(s_suppkey AS string))), 11, 10)) AS name, '' AS gstin FROM {supplier} WHERE s_acctbal < 0
 UNION ALL SELECT DISTINCT cast(1000000 AS bigint), '', vendor_gst FROM ({v_inv}) i WHERE vendor_name IN ('Vendor 7', 'Vendor 11')"""

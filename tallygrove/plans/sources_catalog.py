@@ -162,7 +162,11 @@ def _layout_report(pages: DataFrame) -> DataFrame:
 
 # Files ---------------------------------------------------------------------------------------------------------------
 
-_DOC = F.regexp_extract("path", "doc=([^/]+)/", 1)
+def _doc():
+    """The document of a file's folder."""
+    return F.regexp_extract("path", "doc=([^/]+)/", 1)
+
+
 _FILES = "(SELECT DISTINCT document_name AS file, 'bank_statement' AS kind, 'sbi' AS bank, 'utf-8' AS encoding FROM {v_raw} v UNION ALL SELECT DISTINCT document_name, 'expense', 'generic', 'cp1252' FROM {v_exp} w)"
 _BAD = "(VALUES ('headless.bad', 'no header'), ('open.bad', 'unexpected end of data'), ('other.bad', 'type not accepted')) b(file, error)"
 
@@ -172,9 +176,9 @@ def _batch(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 # What a file is, by the header and the bytes that it has.
-query("S9", f"SELECT DISTINCT file, kind, bank, encoding FROM {_FILES} f")(lambda s, d: _batch(s, d)[0].select(_DOC.alias("file"), "kind", F.col("bank_name").alias("bank"), "encoding").distinct())
+query("S9", f"SELECT DISTINCT file, kind, bank, encoding FROM {_FILES} f")(lambda s, d: _batch(s, d)[0].select(_doc().alias("file"), "kind", F.col("bank_name").alias("bank"), "encoding").distinct())
 query("S1", f"SELECT CAST(k.seq AS VARCHAR) AS ref, v.document_name, 'sbi' AS bank_name, b1.amount AS debit, b2.day, v.description || ' ₹' AS description FROM (SELECT seq {_KEPT}) k JOIN {{v_raw}} v USING (seq) JOIN ({ORACLES['B1']}) b1 ON k.seq = b1.seq JOIN ({ORACLES['B2']}) b2 ON k.seq = b2.seq")(
-    lambda s, d: Y.statements(_batch(s, d)[0], _DOC).select(F.col("transaction_id").alias("ref"), "document_name", "bank_name", F.round("debit", 4).alias("debit"), F.date_format("date", "yyyy-MM-dd").alias("day"), "description")
+    lambda s, d: Y.statements(_batch(s, d)[0], _doc()).select(F.col("transaction_id").alias("ref"), "document_name", "bank_name", F.round("debit", 4).alias("debit"), F.date_format("date", "yyyy-MM-dd").alias("day"), "description")
 )
 query("S11", f"SELECT file, NULL AS error, n FROM (SELECT document_name AS file, count(*) AS n FROM {{v_raw}} v GROUP BY 1 UNION ALL SELECT document_name, count(*) FROM {{v_exp}} w GROUP BY 1) g UNION ALL SELECT file, error, 1 FROM {_BAD}")(
     lambda s, d: _batch_report(*_batch(s, d))
@@ -183,12 +187,12 @@ query("S11", f"SELECT file, NULL AS error, n FROM (SELECT document_name AS file,
 
 def _batch_report(good: DataFrame, bad: DataFrame) -> DataFrame:
     """Rows by file that was read, and the reason by file that was not."""
-    rows = good.groupBy(_DOC.alias("file")).agg(F.count("*").alias("n")).select("file", F.lit(None).cast("string").alias("error"), "n")
+    rows = good.groupBy(_doc().alias("file")).agg(F.count("*").alias("n")).select("file", F.lit(None).cast("string").alias("error"), "n")
     return rows.unionByName(bad.select(F.regexp_extract("path", "([^/]+bad)/", 1).alias("file"), "error", F.lit(1).cast("long").alias("n")))
 
 
 query("S7", "SELECT submitted_by AS employee, strftime(exp_date, '%Y-%m-%d') AS day, 'Café, ' || seq AS description, amount, receipt_attached AS receipt, CASE WHEN seq % 7 = 0 THEN 'made' ELSE expense_id END AS expense_id FROM {v_exp} v")(
-    lambda s, d: Y.claims(_batch(s, d)[0], _DOC).select(F.col("submitted_by").alias("employee"), F.date_format("exp_date", "yyyy-MM-dd").alias("day"), "description", F.round("amount", 4).alias("amount"), F.col("receipt_attached").alias("receipt"), F.when(F.col("expense_id") == F.format_string("EXP-%06d", F.col("seq") + 1), F.lit("made")).otherwise(F.col("expense_id")).alias("expense_id"))
+    lambda s, d: Y.claims(_batch(s, d)[0], _doc()).select(F.col("submitted_by").alias("employee"), F.date_format("exp_date", "yyyy-MM-dd").alias("day"), "description", F.round("amount", 4).alias("amount"), F.col("receipt_attached").alias("receipt"), F.when(F.col("expense_id") == F.format_string("EXP-%06d", F.col("seq") + 1), F.lit("made")).otherwise(F.col("expense_id")).alias("expense_id"))
 )
 query("S19", "SELECT file, accepted FROM (SELECT document_name AS file, true AS accepted FROM (SELECT DISTINCT document_name FROM {v_raw} v UNION SELECT DISTINCT document_name FROM {v_exp} w) u UNION ALL VALUES ('open.bad', false), ('headless.bad', false), ('other.bad', false)) x")(
     lambda s, d: _gated(s, written_files(s, d))
@@ -196,7 +200,7 @@ query("S19", "SELECT file, accepted FROM (SELECT document_name AS file, true AS
 
 
 def _gated(s: SparkSession, folder: str) -> DataFrame:
-    return X.accepted(s, folder).where(~F.col("path").rlike("/_[^/]*$")).select(F.coalesce(F.nullif(_DOC, F.lit("")), F.regexp_extract("path", "([^/]+bad)/", 1)).alias("file"), "accepted")
+    return X.accepted(s, folder).where(~F.col("path").rlike("/_[^/]*$")).select(F.coalesce(F.nullif(_doc(), F.lit("")), F.regexp_extract("path", "([^/]+bad)/", 1)).alias("file"), "accepted")
 
 
 def _history(s: SparkSession, d: str) -> DataFrame:
