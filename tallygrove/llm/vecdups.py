@@ -168,12 +168,12 @@ def crowded(lists: DataFrame, comp: DataFrame, nodes: DataFrame, threshold: floa
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     if not roots.take(1):
         return members.select("node", F.lit(0).cast("long").alias("links"))
-    return _blocks(members.join(sizes, "root"), threshold).groupBy("node").agg(F.sum("links").alias("links"))
+    return _blocks(members.join(sizes, "root"), threshold, False).groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def _blocks(members: DataFrame, threshold: float) -> DataFrame:
+def _blocks(members: DataFrame, threshold: float, labelled: bool = True) -> DataFrame:
     """(node, links, label) of ``members`` (root, node, v, times, blocks), block against block: how many of the other block are
-    linked, and the least node that the two blocks' links reach, null without any."""
+    linked, and, if ``labelled``, the least node that the two blocks' links reach, else the node itself."""
     members = stored(members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "vecdups")
     seek = members.select("root", "i", "node", "v", "times", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     have = members.select("root", F.col("i").alias("j"), F.col("node").alias("b"), F.col("v").alias("w"), F.col("times").alias("weight"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
@@ -187,7 +187,7 @@ def _blocks(members: DataFrame, threshold: float) -> DataFrame:
         near = unit(matrix(mine.v)) @ unit(matrix(others.w)).T >= threshold
         near &= ids[:, None] != theirs[None, :]
         a, b, far = ids.copy(), theirs.copy(), np.iinfo(np.int64).max
-        while True:
+        while labelled:
             new = np.minimum(a, np.where(near, b[None, :], far).min(1))
             b = np.minimum(b, np.where(near, new[:, None], far).min(0))
             if (new == a).all():
