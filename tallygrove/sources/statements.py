@@ -102,8 +102,8 @@ def _by_columns(columns: Column) -> dict[str, Column]:
     money = lambda name: _number(F.regexp_extract(cell(name), rf"^(-?\d[\d,]*\.?\d*){SIDE}$", 1))
     suffix = F.nullif(F.upper(F.regexp_extract(cell("amount"), "(DR|CR|Dr|Cr)$", 1)), F.lit(""))
     debit, credit = F.nullif(money("debit"), F.lit(0.0)), F.nullif(money("credit"), F.lit(0.0))
-    # An amount's own suffix counts where neither side's column has a value.
-    amount = F.coalesce(debit, credit, money("amount"))
+    # An amount's own suffix counts where neither side's column has a value; a zero beside no other value is the amount.
+    amount = F.coalesce(debit, credit, money("amount"), money("debit"), money("credit"))
     side = F.when(debit.isNotNull(), "DR").when(credit.isNotNull(), "CR").otherwise(suffix)
     known = cell("date").rlike(DATE) & amount.isNotNull()
     got = {"date": cell("date"), "description": cell("description"), "ref_no": F.nullif(cell("ref_no"), F.lit("")), "amount": amount, "side": side, "balance": money("balance")}
