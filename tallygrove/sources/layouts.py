@@ -24,8 +24,8 @@ from ..functions import scalars as S
 DIGIT = "[0-9O]"
 NUMERIC_DATE, WRITTEN_DATE = rf"{DIGIT}{{2}}[-/]{DIGIT}{{2}}[-/]{DIGIT}{{2,4}}", rf"{DIGIT}{{2}}\s+[A-Za-z]{{3}}\s+{DIGIT}{{4,}}"
 ANY_DATE = rf"(?:{NUMERIC_DATE}|{WRITTEN_DATE})"
-#: One token of the amounts at a line's end; a dash is an empty column.
-TOKEN = r"(?:(?:[0-9OoB,]*[0-9][0-9OoB,]*\.[0-9OoB]{1,2}|[0-9OoB,]*[0-9][0-9OoB,]*(?=\s*(?i:DR|CR)\b))(?:\s*(?i:DR|CR)\b)?|--?)"
+#: One token of the amounts at a line's end; a dash is an empty column.  Letters alone are an amount with two decimals (O.OO).
+TOKEN = r"(?:(?:[0-9OoB,]*[0-9][0-9OoB,]*\.[0-9OoB]{1,2}|[OoB][OoB,]*\.[OoB]{2}(?![^\s])|[0-9OoB,]*[0-9][0-9OoB,]*(?=\s*(?i:DR|CR)\b))(?:\s*(?i:DR|CR)\b)?|--?)"
 AMOUNTS = rf"((?:(?:^|\s+){TOKEN})+)\s*$"
 # Words that name the banks of the two layouts, and patterns of their account numbers.
 BANKS = (("columns", r"(?i)STATE\s+BANK\s+OF\s+INDIA|\bSBI\b"), ("balance", r"(?i)\bHDFC\b"))
