@@ -130,10 +130,12 @@ def _forest(s: SparkSession, d: str) -> DataFrame:
 # Only a document's first page has a heading, so later pages are of variant B.
 _REF = "right(party_name, 1) IN ('0', '2', '4', '6', '8') AND n < 30"
 _NOTE = "CASE WHEN n % 11 = 5 THEN ' note ' || n ELSE '' END"
+_CREDITED = "(credit > 0 OR amount = 0 AND n % 5 = 4)"
 query(
     "T8",
     "SELECT party_name AS document_name, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN right(party_name, 1) IN ('0', '2', '4', '6', '8') AND n >= 30 THEN 'REF' || seq || ' ' ELSE '' END || description || " + _NOTE + f" AS description, CASE WHEN {_REF} THEN 'REF' || seq WHEN n < 0 THEN '' END AS ref_no, "
-    f"CASE WHEN debit > 0 OR n = 0 AND n % 5 = 4 THEN amount END AS debit, CASE WHEN credit > 0 THEN amount END AS credit, balance FROM {_PAGES} p",
+    # A zero is a debit, as its column says; alone (every fifth row) it is a credit, as the balance did not fall.
+    f"CASE WHEN NOT {_CREDITED} THEN amount END AS debit, CASE WHEN {_CREDITED} THEN amount END AS credit, balance FROM {_PAGES} p",
 )(lambda s, d: L.by_columns(layout_pages(s, d, "columns")).select("document_name", _day(), "description", "ref_no", "debit", "credit", "balance"))
 query(
     "T8b",
