@@ -76,9 +76,10 @@ def limits(e: DataFrame, policy: Policy = POLICY, monthly_cap: float | None = No
 
 
 def categorized(e: DataFrame) -> DataFrame:
-    """Ids and categories filled in where they are missing."""
+    """Ids and categories filled in where they are missing; ``id_made`` tells whose id was."""
     made = F.format_string("EXP-%06d", F.col("seq") + 1)
-    return e.withColumns({"expense_id": F.coalesce(F.nullif(F.trim("expense_id"), F.lit("")), made), "category": F.coalesce(F.nullif(F.trim("category"), F.lit("")), S.expense_category(F.col("description")))})
+    own = F.nullif(F.trim("expense_id"), F.lit(""))
+    return e.withColumns({"id_made": own.isNull(), "expense_id": F.coalesce(own, made), "category": F.coalesce(F.nullif(F.trim("category"), F.lit("")), S.expense_category(F.col("description")))})
 
 
 #: Columns that name people in expense sheets.
