@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -222,12 +223,152 @@ def _keys(names: DataFrame, ratio: float) -> DataFrame:
     return by_grams.unionByName(by_letters).unionByName(same)
 
 
+#: Longest names that are cut into parts, and most keys of one name for names of one other length.
+CUT, MOST = 64, 3000
+#: Share of all pairs of names that meet at keys of grams, keys of grams of a name, and letters that a text tells apart.
+MET, GRAMS, TELLS = 0.05, 80, 12
+
+
+def _windows(la: int, lb: int, ratio: float, p: int) -> tuple[set, set] | None:
+    """For names of ``la`` characters cut into ``p`` parts and others of ``lb``: ({(part, start, characters, left out)}, the same of windows of the others).
+
+    Of two names' characters m at least agree in order, so exactly da = la - m of the one and db = lb - m of the other may be
+    left out: such parts' shares of these add up to da + db, so in one part they are at most its limit, if the limits
+    and one each add up to more.  The first and last part lie at the ends; a window for one between is moved by what is left out
+    before it.  ``None`` where a part would be nothing.
+    """
+    m = math.ceil(ratio * (la + lb) / 2 - 1e-9)
+    if m > min(la, lb):
+        return set(), set()
+    if p > la:
+        return None
+    da, db, cuts = la - m, lb - m, [la * q // p for q in range(p + 1)]
+    base, extra = divmod(max(0, da + db - p + 1), p)
+    order = [0, p - 1, *range(1, p - 1)]
+    limit = {q: base + (rank < extra) for rank, q in enumerate(order)}
+    parts, windows = set(), set()
+    for q in order:
+        at, n = cuts[q], cuts[q + 1] - cuts[q]
+        if limit[q] >= n:
+            return None
+        for i in range(min(limit[q], da) + 1):
+            for j in range(min(limit[q] - i, db) + 1):
+                size = n - i + j
+                # Parts are looked at in order, so those before this one and the last are over their limits.
+                spent = range(sum(limit[r] + 1 for r in range(q)), da + db - i - j - limit[p - 1])
+                starts = {0} if q == 0 else {lb - size} if q == p - 1 else {at + y - x for x in range(da - i + 1) for y in range(db - j + 1) if x + y in spent}
+                found = {(q, start, size, j) for start in starts if 0 <= start <= lb - size}
+                if found:
+                    windows |= found
+                    parts.add((q, at, n, i))
+    return parts, windows
+
+
+def _choices(spans: set) -> int:
+    return sum(math.comb(size, out) for _, _, size, out in spans)
+
+
+def _cut(own: dict[int, int], others: dict[int, int], ratio: float) -> tuple[float, dict[int, int]]:
+    """What it costs to find the pairs of names (numbers by length), and into how many parts names of a length are cut; those of
+    the lengths that do not occur meet by grams, which is chosen where it costs less."""
+    total, plan = 0.0, {}
+    for la, na in own.items():
+        like = {lb: nb for lb, nb in others.items() if math.ceil(ratio * (la + lb) / 2 - 1e-9) <= min(la, lb)}
+        best, parts = GRAMS * (na + sum(like.values())) + MET * na * sum(like.values()), None
+        for p in range(2, 9) if like and max(la, *like) <= CUT and MET * na * sum(like.values()) > GRAMS * (na + sum(like.values())) else ():
+            made = [_windows(la, lb, ratio, p) for lb in like]
+            if any(x is None or max(map(_choices, x)) > MOST for x in made):
+                continue
+            keys = na * _choices(set().union(*[x[0] for x in made]))
+            keys += sum(nb * _choices(x[1]) for nb, x in zip(like.values(), made))
+            # Pairs that have a key of some length in common by chance.
+            for nb, (a, b) in zip(like.values(), made):
+                sizes = {(q, n - i): math.comb(n, i) for q, _, n, i in a}
+                keys += sum(na * nb * sizes.get((q, n - j), 0) * math.comb(n, j) / TELLS ** (n - j) for q, _, n, j in b)
+            if keys < best:
+                best, parts = keys, p
+        total += best
+        if parts:
+            plan[la] = parts
+    return total, plan
+
+
+def _pieces(kept: tuple[int, ...]) -> list[tuple[int, int]]:
+    """Runs (first place from 1, length) of places from 0."""
+    out = []
+    for x in kept:
+        if out and out[-1][0] + out[-1][1] == x + 1:
+            out[-1] = (out[-1][0], out[-1][1] + 1)
+        else:
+            out.append((x + 1, 1))
+    return out
+
+
+def _by_parts(a: DataFrame, b: DataFrame, plan: dict[int, int], others: dict[int, int], ratio: float) -> DataFrame:
+    """(a, b): pairs of names, those of ``a`` cut into parts by ``plan``, that share what is left of a part and a window.
+
+    What is left out of which places is a small table by length, so that keys are made of it by a join.
+    """
+    of_a, of_b = set(), set()
+    left = lambda start, size, out: ([x for x in range(start, start + size) if x not in gone] for gone in map(set, combinations(range(start, start + size), out)))
+    for la, p in plan.items():
+        for lb in others:
+            parts, windows = _windows(la, lb, ratio, p)
+            of_a |= {(la, la * 8 + q, tuple(kept)) for q, start, size, out in parts for kept in left(start, size, out)}
+            of_b |= {(lb, la * 8 + q, tuple(kept)) for q, start, size, out in windows for kept in left(start, size, out)}
+    runs = max((len(_pieces(kept)) for _, _, kept in of_a | of_b), default=1)
+    many = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def keyed(names: DataFrame, specs: set, name: str) -> DataFrame:
+        rows = [(n, tag, *[x for run in (_pieces(kept) + [(1, 0)] * runs)[:runs] for x in run]) for n, tag, kept in sorted(specs)]
+        table = names.sparkSession.createDataFrame(rows, "n int, tag int, " + ", ".join(f"p{r} int, l{r} int" for r in range(runs)))
+        text = F.concat(*[F.substring(name, F.col(f"p{r}"), F.col(f"l{r}")) for r in range(runs)])
+        # Dealt anew, as few names make many keys.
+        names = names.repartition(many, name).withColumn("n", F.length(name))
+        return names.join(F.broadcast(table), "n").select(name, F.col("n").alias(f"n_{name}"), F.xxhash64("tag", text).alias("k"))
+
+    j = keyed(a, of_a, "a").join(keyed(b, of_b, "b"), "k")
+    # What does not agree is left out or put in.
+    apart = F.col("n_a") + F.col("n_b") - 2 * F.ceil(F.lit(ratio) * (F.col("n_a") + F.col("n_b")) / 2 - 1e-9)
+    return j.where(F.levenshtein("a", "b") <= apart).select("a", "b").distinct()
+
+
 def _ratio_pairs(names: DataFrame, others: DataFrame, at_least: float) -> DataFrame:
-    """Pairs (name, other, pos, ratio) of distinct names whose ratio may reach ``at_least`` (0.8 or more): they share a key with
-    places that the ratio allows, and their lengths, grams and letters allow it."""
+    """Pairs (name, other, pos, ratio) of distinct names whose ratio may reach ``at_least`` (0.8 or more).
+
+    Names of lengths of which there are many are cut into parts, one of which has few differences (:func:`_by_parts`), so that
+    keys grow with the names; the others meet by grams (:func:`_by_grams`).  Pairs whose letters allow the ratio are
+    compared.
+    """
     from ..functions.fuzzy import sequence_ratio
 
-    both = names.select(F.lit("a").alias("side"), "name").union(others.select(F.lit("b"), "other")).distinct().where("name <> ''")
+    a, b = (stored(df.select(F.col(c).alias("name")).distinct().where("name <> ''"), "names") for df, c in ((names, "name"), (others, "other")))
+    # Names beyond CUT are one length.
+    lengths = [{r["n"]: r["c"] for r in x.groupBy(F.least(F.length("name"), F.lit(CUT + 1)).alias("n")).agg(F.count("*").alias("c")).collect()} for x in (a, b)]
+    (cost, plan), (turned_cost, turned) = _cut(*lengths, at_least), _cut(*lengths[::-1], at_least)
+    one, two, one_lengths, two_lengths, swapped = (a, b, *lengths, False) if cost <= turned_cost else (b, a, *lengths[::-1], True)
+    plan = turned if swapped else plan
+    cut = F.length("name").isin(list(plan)) if plan else F.lit(False)
+    found = []
+    if plan:
+        pairs = _by_parts(one.where(cut).withColumnRenamed("name", "a"), two.withColumnRenamed("name", "b"), plan, two_lengths, at_least)
+        found.append(pairs.select(F.col("b" if swapped else "a").alias("name"), F.col("a" if swapped else "b").alias("other")))
+    if set(one_lengths) - set(plan):
+        rest = one.where(~cut)
+        # Only names that are not too short or long for one of the rest.
+        at = sorted(n for n in two_lengths if n > CUT or any(m > CUT or math.ceil(at_least * (n + m) / 2 - 1e-9) <= min(n, m) for m in set(one_lengths) - set(plan)))
+        met = two.where(F.least(F.length("name"), F.lit(CUT + 1)).isin(at)) if at else two.limit(0)
+        found.append(_by_grams(*((met, rest) if swapped else (rest, met)), at_least))
+    j = reduce(DataFrame.unionByName, found) if found else a.crossJoin(b.withColumnRenamed("name", "other")).limit(0)
+    j = j.where((F.col("name") == F.col("other")) | (ratio_bound("name", "other") >= at_least))
+    many = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = j.repartition(many, "name", "other").withColumn("ratio", sequence_ratio("name", "other")).where(F.col("ratio") >= at_least)
+    return j.join(others.select("other", "pos"), "other")
+
+
+def _by_grams(names: DataFrame, others: DataFrame, at_least: float) -> DataFrame:
+    """(name, other): pairs of names that share a key with places that the ratio allows, whose lengths and grams allow it."""
+    both = names.select(F.lit("a").alias("side"), "name").union(others.select(F.lit("b"), "name"))
     keys = stored(_keys(both, at_least), "names")
     a = keys.where("side = 'a'").select(F.col("id").alias("a"), F.col("n").alias("la"), "k", F.col("p").alias("ap"), F.col("q").alias("aq"), F.col("bits").alias("a_bits"), F.col("lost").alias("a_lost"))
     b = keys.where("side = 'b'").select(F.col("id").alias("b"), F.col("n").alias("lb"), "k", F.col("p").alias("bp"), F.col("q").alias("bq"), F.col("bits").alias("b_bits"), F.col("lost").alias("b_lost"))
@@ -240,9 +381,7 @@ def _ratio_pairs(names: DataFrame, others: DataFrame, at_least: float) -> DataFr
     enough = common >= m - (t - 2 * m + 1) - F.least("a_lost", "b_lost")
     j = a.join(b, "k").where((m <= F.least("la", "lb")) & moved("ap", "bp") & moved("aq", "bq") & enough).select("a", "b").distinct()
     own = lambda side, name: both.where(F.col("side") == side).select(F.xxhash64("name").alias(side), F.col("name").alias(name))
-    j = j.join(own("a", "name"), "a").join(own("b", "other"), "b").select("name", "other")
-    j = j.where((F.col("name") == F.col("other")) | (ratio_bound("name", "other") >= at_least))
-    return j.withColumn("ratio", sequence_ratio("name", "other")).where(F.col("ratio") >= at_least).join(others.select("other", "pos"), "other")
+    return j.join(own("a", "name"), "a").join(own("b", "other"), "b").select("name", "other")
 
 
 def vendor_set(*tables: DataFrame) -> DataFrame:
