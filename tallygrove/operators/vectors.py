@@ -25,6 +25,8 @@ from ..graphs import stored
 CENTRES = 1024
 #: Vectors and queries of a block.
 BLOCK = 4096
+#: Queries of a block that are compared at once, so that no matrix of a block by a block is held.
+MET = 256
 #: Slack of angles and of the comparison, far above rounding.
 SLACK = 1e-7
 
@@ -84,6 +86,26 @@ class Cells:
         return queries.mapInPandas(run, f"id {kind}, v array<double>, cell int, block int")
 
 
+def met(q: pd.DataFrame, x: pd.DataFrame, least: float, k: int | None, key: str, distinct: bool) -> pd.DataFrame:
+    """The pairs of :func:`near` of a block of queries and a block of vectors."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    if len(q) and len(x):
+        vectors, ids = _unit(x["v"]).T, x["id"].to_numpy()
+        for lo in range(0, len(q), MET):
+            part = q.iloc[lo : lo + MET]
+            sims = _unit(part["v"]) @ vectors
+            if distinct:
+                sims[part["query_id"].to_numpy()[:, None] == ids[None, :]] = -2.0
+            if k is not None and k < len(x):
+                # Ties at the last place stay, as ids decide among them later.
+                last = np.partition(sims, len(x) - k, axis=1)[:, len(x) - k, None]
+                sims[sims < last - SLACK] = -2.0
+            i, j = np.nonzero(sims >= least - SLACK)
+            out.append((i + lo, j, sims[i, j]))
+    out = [np.concatenate(c) for c in zip(*out)]
+    return pd.DataFrame({"query_id": q["query_id"].to_numpy()[out[0]], key: x["id"].to_numpy()[out[1]], "similarity": out[2]})
+
+
 def near(queries: DataFrame, vectors: DataFrame, least: float, k: int | None = None, key: str = "vec_id", vector: str = "embedding", distinct: bool = True) -> DataFrame:
     """(query_id, ``key``, similarity): pairs whose cosine is ``least`` (over -1) or more; with ``k``, at least each query's ``k`` best.
 
@@ -105,18 +127,7 @@ def near(queries: DataFrame, vectors: DataFrame, least: float, k: int | None = N
     kind = own.schema["id"].dataType.simpleString()
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        if len(q) and len(x):
-            sims = _unit(q["v"]) @ _unit(x["v"]).T
-            if distinct:
-                sims[q["query_id"].to_numpy()[:, None] == x["id"].to_numpy()[None, :]] = -2.0
-            if k is not None and k < len(x):
-                # Ties at the last place stay, as ids decide among them later.
-                last = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
-                sims[sims < last - SLACK] = -2.0
-            i, j = np.nonzero(sims >= least - SLACK)
-            out = [i, j, sims[i, j]]
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[out[0]], key: x["id"].to_numpy()[out[1]], "similarity": out[2]})
+        return met(q, x, least, k, key, distinct)
 
     keys = ["cell", "block", "group"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, f"query_id {kind}, {key} {kind}, similarity double")
