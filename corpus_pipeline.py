@@ -23,7 +23,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 over five-word shingles: one with the smallest id."""
+    """One document of each group linked by a Jaccard similarity of 0.8 over five-word shingles: one with the smallest id.
+
+    SimHash links (the method of ``op2``) and min-hash propose the pairs, which the shingles themselves decide."""
     return shinglesets.keep_one(docs, SHINGLE)
 
 

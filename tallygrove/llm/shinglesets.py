@@ -1,4 +1,7 @@
-"""Near-duplicates by the Jaccard similarity of word-shingle sets: min-hash bands propose pairs, exact sets decide.
+"""Near-duplicates by the Jaccard similarity of word-shingle sets: SimHash links and min-hash bands propose pairs, exact sets decide.
+
+First the pairs of ``op2``'s operator (fingerprints at ``DISTANCE`` or fewer bits, by the pigeonhole over bit groups) are
+decided, all texts tied by them with one of these.  What 64 bits miss is left to min-hash.
 
 Texts of one shingle set count as one node.  A node's set is drawn ``BANDS * ROWS`` times by min-hash; nodes that agree in
 all rows of a band share a bucket, so a pair of similarity s meets with probability 1 - (1 - s^ROWS)^BANDS, which is
@@ -19,11 +22,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import components, one_of_each, row_key, slices, stored
 
 BANDS, ROWS = 30, 6
 #: Similarity from which texts are linked, as numerator and denominator.
 LIMIT = (4, 5)
+#: Differing bits of fingerprints up to which texts are compared exactly.
+DISTANCE = 3
 #: Share of agreeing draws below which a pair is not compared exactly.
 ALIKE = 0.6
 #: Pairs per entry up to which all open pairs of the buckets are compared at once.
@@ -110,18 +116,35 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, EDGE)
 
 
+def by_fingerprints(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(a, b), a < b: each node that is tied to others by links of its fingerprint, with one of these, so that pairs grow with the nodes."""
+    best = nodes.where("size > 0").select("node", "best.doc_id", "best.key")
+    prints = simhash.fingerprints(docs, k).select(F.col("doc_id").alias("id"), F.col("key").alias("row"), "fp")
+    own = best.join(prints, (F.col("key") == F.col("row")) & F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("node").agg(F.min("fp").alias("fp"))
+    own = stored(own, "shinglesets")
+    edges = stored(simhash.links(own.select("fp").distinct(), DISTANCE), "shinglesets")
+    if edges.take(1):
+        roots = components(edges).withColumnRenamed("node", "fp")
+        own = stored(own.join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("fp")), "shinglesets")
+    hubs = own.groupBy("fp").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    return own.join(hubs, "fp").where("node <> a").select("a", F.col("node").alias("b"))
+
+
 def linked(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame | None:
     """(node, root) of the nodes that are linked with any other; null where none is."""
     entries = nodes.select("node", "size", "draws", F.explode("buckets").alias("bucket"))
+    pairs = stored(by_fingerprints(nodes, docs, k), "shinglesets")
     many = nodes.select(F.explode("buckets").alias("bucket")).groupBy("bucket").count().where("count > 1").select("bucket")
     shared = stored(entries.join(stored(many, "shinglesets"), "bucket"), "shinglesets")
-    if not shared.take(1):
+    met = shared.select("node").union(pairs.select("a")).union(pairs.select("b"))
+    if not met.take(1):
         return None
-    wanted = stored(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "best"), "shinglesets")
+    wanted = stored(nodes.join(met.distinct(), "node", "left_semi").select("node", "best"), "shinglesets")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("key"), F.col("text").cast("string").alias("text"))
     own = keyed.join(wanted, (F.col("key") == F.col("best.key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
     texts = stored(own.groupBy("node").agg(F.first("text").alias("text")), "shinglesets")
-    comp = tested = None
+    tested = stored(compared(pairs, texts, k), "shinglesets")
+    comp = stored(components(tested.where("same")), "shinglesets") if tested.where("same").take(1) else None
     turn, entries, last, open_before = 0, shared.count(), False, float("inf")
     while True:
         at = shared.withColumn("root", F.col("node")) if comp is None else shared.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -141,9 +164,9 @@ def linked(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame | None:
             y = hubs.select("bucket", F.col("h.node").alias("y"), F.col("h.size").alias("sy"), F.col("h.draws").alias("dy"), F.col("h.root").alias("ry"))
             pairs = x.join(y, "bucket").where("rx <> ry")
         pairs = _alike(pairs)
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "shinglesets")
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "shinglesets")
         new = stored(compared(pairs, texts, k), "shinglesets")
-        tested = new if tested is None else tested.unionByName(new)
+        tested = tested.unionByName(new)
         linked_more = bool(new.where("same").take(1))
         if linked_more:
             comp = stored(components(tested.where("same")), "shinglesets")
