@@ -23,10 +23,17 @@ def deduplicated(v: DataFrame) -> DataFrame:
     return v.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
-def rooted(f: DataFrame) -> DataFrame:
-    """Distinct findings with ``fid`` and ``root``: findings of one root share transaction ids, directly or through others."""
-    f = stored(f.withColumn("fid", F.xxhash64("finding_id", "source", "evidence")).dropDuplicates(["fid"]), "merge")
-    ids = f.select("fid", F.explode("transaction_ids").alias("id"))
+#: What a merged finding tells of its strongest one.
+TOLD = ("source", "finding_type", "document_name", "severity", "entity", "amount", "evidence", "finding_id")
+
+
+def rooted(f: DataFrame, told: tuple[str, ...] = TOLD) -> DataFrame:
+    """Distinct findings with ``fid`` and ``root``: findings of one root share transaction ids, directly or through others.
+
+    Only the columns ``told`` (with the score and the ids) are kept, and stored once."""
+    f = f.select(F.xxhash64("finding_id", "source", "evidence").alias("fid"), "score", "transaction_ids", *told)
+    f = stored(f.dropDuplicates(["fid"]), "merge")
+    ids = f.select("fid", F.explode("transaction_ids").alias("id")).where("id is not null").select("fid", F.xxhash64("id").alias("id"))
     # Each id ties its findings to the smallest of them: a star, not all pairs.
     star = ids.groupBy("id").agg(F.min("fid").alias("hub"))
     roots = components(ids.join(star, "id").select(F.col("fid").alias("a"), F.col("hub").alias("b")))
@@ -42,11 +49,11 @@ def merged(f: DataFrame) -> DataFrame:
     return strongest(rooted(f))
 
 
-def strongest(rows: DataFrame) -> DataFrame:
-    """The merged finding of each root of :func:`rooted` findings."""
-    best = F.max_by(F.struct("source", "finding_type", "document_name", "severity", "entity", "amount", "evidence", "finding_id"), F.struct(rank(F.col("severity")).alias("rank"), "score", (-F.col("fid")).alias("tie")))
-    g = rows.groupBy("root").agg(best.alias("b"), F.max("score").alias("score"), F.array_sort(F.collect_set("finding_type")).alias("merged_types"), F.count("*").alias("n"))
-    return g.select("root", "b.*", "score", "merged_types", "n")
+def strongest(rows: DataFrame, **more: Column) -> DataFrame:
+    """The merged finding of each root of :func:`rooted` findings; ``more`` are further aggregates."""
+    best = F.max_by(F.struct(*[c for c in TOLD if c in rows.columns]), F.struct(rank(F.col("severity")).alias("rank"), "score", (-F.col("fid")).alias("tie")))
+    g = rows.groupBy("root").agg(best.alias("b"), F.max("score").alias("score"), F.array_sort(F.collect_set("finding_type")).alias("merged_types"), F.count("*").alias("n"), *[x.alias(k) for k, x in more.items()])
+    return g.select("root", "b.*", "score", "merged_types", "n", *more)
 
 
 def members(f: DataFrame) -> DataFrame:
