@@ -6,6 +6,7 @@ Fuzzy and ranged conditions are blocked by equalities that lose nothing, and the
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -112,6 +113,64 @@ def _by_rounds(left: DataFrame) -> DataFrame:
     return matched
 
 
+MATCH = "invoice_id string, i_seq long, txn_id string, p_seq long, confidence double"
+
+
+def _served_by_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches, of rows in order of root and kind: pairs of kinds (0), payments by ``seq`` (1), invoices by ``seq`` (2); a group
+    may go on in the next batch."""
+    names = [c.split(" ")[0] for c in MATCH.split(", ")]
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.float64()]
+    root, liked, left = None, {}, {}
+    for b in batches:
+        out = []
+        for r, what, kind, other, seq, id_, confidence in zip(*(b.column(c).to_pylist() for c in ("root", "what", "kind", "other", "seq", "id", "confidence"))):
+            if r != root:
+                root, liked, left = r, {}, {}
+            if what == 0:
+                liked.setdefault(kind, []).append((confidence, other))
+            elif what == 1:
+                left.setdefault(kind, deque()).append((seq, id_))
+            else:
+                # The best kind of which a payment is left; of equally good ones the earliest payment.
+                best = max(((c, -left[k][0][0], k) for c, k in liked.get(kind, ()) if left.get(k)), default=None)
+                if best:
+                    p_seq, txn_id = left[best[2]].popleft()
+                    out.append((id_, seq, txn_id, p_seq, best[0]))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 5, types)], names=names)
+
+
+def matched(inv: DataFrame, pay: DataFrame, vectors: DataFrame) -> DataFrame:
+    """What :func:`reconciled` gives for all :func:`candidates` of invoices and payments, without a row for each pair.
+
+    Invoices of one vendor, amount and day are a kind, and so are payments; the confidence is one of kinds, so only pairs of kinds
+    are made.  Kinds are grouped by connected components.  A group's invoices are served in order, each by the first payment left
+    of its best kind; groups of more than ``GROUP`` rows are expanded to pairs and served by rounds.
+    """
+    i = inv.where("amt > 0 and invoice_date is not null").select(F.xxhash64(F.lit("i"), "vendor", "amt", "invoice_date").alias("kind"), "vendor", "amt", "invoice_date", F.col("seq").cast("long").alias("seq"), F.col("invoice_id").alias("id"))
+    p = pay.where("amount > 0 and pay_date is not null").select(F.xxhash64(F.lit("p"), "vendor", "amount", "pay_date").alias("kind"), "vendor", "amount", "pay_date", F.col("seq").cast("long").alias("seq"), F.col("txn_id").alias("id"))
+    nothing = F.lit(0).alias("seq")
+    kinds = candidates(i.select(F.col("kind").alias("invoice_id"), "vendor", "amt", "invoice_date", nothing).distinct(), p.select(F.col("kind").alias("txn_id"), "vendor", "amount", "pay_date", nothing).distinct(), vectors)
+    kinds = stored(kinds.select(F.col("invoice_id").alias("kind"), F.col("txn_id").alias("other"), "confidence"), "reconcile")
+    roots = components(kinds.select(F.col("kind").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "kind")
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    row = ("root", "what", "kind", "other", "seq", "id", "confidence")
+    pairs = kinds.join(roots, "kind").withColumns({"what": F.lit(0), "seq": none("seq", "long"), "id": none("id", "string")}).select(*row)
+    of = lambda side, what: side.select("kind", "seq", "id").join(roots, "kind").withColumns({"what": F.lit(what), "other": none("other", "long"), "confidence": none("confidence", "double")}).select(*row)
+    rows = stored(pairs.unionByName(of(p, 1)).unionByName(of(i, 2)), "reconcile")
+    large = stored(rows.groupBy("root").count().where(F.col("count") > GROUP).select("root"), "reconcile")
+    few = rows.join(F.broadcast(large), "root", "left_anti").repartition("root").sortWithinPartitions("root", "what", "seq", "id")
+    few = few.mapInArrow(_served_by_kinds, MATCH)
+    if not large.take(1):
+        return few
+    rest = rows.join(F.broadcast(large), "root", "left_semi")
+    side = lambda what, kind, id_, seq: rest.where(F.col("what") == what).select(F.col("kind").alias(kind), F.col("id").alias(id_), F.col("seq").alias(seq))
+    cand = rest.where("what = 0").select(F.col("kind").alias("i_kind"), F.col("other").alias("p_kind"), "confidence")
+    cand = cand.join(side(2, "i_kind", "invoice_id", "i_seq"), "i_kind").join(side(1, "p_kind", "txn_id", "p_seq"), "p_kind")
+    columns = [c.split(" ")[0] for c in MATCH.split(", ")]
+    return few.unionByName(_by_rounds(cand.select(columns)).select(columns))
+
+
 def unmatched(rows: DataFrame, matches: DataFrame, key: str) -> DataFrame:
     """Rows (invoices or payments) without a match among reconciled ones."""
     return rows.join(matches.select(key), key, "left_anti")
