@@ -127,7 +127,7 @@ def top_types(f: DataFrame, n: int = 10) -> DataFrame:
 
 def page(f: DataFrame, number: int, size: int = 50) -> DataFrame:
     """H6: one page of the ordered findings, with the ``total`` of all; a page has 200 at most."""
-    size = min(max(size, 1), 200)
+    size, f = min(max(size, 1), 200), stored(f, "page")  # the checks run once, for the count and the page
     total = f.agg(F.count("*").alias("total"))  # one row
     return ordered(f).offset((max(number, 1) - 1) * size).limit(size).crossJoin(F.broadcast(total))
 
