@@ -69,6 +69,11 @@ def _rows(s: SparkSession, d: str) -> DataFrame:
     return P.parsed(P.merged(_lines(s, d)))
 
 
+def _twice(rows: DataFrame) -> DataFrame:
+    """The rows, and the same again on later pages."""
+    return rows.withColumn("page_no", F.explode(F.array(F.col("page_no"), F.col("page_no") + 1000)))
+
+
 def _day(c: str = "date"):
     return F.date_format(c, "yyyy-MM-dd").alias("day")
 
@@ -95,7 +100,7 @@ query("T7", f"SELECT party_name AS document_name, CASE WHEN n = 0 THEN 0.0 ELSE
     lambda s, d: P.resolved(_rows(s, d).withColumn("side", F.lit(None).cast("string"))).join(_rows(s, d).groupBy("document_name").count().where("count > 1"), "document_name", "left_semi").select("document_name", "debit", "credit")
 )
 query("T9", f"SELECT party_name AS document_name, strftime(ts, '%Y-%m-%d') AS day, description || {_TAIL} AS description, debit, credit, balance FROM {_PAGES} p")(
-    lambda s, d: P.deduplicated(P.resolved(_rows(s, d)).unionByName(P.resolved(_rows(s, d)).withColumn("page_no", F.col("page_no") + 1000))).select("document_name", _day(), "description", "debit", "credit", "balance")
+    lambda s, d: P.deduplicated(_twice(P.resolved(_rows(s, d)))).select("document_name", _day(), "description", "debit", "credit", "balance")
 )
 query("W6", f"SELECT party_name AS document_name, balance, lag(balance) OVER w AS before, lead(balance) OVER w AS after FROM {_PAGES} p WINDOW w AS (PARTITION BY party_name ORDER BY n)")(lambda s, d: P.around(_rows(s, d)).select("document_name", "balance", "before", "after"))
 # Columns by the document's heading: amounts' places differ, and the empty side is blank or zero.

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..graphs import spread
 
 DATE = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b"
 MONEY = r"\d[\d,]*\.\d{2}"
@@ -43,6 +44,7 @@ def merged(rows: DataFrame, most: int = 4, orphans: int = 2) -> DataFrame:
     """
     starts, tail = F.col("line").rlike(DATE), F.col("line").rlike(TAIL)
     text = ~F.col("line").rlike(MONEY) & ~F.lower("line").rlike(FRAME) & F.col("line").rlike(r"^[A-Za-z0-9\s/._&\-,:+@()'\"]+$") & F.col("line").rlike("[A-Za-z]")
+    rows = spread(rows, "lines", "document_name")
     rows = rows.withColumn("txn_no", F.sum(starts.cast("int")).over(in_order()))
     part, order = Window.partitionBy("document_name", "txn_no"), in_order("document_name", "txn_no")
     rows = rows.withColumns({"k": F.row_number().over(order), "text": text})
@@ -158,8 +160,10 @@ def resolved(rows: DataFrame) -> DataFrame:
 
 def deduplicated(rows: DataFrame) -> DataFrame:
     """Of equal rows (date, description, debit, credit, balance) of a document, the first."""
-    w = Window.partitionBy("document_name", "date", "description", "debit", "credit", "balance").orderBy("page_no", "line_no")
-    return rows.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    same = ("document_name", "date", "description", "debit", "credit", "balance")
+    w = Window.partitionBy(*same).orderBy("page_no", "line_no")
+    # Dealt by what is no number: Spark deals numbers that are keys of a window once more, by its own count.
+    return spread(rows, "transactions", *same[:3]).withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
 def transactions(pages: DataFrame) -> DataFrame:
