@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import column_pages, layout_pages, statement_pages, view, written_files
 from ..functions import scalars as S
+from ..graphs import stored
 from ..operators import reports as R
 from ..operators import transactions as T
 from ..sources import batch as Y
@@ -163,8 +164,10 @@ query(
 
 
 def _layout_report(pages: DataFrame) -> DataFrame:
-    rows = L.transactions(pages).groupBy("document_name").agg(F.count("*").alias("transactions"), F.round(F.sum("balance"), 2).alias("balances"))
-    warned = L.warnings(pages).groupBy("document_name").agg(F.count("*").alias("warnings"))
+    pages = stored(pages, "pages")
+    lines = L.numbered(pages)
+    rows = L.transactions(pages, lines).groupBy("document_name").agg(F.count("*").alias("transactions"), F.round(F.sum("balance"), 2).alias("balances"))
+    warned = L.warnings(pages, lines).groupBy("document_name").agg(F.count("*").alias("warnings"))
     return L.documents(pages).join(rows, "document_name").join(warned, "document_name", "left")
 
 # Files ---------------------------------------------------------------------------------------------------------------

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..graphs import dealt, spread, stored
 
 DIGIT = "[0-9O]"
 NUMERIC_DATE, WRITTEN_DATE = rf"{DIGIT}{{2}}[-/]{DIGIT}{{2}}[-/]{DIGIT}{{2,4}}", rf"{DIGIT}{{2}}\s+[A-Za-z]{{3}}\s+{DIGIT}{{4,}}"
@@ -63,13 +64,16 @@ def _lines(pages: DataFrame) -> DataFrame:
     """Lines that are not empty, with bars and tabs as spaces, and whether the page's heading has a column of references."""
     raw = F.split(F.coalesce("raw_text", F.lit("")), r"\r?\n")
     top = F.lower(F.array_join(F.filter(F.slice(F.filter(raw, lambda x: F.trim(x) != ""), F.lit(1), F.lit(TOP)), lambda x: ~x.rlike(rf"^\s*{ANY_DATE}")), "\n"))
-    rows = pages.select("document_name", "page_no", F.when(top.rlike("ref|cheque|chq"), "A").otherwise("B").alias("variant"), (~top.rlike("ref|cheque|chq|description|txn|date|transaction")).alias("unknown"), F.posexplode(raw).alias("line_no", "line"))
+    # The heading is read once a page, before the page is cut into lines.
+    known = {"variant": F.when(F.col("top").rlike("ref|cheque|chq"), "A").otherwise("B"), "unknown": ~F.col("top").rlike("ref|cheque|chq|description|txn|date|transaction")}
+    own = [c for c in ("document_name", "layout", "page_no") if c in pages.columns]
+    rows = pages.withColumn("top", top).withColumns({**known, "raw": raw}).select(*own, "variant", "unknown", F.posexplode("raw").alias("line_no", "line"))
     return rows.withColumn("line", F.trim(F.regexp_replace(F.translate("line", "|", " "), r"\s+", " "))).where("line <> ''")
 
 
 def _numbered(pages: DataFrame) -> DataFrame:
     """Lines with the number of the transaction that they belong to, 0 for orphans; lines of opening and closing balances are dropped."""
-    rows = _lines(pages).where(~F.lower("line").rlike("^(opening|closing) balance"))
+    rows = spread(_lines(pages).where(~F.lower("line").rlike("^(opening|closing) balance")), "lines", "document_name")
     return rows.withColumn("dated", F.col("line").rlike(rf"^{ANY_DATE}")).withColumn("txn_no", F.sum(F.col("dated").cast("int")).over(_in_order()))
 
 
@@ -89,10 +93,11 @@ def _described(rows: DataFrame, second_date: bool) -> DataFrame:
 
 def _clean_text(text: Column) -> Column:
     """Without tokens that are a scanner's noise."""
-    letters = lambda t: F.lower(F.regexp_replace(t, "[^A-Za-z]", ""))
+    tokens = F.transform(F.split(text, " "), lambda t: F.struct(t.alias("t"), F.lower(F.regexp_replace(t, "[^A-Za-z]", "")).alias("letters")))
     alphabet = F.array(*[F.lit(c) for c in "abcdefghijklmnopqrstuvwxyz"])
     most = lambda x: F.array_max(F.transform(alphabet, lambda c: F.length(x) - F.length(F.replace(x, c, F.lit("")))))
-    return F.array_join(F.filter(F.split(text, " "), lambda t: (F.length(letters(t)) < NOISE) | (most(letters(t)) < REPEATS)), " ")
+    kept = F.filter(tokens, lambda x: (F.length(x["letters"]) < NOISE) | (most(x["letters"]) < REPEATS))
+    return F.array_join(F.transform(kept, lambda x: x["t"]), " ")
 
 
 def _before() -> Column:
@@ -102,7 +107,11 @@ def _before() -> Column:
 
 def by_columns(pages: DataFrame) -> DataFrame:
     """Transactions of the layout with debit, credit and balance."""
-    rows = _described(_numbered(pages), second_date=True)
+    return _by_columns(_numbered(pages))
+
+
+def _by_columns(lines: DataFrame) -> DataFrame:
+    rows = _described(lines, second_date=True)
     n, at = F.size("tokens"), lambda i: F.try_element_at("tokens", F.lit(i))
     side = lambda t: F.nullif(F.upper(F.regexp_extract(t, r"(?i)(DR|CR)$", 1)), F.lit(""))
     single = F.when(n == 2, number(at(1)))
@@ -121,7 +130,11 @@ def by_columns(pages: DataFrame) -> DataFrame:
 
 def by_balance(pages: DataFrame) -> DataFrame:
     """Transactions of the layout with an amount and a running balance."""
-    rows = _described(_numbered(pages), second_date=False)
+    return _by_balance(_numbered(pages))
+
+
+def _by_balance(lines: DataFrame) -> DataFrame:
+    rows = _described(lines, second_date=False)
     n = F.size("tokens")
     rows = rows.withColumns({"balance": F.when(n > 0, number(F.element_at("tokens", -1))), "amount": F.when(n > 1, number(F.try_element_at("tokens", F.lit(-2))))})
     rows = rows.withColumn("change", F.round(F.col("balance") - _before(), 2))
@@ -133,24 +146,34 @@ def _final(rows: DataFrame, ref: Column, text: Column, debit: Column, credit: Co
     return rows.select("document_name", "page_no", "line_no", "date", F.trim(F.concat_ws(" ", text, F.nullif("more", F.lit("")))).alias("description"), ref.alias("ref_no"), debit.alias("debit"), credit.alias("credit"), "balance", "variant")
 
 
-def transactions(pages: DataFrame) -> DataFrame:
+def routed(pages: DataFrame) -> DataFrame:
+    """Pages of documents of either layout, with ``layout``."""
+    return pages.join(documents(pages).where("layout IS NOT NULL").select("document_name", "layout"), "document_name")
+
+
+def numbered(pages: DataFrame) -> DataFrame:
+    """The lines that :func:`transactions` and :func:`warnings` read, stored, so that both together cut the pages once."""
+    return stored(_numbered(routed(pages)), "numbered")
+
+
+def transactions(pages: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """Transactions of all documents of either layout, with ``layout``; documents of neither are left out."""
-    routed = pages.join(documents(pages).where("layout IS NOT NULL").select("document_name", "layout"), "document_name")
-    parts = [f(routed.where(F.col("layout") == name).drop("layout")).withColumn("layout", F.lit(name)) for name, f in (("columns", by_columns), ("balance", by_balance))]
+    lines = numbered(pages) if lines is None else lines
+    lines = dealt(lines, lines.count(), "document_name")
+    parts = [f(lines.where(F.col("layout") == name)).withColumn("layout", F.lit(name)) for name, f in (("columns", _by_columns), ("balance", _by_balance))]
     return parts[0].unionByName(parts[1])
 
 
-def warnings(pages: DataFrame) -> DataFrame:
+def warnings(pages: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """(document_name, page_no, line_no, warning): orphan lines, transactions without anything but a date, headings not known, poor scans.
 
     A page's scan is poor if it has a column ``low_confidence`` that is true.
     """
-    routed = pages.join(documents(pages).where("layout IS NOT NULL").select("document_name", "layout"), "document_name")
-    rows = _numbered(routed)
+    rows = numbered(pages) if lines is None else lines
     orphan = rows.where("txn_no = 0").select("document_name", "page_no", "line_no", F.lit("orphan line").alias("warning"))
     bare = rows.where(F.col("dated") & (F.regexp_replace("line", rf"^{ANY_DATE}\s*(?:{ANY_DATE})?\s*", "") == "")).select("document_name", "page_no", "line_no", F.lit("no transaction").alias("warning"))
-    unknown = rows.join(routed.where("layout = 'columns'").select("document_name").distinct(), "document_name", "left_semi").where("unknown").select("document_name", "page_no", F.lit(None).cast("int").alias("line_no"), F.lit("heading not known").alias("warning")).distinct()
+    unknown = rows.where("layout = 'columns' AND unknown").select("document_name", "page_no", F.lit(None).cast("int").alias("line_no"), F.lit("heading not known").alias("warning")).distinct()
     out = orphan.unionByName(bare).unionByName(unknown)
     if "low_confidence" in pages.columns:
-        out = out.unionByName(routed.where("low_confidence").select("document_name", "page_no", F.lit(None).cast("int").alias("line_no"), F.lit("poor scan").alias("warning")))
+        out = out.unionByName(routed(pages).where("low_confidence").select("document_name", "page_no", F.lit(None).cast("int").alias("line_no"), F.lit("poor scan").alias("warning")))
     return out
