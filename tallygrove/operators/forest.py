@@ -49,7 +49,8 @@ def depths(tree, x: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
 
 def multivariate(t: DataFrame, seed: int = 42) -> DataFrame:
     """The five per cent of larger payments that are most easily isolated by amount, hour, weekday and vendor frequency."""
-    t = t.where(~F.col("transaction_category").isin("SALARY", "EMI", "REFUND"))
+    own = [c for c in ("txn_id", "document_name", "party_name", "ts", "amount") if c in t.columns]
+    t = stored(t.where(~F.col("transaction_category").isin("SALARY", "EMI", "REFUND")).select(*own), "forest")  # categories are read from texts once
     n, q25 = t.count(), quantiles(t, "amount", [0.25]).first()
     t = t.where(F.col("amount") >= max(q25["q"][0] if q25["q"] else 0.0, 500.0))
     t = t.withColumn("frequency", F.count("*").over(Window.partitionBy("party_name")).cast("double"))
