@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, one_of_each, row_key, slices, stored
+from .common import components, one_of_each, row_key, slices, small_batches, stored
 
 BANDS, ROWS = 30, 6
 #: Similarity from which texts are linked, as numerator and denominator.
@@ -177,6 +177,11 @@ def linked(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame | None:
 
 def grouped(docs: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, key, root): one row per input row; rows of one root are linked, directly or through others."""
+    with small_batches(docs.sparkSession):
+        return _grouped(docs, k)
+
+
+def _grouped(docs: DataFrame, k: int) -> DataFrame:
     rows = stored(signed(docs, k), "shinglesets")
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("best")
     nodes = rows.groupBy("node").agg(first, F.first("size").alias("size"), F.first("buckets").alias("buckets"), F.first("draws").alias("draws"))
