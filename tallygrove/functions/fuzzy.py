@@ -12,3 +12,7 @@ from pyspark.sql.functions import pandas_udf
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matched characters over both lengths, on longest matching blocks; argument order matters."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+# So that Spark neither compares pairs again to filter by a column of ratios, nor before they are made distinct.
+sequence_ratio = sequence_ratio.asNondeterministic()

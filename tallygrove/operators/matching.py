@@ -286,6 +286,8 @@ def _keys(names: DataFrame, ratio: float) -> DataFrame:
 CUT, MOST = 64, 3000
 #: Share of all pairs of names that meet at keys of grams, keys of grams of a name, and letters that a text tells apart.
 MET, GRAMS, TELLS = 0.05, 80, 12
+#: What a pair that meets at a key by chance costs, in keys: its letters are compared by a bit count, while keys are moved and sorted.
+CHANCE = 0.03
 
 
 def _windows(la: int, lb: int, ratio: float, p: int) -> tuple[set, set] | None:
@@ -343,7 +345,7 @@ def _cut(own: dict[int, int], others: dict[int, int], ratio: float) -> tuple[flo
             # Pairs that have a key of some length in common by chance.
             for nb, (a, b) in zip(like.values(), made):
                 sizes = {(q, n - i): math.comb(n, i) for q, _, n, i in a}
-                keys += sum(na * nb * sizes.get((q, n - j), 0) * math.comb(n, j) / TELLS ** (n - j) for q, _, n, j in b)
+                keys += CHANCE * sum(na * nb * sizes.get((q, n - j), 0) * math.comb(n, j) / TELLS ** (n - j) for q, _, n, j in b)
             if keys < best:
                 best, parts = keys, p
         total += best
@@ -363,10 +365,26 @@ def _pieces(kept: tuple[int, ...]) -> list[tuple[int, int]]:
     return out
 
 
+#: Groups of letters whose numbers :func:`_letters` tells, up to three each.
+GROUPS = 21
+
+
+def _letters(name: str) -> Column:
+    """The numbers of a name's letters by group, three bits each, of which as many are set: two names differ in at most as many
+    bits as letters are left out or put in."""
+    def bits(g: int) -> Column:
+        own = LETTERS[g::GROUPS]
+        n = F.length(name) - F.length(F.translate(name, own, ""))
+        return F.when(n >= 3, F.lit(7 << 3 * g)).when(n == 2, F.lit(3 << 3 * g)).when(n == 1, F.lit(1 << 3 * g)).otherwise(F.lit(0)).cast("long")
+
+    return reduce(Column.bitwiseOR, map(bits, range(GROUPS)))
+
+
 def _by_parts(a: DataFrame, b: DataFrame, plan: dict[int, int], others: dict[int, int], ratio: float) -> DataFrame:
     """(a, b): pairs of names, those of ``a`` cut into parts by ``plan``, that share what is left of a part and a window.
 
-    What is left out of which places is a small table by length, so that keys are made of it by a join.
+    What is left out of which places is a small table by length, so that keys are made of it by a join.  Of a name only a hash and
+    the numbers of its letters travel with its keys, and few pairs are left to be looked at whole.
     """
     of_a, of_b = set(), set()
     left = lambda start, size, out: ([x for x in range(start, start + size) if x not in gone] for gone in map(set, combinations(range(start, start + size), out)))
@@ -383,13 +401,17 @@ def _by_parts(a: DataFrame, b: DataFrame, plan: dict[int, int], others: dict[int
         table = names.sparkSession.createDataFrame(rows, "n int, tag int, " + ", ".join(f"p{r} int, l{r} int" for r in range(runs)))
         text = F.concat(*[F.substring(name, F.col(f"p{r}"), F.col(f"l{r}")) for r in range(runs)])
         # Dealt anew, as few names make many keys.
-        names = names.repartition(many, name).withColumn("n", F.length(name))
-        return names.join(F.broadcast(table), "n").select(name, F.col("n").alias(f"n_{name}"), F.xxhash64("tag", text).alias("k"))
+        names = names.repartition(many, name).withColumns({"n": F.length(name), f"id_{name}": F.xxhash64(name), f"has_{name}": _letters(name)})
+        return names.join(F.broadcast(table), "n").select(f"id_{name}", f"has_{name}", F.xxhash64("tag", text).alias("k"))
 
-    j = keyed(a, of_a, "a").join(keyed(b, of_b, "b"), "k")
     # What does not agree is left out or put in.
-    apart = F.col("n_a") + F.col("n_b") - 2 * F.ceil(F.lit(ratio) * (F.col("n_a") + F.col("n_b")) / 2 - 1e-9)
-    return j.where(F.levenshtein("a", "b") <= apart).select("a", "b").distinct()
+    most = max((la + lb - 2 * math.ceil(ratio * (la + lb) / 2 - 1e-9) for la in plan for lb in others), default=0)
+    j = keyed(a, of_a, "a").join(keyed(b, of_b, "b"), "k").where(F.bit_count(F.col("has_a").bitwiseXOR(F.col("has_b"))) <= most)
+    j = stored(j.select("id_a", "id_b").distinct(), "names")
+    own = lambda names, name: names.select(F.xxhash64(name).alias(f"id_{name}"), name)
+    j = j.join(own(a, "a"), "id_a").join(own(b, "b"), "id_b")
+    both = F.length("a") + F.length("b")
+    return j.where(F.levenshtein("a", "b") <= both - 2 * F.ceil(F.lit(ratio) * both / 2 - 1e-9)).select("a", "b")
 
 
 def _ratio_pairs(names: DataFrame, others: DataFrame, at_least: float) -> DataFrame:
@@ -462,13 +484,31 @@ def blacklisted(vendors: DataFrame, blacklist: DataFrame) -> DataFrame:
 
 def related(vendors: DataFrame, employees: DataFrame) -> DataFrame:
     """Each vendor's most similar employee, above 0.8; ties to the first employee (pos, name)."""
-    pairs = _ratio_pairs(vendors.select(F.lower(F.trim("vendor_name")).alias("name")), employees.select("pos", F.lower(F.trim("name")).alias("other")), 0.8).where("ratio > 0.8")
+    return _related(_named_like(vendors, employees, 0.8))
+
+
+def _named_like(vendors: DataFrame, employees: DataFrame, at_least: float) -> DataFrame:
+    return _ratio_pairs(vendors.select(F.lower(F.trim("vendor_name")).alias("name")), employees.select("pos", F.lower(F.trim("name")).alias("other")), at_least)
+
+
+def _related(pairs: DataFrame) -> DataFrame:
+    pairs = pairs.where("ratio > 0.8")
     best = pairs.groupBy("name").agg(F.max(F.struct("ratio", (-F.col("pos")).alias("pos"), "other")).alias("b"))
     return findings(best, "related_party_vendor", HIGH, 0.9, F.col("name"), F.lit(None), source="policy", employee=F.col("b.other"), ratio=F.round("b.ratio", 4))
 
 
 def like_employees(vendors: DataFrame, employees: DataFrame) -> DataFrame:
     """Vendors named almost, but not exactly, like an employee (0.88 or more); the first such employee."""
-    pairs = _ratio_pairs(vendors.select(F.lower(F.trim("vendor_name")).alias("name")), employees.select("pos", F.lower(F.trim("name")).alias("other")), 0.88).where("ratio >= 0.88 and name <> other")
+    return _like_employees(_named_like(vendors, employees, 0.88))
+
+
+def _like_employees(pairs: DataFrame) -> DataFrame:
+    pairs = pairs.where("ratio >= 0.88 and name <> other")
     first = pairs.groupBy("name").agg(F.min(F.struct("pos", "ratio", "other")).alias("b"))
     return findings(first, "vendor_name_similar_to_employee", HIGH, F.round(0.75 + (F.col("b.ratio") - 0.88), 6), F.col("name"), F.lit(None), employee=F.col("b.other"))
+
+
+def named_like_employees(vendors: DataFrame, employees: DataFrame) -> DataFrame:
+    """R24 and K37 together: names are compared once for both."""
+    pairs = stored(_named_like(vendors, employees, 0.8), "alike")
+    return _related(pairs).unionByName(_like_employees(pairs))
