@@ -49,8 +49,8 @@ class Books:
     employees: DataFrame
 
 
-def checked(books: Books) -> DataFrame:
-    """The findings of every check and rule, in one DataFrame.
+def checked(books: Books, columns: tuple[str, ...] = ()) -> DataFrame:
+    """The findings of every check and rule, in one DataFrame; where ``columns`` are given, with these only.
 
     Each table is prepared and stored once, but for the tax lines: they are the largest, and three checks read a few of their
     columns once each.  The checks run in ``PARTS`` jobs, some at the same time, as most are too small to keep a cluster busy alone.
@@ -59,15 +59,22 @@ def checked(books: Books) -> DataFrame:
         kept = {k: v for k, v in vars(books).items() if k != "tax_lines"}
         b = Books(**dict(zip(kept, pool.map(stored, kept.values(), kept))), tax_lines=books.tax_lines)
         checks = [(f, b.txns) for f in (*TRANSACTION_CHECKS, *TRANSACTION_RULES)] + [(f, b.claims) for f in EXPENSE_CHECKS] + [(f, b.tax_lines) for f in TAX_CHECKS] + [(f, b.rows) for f in ROW_CHECKS] + [(f, b.invoices) for f in INVOICE_CHECKS]
-        checks += [(M.like_employees, b.vendors, b.employees), (I.new_vendors, b.invoices, b.known), (M.blacklisted, b.vendors, b.blacklist), (I.payment_terms, b.paid), (M.related, b.vendors, b.employees)]
+        checks += [(M.named_like_employees, b.vendors, b.employees), (I.new_vendors, b.invoices, b.known), (M.blacklisted, b.vendors, b.blacklist), (I.payment_terms, b.paid)]
+        told = lambda f: f.select(*columns) if columns else f
         parts = [checks[i::PARTS] for i in range(PARTS)]
-        done = pool.map(lambda part: stored(reduce(DataFrame.unionByName, [f(*tables) for f, *tables in part]), "findings"), parts)
+        done = pool.map(lambda part: stored(reduce(DataFrame.unionByName, [told(f(*tables)) for f, *tables in part]), "findings"), parts)
         return reduce(DataFrame.unionByName, done)
 
 
+#: The columns of findings that the report reads.
+REPORTED = ("finding_type", "severity", "score", "amount", "source", "evidence", "finding_id", "transaction_ids")
+
+
 def report(findings: DataFrame) -> DataFrame:
-    """One row: counts by severity, merged findings, flagged amounts, types, risk score and a line of summary."""
-    f = stored(findings, "findings")
+    """One row: counts by severity, merged findings, flagged amounts, types, risk score and a line of summary.
+
+    ``findings`` are read several times, so they should be stored, as those of :func:`checked` are."""
+    f = findings
     merged = R.strongest(R.rooted(f, ("finding_type", "severity"))).agg(F.count("*").alias("merged_findings"))
     kinds = f.agg(F.count_distinct("finding_type").alias("types"))
     return R.summary(f).crossJoin(merged).crossJoin(R.flagged(f).withColumnsRenamed({"total": "flagged_total", "high": "flagged_high"})).crossJoin(kinds)
