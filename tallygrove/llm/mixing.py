@@ -107,6 +107,11 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", src.alias("source"), F.coalesce(F.concat(F.lit("1"), src), F.lit("0")).alias("_k"), words(text).alias("size"), F.xxhash64(text).alias("_h"))
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` joined by sorting: Spark would choose a broadcast by the size of the files, which hold far more rows than they seem to."""
+    return df.hint("merge")
+
+
 def block_words(size: int, mix: Mix) -> int:
     """Words of a block of a source of ``size`` words."""
     return max(1, min(mix.block_words, size // LEAST_BLOCKS))
@@ -123,7 +128,7 @@ def laid(rows: DataFrame, mix: Mix) -> DataFrame:
     sums = sums.withColumn("_b", F.greatest(F.lit(1), F.least(F.lit(mix.block_words), F.floor(whole / LEAST_BLOCKS)))).drop("_n")
     inside = Window.partitionBy("_k", "_r").orderBy("doc_id", "size", "_h").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return rows.join(sums, ["_k", "_r"]).withColumn("start", F.col("_base") + F.col("_in")).drop("_base", "_in", "_r")
+    return rows.join(merged(sums), ["_k", "_r"]).withColumn("start", F.col("_base") + F.col("_in")).drop("_base", "_in", "_r")
 
 
 def slots_of(spark: SparkSession, sources: list, mix: Mix) -> DataFrame:
@@ -179,7 +184,7 @@ def taken(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         none = rows.select("doc_id", "source", "_k", "size", F.lit(0).cast("long").alias("taken"))
     else:
         uses = slots_of(spark, sources, mix).groupBy("_k", "block").agg(F.count("*").alias("times"))
-        cut = pieces(laid(rows, mix)).join(uses, ["_k", "block"], "left")
+        cut = pieces(laid(rows, mix)).join(merged(uses), ["_k", "block"], "left")
         got = F.sum((F.col("hi") - F.col("lo")) * F.coalesce("times", F.lit(0))).cast("long")
         cut = cut.groupBy("_k", "start", "doc_id", "source", "size").agg(got.alias("taken"))
         none = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
@@ -200,7 +205,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         return docs.limit(0)
     same = Window.partitionBy("doc_id", "_k", "size", "_h").orderBy(F.lit(0))
     uses = slots_of(spark, sources, mix).groupBy("_k", "block").agg(F.count("*").alias("times"))
-    cut = pieces(laid(rows.withColumn("_copy", F.row_number().over(same)), mix)).join(uses, ["_k", "block"])
+    cut = pieces(laid(rows.withColumn("_copy", F.row_number().over(same)), mix)).join(merged(uses), ["_k", "block"])
     passes = F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_pass")
     key = ["doc_id", "_k", "size", "_h", "_copy"]
     spans = cut.select(*key, "lo", "hi", passes).groupBy(*key, "_pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_spans"), F.sum(F.col("hi") - F.col("lo")).alias("_n"))
@@ -214,7 +219,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     parts = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     some = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(parts, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), " ")
     taken_text = F.when(F.col("_n") == F.col("size"), text).otherwise(some)
-    return full.join(spans, on).select(*[(taken_text if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns])
+    return full.join(merged(spans), on).select(*[(taken_text if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
